@@ -96,3 +96,122 @@ def sorted_slices(spark, sf):
     s = P.sorted_slices(P.slice_projections(V.tokens(spark, sf), th))
     return s.select("seq_id", "slice", F.posexplode("v").alias("idx", "p")).select(
         "seq_id", "slice", F.col("idx").cast("bigint").alias("idx"), r6("p").alias("p"))
+
+
+# --------------------------------------------------------------------------------------- metrics
+
+from seqpool.operators import metrics as M  # noqa: E402
+from seqpool.functions.vec import matvec  # noqa: E402
+
+N_CLASSES = 10
+
+
+def _class_logits(spark, sf):
+    """T4 on the driver's labelled vectors: logits = W . embedding, W = projector(10, 64)."""
+    e = V.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id"), matvec(PR.projector(N_CLASSES, DIM), "embedding").alias("logits"),
+                    F.col("label").cast("bigint").alias("label"))
+
+
+def _mlab_weights(spark, sf):
+    """A10 on the multi-label view: weight = #proteins / #positive targets of the label."""
+    ml = V.mlab(spark, sf)
+    n = ml.select(F.countDistinct("protein")).scalar()
+    freq = ml.groupBy("label").agg(F.sum("target").alias("freq"))
+    return freq.select("label", F.try_divide(n.cast("double"), F.col("freq").cast("double")).alias("weight"))
+
+
+@query
+def metric_average_precision(spark, sf):
+    return M.average_precision(V.preds(spark, sf)).select(r6("average_precision").alias("average_precision"))
+
+
+@query
+def metric_auroc(spark, sf):
+    return M.auroc(V.preds(spark, sf)).select(r6("auroc").alias("auroc"))
+
+
+@query
+def pr_roc_curve(spark, sf):
+    c = M.pr_roc_curve(V.preds(spark, sf))
+    return c.select(r6("score").alias("score"), F.col("tp").cast("bigint").alias("tp"),
+                    F.col("fp").cast("bigint").alias("fp"), r6("precision").alias("precision"),
+                    r6("recall").alias("recall"), r6("fpr").alias("fpr"))
+
+
+@query
+def metric_binary_confusion(spark, sf):
+    c = M.binary_confusion(V.preds(spark, sf))
+    return c.select("tp", "fp", "fn", "tn", *[r6(x).alias(x) for x in
+                    ("accuracy", "precision", "recall", "specificity", "f1", "mcc")])
+
+
+@query
+def metric_regression(spark, sf):
+    return M.regression(V.reg(spark, sf)).select(r6("mse").alias("mse"), r6("pearson").alias("pearson"))
+
+
+@query
+def metric_micro_auprc(spark, sf):
+    return M.average_precision(V.mlab(spark, sf), "score", "target").select(
+        r6("average_precision").alias("micro_auprc"))
+
+
+@query
+def metric_micro_auroc(spark, sf):
+    return M.auroc(V.mlab(spark, sf), "score", "target").select(r6("auroc").alias("micro_auroc"))
+
+
+@query
+def metric_f1_max(spark, sf):
+    return M.f1_max(V.mlab(spark, sf)).select(r6("f1_max").alias("f1_max"))
+
+
+IDENTITY_LEVELS = (95, 50, 30)
+
+
+def _by_identity(spark, sf):
+    ml = V.mlab(spark, sf)
+    mem = V.members(spark, sf)
+    flags = F.array(*[F.struct(F.lit(p).cast("bigint").alias("percent"), F.col(f"p{p}").alias("flag"))
+                      for p in IDENTITY_LEVELS])
+    long = mem.select("protein", F.explode(flags).alias("m")).where(F.col("m.flag") == "1").select(
+        "protein", F.col("m.percent").alias("percent"))
+    return ml.withColumn("protein", F.col("protein").cast("string")).join(long, "protein")
+
+
+@query
+def metric_by_identity(spark, sf):
+    x = _by_identity(spark, sf)
+    ap = M.average_precision(x, "score", "target", group=["percent"])
+    fm = M.f1_max(x, group=["percent"])
+    return ap.join(fm, "percent").select("percent", r6("average_precision").alias("micro_auprc"),
+                                         r6("f1_max").alias("f1_max"))
+
+
+@query
+def metric_multiclass_accuracy(spark, sf):
+    return M.multiclass_accuracy(_class_logits(spark, sf)).select(r6("accuracy").alias("accuracy"))
+
+
+@query
+def loss_cross_entropy(spark, sf):
+    return M.loss_cross_entropy(_class_logits(spark, sf)).select(r6("cross_entropy").alias("cross_entropy"))
+
+
+@query
+def loss_bce(spark, sf):
+    return M.loss_bce(V.preds(spark, sf)).select(r6("bce").alias("bce"))
+
+
+@query
+def loss_weighted_bce(spark, sf):
+    out = M.loss_weighted_bce(V.mlab(spark, sf), _mlab_weights(spark, sf))
+    return out.select(r6("weighted_bce").alias("weighted_bce"))
+
+
+@query
+def epoch_timing(spark, sf):
+    ep = V.epochs(spark, sf)
+    secs = (F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(F.col("t_start").cast("timestamp"))) / 1e6
+    return ep.select("run_id", "epoch", r6(secs).alias("seconds"))

@@ -117,3 +117,149 @@ SELECT seq_id, CAST(slice AS BIGINT) AS slice,
        CAST(row_number() OVER (PARTITION BY seq_id, slice ORDER BY p, pos) - 1 AS BIGINT) AS idx,
        round(p, 6) AS p
 FROM proj"""
+
+# ---------------------------------------------------------------------------------- metrics
+
+PREDS = """preds AS (
+  SELECT d.doc_id AS row_id, (d.n_chars % 101) / 101.0::DOUBLE AS score, CAST(l.quality AS BIGINT) AS label
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+MLAB = """mlab AS (
+  SELECT d.doc_id AS protein, g.label AS label,
+         ((d.doc_id * 7 + g.label * 13) % 97) / 97.0::DOUBLE AS score,
+         CAST(((d.doc_id * 3 + g.label * 5) % 7) = 0 AS BIGINT) AS target
+  FROM documents d, range(10) g(label))"""
+
+REG = """reg AS (SELECT l_quantity * 1500.0::DOUBLE AS p, l_extendedprice AS y FROM lineitem)"""
+
+MEMBERS = """members AS (
+  SELECT CAST(doc_id AS VARCHAR) AS protein,
+         CASE WHEN doc_id % 10 < 3 THEN '1' ELSE '0' END AS p30,
+         CASE WHEN doc_id % 10 < 4 THEN '1' ELSE '0' END AS p40,
+         CASE WHEN doc_id % 10 < 5 THEN '1' ELSE '0' END AS p50,
+         CASE WHEN doc_id % 10 < 7 THEN '1' ELSE '0' END AS p70,
+         CASE WHEN doc_id % 20 < 19 THEN '1' ELSE '0' END AS p95
+  FROM documents)"""
+
+EPOCHS = """epochs AS (
+  SELECT event_type AS run_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch,
+         avg(value) AS v, min(ts) AS t_start, max(ts) AS t_end
+  FROM events GROUP BY 1, 2)"""
+
+
+def ap_sql(src: str, score: str, label: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f"""c AS (SELECT {g}{score} AS score, sum({label})::DOUBLE AS tp, sum(1 - {label})::DOUBLE AS fp FROM {src} GROUP BY {g}{score}),
+cc AS (SELECT {g}score, tp, fp,
+              sum(tp) OVER ({part}ORDER BY score DESC) AS ctp, sum(fp) OVER ({part}ORDER BY score DESC) AS cfp,
+              sum(tp) OVER ({part.strip()}) AS ttp, sum(fp) OVER ({part.strip()}) AS tfp FROM c)"""
+
+
+SQL["metric_average_precision"] = f"""WITH {PREDS},
+{ap_sql('preds', 'score', 'label')}
+SELECT round(sum(tp * ctp / (ctp + cfp)) / max(ttp), 6) AS average_precision FROM cc"""
+
+SQL["metric_auroc"] = f"""WITH {PREDS},
+{ap_sql('preds', 'score', 'label')}
+SELECT round(sum(fp * (2 * ctp - tp)) / 2.0::DOUBLE / (max(ttp) * max(tfp)), 6) AS auroc FROM cc"""
+
+SQL["pr_roc_curve"] = f"""WITH {PREDS},
+{ap_sql('preds', 'score', 'label')}
+SELECT round(score, 6) AS score, CAST(ctp AS BIGINT) AS tp, CAST(cfp AS BIGINT) AS fp,
+       round(ctp / (ctp + cfp), 6) AS precision, round(ctp / ttp, 6) AS recall, round(cfp / tfp, 6) AS fpr
+FROM cc"""
+
+SQL["metric_binary_confusion"] = f"""WITH {PREDS},
+k AS (SELECT count(*) FILTER (WHERE score > 0.5::DOUBLE AND label = 1)::DOUBLE AS tp,
+             count(*) FILTER (WHERE score > 0.5::DOUBLE AND label <> 1)::DOUBLE AS fp,
+             count(*) FILTER (WHERE NOT score > 0.5::DOUBLE AND label = 1)::DOUBLE AS fn,
+             count(*) FILTER (WHERE NOT score > 0.5::DOUBLE AND label <> 1)::DOUBLE AS tn FROM preds)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+       round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) AS accuracy,
+       round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+       round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+       round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc
+FROM k"""
+
+SQL["metric_regression"] = f"""WITH {REG}
+SELECT round(avg((p - y) * (p - y)), 6) AS mse, round(corr(p, y), 6) AS pearson FROM reg"""
+
+SQL["metric_micro_auprc"] = f"""WITH {MLAB},
+{ap_sql('mlab', 'score', 'target')}
+SELECT round(sum(tp * ctp / (ctp + cfp)) / max(ttp), 6) AS micro_auprc FROM cc"""
+
+SQL["metric_micro_auroc"] = f"""WITH {MLAB},
+{ap_sql('mlab', 'score', 'target')}
+SELECT round(sum(fp * (2 * ctp - tp)) / 2.0::DOUBLE / (max(ttp) * max(tfp)), 6) AS micro_auroc FROM cc"""
+
+
+def fmax_sql(src: str, group: str = "") -> str:
+    """Brute force: every distinct threshold joined with every row at or above it."""
+    g = f"{group}, " if group else ""
+    tg = f"thr.{group}, " if group else ""
+    on_g = f" AND s.{group} = thr.{group}" if group else ""
+    n_src = f"(SELECT count(DISTINCT protein) FROM {src} x WHERE x.{group} = pp.{group})" if group else \
+        f"(SELECT count(DISTINCT protein) FROM {src})"
+    return f"""thr AS (SELECT DISTINCT {g}score AS t FROM {src}),
+pp AS (SELECT {tg}thr.t, s.protein, sum(s.target)::DOUBLE AS tp, count(*)::DOUBLE AS k
+       FROM thr JOIN {src} s ON s.score >= thr.t{on_g} GROUP BY ALL),
+npos AS (SELECT {g}protein, sum(target)::DOUBLE AS np FROM {src} GROUP BY ALL),
+f AS (SELECT {"pp." + group + ", " if group else ""}pp.t, avg(pp.tp / pp.k) AS p,
+             sum(pp.tp / (npos.np + 1e-10::DOUBLE)) / any_value({n_src}) AS r
+      FROM pp JOIN npos ON pp.protein = npos.protein{" AND pp." + group + " = npos." + group if group else ""}
+      GROUP BY ALL)"""
+
+
+SQL["metric_f1_max"] = f"""WITH {MLAB},
+{fmax_sql('mlab')}
+SELECT round(max(2 * p * r / (p + r + 1e-10::DOUBLE)), 6) AS f1_max FROM f"""
+
+BY_IDENTITY = f"""{MLAB},
+{MEMBERS},
+lvl AS (SELECT protein, 95::BIGINT AS percent FROM members WHERE p95 = '1'
+        UNION ALL SELECT protein, 50::BIGINT FROM members WHERE p50 = '1'
+        UNION ALL SELECT protein, 30::BIGINT FROM members WHERE p30 = '1'),
+x AS (SELECT lvl.percent, mlab.* FROM mlab JOIN lvl ON CAST(mlab.protein AS VARCHAR) = lvl.protein)"""
+
+SQL["metric_by_identity"] = f"""WITH {BY_IDENTITY},
+{ap_sql('x', 'score', 'target', 'percent')},
+{fmax_sql('x', 'percent')},
+ap AS (SELECT percent, sum(tp * ctp / (ctp + cfp)) / max(ttp) AS ap FROM cc GROUP BY percent),
+fm AS (SELECT percent, max(2 * p * r / (p + r + 1e-10::DOUBLE)) AS fm FROM f GROUP BY percent)
+SELECT ap.percent, round(ap.ap, 6) AS micro_auprc, round(fm.fm, 6) AS f1_max FROM ap JOIN fm ON ap.percent = fm.percent"""
+
+EMB_LOGITS = """proj_w AS (SELECT o.o AS o, i.i AS i, ((o.o * 13 + i.i * 7) % 19 - 9) / 90.0::DOUBLE AS w
+                FROM range(10) o(o), range(64) i(i)),
+edims AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(unnest(range(len(embedding))) AS BIGINT) AS i,
+                 CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+lg AS (SELECT edims.vec_id, any_value(edims.label) AS label, proj_w.o, sum(proj_w.w * edims.x) AS z
+       FROM edims JOIN proj_w ON edims.i = proj_w.i GROUP BY edims.vec_id, proj_w.o)"""
+
+SQL["metric_multiclass_accuracy"] = f"""WITH {EMB_LOGITS},
+am AS (SELECT vec_id, any_value(label) AS label, arg_max(o, z * 1e6::DOUBLE - o) AS pred FROM lg GROUP BY vec_id)
+SELECT round(avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM am"""
+
+SQL["loss_cross_entropy"] = f"""WITH {EMB_LOGITS},
+ce2 AS (SELECT lg.vec_id, max(lg.z) AS mz, ln(sum(exp(lg.z - m.mz))) + m.mz AS lse,
+               max(CASE WHEN lg.o = lg.label THEN lg.z END) AS zl
+        FROM lg JOIN (SELECT vec_id, max(z) AS mz FROM lg GROUP BY vec_id) m ON lg.vec_id = m.vec_id
+        GROUP BY lg.vec_id, m.mz)
+SELECT round(avg(lse - zl), 6) AS cross_entropy FROM ce2"""
+
+BCE = """(-(({y}) * CASE WHEN ({p}) <= 0 THEN -100.0::DOUBLE ELSE greatest(ln({p}), -100.0::DOUBLE) END
+   + (1.0::DOUBLE - ({y})) * CASE WHEN ({p}) >= 1 THEN -100.0::DOUBLE ELSE greatest(ln(1.0::DOUBLE - ({p})), -100.0::DOUBLE) END))"""
+
+SQL["loss_bce"] = f"""WITH {PREDS}
+SELECT round(avg({BCE.format(p='score', y='CAST(label AS DOUBLE)')}), 6) AS bce FROM preds"""
+
+SQL["loss_weighted_bce"] = f"""WITH {MLAB},
+wt AS (SELECT label, (SELECT count(DISTINCT protein) FROM mlab)::DOUBLE / nullif(sum(target), 0)::DOUBLE AS weight
+       FROM mlab GROUP BY label),
+s AS (SELECT mlab.*, wt.weight, 1.0::DOUBLE / (1.0::DOUBLE + exp(-score)) AS sg FROM mlab LEFT JOIN wt ON mlab.label = wt.label)
+SELECT round(avg(weight * {BCE.format(p='sg', y='CAST(target AS DOUBLE)')}), 6) AS weighted_bce FROM s"""
+
+SQL["epoch_timing"] = f"""WITH {EPOCHS}
+SELECT run_id, epoch, round(date_diff('microsecond', t_start, t_end) / 1e6::DOUBLE, 6) AS seconds FROM epochs"""
