@@ -215,3 +215,331 @@ def epoch_timing(spark, sf):
     ep = V.epochs(spark, sf)
     secs = (F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(F.col("t_start").cast("timestamp"))) / 1e6
     return ep.select("run_id", "epoch", r6(secs).alias("seconds"))
+
+
+# --------------------------------------------------------------------------------------- preparation
+
+from seqpool.operators import joins as J  # noqa: E402
+from seqpool.operators import labels as LB  # noqa: E402
+from seqpool.operators import prep as PP  # noqa: E402
+from seqpool.functions import text as TX  # noqa: E402
+from seqpool.functions.vec import vsum  # noqa: E402
+from seqpool.sources import text as ST  # noqa: E402
+
+BATCH = 32
+SEED = 12345
+
+
+def _docs(spark, sf):
+    return V.table(spark, sf, "documents")
+
+
+def _split_rows(spark, sf):
+    s = V.splits(spark, sf)
+    return s.select("doc_id", "target", PP.nullsafe_split(s).alias("split"))
+
+
+@query
+def project_pair_columns(spark, sf):
+    return PP.project_pair_columns(V.pairs(spark, sf), "drug_key", "target_key", "label", extra=["row_id"])
+
+
+@query
+def nullsafe_split(spark, sf):
+    return _split_rows(spark, sf).select("doc_id", "split")
+
+
+@query
+def normalize_sequence(spark, sf):
+    return _docs(spark, sf).select("doc_id", PP.normalize_sequence(TX.letters(F.col("text"))).alias("seq"))
+
+
+def _positions(res):
+    """Derived coordinates per residue: (id, index, index^2 mod 17)."""
+    return F.transform(res, lambda r, i: F.array(r.cast("double"), i.cast("double"),
+                                                 (i.cast("bigint") * i.cast("bigint") % 17).cast("double")))
+
+
+def _residues(spark, sf):
+    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.letters(F.col("text"))).alias("res"))
+    return d.select("doc_id", PP.residue_record(F.col("res"), _positions(F.col("res"))).alias("rec"))
+
+
+def _wsum(arr):
+    return F.aggregate(F.transform(arr, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+@query
+def residue_record(spark, sf):
+    r = _residues(spark, sf)
+    return r.select("doc_id", F.size("rec.residue").cast("bigint").alias("n"),
+                    _wsum(F.col("rec.residue")).alias("residue_wsum"),
+                    F.aggregate("rec.number", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("number_sum"),
+                    F.aggregate("rec.atom", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("atom_sum"))
+
+
+@query
+def truncate_residues(spark, sf):
+    r = _residues(spark, sf).select("doc_id", *PP.truncate_arrays(["rec.residue", "rec.number"]))
+    return r.select("doc_id", F.size("residue").cast("bigint").alias("n"), _wsum(F.col("residue")).alias("residue_wsum"),
+                    F.aggregate("number", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("number_sum"))
+
+
+@query
+def center_positions(spark, sf):
+    """Positions minus the per-protein mean (array aggregate; the set is bounded by the residue cap)."""
+    d = _docs(spark, sf).select("doc_id", F.slice(TX.residue_ids(TX.letters(F.col("text"))), 1, PP.RESIDUE_CAP).alias("res"))
+    r = d.where(F.size("res") > 0).select("doc_id", PP.center_positions(_positions(F.col("res"))).alias("c"))
+    ss = F.aggregate("c", F.lit(0.0), lambda a, p: a + F.aggregate(p, F.lit(0.0), lambda s, x: s + x * x))
+    return r.select("doc_id", r6(ss).alias("centered_ss"))
+
+
+@query
+def sanitize_key(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", TX.sanitize_key(F.col("url")).alias("key"))
+
+
+@query
+def identity_filter(spark, sf):
+    return PP.identity_filter(V.members(spark, sf), 50).select("protein")
+
+
+@query
+def trim_tokens(spark, sf):
+    e = V.table(spark, sf, "embeddings")
+    a = e.select("vec_id", F.lit("drop_ends").alias("variant"), F.posexplode(PP.trim_first_last(F.col("embedding"))))
+    b = e.select("vec_id", F.lit("drop_last_two").alias("variant"), F.posexplode(PP.trim_last_two(F.col("embedding"))))
+    return a.unionByName(b).select("vec_id", "variant", F.col("pos").cast("bigint").alias("idx"),
+                                   r6(F.col("col").cast("double")).alias("value"))
+
+
+@query
+def zero_vector_fallback(spark, sf):
+    seq = TX.letters(F.col("text"))
+    fp = TX.dense_bits(TX.hashed_fingerprint(seq, 2048, 2), 2048)
+    valid = F.length(seq) >= 3
+    d = _docs(spark, sf).select("doc_id", PP.zero_fallback(fp, valid, 2048).alias("v"), (~valid).alias("rejected"))
+    return d.select("doc_id", vsum("v").cast("bigint").alias("n_set"), "rejected")
+
+
+@query
+def hashed_fingerprint(spark, sf):
+    b = TX.ngram_buckets(TX.letters(F.col("text")), 3, 2048)
+    return _docs(spark, sf).select("doc_id", F.size(b).cast("bigint").alias("n_bits"),
+                                   F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bit_sum"))
+
+
+@query
+def char_tokenize(spark, sf):
+    ids = TX.char_tokenize(TX.letters(F.col("text")))
+    return _docs(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
+                                   F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+                                   _wsum(ids).alias("id_wsum"))
+
+
+@query
+def residue_ids(spark, sf):
+    ids = TX.residue_ids(TX.letters(F.col("text")))
+    return _docs(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n"),
+                                   F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+                                   _wsum(ids).alias("id_wsum"))
+
+
+@query
+def eval_cadence(spark, sf):
+    return PP.eval_cadence(V.epochs(spark, sf), 5).select("run_id", "epoch", r6("v").alias("v"))
+
+
+@query
+def pos_neg_union(spark, sf):
+    e = V.edges(spark, sf).select("row_id", "p0", "p1", "label")
+    return PP.pos_neg_union(e.where("label = 1").drop("label"), e.where("label = 0").drop("label"))
+
+
+@query
+def distinct_keys(spark, sf):
+    e = V.edges(spark, sf)
+    return PP.distinct_keys([(e, "p0"), (e, "p1")], out="key")
+
+
+@query
+def split_union(spark, sf):
+    e = V.edges(spark, sf)
+    parts = [e.where(F.col("split") == s) for s in ("train", "val", "test")]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return PP.split_sizes(u.select("split", F.col("p0").alias("key")), "split", "key")
+
+
+@query
+def split_sizes(spark, sf):
+    return PP.split_sizes(_split_rows(spark, sf).where(F.col("split").isNotNull()), "split", "target")
+
+
+@query
+def assign_batches(spark, sf):
+    return PP.assign_batches(V.pairs(spark, sf).select("row_id"), "row_id", BATCH, SEED)
+
+
+@query
+def seeded_shuffle(spark, sf):
+    return PP.seeded_shuffle(_docs(spark, sf).select("doc_id"), "doc_id", SEED)
+
+
+@query
+def pad_batch(spark, sf):
+    """W2 + H9 + H10: sequences batched (B=4) in seeded order, padded with sentinel 20 to the batch maximum."""
+    from pyspark.sql import Window
+    t = V.tokens(spark, sf)
+    seqs = t.groupBy("seq_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    b = PP.assign_batches(seqs, "seq_id", 4, SEED)
+    w = Window.partitionBy("batch_id")
+    b = b.withColumn("pad_len", F.max("n").over(w))
+    padded = F.concat(F.array_repeat(F.lit(1.0), F.col("n")), F.array_repeat(F.lit(20.0), F.col("pad_len") - F.col("n")))
+    mask = F.transform(padded, lambda x: x != F.lit(20.0))
+    return b.select("seq_id", "batch_id", F.col("n").cast("bigint").alias("n"), F.col("pad_len").cast("bigint").alias("pad_len"),
+                    F.size(F.filter(mask, lambda m: m)).cast("bigint").alias("n_valid"))
+
+
+@query
+def first_appearance_index(spark, sf):
+    tr = _split_rows(spark, sf).where(F.col("split") == "train")
+    return PP.first_appearance_index(tr, "target", "doc_id")
+
+
+@query
+def label_map_join(spark, sf):
+    rows = _split_rows(spark, sf)
+    idx = PP.first_appearance_index(rows.where(F.col("split") == "train"), "target", "doc_id")
+    return J.label_map(rows, idx, "target").select("doc_id", "split", "target", "idx")
+
+
+@query
+def group_holdout_split(spark, sf):
+    d = _docs(spark, sf)
+    return d.select("doc_id", "source", PP.group_holdout_split(d, "doc_id", "source", 0.2, SEED).alias("part"))
+
+
+# --------------------------------------------------------------------------------------- joins
+
+
+@query
+def pair_feature_join(spark, sf):
+    x = J.pair_features(V.pairs(spark, sf), V.features(spark, sf))
+    return x.select("row_id", "drug_key", "target_key", "label",
+                    r6(vsum("drug_vec")).alias("drug_sum"), r6(vsum("target_vec")).alias("target_sum"))
+
+
+@query
+def entity_feature_join(spark, sf):
+    s = V.splits(spark, sf).select("doc_id", "target")
+    x = J.lookup(s, V.features(spark, sf), "doc_id", out="vec")
+    return x.select("doc_id", "target", r6(vsum("vec")).alias("vec_sum"))
+
+
+@query
+def edge_feature_selfjoin(spark, sf):
+    x = J.edge_features(V.edges(spark, sf), V.features(spark, sf))
+    return x.select("row_id", "label", r6(vsum("p0_vec")).alias("p0_sum"), r6(vsum("p1_vec")).alias("p1_sum"))
+
+
+def _resolved(spark, sf):
+    e = V.edges(spark, sf)
+    ids = PP.distinct_keys([(e, "p0"), (e, "p1")], out="acc")
+    prim = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("acc"), TX.letters(F.col("text")).alias("seq"))
+    fb = V.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("acc"), F.col("url").alias("seq"))
+    return J.resolve(ids, prim, fb)
+
+
+@query
+def resolve_accession(spark, sf):
+    r = _resolved(spark, sf)
+    return r.select("acc", "source", F.length("seq").cast("bigint").alias("seq_len"))
+
+
+@query
+def unresolved_accession(spark, sf):
+    return _resolved(spark, sf).where(F.col("seq").isNull()).select("acc")
+
+
+@query
+def membership_semi(spark, sf):
+    ml = V.mlab(spark, sf).withColumn("protein", F.col("protein").cast("string"))
+    keep = PP.identity_filter(V.members(spark, sf), 50)
+    return J.semi(ml, keep, "protein").select("protein", "label")
+
+
+@query
+def missing_keys_anti(spark, sf):
+    keys = V.pairs(spark, sf).select(F.col("drug_key").alias("key")).distinct()
+    return J.anti(keys, V.features(spark, sf), "key").select(F.col("key").alias("drug_key"))
+
+
+def _annotations(spark, sf):
+    return ST.parse_annotation_lines(V.annot_lines(spark, sf))
+
+
+def _vocab_index(spark, sf):
+    return ST.vocabulary_index(V.annot_vocabulary(spark, sf))
+
+
+@query
+def annotation_scan(spark, sf):
+    a = _annotations(spark, sf)
+    return a.select("protein", F.posexplode("codes").alias("pos", "code")).select(
+        "protein", F.col("pos").cast("bigint").alias("pos"), "code")
+
+
+@query
+def annotation_join(spark, sf):
+    good, _ = J.annotation_join(V.annot_proteins(spark, sf), _annotations(spark, sf))
+    return good.select("protein", F.size("codes").cast("bigint").alias("n_codes"))
+
+
+@query
+def annotation_quarantine(spark, sf):
+    _, bad = J.annotation_join(V.annot_proteins(spark, sf), _annotations(spark, sf))
+    return bad.select("protein")
+
+
+@query
+def code_index_join(spark, sf):
+    x = J.code_index(_annotations(spark, sf), _vocab_index(spark, sf))
+    return x.select("protein", F.col("pos").cast("bigint").alias("pos"), "code", "idx")
+
+
+@query
+def align_pred_label(spark, sf):
+    r = V.reg(spark, sf)
+    return J.align(r.select("row_id", "p"), r.select("row_id", "y")).select("row_id", r6("p").alias("p"), r6("y").alias("y"))
+
+
+@query
+def label_frequency(spark, sf):
+    return LB.label_frequency(_annotations(spark, sf), _vocab_index(spark, sf))
+
+
+@query
+def class_weights(spark, sf):
+    w = LB.class_weights(_annotations(spark, sf), _vocab_index(spark, sf))
+    return w.select("code", "idx", "freq", r6("weight").alias("weight"))
+
+
+@query
+def multi_hot(spark, sf):
+    vi = _vocab_index(spark, sf)
+    n_codes = vi.count()
+    idx = J.code_index(_annotations(spark, sf), vi)
+    mh = LB.multi_hot(idx.where(F.col("idx").isNotNull()), n_codes)
+    return mh.select("protein", F.posexplode("multi_hot").alias("idx", "value")).where(F.col("value") > 0).select(
+        "protein", F.col("idx").cast("bigint").alias("idx"), F.col("value").cast("double").alias("value"))
+
+
+@query
+def fasta_records(spark, sf):
+    recs = V.fasta(spark, sf).withColumn("_rid", F.monotonically_increasing_id())
+    return ST.fasta_records(recs, order=["_rid"])
+
+
+@query
+def fasta_lines(spark, sf):
+    return ST.fasta_lines(V.fasta(spark, sf))

@@ -263,3 +263,219 @@ SELECT round(avg(weight * {BCE.format(p='sg', y='CAST(target AS DOUBLE)')}), 6)
 
 SQL["epoch_timing"] = f"""WITH {EPOCHS}
 SELECT run_id, epoch, round(date_diff('microsecond', t_start, t_end) / 1e6::DOUBLE, 6) AS seconds FROM epochs"""
+
+# ---------------------------------------------------------------------------------- preparation
+
+ROW_ID = """md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR,
+    CAST(round(l_quantity * 100) AS BIGINT)::VARCHAR, CAST(round(l_extendedprice * 100) AS BIGINT)::VARCHAR,
+    date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))::VARCHAR))"""
+
+PAIRS = f"""pairs AS (SELECT {ROW_ID} AS row_id, l_partkey AS drug_key, l_suppkey AS target_key,
+                  CAST(l_returnflag = 'R' AS BIGINT) AS label FROM lineitem)"""
+
+EDGES = f"""edges0 AS (SELECT {ROW_ID} AS row_id, l_partkey, l_suppkey, l_returnflag FROM lineitem),
+edges AS (SELECT row_id, CAST(l_partkey AS VARCHAR) AS p0, CAST(l_suppkey AS VARCHAR) AS p1,
+                 CAST(l_returnflag = 'R' AS BIGINT) AS label,
+                 CASE WHEN ('0x' || substr(md5('split|' || row_id), 1, 8))::BIGINT % 10 < 7 THEN 'train'
+                      WHEN ('0x' || substr(md5('split|' || row_id), 1, 8))::BIGINT % 10 < 8 THEN 'val'
+                      ELSE 'test' END AS split
+          FROM edges0)"""
+
+REG_ID = f"""reg AS (SELECT {ROW_ID} AS row_id, l_quantity * 1500.0::DOUBLE AS p, l_extendedprice AS y FROM lineitem)"""
+
+SPLITS = """splits AS (
+  SELECT d.doc_id, d.text AS sequence, d.lang AS target,
+         CASE WHEN d.source IN ('src0', 'src1', 'src2', 'src3') THEN 'test' ELSE 'train' END AS "set",
+         (l.quality = 0) AS validation
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+srows AS (
+  SELECT doc_id, target,
+         CASE WHEN "set" = 'test' THEN 'test'
+              WHEN "set" = 'train' AND validation IS NOT DISTINCT FROM TRUE THEN 'val'
+              WHEN "set" = 'train' THEN 'train' END AS split
+  FROM splits)"""
+
+
+def letters(x: str) -> str:
+    return f"upper(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+
+
+def chars(x: str) -> str:
+    return f"list_filter(string_split({x}, ''), lambda c: c <> '')"
+
+
+RES = f"list_transform({chars(letters('text'))}, lambda c: greatest(instr('GASPVTCILNDQKEMHFRYW', c) - 1, 0))"
+TOK = (f"list_filter(list_transform({chars(chr(39) + '1' + chr(39) + ' || ' + letters('text') + ' || ' + chr(39) + '2' + chr(39))}, "
+       "lambda c: CASE WHEN instr('12ABCDEFGHIKLMNOPQRSTUVWXYZ', c) > 0 THEN instr('12ABCDEFGHIKLMNOPQRSTUVWXYZ', c) + 2 END), "
+       "lambda x: x IS NOT NULL)")
+
+
+def wsum(lst: str) -> str:
+    return f"coalesce(list_sum(list_transform({lst}, lambda x, i: CAST(x AS BIGINT) * i)), 0)::BIGINT"
+
+
+def lsum(lst: str) -> str:
+    return f"coalesce(list_sum({lst}), 0)::BIGINT"
+
+
+def ngram_buckets(s: str) -> str:
+    poly = f"(unicode(substr({s}, i, 1)) * 961 + unicode(substr({s}, i + 1, 1)) * 31 + unicode(substr({s}, i + 2, 1))) % 4294967296"
+    return (f"list_distinct(list_transform(range(1, length({s}) - 1), "
+            f"lambda i: ((({poly}) * 2654435761) % 4294967296) * 2048 // 4294967296))")
+
+
+HASH_ORDER = "('0x' || substr(md5('12345|' || CAST({x} AS VARCHAR)), 1, 15))::BIGINT"
+
+SQL["project_pair_columns"] = f"""WITH {PAIRS}
+SELECT row_id, drug_key AS drug, target_key AS target, CAST(label AS DOUBLE) AS label FROM pairs"""
+
+SQL["nullsafe_split"] = f"""WITH {SPLITS} SELECT doc_id, split FROM srows"""
+
+SQL["normalize_sequence"] = f"""SELECT doc_id, substr({letters('text')}, 1, 1022) AS seq FROM documents"""
+
+SQL["residue_record"] = f"""WITH r AS (SELECT doc_id, {RES} AS res FROM documents)
+SELECT doc_id, CAST(len(res) AS BIGINT) AS n, {wsum('res')} AS residue_wsum,
+       CAST(len(res) * (len(res) - 1) / 2 AS BIGINT) AS number_sum, CAST(6 * len(res) AS BIGINT) AS atom_sum FROM r"""
+
+SQL["truncate_residues"] = f"""WITH r AS (SELECT doc_id, ({RES})[1:550] AS res FROM documents)
+SELECT doc_id, CAST(len(res) AS BIGINT) AS n, {wsum('res')} AS residue_wsum,
+       CAST(len(res) * (len(res) - 1) / 2 AS BIGINT) AS number_sum FROM r"""
+
+SQL["center_positions"] = f"""WITH r AS (SELECT doc_id, ({RES})[1:550] AS res FROM documents),
+e AS (SELECT doc_id, CAST(unnest(res) AS DOUBLE) AS x0, CAST(unnest(range(len(res))) AS DOUBLE) AS x1 FROM r),
+e2 AS (SELECT doc_id, x0, x1, CAST((CAST(x1 AS BIGINT) * CAST(x1 AS BIGINT)) % 17 AS DOUBLE) AS x2 FROM e)
+SELECT doc_id, round(count(*) * (var_pop(x0) + var_pop(x1) + var_pop(x2)), 6) AS centered_ss FROM e2 GROUP BY doc_id"""
+
+SQL["sanitize_key"] = """SELECT page_id, replace(url, '/', '|') AS key FROM pages"""
+
+SQL["identity_filter"] = f"""WITH {MEMBERS} SELECT protein FROM members WHERE p50 = '1'"""
+
+SQL["trim_tokens"] = """WITH a AS (SELECT vec_id, 'drop_ends' AS variant, embedding[2:len(embedding) - 1] AS t FROM embeddings
+                  UNION ALL SELECT vec_id, 'drop_last_two', embedding[1:len(embedding) - 2] FROM embeddings)
+SELECT vec_id, variant, CAST(unnest(range(len(t))) AS BIGINT) AS idx, round(CAST(unnest(t) AS DOUBLE), 6) AS value FROM a"""
+
+SQL["zero_vector_fallback"] = f"""WITH d AS (SELECT doc_id, {letters('text')} AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) >= 3 THEN CAST(len({ngram_buckets('s')}) AS BIGINT) ELSE 0 END AS n_set,
+       length(s) < 3 AS rejected FROM d"""
+
+SQL["hashed_fingerprint"] = f"""WITH d AS (SELECT doc_id, {letters('text')} AS s FROM documents),
+b AS (SELECT doc_id, CASE WHEN length(s) >= 3 THEN {ngram_buckets('s')} ELSE []::BIGINT[] END AS bk FROM d)
+SELECT doc_id, CAST(len(bk) AS BIGINT) AS n_bits, {lsum('bk')} AS bit_sum FROM b"""
+
+SQL["char_tokenize"] = f"""WITH t AS (SELECT doc_id, {TOK} AS ids FROM documents)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, {lsum('ids')} AS id_sum, {wsum('ids')} AS id_wsum FROM t"""
+
+SQL["residue_ids"] = f"""WITH t AS (SELECT doc_id, {RES} AS ids FROM documents)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n, {lsum('ids')} AS id_sum, {wsum('ids')} AS id_wsum FROM t"""
+
+SQL["eval_cadence"] = f"""WITH {EPOCHS} SELECT run_id, epoch, round(v, 6) AS v FROM epochs WHERE epoch % 5 = 0"""
+
+SQL["pos_neg_union"] = f"""WITH {EDGES} SELECT row_id, p0, p1, label FROM edges"""
+
+SQL["distinct_keys"] = f"""WITH {EDGES} SELECT DISTINCT key FROM (SELECT p0 AS key FROM edges UNION ALL SELECT p1 FROM edges)"""
+
+SQL["split_union"] = f"""WITH {EDGES}
+SELECT split, count(*) AS n_rows, count(DISTINCT p0) AS n_keys FROM edges GROUP BY split"""
+
+SQL["split_sizes"] = f"""WITH {SPLITS}
+SELECT split, count(*) AS n_rows, count(DISTINCT target) AS n_keys FROM srows WHERE split IS NOT NULL GROUP BY split"""
+
+SQL["assign_batches"] = f"""WITH {PAIRS}
+SELECT row_id, CAST((row_number() OVER (ORDER BY {HASH_ORDER.format(x='row_id')}, row_id) - 1) // 32 AS BIGINT) AS batch_id
+FROM pairs"""
+
+SQL["seeded_shuffle"] = f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY {HASH_ORDER.format(x='doc_id')}, doc_id) - 1 AS BIGINT) AS position
+FROM documents"""
+
+SQL["pad_batch"] = f"""WITH {TOKENS},
+s AS (SELECT seq_id, count(*) AS n FROM tokens GROUP BY seq_id),
+b AS (SELECT seq_id, n, (row_number() OVER (ORDER BY {HASH_ORDER.format(x='seq_id')}, seq_id) - 1) // 4 AS batch_id FROM s)
+SELECT seq_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(n AS BIGINT) AS n,
+       CAST(max(n) OVER (PARTITION BY batch_id) AS BIGINT) AS pad_len, CAST(n AS BIGINT) AS n_valid FROM b"""
+
+FIRST_APPEAR = """fa AS (SELECT target, min(doc_id) AS first FROM srows WHERE split = 'train' GROUP BY target),
+idx AS (SELECT target, CAST(row_number() OVER (ORDER BY first, target) - 1 AS BIGINT) AS idx FROM fa)"""
+
+SQL["first_appearance_index"] = f"""WITH {SPLITS}, {FIRST_APPEAR} SELECT target, idx FROM idx"""
+
+SQL["label_map_join"] = f"""WITH {SPLITS}, {FIRST_APPEAR}
+SELECT srows.doc_id, srows.split, srows.target, idx.idx FROM srows LEFT JOIN idx ON srows.target = idx.target"""
+
+SQL["group_holdout_split"] = """SELECT doc_id, source,
+  CASE WHEN ('0x' || substr(md5('12345|' || source || '|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2::DOUBLE
+       THEN 'valid' ELSE 'train' END AS part FROM documents"""
+
+# ---------------------------------------------------------------------------------- joins
+
+VSUM = "round(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE))), 6)"
+
+SQL["pair_feature_join"] = f"""WITH {PAIRS}
+SELECT p.row_id, p.drug_key, p.target_key, p.label, {VSUM.format(v='a.embedding')} AS drug_sum,
+       {VSUM.format(v='b.embedding')} AS target_sum
+FROM pairs p JOIN embeddings a ON p.drug_key = a.vec_id JOIN embeddings b ON p.target_key = b.vec_id"""
+
+SQL["entity_feature_join"] = f"""WITH {SPLITS}
+SELECT s.doc_id, s.target, {VSUM.format(v='e.embedding')} AS vec_sum FROM splits s JOIN embeddings e ON s.doc_id = e.vec_id"""
+
+SQL["edge_feature_selfjoin"] = f"""WITH {EDGES}
+SELECT x.row_id, x.label, {VSUM.format(v='a.embedding')} AS p0_sum, {VSUM.format(v='b.embedding')} AS p1_sum
+FROM edges x JOIN embeddings a ON x.p0 = CAST(a.vec_id AS VARCHAR) JOIN embeddings b ON x.p1 = CAST(b.vec_id AS VARCHAR)"""
+
+RESOLVED = f"""{EDGES},
+ids AS (SELECT DISTINCT acc FROM (SELECT p0 AS acc FROM edges UNION ALL SELECT p1 FROM edges)),
+r AS (SELECT ids.acc, d.s AS ps, pg.url AS fs FROM ids
+      LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS acc, {letters('text')} AS s FROM documents) d ON ids.acc = d.acc
+      LEFT JOIN (SELECT CAST(page_id AS VARCHAR) AS acc, url FROM pages) pg ON ids.acc = pg.acc)"""
+
+SQL["resolve_accession"] = f"""WITH {RESOLVED}
+SELECT acc, CASE WHEN ps IS NOT NULL THEN 'primary' WHEN fs IS NOT NULL THEN 'fallback' END AS source,
+       CAST(length(coalesce(ps, fs)) AS BIGINT) AS seq_len FROM r"""
+
+SQL["unresolved_accession"] = f"""WITH {RESOLVED} SELECT acc FROM r WHERE ps IS NULL AND fs IS NULL"""
+
+SQL["membership_semi"] = f"""WITH {MLAB}, {MEMBERS}
+SELECT CAST(protein AS VARCHAR) AS protein, label FROM mlab
+WHERE CAST(protein AS VARCHAR) IN (SELECT protein FROM members WHERE p50 = '1')"""
+
+SQL["missing_keys_anti"] = f"""WITH {PAIRS}
+SELECT DISTINCT drug_key FROM pairs WHERE drug_key NOT IN (SELECT vec_id FROM embeddings)"""
+
+ANNOT = """ev AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+annot AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS protein,
+                 list_filter(string_split(CASE WHEN k % 10 = 0 THEN ''
+                                               WHEN k % 4 = 0 THEN event_type || ',k' || CAST(k % 7 AS VARCHAR) || ',' || event_type
+                                               ELSE event_type || ',k' || CAST(k % 7 AS VARCHAR) END, ','), lambda x: x <> '') AS codes
+          FROM ev WHERE event_type <> 'error'),
+vocab AS (SELECT code, CAST(row_number() OVER (ORDER BY code) - 1 AS BIGINT) AS idx FROM
+          (SELECT DISTINCT event_type AS code FROM events UNION SELECT 'k' || CAST(range AS VARCHAR) FROM range(8))),
+ex AS (SELECT protein, CAST(unnest(range(len(codes))) AS BIGINT) AS pos, unnest(codes) AS code FROM annot)"""
+
+SQL["annotation_scan"] = f"""WITH {ANNOT} SELECT protein, pos, code FROM ex"""
+
+SQL["annotation_join"] = f"""WITH {ANNOT}
+SELECT 'e' || CAST(e.event_id AS VARCHAR) AS protein, CAST(len(a.codes) AS BIGINT) AS n_codes
+FROM events e JOIN annot a ON 'e' || CAST(e.event_id AS VARCHAR) = a.protein"""
+
+SQL["annotation_quarantine"] = """SELECT 'e' || CAST(event_id AS VARCHAR) AS protein FROM events WHERE event_type = 'error'"""
+
+SQL["code_index_join"] = f"""WITH {ANNOT} SELECT ex.protein, ex.pos, ex.code, vocab.idx FROM ex LEFT JOIN vocab ON ex.code = vocab.code"""
+
+SQL["label_frequency"] = f"""WITH {ANNOT},
+f AS (SELECT code, count(*) AS freq FROM ex GROUP BY code)
+SELECT vocab.code, vocab.idx, CAST(coalesce(f.freq, 0) AS BIGINT) AS freq FROM vocab LEFT JOIN f ON vocab.code = f.code"""
+
+SQL["class_weights"] = f"""WITH {ANNOT},
+f AS (SELECT code, count(*) AS freq FROM ex GROUP BY code),
+lf AS (SELECT vocab.code, vocab.idx, CAST(coalesce(f.freq, 0) AS BIGINT) AS freq FROM vocab LEFT JOIN f ON vocab.code = f.code)
+SELECT code, idx, freq, round((SELECT count(*) FROM annot)::DOUBLE / nullif(freq, 0)::DOUBLE, 6) AS weight FROM lf"""
+
+SQL["multi_hot"] = f"""WITH {ANNOT}
+SELECT DISTINCT ex.protein, vocab.idx, 1.0::DOUBLE AS value FROM ex JOIN vocab ON ex.code = vocab.code"""
+
+SQL["align_pred_label"] = f"""WITH {REG_ID} SELECT row_id, round(p, 6) AS p, round(y, 6) AS y FROM reg"""
+
+SQL["fasta_records"] = f"""SELECT CAST(doc_id AS VARCHAR) AS acc, {letters('text')} AS seq FROM documents"""
+
+SQL["fasta_lines"] = f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) || ' ' || lang AS name,
+                   regexp_extract_all({letters('text')}, '.{{1,60}}') AS ch FROM documents)
+SELECT name, CAST(unnest(range(len(ch))) AS BIGINT) AS line_no, unnest(ch) AS seq FROM c"""

@@ -18,6 +18,7 @@ _DEFAULTS = {
     # keep Arrow batches small: one row can hold a whole token matrix
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
