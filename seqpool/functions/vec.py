@@ -5,6 +5,7 @@ All functions return ``Column`` objects; nothing here collects data.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,13 +18,18 @@ def _c(x) -> Column:
 
 
 def lit_vector(values: Sequence[float]) -> Column:
-    """A literal ARRAY<DOUBLE> (parameters only; size fixed by the model, not the data)."""
-    return F.array(*[F.lit(float(v)) for v in np.asarray(values, dtype=np.float64).reshape(-1)])
+    """A literal ARRAY<DOUBLE> (parameters only; size fixed by the model, not the data).
+
+    Built as one JSON literal parsed once by constant folding, so a large parameter array
+    costs one expression node instead of one per element."""
+    arr = np.asarray(values, dtype=np.float64).reshape(-1)
+    return F.from_json(F.lit(json.dumps([float(x) for x in arr])), "array<double>")
 
 
 def lit_matrix(rows) -> Column:
     """A literal ARRAY<ARRAY<DOUBLE>> (row-major)."""
-    return F.array(*[lit_vector(r) for r in np.asarray(rows, dtype=np.float64)])
+    m = np.asarray(rows, dtype=np.float64)
+    return F.from_json(F.lit(json.dumps([[float(x) for x in r] for r in m])), "array<array<double>>")
 
 
 def to_double(v) -> Column:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from seqpool.functions.vec import dot, lit_matrix, lit_vector
 from seqpool.plans.params import INTERP_EPS, swe_effective_weights
@@ -139,6 +140,9 @@ def pool_swe(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray, weight
     m = int(np.asarray(reference).shape[0])
     const, w_eff = swe_effective_weights(reference, weights)
     proj = slice_projections(tokens, theta, key, pos, vec, project_with)
+    if layout == "numpy":
+        s = sorted_slices(proj, key)
+        return s.select(F.col(key), F.col("slice"), _swe_numpy(const, w_eff, eps)(F.col("v"), F.col("slice")).alias("value"))
     c_l = F.get(lit_vector(const), F.col("slice").cast("int"))
     weff = F.get(lit_matrix(w_eff), F.col("slice").cast("int"))
     if layout == "window":
@@ -151,6 +155,34 @@ def pool_swe(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray, weight
     return s.select(F.col(key), F.col("slice"), (c_l - total).alias("value"))
 
 
+def swe_quantiles_np(v: np.ndarray, m: int, eps: float = INTERP_EPS) -> np.ndarray:
+    """Same quantile rule as ``swe_quantile`` for one sorted array (numpy)."""
+    n = len(v)
+    if n == 1:
+        return np.full(m, v[0])
+    if n == m:
+        return np.asarray(v, dtype=np.float64)
+    j = np.arange(1, m + 1)
+    below = (j * (n + 1) + m) // (m + 1) - 1
+    i0 = np.clip(below - 1, 0, n - 2)
+    s = (j / (m + 1) - (i0 + 1) / (n + 1)) / (eps + 1.0 / (n + 1))
+    return v[i0] + (v[i0 + 1] - v[i0]) * s
+
+
+def _swe_numpy(const: np.ndarray, w_eff: np.ndarray, eps: float):
+    m = w_eff.shape[1]
+
+    @pandas_udf(DoubleType())
+    def _value(v: pd.Series, sl: pd.Series) -> pd.Series:
+        out = np.empty(len(v))
+        for r, (arr, l) in enumerate(zip(v.to_numpy(), sl.to_numpy())):
+            q = swe_quantiles_np(np.asarray(arr, dtype=np.float64), m, eps)
+            out[r] = const[l] - float(w_eff[l] @ q)
+        return pd.Series(out)
+
+    return _value
+
+
 def _swe_window(proj: DataFrame, key: str, m: int, c_l: Column, weff: Column, eps: float) -> DataFrame:
     w = Window.partitionBy(key, "slice").orderBy("p", "pos")
     wn = Window.partitionBy(key, "slice")

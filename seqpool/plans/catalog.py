@@ -543,3 +543,11 @@ def fasta_records(spark, sf):
 @query
 def fasta_lines(spark, sf):
     return ST.fasta_lines(V.fasta(spark, sf))
+
+
+@query
+def pool_swe_numpy(spark, sf):
+    """A5, Arrow fast path: numpy matmul projection + numpy quantiles per sorted (set, slice) array."""
+    th, ref, w = swe_params()
+    out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="numpy", project_with="arrow")
+    return out.select("seq_id", "slice", r6("value").alias("value"))

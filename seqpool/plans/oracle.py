@@ -74,6 +74,7 @@ SELECT seq_id, CAST(slice AS BIGINT) AS slice, round(sum(w * (r - q)), 6) AS val
 FROM qv GROUP BY seq_id, slice"""
 
 SQL["pool_swe_window"] = SQL["pool_swe"]
+SQL["pool_swe_numpy"] = SQL["pool_swe"]
 
 SQL["swe_displacement"] = f"""{SWE_PREFIX},
 qs AS (SELECT sv.seq_id, sv.slice, refpts.m, refpts.r, refpts.a + 1 AS j, sv.v, sv.n

@@ -28,10 +28,12 @@ def _boundaries(df: DataFrame, col: str, k: int, rel_err: float) -> list[float]:
     if k <= 1:
         return []
     probs = [i / k for i in range(1, k)]
-    qs = df.select(F.col(col).cast("double").alias(col)).na.drop().approxQuantile(col, probs, rel_err)
+    accuracy = max(1, int(round(1.0 / rel_err)))
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("q")).first()
+    qs = row["q"] if row is not None and row["q"] is not None else []
     out = []
     for q in qs:
-        if not out or q > out[-1]:
+        if q is not None and (not out or q > out[-1]):
             out.append(float(q))
     return out
 
