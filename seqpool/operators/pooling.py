@@ -27,7 +27,8 @@ from seqpool.plans.params import INTERP_EPS, swe_effective_weights
 
 def explode_dims(tokens: DataFrame, key: str = "seq_id", vec: str = "vec", pos: str | None = None) -> DataFrame:
     cols = [F.col(key)] + ([F.col(pos)] if pos else [])
-    return tokens.select(*cols, F.posexplode(vec).alias("dim", "x")).withColumn("dim", F.col("dim").cast("bigint"))
+    return tokens.select(*cols, F.posexplode(vec).alias("dim", "x")).select(
+        *cols, F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
 
 
 def pack(long_df: DataFrame, key: str, index: str, value: str, out: str = "vec") -> DataFrame:

@@ -551,3 +551,205 @@ def pool_swe_numpy(spark, sf):
     th, ref, w = swe_params()
     out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="numpy", project_with="arrow")
     return out.select("seq_id", "slice", r6("value").alias("value"))
+
+
+# --------------------------------------------------------------------------------------- vector functions, heads
+
+from seqpool.operators import score as SC  # noqa: E402
+from seqpool.functions.vec import cosine as _cos, dot as _dot, euclidean as _euc, norm as _norm, sq_euclidean as _sqe  # noqa: E402
+
+PROJ_OUT = 8
+
+
+def _bias(n):
+    return [o / 10.0 for o in range(n)]
+
+
+def _proj_long(spark, sf):
+    f = V.features(spark, sf)
+    z = SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM), _bias(PROJ_OUT))
+    return f.select("key", F.posexplode(z).alias("o", "z")).select("key", F.col("o").cast("bigint").alias("o"), "z")
+
+
+def _pair_vecs(spark, sf):
+    return J.pair_features(V.pairs(spark, sf), V.features(spark, sf))
+
+
+@query
+def linspace_points(spark, sf):
+    n = V.tokens(spark, sf).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+    x = n.select("seq_id", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("i"))
+    return x.select("seq_id", "i", r6(F.col("i") / (F.col("n") + 1)).alias("x"))
+
+
+@query
+def unit_slices(spark, sf):
+    f = V.features(spark, sf)
+    u = F.transform("vec", lambda x: x.cast("double") / _norm(F.col("vec")))
+    return f.select("key", F.posexplode(u).alias("dim", "value")).select(
+        "key", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
+
+
+@query
+def linear_projection(spark, sf):
+    return _proj_long(spark, sf).select("key", "o", r6("z").alias("value"))
+
+
+@query
+def activations(spark, sf):
+    z = F.col("z")
+    return _proj_long(spark, sf).select("key", "o", r6(SC.relu(z)).alias("relu"), r6(SC.elu(z)).alias("elu"),
+                                        r6(SC.sigmoid(z)).alias("sigmoid"), r6(SC.leaky_relu(z)).alias("leaky_relu"))
+
+
+@query
+def gelu(spark, sf):
+    return _proj_long(spark, sf).select("key", "o", r6(SC.gelu(F.col("z"))).alias("gelu"))
+
+
+@query
+def logistic(spark, sf):
+    return V.preds(spark, sf).select("row_id", r6(SC.logistic(F.col("score"), 0.5, 10.0)).alias("value"))
+
+
+@query
+def cosine_scores(spark, sf):
+    c = _cos("drug_vec", "target_vec")
+    return _pair_vecs(spark, sf).select("row_id", r6(c).alias("cosine"), r6(c * c).alias("sq_cosine"))
+
+
+@query
+def euclidean_scores(spark, sf):
+    return _pair_vecs(spark, sf).select("row_id", r6(_euc("drug_vec", "target_vec")).alias("euclidean"),
+                                        r6(_sqe("drug_vec", "target_vec")).alias("sq_euclidean"))
+
+
+@query
+def inner_product(spark, sf):
+    return _pair_vecs(spark, sf).select("row_id", r6(_dot("drug_vec", "target_vec")).alias("inner"))
+
+
+@query
+def masked_softmax(spark, sf):
+    t = P.explode_dims(V.tokens(spark, sf), pos="pos")
+    return t.select("seq_id", "pos", "dim", r6(SC.masked_softmax(t, ["seq_id", "dim"], "x")).alias("value"))
+
+
+@query
+def batch_norm(spark, sf):
+    f = V.features(spark, sf)
+    long = f.select("key", F.posexplode("vec").alias("dim", "x")).select(
+        "key", F.col("dim").cast("bigint").alias("dim"), F.col("x").cast("double").alias("x"))
+    return SC.batch_norm(long, "key", "dim", "x").select("key", "dim", r6("value").alias("value"))
+
+
+@query
+def step_counter(spark, sf):
+    n_rows = V.pairs(spark, sf).select(F.count(F.lit(1))).scalar()
+    n_batches = F.ceil(n_rows / F.lit(float(BATCH)))
+    return V.epochs(spark, sf).select("run_id", "epoch", (F.col("epoch") * n_batches * BATCH).cast("bigint").alias("step"))
+
+
+@query
+def checkpoint_events(spark, sf):
+    return SC.checkpoint_events(V.epochs(spark, sf)).select("run_id", "epoch", r6("v").alias("v"))
+
+
+@query
+def best_epoch(spark, sf):
+    return SC.best_epoch(V.epochs(spark, sf)).select("run_id", "best_epoch", r6("best_v").alias("best_v"))
+
+
+@query
+def cosine_restart_lr(spark, sf):
+    return V.epochs(spark, sf).select("run_id", "epoch", r6(SC.cosine_restart_lr(F.col("epoch"), 1e-4, 10) * 1e6).alias("lr_e6"))
+
+
+@query
+def plateau_schedule(spark, sf):
+    ep = V.epochs(spark, sf)
+    lo = SC.plateau_schedule(ep, 1e-3, factor=0.6, patience=5, mode="min").withColumn("mode", F.lit("min"))
+    hi = SC.plateau_schedule(ep, 1e-3, factor=0.6, patience=5, mode="max").withColumn("mode", F.lit("max"))
+    return lo.unionByName(hi).select("run_id", "mode", "epoch", r6(F.col("lr") * 1e6).alias("lr_e6"))
+
+
+@query
+def score_pairs_cosine(spark, sf):
+    s = SC.score_cosine(F.col("drug_vec"), F.col("target_vec"), PR.projector(PROJ_OUT, DIM), PR.projector(PROJ_OUT, DIM, 5))
+    return _pair_vecs(spark, sf).select("row_id", r6(s).alias("score"))
+
+
+@query
+def score_pairs_inner(spark, sf):
+    s = SC.score_inner(F.col("drug_vec"), F.col("target_vec"), PR.projector(PROJ_OUT, DIM), PR.projector(PROJ_OUT, DIM, 5))
+    return _pair_vecs(spark, sf).select("row_id", r6(s).alias("score"))
+
+
+@query
+def score_edges(spark, sf):
+    x = J.edge_features(V.edges(spark, sf), V.features(spark, sf))
+    w = PR.projector(PROJ_OUT, DIM)
+    return x.select("row_id", r6(SC.score_cosine(F.col("p0_vec"), F.col("p1_vec"), w, w)).alias("score"))
+
+
+@query
+def score_classes(spark, sf):
+    lg = _class_logits(spark, sf)
+    return lg.select("vec_id", SC.argmax_first(F.col("logits")).cast("bigint").alias("pred"))
+
+
+@query
+def score_multilabel(spark, sf):
+    f = V.features(spark, sf)
+    out = SC.multilabel_mlp(F.col("vec"), PR.projector(16, DIM), PR.projector(N_MLAB := 10, 16, 3))
+    return f.select("key", F.posexplode(out).alias("label", "logit")).select(
+        "key", F.col("label").cast("bigint").alias("label"), r6("logit").alias("logit"))
+
+
+POOL_METHODS = ("avg", "max", "topk", "swe")
+
+
+def pool(tokens, method: str, **kw):
+    """U4: named pooling front door; unknown names raise."""
+    if method == "avg":
+        return P.pool_avg(tokens).withColumnRenamed("dim", "idx")
+    if method == "max":
+        return P.pool_max(tokens).withColumnRenamed("dim", "idx")
+    if method == "topk":
+        return P.pool_topk(tokens, k=kw.get("k", TOPK)).withColumnRenamed("dim", "idx")
+    if method == "swe":
+        th, ref, w = swe_params()
+        return P.pool_swe(tokens, th, ref, w, layout=kw.get("layout", "numpy"),
+                          project_with=kw.get("project_with", "arrow")).withColumnRenamed("slice", "idx")
+    raise ValueError(f"unknown pooling method {method!r}; expected one of {POOL_METHODS}")
+
+
+@query
+def pool_dispatch(spark, sf):
+    t = V.tokens(spark, sf)
+    parts = [pool(t, m).select(F.lit(m).alias("method"), "seq_id", "idx", r6("value").alias("value")) for m in POOL_METHODS]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+def evaluate(df, metrics):
+    """Named metric dispatch -> long (metric, value) table; unknown names raise."""
+    fns = {
+        "micro_auprc": lambda: M.average_precision(df, "score", "target").select(F.col("average_precision").alias("value")),
+        "micro_auroc": lambda: M.auroc(df, "score", "target").select(F.col("auroc").alias("value")),
+        "f1_max": lambda: M.f1_max(df).select(F.col("f1_max").alias("value")),
+    }
+    out = None
+    for m in metrics:
+        if m not in fns:
+            raise ValueError(f"unknown metric {m!r}; expected one of {sorted(fns)}")
+        part = fns[m]().select(F.lit(m).alias("metric"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def evaluate_dispatch(spark, sf):
+    return evaluate(V.mlab(spark, sf), ["micro_auprc", "micro_auroc", "f1_max"]).select("metric", r6("value").alias("value"))

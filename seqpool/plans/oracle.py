@@ -480,3 +480,130 @@ SQL["fasta_records"] = f"""SELECT CAST(doc_id AS VARCHAR) AS acc, {letters('text
 SQL["fasta_lines"] = f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) || ' ' || lang AS name,
                    regexp_extract_all({letters('text')}, '.{{1,60}}') AS ch FROM documents)
 SELECT name, CAST(unnest(range(len(ch))) AS BIGINT) AS line_no, unnest(ch) AS seq FROM c"""
+
+# ---------------------------------------------------------------------------------- vector functions, heads
+
+FDIMS = """fdims AS (SELECT vec_id AS key, CAST(unnest(range(len(embedding))) AS BIGINT) AS i,
+                       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"""
+
+
+def wmat(name: str, n_out: int, n_in: int = 64, offset: int = 0) -> str:
+    return f"""{name} AS (SELECT o.o AS o, i.i AS i, ((o.o * 13 + i.i * 7 + {offset}) % 19 - 9) / 90.0::DOUBLE AS w
+        FROM range({n_out}) o(o), range({n_in}) i(i))"""
+
+
+Z8 = f"""{FDIMS},
+{wmat('w8', 8)},
+z AS (SELECT fdims.key, w8.o, sum(w8.w * fdims.x) + w8.o / 10.0::DOUBLE AS z FROM fdims JOIN w8 ON fdims.i = w8.i GROUP BY fdims.key, w8.o)"""
+
+SQL["linspace_points"] = f"""WITH {TOKENS},
+n AS (SELECT seq_id, count(*) AS n FROM tokens GROUP BY seq_id),
+x AS (SELECT seq_id, n, CAST(unnest(range(1, n + 1)) AS BIGINT) AS i FROM n)
+SELECT seq_id, i, round(i / (n + 1.0::DOUBLE), 6) AS x FROM x"""
+
+SQL["unit_slices"] = f"""WITH {FDIMS}
+SELECT key, i AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY key)), 6) AS value FROM fdims"""
+
+SQL["linear_projection"] = f"""WITH {Z8} SELECT key, o, round(z, 6) AS value FROM z"""
+
+SQL["activations"] = f"""WITH {Z8}
+SELECT key, o, round(greatest(z, 0.0::DOUBLE), 6) AS relu, round(CASE WHEN z > 0 THEN z ELSE exp(z) - 1.0::DOUBLE END, 6) AS elu,
+       round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)), 6) AS sigmoid, round(CASE WHEN z >= 0 THEN z ELSE 0.2::DOUBLE * z END, 6) AS leaky_relu
+FROM z"""
+
+SQL["logistic"] = f"""WITH {PREDS}
+SELECT row_id, round(least(greatest(1.0::DOUBLE / (1.0::DOUBLE + exp(-10.0::DOUBLE * (score - 0.5::DOUBLE))), 0.0::DOUBLE), 1.0::DOUBLE), 6) AS value
+FROM preds"""
+
+PAIRV = f"""{PAIRS},
+pv AS (SELECT p.row_id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b
+       FROM pairs p JOIN embeddings a ON p.drug_key = a.vec_id JOIN embeddings b ON p.target_key = b.vec_id)"""
+
+COS = """least(greatest(list_inner_product({a}, {b}) / (greatest(sqrt(list_inner_product({a}, {a})), 1e-8::DOUBLE)
+        * greatest(sqrt(list_inner_product({b}, {b})), 1e-8::DOUBLE)), -1.0::DOUBLE), 1.0::DOUBLE)"""
+
+SQL["cosine_scores"] = f"""WITH {PAIRV}
+SELECT row_id, round({COS.format(a='a', b='b')}, 6) AS cosine, round(pow({COS.format(a='a', b='b')}, 2), 6) AS sq_cosine FROM pv"""
+
+SQL["euclidean_scores"] = f"""WITH {PAIRV}
+SELECT row_id, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k: (a[k] - b[k]) * (a[k] - b[k])))), 6) AS euclidean,
+       round(list_sum(list_transform(range(1, len(a) + 1), lambda k: (a[k] - b[k]) * (a[k] - b[k]))), 6) AS sq_euclidean FROM pv"""
+
+SQL["inner_product"] = f"""WITH {PAIRV} SELECT row_id, round(list_inner_product(a, b), 6) AS inner FROM pv"""
+
+SQL["masked_softmax"] = f"""WITH {TOKENS},
+{TOKEN_DIMS}
+SELECT seq_id, pos, dim, round(exp(x - max(x) OVER (PARTITION BY seq_id, dim)) / sum(exp(x - max(x) OVER (PARTITION BY seq_id, dim))) OVER (PARTITION BY seq_id, dim), 6) AS value
+FROM tdims"""
+
+SQL["masked_softmax"] = f"""WITH {TOKENS},
+{TOKEN_DIMS},
+m AS (SELECT seq_id, dim, max(x) AS mx FROM tdims GROUP BY seq_id, dim),
+e AS (SELECT t.seq_id, t.pos, t.dim, exp(t.x - m.mx) AS e FROM tdims t JOIN m ON t.seq_id = m.seq_id AND t.dim = m.dim)
+SELECT seq_id, pos, dim, round(e / sum(e) OVER (PARTITION BY seq_id, dim), 6) AS value FROM e"""
+
+SQL["batch_norm"] = f"""WITH {FDIMS},
+s AS (SELECT i, avg(x) AS mu, var_pop(x) AS va FROM fdims GROUP BY i)
+SELECT fdims.key, fdims.i AS dim, round((fdims.x - s.mu) / sqrt(s.va + 1e-5::DOUBLE), 6) AS value FROM fdims JOIN s ON fdims.i = s.i"""
+
+SQL["step_counter"] = f"""WITH {EPOCHS}
+SELECT run_id, epoch, CAST(epoch * ceil((SELECT count(*) FROM lineitem) / 32.0::DOUBLE) * 32 AS BIGINT) AS step FROM epochs"""
+
+SQL["checkpoint_events"] = f"""WITH {EPOCHS},
+p AS (SELECT run_id, epoch, v, greatest(coalesce(max(v) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 0.0::DOUBLE) AS prev FROM epochs)
+SELECT run_id, epoch, round(v, 6) AS v FROM p WHERE v > prev"""
+
+SQL["best_epoch"] = f"""WITH {EPOCHS}
+SELECT run_id, first(epoch ORDER BY v DESC, epoch ASC) AS best_epoch, round(max(v), 6) AS best_v FROM epochs GROUP BY run_id"""
+
+SQL["cosine_restart_lr"] = f"""WITH {EPOCHS}
+SELECT run_id, epoch, round(1e-4::DOUBLE / 2.0::DOUBLE * (1.0::DOUBLE + cos(pi() * (epoch % 10) / 10.0::DOUBLE)) * 1e6::DOUBLE, 6) AS lr_e6 FROM epochs"""
+
+
+def hidden(name: str, offset: int) -> str:
+    return f"""{wmat('w' + name, 8, 64, offset)},
+z{name} AS (SELECT fdims.key, w{name}.o, greatest(sum(w{name}.w * fdims.x), 0.0::DOUBLE) AS h
+            FROM fdims JOIN w{name} ON fdims.i = w{name}.i GROUP BY fdims.key, w{name}.o),
+h{name} AS (SELECT key, list(h ORDER BY o) AS h FROM z{name} GROUP BY key)"""
+
+
+SQL["score_pairs_cosine"] = f"""WITH {PAIRS},
+{FDIMS},
+{hidden('d', 0)},
+{hidden('t', 5)}
+SELECT p.row_id, round({COS.format(a='hd.h', b='ht.h')}, 6) AS score
+FROM pairs p JOIN hd ON p.drug_key = hd.key JOIN ht ON p.target_key = ht.key"""
+
+SQL["score_pairs_inner"] = f"""WITH {PAIRS},
+{FDIMS},
+{hidden('d', 0)},
+{hidden('t', 5)}
+SELECT p.row_id, round(list_inner_product(hd.h, ht.h), 6) AS score
+FROM pairs p JOIN hd ON p.drug_key = hd.key JOIN ht ON p.target_key = ht.key"""
+
+SQL["score_edges"] = f"""WITH {EDGES},
+{FDIMS},
+{hidden('d', 0)}
+SELECT x.row_id, round({COS.format(a='a.h', b='b.h')}, 6) AS score
+FROM edges x JOIN hd a ON x.p0 = CAST(a.key AS VARCHAR) JOIN hd b ON x.p1 = CAST(b.key AS VARCHAR)"""
+
+SQL["score_classes"] = f"""WITH {EMB_LOGITS}
+SELECT vec_id, CAST(first(o ORDER BY z DESC, o ASC) AS BIGINT) AS pred FROM lg GROUP BY vec_id"""
+
+SQL["score_multilabel"] = f"""WITH {FDIMS},
+{wmat('w1', 16, 64, 0)},
+{wmat('w2', 10, 16, 3)},
+h0 AS (SELECT key, i, CASE WHEN x / sqrt(1.0::DOUBLE + 1e-5::DOUBLE) >= 0 THEN x / sqrt(1.0::DOUBLE + 1e-5::DOUBLE)
+                          ELSE 0.2::DOUBLE * x / sqrt(1.0::DOUBLE + 1e-5::DOUBLE) END AS h FROM fdims),
+h1 AS (SELECT h0.key, w1.o AS i, sum(w1.w * h0.h) / sqrt(1.0::DOUBLE + 1e-5::DOUBLE) AS a FROM h0 JOIN w1 ON h0.i = w1.i GROUP BY h0.key, w1.o),
+h1l AS (SELECT key, i, CASE WHEN a >= 0 THEN a ELSE 0.2::DOUBLE * a END AS h FROM h1)
+SELECT h1l.key, CAST(w2.o AS BIGINT) AS label, round(sum(w2.w * h1l.h), 6) AS logit FROM h1l JOIN w2 ON h1l.i = w2.i GROUP BY h1l.key, w2.o"""
+
+SQL["pool_dispatch"] = f"""SELECT 'avg' AS method, seq_id, dim AS idx, value FROM ({SQL['pool_avg']})
+UNION ALL SELECT 'max', seq_id, dim, value FROM ({SQL['pool_max']})
+UNION ALL SELECT 'topk', seq_id, dim, value FROM ({SQL['pool_topk']})
+UNION ALL SELECT 'swe', seq_id, slice, value FROM ({SQL['pool_swe']})"""
+
+SQL["evaluate_dispatch"] = f"""SELECT 'micro_auprc' AS metric, micro_auprc AS value FROM ({SQL['metric_micro_auprc']})
+UNION ALL SELECT 'micro_auroc', micro_auroc FROM ({SQL['metric_micro_auroc']})
+UNION ALL SELECT 'f1_max', f1_max FROM ({SQL['metric_f1_max']})"""

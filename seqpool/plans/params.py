@@ -46,11 +46,11 @@ def ref_weights(n_ref: int) -> np.ndarray:
     return ((m % 7) + 1) / (4.0 * n_ref)
 
 
-def projector(n_out: int, n_in: int) -> np.ndarray:
-    """W[o, i] = ((o*13 + i*7) % 19 - 9) / 90."""
+def projector(n_out: int, n_in: int, offset: int = 0) -> np.ndarray:
+    """W[o, i] = ((o*13 + i*7 + offset) % 19 - 9) / 90."""
     o = np.arange(n_out)[:, None]
     i = np.arange(n_in)[None, :]
-    return ((o * 13 + i * 7) % 19 - 9) / 90.0
+    return ((o * 13 + i * 7 + offset) % 19 - 9) / 90.0
 
 
 def swe_effective_weights(reference: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
