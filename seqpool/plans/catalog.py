@@ -753,3 +753,48 @@ def evaluate(df, metrics):
 @query
 def evaluate_dispatch(spark, sf):
     return evaluate(V.mlab(spark, sf), ["micro_auprc", "micro_auroc", "f1_max"]).select("metric", r6("value").alias("value"))
+
+
+# --------------------------------------------------------------------------------------- store, sinks, encoder host
+
+from seqpool.session import shared_scratch  # noqa: E402
+from seqpool.sources import store as SS  # noqa: E402
+
+
+@query
+def encode_distinct(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "text")
+    x = SS.encode_distinct(d, "text", SS.HashEncoder(8))
+    return x.select("doc_id", F.posexplode("vec").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("bigint").alias("dim"), r6(F.col("value").cast("double")).alias("value"))
+
+
+@query
+def feature_store_roundtrip(spark, sf):
+    path = shared_scratch(spark, "store")
+    enc = SS.HashEncoder(8)
+    SS.write_missing(spark, _docs(spark, sf).select(F.col("text").alias("key")), path, enc)
+    SS.write_missing(spark, _docs(spark, sf).select(F.col("text").alias("key")), path, enc)  # idempotent re-run
+    st = SS.read_store(spark, path, enc.name)
+    return st.select(F.md5("key").alias("key_md5"), "model", r6(vsum("vec")).alias("vec_sum"))
+
+
+@query
+def feature_store_fallback(spark, sf):
+    path = shared_scratch(spark, "store")
+    enc = SS.HashEncoder(8)
+    SS.write_missing(spark, V.table(spark, sf, "benchmark").select(F.col("text").alias("key")), path, enc)
+    x = SS.lookup_with_fallback(spark, _docs(spark, sf).select("doc_id", "text"), "text", path, enc)
+    return x.select("doc_id", "source", r6(vsum("vec")).alias("vec_sum"))
+
+
+@query
+def metrics_sink(spark, sf):
+    ep = V.epochs(spark, sf)
+    secs = (F.unix_micros(F.col("t_end").cast("timestamp")) - F.unix_micros(F.col("t_start").cast("timestamp"))) / 1e6
+    long = ep.select("run_id", "epoch", F.lit("val/v").alias("metric"), F.col("v").alias("value")).unionByName(
+        ep.select("run_id", "epoch", F.lit("charts/epoch_time").alias("metric"), secs.alias("value")))
+    path = shared_scratch(spark, "metrics")
+    SS.append_metrics(long, path)
+    back = spark.read.parquet(path)
+    return back.select("run_id", "epoch", "metric", r6("value").alias("value"))

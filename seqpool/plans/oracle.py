@@ -607,3 +607,25 @@ UNION ALL SELECT 'swe', seq_id, slice, value FROM ({SQL['pool_swe']})"""
 SQL["evaluate_dispatch"] = f"""SELECT 'micro_auprc' AS metric, micro_auprc AS value FROM ({SQL['metric_micro_auprc']})
 UNION ALL SELECT 'micro_auroc', micro_auroc FROM ({SQL['metric_micro_auroc']})
 UNION ALL SELECT 'f1_max', f1_max FROM ({SQL['metric_f1_max']})"""
+
+# ---------------------------------------------------------------------------------- store, sinks, encoder host
+
+HASH8 = "('0x' || substr(md5({s} || '|' || CAST(g.i AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+SQL["encode_distinct"] = f"""SELECT d.doc_id, CAST(g.i AS BIGINT) AS dim, round(CAST(CAST({HASH8.format(s='d.text')} AS FLOAT) AS DOUBLE), 6) AS value
+FROM documents d, range(8) g(i)"""
+
+VEC8SUM = f"""(SELECT round(sum(CAST(CAST({HASH8.format(s='{s}')} AS FLOAT) AS DOUBLE)), 6) FROM range(8) g(i))"""
+
+SQL["feature_store_roundtrip"] = f"""SELECT md5(key) AS key_md5, 'hash8' AS model, {VEC8SUM.format(s='key')} AS vec_sum
+FROM (SELECT DISTINCT replace(text, '/', '|') AS key FROM documents)"""
+
+SQL["feature_store_fallback"] = f"""SELECT doc_id,
+  CASE WHEN replace(text, '/', '|') IN (SELECT replace(text, '/', '|') FROM benchmark) THEN 'store' ELSE 'encoded' END AS source,
+  CASE WHEN replace(text, '/', '|') IN (SELECT replace(text, '/', '|') FROM benchmark) THEN {VEC8SUM.format(s="replace(text, '/', '|')")}
+       ELSE {VEC8SUM.format(s='text')} END AS vec_sum
+FROM documents"""
+
+SQL["metrics_sink"] = f"""WITH {EPOCHS}
+SELECT run_id, epoch, 'val/v' AS metric, round(v, 6) AS value FROM epochs
+UNION ALL SELECT run_id, epoch, 'charts/epoch_time', round(date_diff('microsecond', t_start, t_end) / 1e6::DOUBLE, 6) FROM epochs"""
