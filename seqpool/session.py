@@ -1,9 +1,11 @@
-"""Session helpers: building a local session for tests/bench and locating the shared checkpoint folder."""
+"""Session helpers: a local session for tests/bench, the shared scratch folder, shipping the package to workers."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,26 +37,47 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def checkpoint_base(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, as the URI it was given.
 
-    On a cluster the operator sets it to a shared file system; we only fall back to a
-    private folder when it is unset (tests on one machine)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    Only a session on one machine (master ``local``) may fall back to a private folder; on a
+    cluster an unset folder is an error, since executors could not see each other's files."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = os.path.join("/tmp", f"seqpool-ckpt-{uuid.uuid4().hex[:8]}")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    configured = "file://" + os.path.join(tempfile.gettempdir(), f"seqpool-ckpt-{uuid.uuid4().hex[:8]}")
+    spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point the context's checkpoint folder at ``checkpoint_base`` unless it already has one."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_base(spark))
+    ship_package(spark)
+    return sc.getCheckpointDir()
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written intermediate tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base.rstrip("/"), "seqpool-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_base(spark).rstrip('/')}/seqpool-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per context (they need not share the driver's path)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_seqpool_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="seqpool-"), "seqpool_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._seqpool_shipped = True
