@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqpool.llm import url_filter
+from seqpool.llm import html_text, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,18 @@ URL_RULES = (
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the explicit rules, else by the rules mined from the URLs they label."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back through the index."""
+    folder, index = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_records(folder, index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    x = html_text.extract(table(spark, sf_dir, "pages"))
+    return x.withColumn("n_chars", F.length("text").cast("bigint"))
