@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import html_text, url_filter, warc
+from seqpool.llm import html_text, toxicity, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     x = html_text.extract(table(spark, sf_dir, "pages"))
     return x.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def _id_bucket():
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; learned from the labelled rows outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    x = toxicity.score_documents(docs, labels, _id_bucket() != 0)
+    return x.select("doc_id", F.coalesce(_id_bucket() == 0, F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
