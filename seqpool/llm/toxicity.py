@@ -1,7 +1,8 @@
 """Toxicity classifier: gradient-boosted trees over dense lexical features, calibrated by isotonic regression.
 
 Features of a whole text: densities of a general lexicon and of a lexicon learned from the labels
-(log-odds of document frequencies), second person near lexicon words, capitals, punctuation and
+(words, and beginnings and endings of words, by the
+log-odds of their document frequencies), second person near lexicon words, capitals, punctuation and
 obfuscated spellings.  Lexicon and trees are fitted on at most ``MAX_TRAIN`` labelled rows, chosen
 by a hash of the id (documented bound); the features and scores cover every row.
 
@@ -30,7 +31,10 @@ from seqpool.llm.common import written
 MAX_TRAIN = 20_000  # labelled rows that a fit takes at most
 LEXICON_SIZE = 64  # learned words
 MIN_DOCS = 5  # labelled documents a learned word must stand in
+CERTAINTY = 2.0  # standard errors below the log-odds
+AFFIX_MIN_WORD, PREFIXES, SUFFIXES = 5, (3, 4, 5), (3, 4)  # lexicon keys besides whole words
 NEAR_WORDS = 5  # second person counts within so many words of a lexicon word
+MEMO_WORDS = 200_000  # words a task remembers
 CALIBRATION_SHARE = 5  # one labelled row in so many calibrates
 
 # A general lexicon, second-person words and look-alike signs.
@@ -47,8 +51,9 @@ FEATURES = ["general", "general_any", "learned", "learned_any", "learned_weight"
             "capitals", "capital_words", "exclaims", "questions", "punctuation", "obfuscated", "masked_hits", "log_words"]
 
 
-def features_of(text: str | None, learned: dict[str, float]) -> list[float]:
-    """The feature values of one text, in the order of ``FEATURES``."""
+def features_of(text: str | None, learned: dict[str, float], memo: dict | None = None) -> list[float]:
+    """The feature values of one text, in the order of ``FEATURES``; ``memo`` keeps what is known of words."""
+    memo = {} if memo is None else memo
     text = text or ""
     low = text.lower()
     words = _WORDS.findall(low)
@@ -57,14 +62,18 @@ def features_of(text: str | None, learned: dict[str, float]) -> list[float]:
     n_general = n_learned = 0
     weight = top = 0.0
     for i, w in enumerate(words):
-        a, b = w in general, learned.get(w)
-        if a or b is not None:
+        value = memo.get(w)
+        if value is None:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            value = memo[w] = (w in general, max((learned.get(k, 0.0) for k in word_keys(w)), default=0.0))
+        if value[0] or value[1]:
             hits.append(i)
-            n_general += a
-            if b is not None:
+            n_general += value[0]
+            if value[1]:
                 n_learned += 1
-                weight += b
-                top = max(top, b)
+                weight += value[1]
+                top = max(top, value[1])
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = 0
     if hits and second:
@@ -89,8 +98,9 @@ LEXICON_SET = frozenset(LEXICON)
 def with_features(docs: DataFrame, learned: dict[str, float], keys: Sequence[str]) -> DataFrame:
     """``keys`` and a double column per feature for every row; texts are read batch by batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict = {}
         for b in batches:
-            values = np.array([features_of(t, learned) for t in b["text"]], dtype="float64").reshape(len(b), len(FEATURES))
+            values = np.array([features_of(t, learned, memo) for t in b["text"]], dtype="float64").reshape(len(b), len(FEATURES))
             yield pd.concat([b[list(keys)].reset_index(drop=True), pd.DataFrame(values, columns=FEATURES)], axis=1)
 
     x = docs.select(*keys, "text")
@@ -106,21 +116,37 @@ def training_labels(labels: DataFrame, allowed: Column, max_train: int = MAX_TRA
     return x.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_train)
 
 
-def learn_lexicon(texts: DataFrame, size: int = LEXICON_SIZE, min_docs: int = MIN_DOCS) -> dict[str, float]:
-    """The words with the largest log-odds of standing in a toxic document; ``size`` words reach the driver.
+def word_keys(word: str) -> list[str]:
+    """The lexicon keys of a word: itself and, for longer words, its beginnings and endings."""
+    if len(word) < AFFIX_MIN_WORD:
+        return [word]
+    return [word, *(f"^{word[:k]}" for k in PREFIXES), *(f"{word[-k:]}$" for k in SUFFIXES)]
+
+
+def _word_keys(word: Column) -> Column:
+    affixes = [F.concat(F.lit("^"), F.substring(word, 1, k)) for k in PREFIXES]
+    affixes += [F.concat(F.substring(word, -k, k), F.lit("$")) for k in SUFFIXES]
+    return F.when(F.length(word) < AFFIX_MIN_WORD, F.array(word)).otherwise(F.array(word, *affixes))
 
-    Rows: text, label.  Words are ranked by the z value of the log-odds."""
-    words = texts.select("label", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)[^\W_]+(?:['’][^\W_]+)*"), 0))).alias("word"))
-    count = words.groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+
+def learn_lexicon(texts: DataFrame, size: int = LEXICON_SIZE, min_docs: int = MIN_DOCS) -> dict[str, float]:
+    """The word keys that speak most surely for a toxic document; ``size`` of them reach the driver.
+
+    Rows: text, label.  A key's weight is the lower confidence bound of its log-odds, so neither a
+    rare key nor one that long documents merely tend to contain ranks high."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)[^\W_]+(?:['’][^\W_]+)*"), 0)
+    keys = F.array_distinct(F.flatten(F.transform(F.array_distinct(found), _word_keys)))
+    count = texts.select("label", F.explode(keys).alias("key")).groupBy("key").agg(
+        F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     total = texts.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).first()
     p, q = float(total["p"] or 0), float(total["q"] or 0)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (p - F.col("a") + 0.5)) - F.log(b / (q - F.col("b") + 0.5))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    top = count.where(F.col("a") + F.col("b") >= min_docs).select("word", odds.alias("odds"), z.alias("z"))
-    rows = top.where("z > 3").orderBy(F.desc("z"), "word").limit(size).collect()
-    return {r["word"]: float(r["odds"]) for r in rows}
+    bound = odds - CERTAINTY * F.sqrt(1 / a + 1 / b)
+    precise = F.col("a") * q > 3 * F.col("b") * p  # in toxic documents at least three times as often
+    top = count.where((F.col("a") + F.col("b") >= min_docs) & precise).select("key", bound.alias("weight"))
+    rows = top.where("weight > 0").orderBy(F.desc("weight"), "key").limit(size).collect()
+    return {r["key"]: float(r["weight"]) for r in rows}
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column, keys: Sequence[str] = ("doc_id",),
