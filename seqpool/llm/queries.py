@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import html_text, toxicity, url_filter, warc
+from seqpool.llm import html_text, substring_dedup, toxicity, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = toxicity.score_documents(docs, labels, _id_bucket() != 0)
     return x.select("doc_id", F.coalesce(_id_bucket() == 0, F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without the 50-word windows that a document with a smaller id has."""
+    x = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
