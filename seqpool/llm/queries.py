@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import html_text, substring_dedup, toxicity, url_filter, warc
+from seqpool.llm import html_text, packing, substring_dedup, toxicity, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document without the 50-word windows that a document with a smaller id has."""
     x = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token pieces packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
