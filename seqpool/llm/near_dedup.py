@@ -98,12 +98,24 @@ def document_sets(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SET)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The candidate pairs (u, v) whose full sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))  # a representative id may be repeated
+def unshared(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_own: how many shingles of a document stand in no other document of ``texts``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in T.chunks(batch):
+                sets = shingle_sets(data, offsets, k)
+                ids = np.repeat(np.asarray(part.column("doc_id")), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingle bigint")
+    held = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"))
+    return held.where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_own"))
+
+
+def compared(texts: DataFrame, pairs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """The candidate pairs (u, v) with the size of their full sets' intersection, and whether that links them.
 
+    ``texts`` has one row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -113,20 +125,52 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, similarity: int) -> Dat
                 raw = [t.encode() for t in distinct]
                 data = np.frombuffer(b"".join(raw), dtype=np.uint8)
                 sets = shingle_sets(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), k)
-                keep = []
+                shared, linked = [], []
                 for a, b in zip(left, right, strict=True):
                     x, y = sets[distinct[a]], sets[distinct[b]]
-                    small, large = min(len(x), len(y)), max(len(x), len(y))
-                    if not small or 100 * small < similarity * large:
-                        keep.append(False)
-                        continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"]).filter(pa.array(keep))
+                    shared.append(both)
+                    linked.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("u"), part.column("v"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())],
+                    ["u", "v", "both", "linked"])
 
     hub = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left"))
     member = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right"))
-    return pairs.join(member, "v").join(hub, "u").select("u", "v", "left", "right").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(member, "v").join(hub, "u").select("u", "v", "left", "right").mapInArrow(
+        run, "u bigint, v bigint, both bigint, linked boolean")
+
+
+def open_pairs(shared: DataFrame, stars: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """Pairs (u, v) of one bucket and of different components so far that may still be similar.
+
+    ``shared``: key, u (the bucket's hub), v, n_shingles; ``stars``: u, v, both, linked.  What two members
+    share is bounded by what each shares with the hub, plus what each has outside the hub that stands in any other
+    open document.  A document whose bound is too low for the smallest set of its bucket falls away before any
+    pair is made, and pairs whose bounds are too low are not made."""
+    share = similarity / 100
+    found = components(stars.where("linked").select("u", "v"))
+    placed = shared.join(found.withColumnRenamed("node", "v"), "v", "left")
+    placed = placed.select("key", "u", "v", "n_shingles", F.coalesce("root", "v").alias("root"))
+
+    def mixed(x: DataFrame) -> DataFrame:
+        kinds = x.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n_shingles").alias("least"))
+        return x.join(kinds.where("a < b").select("key", "least"), "key")
+
+    first = written(mixed(placed), "near-open")
+    own = unshared(texts.join(first.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
+    x = first.join(own.withColumnRenamed("doc_id", "v"), "v", "left")
+    x = x.withColumn("r", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
+    x = x.where(F.col("r") * (1 + 1 / share) - F.col("n_shingles") + 1e-6 >= F.col("least"))
+    x = mixed(x.select("key", "u", "v", "n_shingles", "root", "r")).join(stars.select("u", "v", "both"), ["u", "v"], "left")
+    inside = F.coalesce("both", "n_shingles")  # the hub itself has no star
+    x = x.select("key", "v", "n_shingles", "root", inside.alias("inside"), F.greatest(F.col("r") - inside, F.lit(0)).alias("outside"))
+    x = written(x, "near-open")
+    a, b = x.alias("a"), x.alias("b")
+    most = F.least("a.inside", "b.inside") + F.least("a.outside", "b.outside")
+    close = 100 * most >= similarity * (F.col("a.n_shingles") + F.col("b.n_shingles") - most)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.v") < F.col("b.v")) & (F.col("a.root") != F.col("b.root")) & close)
+    return pairs.select(F.col("a.v").alias("u"), F.col("b.v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = SIMILARITY, bands: int = BANDS,
@@ -144,19 +188,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     shared = written(banded.join(hubs.select("key", "u"), "key").select("key", "u", F.col("doc_id").alias("v"), "n_shingles"),
                      "near-buckets")
     stars = written(shared.where("u < v").select("u", "v").distinct(), "near-stars")
-    links = written(confirmed(texts, stars, k, similarity), "near-links")
-    # documents of one bucket that the stars left in different components
-    found = components(links)
-    placed = shared.join(found.withColumnRenamed("node", "v"), "v", "left")
-    placed = placed.select("key", "v", "n_shingles", F.coalesce("root", "v").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    open_ = written(placed.join(mixed, "key"), "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    size = (100 * F.least("x.n_shingles", "y.n_shingles") >= similarity * F.greatest("x.n_shingles", "y.n_shingles"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & size)
-    across = across.select(F.col("x.v").alias("u"), F.col("y.v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    across = written(across, "near-across")
-    links = links.unionByName(confirmed(texts, across, k, similarity))
+    # the texts of bucket members, one per id: all that the later steps read of the documents
+    texts = texts.where("doc_id IS NOT NULL").join(shared.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = written(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "near-texts")
+    stars = written(compared(texts, stars, k, similarity), "near-stars")
+    across = open_pairs(shared, stars, texts, k, similarity).join(stars, ["u", "v"], "left_anti")
+    across = compared(texts, written(across, "near-across"), k, similarity)
+    links = stars.unionByName(across).where("linked").select("u", "v")
     # every row: its class, and the class's component; rows that share an id are one document
     member = full.join(classes.select(*same, F.col("doc_id").alias("rep")), same).select("doc_id", "rep")
     roots = components(links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
