@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import html_text, near_dedup, packing, substring_dedup, toxicity, url_filter, warc
+from seqpool.llm import decontamination, html_text, near_dedup, packing, substring_dedup, toxicity, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component over its 4-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, and which."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
