@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import decontamination, html_text, near_dedup, packing, substring_dedup, toxicity, url_filter, warc
+from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, toxicity, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, and which."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash, that of its edited text, and how alike they are.
+
+    n_near: documents within the search radius (itself included), for ids divisible by 20."""
+    x = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    asked = F.col("doc_id") % 20 == 0
+    near = fingerprints.near_counts(x.select("doc_id", "fp"), F.coalesce(asked, F.lit(False)))
+    fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return x.join(near, "fp", "left").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_hex(fp).alias("fingerprint"),
+        fingerprints.as_hex(edited).alias("edited_fingerprint"), fingerprints.likeness(fp, edited).alias("near_edited"),
+        fingerprints.likeness(fp, after).alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"))
