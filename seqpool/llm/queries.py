@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, toxicity, url_filter, warc
+from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 from seqpool.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_hex(fp).alias("fingerprint"),
         fingerprints.as_hex(edited).alias("edited_fingerprint"), fingerprints.likeness(fp, edited).alias("near_edited"),
         fingerprints.likeness(fp, after).alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that no repeated string of 200 bytes covers."""
+    x = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                    "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -123,7 +123,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
     runs = written(A.window_runs(docs, "words", window, k), "substring-runs")
     shared = runs.groupBy("anchor").agg(F.min("d").alias("d0"), F.max("d").alias("d1"),
                                         F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
-    shared = shared.where("d0 < d1").select("anchor", (F.col("c0") != F.col("c1")).alias("many"))
+    shared = written(shared.where("d0 < d1").select("anchor", (F.col("c0") != F.col("c1")).alias("many")), "substring-anchors")
     hits = written(runs.join(shared, "anchor"), "substring-hits")
     place = F.min(F.struct("d", "th", "s", "e", "p")).alias("first")
     firsts = written(hits.groupBy("anchor", "ctx", "many").agg(place).select("anchor", "ctx", "many", "first.*"), "substring-contexts")
