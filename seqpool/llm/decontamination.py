@@ -163,9 +163,9 @@ def best_match(pairs: list[dict], n_windows: int, n_words: int) -> tuple[int, in
     return best[0], total, agree / total if total else 1.0, verbatim
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
-                 consistency: float = CONSISTENCY) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, n_slots, consistency, verbatim of the matching pairs.
+def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
+            consistency: float = CONSISTENCY) -> DataFrame:
+    """doc_id, th (hash of the text), item_id, n_windows, n_matched, n_slots, consistency, verbatim of the matching pairs.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
@@ -200,7 +200,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
                     ["doc_id", "th", "item_id", "n_windows", "n_matched", "n_slots", "consistency", "verbatim"])
 
     found = groups.select("doc_id", "th", "item_id", "n_windows", "pairs").mapInArrow(run, _MATCH.format(kind))
-    found = found.where((F.col("n_matched") >= containment * F.col("n_windows")) & (F.col("consistency") >= consistency))
+    return found.where((F.col("n_matched") >= containment * F.col("n_windows")) & (F.col("consistency") >= consistency))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
+                 consistency: float = CONSISTENCY) -> DataFrame:
+    """The best match of each (doc_id, item_id) that match."""
     best = F.max(F.struct("n_matched", "consistency", "verbatim", "n_slots", "n_windows")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
+    return matches(docs, benchmark, containment, consistency).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "m.n_windows", "m.n_matched", "m.n_slots", "m.consistency", "m.verbatim")

@@ -143,7 +143,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
 def dedup(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WORDS, pairwise: int = PAIRWISE) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text of the kept words, joined by a space) for every row of ``docs``."""
     x = A.keyed(docs)
-    spans = A.spans_by_document(repeated_spans(x, window, k, pairwise))
+    spans = A.spans_by_document(repeated_spans(x.select("text", "d", "th"), window, k, pairwise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

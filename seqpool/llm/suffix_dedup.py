@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from seqpool.llm import anchors as A
 from seqpool.llm import textarrays as T
@@ -160,10 +161,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BY
 
 
 def dedup(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BYTES, hot: int = HOT,
-          shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_spans (maximal removed runs), kept (the remaining bytes) and the columns to ``carry``, for every row."""
-    x = A.keyed(docs, carry)
-    spans = A.spans_by_document(repeated_spans(x.select("doc_id", "text", "d", "th"), window, k, hot, shard_bytes))
+          shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_spans (maximal removed runs), kept (the remaining bytes), kept_text, rest, for every row of ``docs``.
+
+    kept_text leaves out what is left of characters that lost a part; ``rest`` has the other columns of ``docs``."""
+    x = A.keyed(docs)
+    spans = A.spans_by_document(repeated_spans(x.select("text", "d", "th"), window, k, hot, shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,11 +183,12 @@ def dedup(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BYTES, hot:
                     else:
                         n_spans.append(0)
                     kept.append(raw)
-                own = [part.column(c) for c in ("doc_id", *carry)]
+                texts = [x.decode("utf-8", "ignore") for x in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(n_bytes, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
-                    ["doc_id", *carry, "n_bytes", "n_spans", "kept"])
+                    [part.column("doc_id"), part.column("rest"), pa.array(n_bytes, pa.int64()), pa.array(n_spans, pa.int64()),
+                     pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
+                    ["doc_id", "rest", "n_bytes", "n_spans", "kept", "kept_text"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in x.select("doc_id", *carry).schema]
-    joined = x.join(spans, ["d", "th"], "left").select("doc_id", *carry, "text", "spans")
-    return joined.mapInArrow(run, ", ".join([*kinds, "n_bytes bigint, n_spans bigint, kept binary"]))
+    schema = StructType([x.schema["doc_id"], x.schema["rest"], StructField("n_bytes", LongType()), StructField("n_spans", LongType()),
+                         StructField("kept", BinaryType()), StructField("kept_text", StringType())])
+    return x.join(spans, ["d", "th"], "left").select("doc_id", "rest", "text", "spans").mapInArrow(run, schema)

@@ -18,13 +18,13 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from seqpool.llm.common import written
 
@@ -35,6 +35,7 @@ CERTAINTY = 2.0  # standard errors below the log-odds
 AFFIX_MIN_WORD, PREFIXES, SUFFIXES = 5, (3, 4, 5), (3, 4)  # lexicon keys besides whole words
 NEAR_WORDS = 5  # second person counts within so many words of a lexicon word
 MEMO_WORDS = 200_000  # words a task remembers
+RAW_SHARE = 0.001  # of the raw score in the final one: keeps order within the steps of the calibration
 CALIBRATION_SHARE = 5  # one labelled row in so many calibrates
 
 # A general lexicon, second-person words and look-alike signs.
@@ -95,18 +96,21 @@ def features_of(text: str | None, learned: dict[str, float], memo: dict | None =
 LEXICON_SET = frozenset(LEXICON)
 
 
-def with_features(docs: DataFrame, learned: dict[str, float], keys: Sequence[str]) -> DataFrame:
-    """``keys`` and a double column per feature for every row; texts are read batch by batch."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def with_features(docs: DataFrame, learned: dict[str, float], key: str) -> DataFrame:
+    """The column ``key`` and ``features`` (a vector) for every row of ``docs`` (key, text); texts are read batch by batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for b in batches:
-            values = np.array([features_of(t, learned, memo) for t in b["text"]], dtype="float64").reshape(len(b), len(FEATURES))
-            yield pd.concat([b[list(keys)].reset_index(drop=True), pd.DataFrame(values, columns=FEATURES)], axis=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                values = np.array([features_of(t, learned, memo) for t in part.column("text").to_pylist()], dtype="float64")
+                ends = pa.array(np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], [key, "values"])
 
-    x = docs.select(*keys, "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*keys).schema]
-                       + [f"{c} double" for c in FEATURES])
-    return x.mapInPandas(run, schema)
+    x = docs.select(key, "text")
+    schema = StructType([x.schema[key], StructField("values", ArrayType(DoubleType()))])
+    return x.mapInArrow(run, schema).select(key, array_to_vector("values").alias("features"))
 
 
 def training_labels(labels: DataFrame, allowed: Column, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -149,12 +153,11 @@ def learn_lexicon(texts: DataFrame, size: int = LEXICON_SIZE, min_docs: int = MI
     return {r["key"]: float(r["weight"]) for r in rows}
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column, keys: Sequence[str] = ("doc_id",),
-                    max_train: int = MAX_TRAIN) -> DataFrame:
-    """``keys`` and ``score`` for every row of ``docs`` (doc_id, text).
+def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column, max_train: int = MAX_TRAIN) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``) and ``score`` for every row of ``docs`` (doc_id, text, ...).
 
     ``labels`` (doc_id, toxic); ``allowed`` says which of them may be learned from."""
-    spark = docs.sparkSession
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     train = written(training_labels(labels, allowed, max_train), "toxic-train")  # at most max_train narrow rows
     texts = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").select("text", "label")
     texts = written(texts, "toxic-texts")
@@ -162,27 +165,28 @@ def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column, keys: S
     n, positives = share["n"], share["p"] or 0.0
     if positives in (0.0, float(n)):
         flat = float(positives + 1) / (n + 2) if n else 0.0
-        return docs.select(*keys, F.lit(flat).alias("score"))
+        return rows.withColumn("score", F.lit(flat))
     learned = learn_lexicon(texts)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    rows = with_features(texts, learned, ["label"])
-    rows = written(assembler.transform(rows).select("label", "features"), "toxic-rows")
-    marked = rows.withColumn("part", F.pmod(F.xxhash64("features", "label"), F.lit(CALIBRATION_SHARE)))
+    fitted = written(with_features(texts, learned, "label"), "toxic-rows")
+    marked = fitted.withColumn("part", F.pmod(F.xxhash64(vector_to_array("features"), "label"), F.lit(CALIBRATION_SHARE)))
     fit_rows, held = marked.where("part > 0"), marked.where("part = 0")
-    # one partition of bounded rows: a fit over at most max_train short vectors
+    if fit_rows.agg(F.countDistinct("label")).first()[0] < 2:
+        fit_rows = marked
+    # two partitions of bounded rows: a fit over at most max_train short vectors
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, seed=7)
     model = gbt.fit(fit_rows.coalesce(2))
-    raw = F.col("p")[1]
+    raw = vector_to_array("probability")[1].alias("raw")
     calibrator = None
-    scored = model.transform(held).select("label", vector_to_array("probability").alias("p")).select("label", raw.alias("raw"))
     if held.agg(F.countDistinct("label")).first()[0] == 2:
+        scored = model.transform(held).select("label", raw)
         calibrator = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="calibrated").fit(scored)
-    x = assembler.transform(with_features(docs, learned, list(keys)))
-    y = model.transform(x).select(*keys, vector_to_array("probability").alias("p")).select(*keys, raw.alias("raw"))
+    text = F.col("row")["text"].alias("text")
+    y = model.transform(with_features(rows.select("row", text), learned, "row")).select("row", raw)
     if calibrator is None:
         return y.withColumnRenamed("raw", "score")
     edges, values = list(calibrator.boundaries), list(calibrator.predictions)
-    return y.withColumn("score", 0.999 * interpolate(F.col("raw"), edges, values) + 0.001 * F.col("raw")).drop("raw")
+    score = (1 - RAW_SHARE) * interpolate(F.col("raw"), edges, values) + RAW_SHARE * F.col("raw")
+    return y.select("row", score.alias("score"))
 
 
 def interpolate(x: Column, edges: Sequence[float], values: Sequence[float]) -> Column:
