@@ -87,7 +87,7 @@ def features_of(text: str | None, learned: dict[str, float], memo: dict | None =
     n_masked = sum(1 for m, x in zip(masked, spelled, strict=True) if x != m and (x in general or x in learned))
     upper = sum(map(str.isupper, text)) if text != low else 0
     capital_words = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if upper else 0
-    marks = chars - sum(map(len, words)) - text.count(" ")
+    marks = len(text) - sum(map(len, words)) - text.count(" ")
     return [n_general / n, float(n_general), n_learned / n, float(n_learned), weight / n, top, near / n, len(second) / n,
             upper / chars, capital_words / n, text.count("!") / chars, text.count("?") / chars, marks / chars,
             len(masked) / n, float(n_masked), float(np.log1p(len(words)))]
