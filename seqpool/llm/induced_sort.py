@@ -233,12 +233,12 @@ def double_sort(names: np.ndarray, reach: int) -> np.ndarray:
         if not len(slots):
             break
         at = order[slots]
-        key = np.lexsort((rank[np.minimum(at + h, n)], rank[at]))
-        at = at[key]
+        key = rank[at] * (n + 1) + rank[np.minimum(at + h, n)] + 1
+        sort = np.argsort(key)
+        at, key = at[sort], key[sort]
         order[slots] = at
-        one, two = rank[at], rank[np.minimum(at + h, n)]
         split = np.ones(len(at), dtype=bool)
-        split[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        split[1:] = key[1:] != key[:-1]
         heads[slots] |= split
         rank[at] = np.maximum.accumulate(np.where(split, slots, 0))
         h *= 2
@@ -256,15 +256,17 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     shift = powers[hi - lo]
     low = np.zeros(len(a), dtype=np.int64)
     high = np.minimum(depth, n - hi)
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            return low.astype(np.uint16)
-        mid = (low[open_] + high[open_] + 1) // 2
-        x, y = lo[open_], hi[open_]
+    open_ = np.flatnonzero(high > 0)
+    probe = 8  # the first tries grow, the later ones halve
+    while len(open_):
+        x, y, u, v = lo[open_], hi[open_], low[open_], high[open_]
+        mid = np.clip(u + probe, u + 1, v) if probe < depth else (u + v + 1) // 2
         same = (sums[x + mid] - sums[x]) * shift[open_] == sums[y + mid] - sums[y]
-        low[open_[same]] = mid[same]
-        high[open_[~same]] = mid[~same] - 1
+        low[open_] = np.where(same, mid, u)
+        high[open_] = np.where(same, v, mid - 1)
+        open_ = open_[low[open_] < high[open_]]
+        probe *= 4
+    return low.astype(np.uint16)
 
 
 def sorted_suffixes(text: np.ndarray, symbols: int, depth: int, emit, space=(None, None, MEMORY_ENTRIES), prefixes: bool = True) -> None:
@@ -309,7 +311,7 @@ def _seed_order(names: np.ndarray, depth: int, space) -> np.ndarray:
     if symbols == len(names):
         return np.argsort(names)
     if symbols > RECURSION_SYMBOLS or len(names) < 64:
-        return double_sort(names, depth)
+        return double_sort(names, depth // 2 + 1)  # a name covers two symbols at least
     order: list[np.ndarray] = []
-    sorted_suffixes(names, symbols, depth, lambda p, _: order.append(p), space, prefixes=False)
+    sorted_suffixes(names, symbols, depth // 2 + 1, lambda p, _: order.append(p), space, prefixes=False)
     return np.concatenate(order)[::-1]

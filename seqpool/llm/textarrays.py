@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17  # the arrays of a chunk then stay in a core's cache
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15 | 1)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = _U(pow(int(BASE), -1, 1 << 64))
@@ -56,10 +56,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (upper.astype(np.uint8) << 5)
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(max(n, 1), base, dtype=_U)
+@lru_cache(maxsize=8)
+def _power_table(size: int, base: int) -> np.ndarray:
+    out = np.full(size, base, dtype=_U)
     out[0] = 1
-    return np.cumprod(out, out=out)[:n]
+    return np.cumprod(out, out=out)
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1); tables of a chunk's size are kept."""
+    size = 1 << max(n, 2 * CHUNK_BYTES).bit_length()
+    return _power_table(size, int(base))[:n] if size <= 8 * CHUNK_BYTES else _power_table.__wrapped__(n, int(base))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
