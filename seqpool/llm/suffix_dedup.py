@@ -8,8 +8,9 @@ are sorted by external induced sorting with common-prefix values (``induced_sort
 shared folder; neighbours with a common prefix of at least ``window`` bytes are repeats.  A context that occurs more than once
 repeats as a whole, however often, and enters its shard once.
 
-An anchor with more than ``HOT`` contexts would make a shard of its own: its windows are dealt by their whole
-content instead, the finest range of suffixes there is, and counted with partial aggregation; nothing is left out.
+An anchor with more than ``HOT`` contexts would crowd a shard: its windows are dealt by their cores instead, the longer part
+around the anchor that windows at about the same place share, and equal surroundings of a core are one.  If even a core has more than
+``HOT_CORE`` surroundings, its windows are dealt by their whole content and counted with partial aggregation; nothing is left out.
 
 Defined results: null and empty texts have no bytes; texts below the window keep all; matches never cross documents; repeated
 rows and copies at least as long as the window lose every byte; an empty table gives no rows.
@@ -35,11 +36,13 @@ from seqpool.session import shared_scratch
 WINDOW_BYTES = 200
 SEED_BYTES = 32
 HOT = 512  # contexts of one anchor that a shard takes
-SHARD_BYTES = 4 << 20
+HOT_CORE = 4096  # surroundings of one core that a shard takes
+SHARD_BYTES = 1 << 20  # small shards keep the sort in a core's cache
+CORE_STEP = 24
 
-_CONTEXT = "anchor bigint, ctx bigint, bytes binary, grown bigint, rel int"
+_CONTEXT = "anchor bigint, ctx bigint, bytes binary, cores array<bigint>, core bigint, sub bigint, rel int"
 _SPAN = "anchor bigint, ctx bigint, a int, b int"
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
@@ -47,34 +50,55 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def context_rows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The wanted contexts with their bytes, or, where ``hot``, a row per window with its hash.
+def context_rows(docs: DataFrame, wanted: DataFrame, window: int, k: int) -> DataFrame:
+    """The wanted contexts with their bytes and cores, or, where ``hot``, a row per core with its surroundings.
 
-    ``wanted``: anchor, ctx, d, th, s, e, hot; one row per context."""
-    by_doc = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "ctx", "s", "e", "hot")).alias("ctxs"))
+    ``wanted``: anchor, ctx, d, th, s, e, p, hot; one row per context.  A core is the part around the anchor that all
+    windows have whose anchor stands at about the same place, so contexts with an equal window have an equal core."""
+    by_doc = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "ctx", "s", "e", "p", "hot")).alias("ctxs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in T.chunks(batch):
-                rows: list[tuple] = []
                 raw = data.tobytes()
                 values = T.byte_values()[data]
-                for i, ctxs in enumerate(part.column("ctxs").to_pylist()):
-                    base = int(offsets[i])
-                    for c in ctxs:
-                        lo, hi = base + c["s"], base + c["e"] + window
-                        if not c["hot"]:
-                            rows.append((c["anchor"], c["ctx"], raw[lo:hi], None, None))
-                            continue
-                        at = np.arange(hi - lo - window + 1)
-                        grown = T.span_hashes(values[lo:hi], at, at + window).view(np.int64)
-                        rows += [(c["anchor"], c["ctx"], None, int(g), j) for j, g in enumerate(grown)]
+                lists = part.column("ctxs")
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                anchor, ctx, s, e, p = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "ctx", "s", "e", "p"))
+                hot = flat.field("hot").to_numpy(zero_copy_only=False)
+                lo, hi, place = offsets[owner] + s, offsets[owner] + e + window, offsets[owner] + p
+                cores: list[list[int]] = [[] for _ in owner]
+                rows: list[tuple] = []
+                for g in range(0, window - k + 1, CORE_STEP):  # bytes that a window has before its anchor
+                    has = np.flatnonzero((p - e <= g + CORE_STEP - 1) & (p - s >= g))
+                    start = place[has] - g
+                    end = np.minimum(start + window - CORE_STEP + 1, hi[has])
+                    core = T.mix(T.span_hashes(values, start, end) ^ T.mix(anchor[has].view(np.uint64) + np.uint64(g))).view(np.int64)
+                    first = np.maximum(place[has] - g - CORE_STEP + 1, lo[has])  # of the windows with this core
+                    stop = np.minimum(place[has] - g + window, hi[has])
+                    sub = T.span_hashes(values, first, stop).view(np.int64)
+                    for i, x, y, u, v in zip(has.tolist(), core.tolist(), sub.tolist(), first.tolist(), stop.tolist(), strict=True):
+                        if hot[i]:
+                            rows.append((anchor[i], ctx[i], raw[u:v], None, x, y, u - lo[i]))
+                        else:
+                            cores[i].append(x)
+                rows += [(anchor[i], ctx[i], raw[lo[i]: hi[i]], cores[i], None, None, None) for i in np.flatnonzero(~hot)]
                 if rows:
                     yield _batch(list(zip(*rows, strict=True)), _CONTEXT)
 
     return docs.join(by_doc, ["d", "th"]).select("text", "ctxs").mapInArrow(run, _CONTEXT)
 
 
+def with_shared_core(contexts: DataFrame) -> DataFrame:
+    """anchor, ctx, bytes of the contexts of which another context has a core; no other can have an equal window."""
+    plain = contexts.where(F.col("core").isNull())
+    cores = plain.select("anchor", "ctx", F.explode("cores").alias("core"))
+    often = cores.groupBy("core").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("core")
+    found = cores.join(often, "core").select("anchor", "ctx").distinct()
+    return plain.select("anchor", "ctx", "bytes").join(found, ["anchor", "ctx"])
+
+
 def shard_repeats(contexts: list[tuple[int, int, bytes]], window: int, space) -> list[tuple[int, int, int, int]]:
     """(anchor, ctx, a, b): maximal spans of windows that stand more than once in the shard's contexts."""
     if len(contexts) < 2:
@@ -114,8 +138,18 @@ def shard_repeats(contexts: list[tuple[int, int, bytes]], window: int, space) ->
             for o, a, b in zip(owner[heads], rel[heads], rel[tails], strict=True)]
 
 
-def repeats(contexts: DataFrame, window: int, shards: int, folder: str) -> DataFrame:
+def repeats(contexts: DataFrame, window: int, shard_bytes: int, hot_core: int) -> DataFrame:
     """(anchor, ctx, a, b): the repeated spans of contexts, in bytes from the context's start."""
+    folder = shared_scratch(contexts.sparkSession, "suffix-queues")
+    subs = contexts.where(F.col("core").isNotNull())
+    kinds = written(subs.groupBy("core", "sub").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes")), "suffix-cores")
+    many = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    of_core = kinds.join(many, "core").select(F.col("core").alias("anchor"), F.col("sub").alias("ctx"), "bytes", "kinds")
+    sorted_cores = of_core.where(F.col("kinds") <= hot_core).select("anchor", "ctx", "bytes")
+    plain = written(with_shared_core(contexts).unionByName(sorted_cores), "suffix-shards")
+    size = plain.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], bytes] = {}
         for b in batches:
@@ -127,31 +161,35 @@ def repeats(contexts: DataFrame, window: int, shards: int, folder: str) -> DataF
         for lo in range(0, len(found), 1 << 16):
             yield _batch(list(zip(*found[lo: lo + (1 << 16)], strict=True)), _SPAN)
 
-    plain = contexts.where(F.col("bytes").isNotNull()).select("anchor", "ctx", "bytes")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     sorted_ = plain.repartition(shards, "anchor").mapInArrow(run, _SPAN)
-    grown = contexts.where(F.col("bytes").isNull())
-    often = grown.groupBy("anchor", "grown").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "grown")
-    hot = grown.join(often, ["anchor", "grown"])
-    return sorted_.unionByName(hot.select("anchor", "ctx", F.col("rel").alias("a"), (F.col("rel") + window).alias("b")))
+    starts = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - window)).alias("a")
+    grown = of_core.where(F.col("kinds") > hot_core).select("anchor", "ctx", "bytes", starts)
+    grown = grown.select("anchor", "ctx", "a", F.substring("bytes", F.col("a") + 1, F.lit(window)).alias("whole"))
+    often = grown.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "whole")
+    grown = grown.join(often, ["anchor", "whole"]).select("anchor", "ctx", "a", (F.col("a") + window).alias("b"))
+    found = written(sorted_.unionByName(grown), "suffix-repeats")
+    again = kinds.where("n > 1").select("core", "sub", F.lit(0).alias("a"), F.octet_length("bytes").alias("b"))
+    inside = found.select(F.col("anchor").alias("core"), F.col("ctx").alias("sub"), "a", "b").unionByName(again)
+    inside = subs.select("anchor", "ctx", "core", "sub", "rel").join(inside, ["core", "sub"])
+    return found.unionByName(inside.select("anchor", "ctx", (F.col("rel") + F.col("a")).alias("a"), (F.col("rel") + F.col("b")).alias("b")))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BYTES, hot: int = HOT,
-                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, hot_core: int = HOT_CORE) -> DataFrame:
     """(d, th, a, b): byte spans of ``keyed`` documents whose windows also start elsewhere."""
     runs = written(A.window_runs(docs, "bytes", window, k), "suffix-runs")
     shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
     shared = written(shared.where("n > 1").select("anchor", (F.col("c0") != F.col("c1")).alias("many")), "suffix-anchors")
     hits = written(runs.join(shared, "anchor"), "suffix-hits")
-    place = F.min(F.struct("d", "th", "s", "e")).alias("first")
+    place = F.min(F.struct("d", "th", "s", "e", "p")).alias("first")
     firsts = hits.where("many").groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), place)
     firsts = written(firsts.select("anchor", "ctx", "n", "first.*"), "suffix-contexts")
     groups = firsts.groupBy("anchor").agg((F.count(F.lit(1)) > hot).alias("hot"))
     wanted = firsts.join(groups, "anchor")
-    size = firsts.agg(F.sum(F.col("e") - F.col("s") + window)).first()[0] or 0
-    contexts = written(context_rows(docs, wanted, window), "suffix-bytes")
-    spans = repeats(contexts, window, max(1, -(-size // shard_bytes)), shared_scratch(docs.sparkSession, "suffix-queues"))
+    contexts = written(context_rows(docs, wanted, window, k), "suffix-bytes")
+    spans = repeats(contexts, window, shard_bytes, hot_core)
     whole = F.col("s").alias("a"), (F.col("e") + window).alias("b")
     alone = hits.where("NOT many").select("d", "th", *whole)
     again = hits.where("many").join(firsts.where("n > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select("d", "th", *whole)
@@ -161,12 +199,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BY
 
 
 def dedup(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BYTES, hot: int = HOT,
-          shard_bytes: int = SHARD_BYTES) -> DataFrame:
+          shard_bytes: int = SHARD_BYTES, hot_core: int = HOT_CORE) -> DataFrame:
     """doc_id, n_bytes, n_spans (maximal removed runs), kept (the remaining bytes), kept_text, rest, for every row of ``docs``.
 
     kept_text leaves out what is left of characters that lost a part; ``rest`` has the other columns of ``docs``."""
     x = A.keyed(docs)
-    spans = A.spans_by_document(repeated_spans(x.select("text", "d", "th"), window, k, hot, shard_bytes))
+    spans = A.spans_by_document(repeated_spans(x.select("text", "d", "th"), window, k, hot, shard_bytes, hot_core))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -162,10 +162,11 @@ def brute_bytes(texts, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "hot", "shard_bytes"), [(200, 512, 1 << 20), (60, 1, 1 << 20), (100, 512, 3000)])
-def test_suffix_dedup(docs, texts, window, hot, shard_bytes):
-    """hot = 1 deals every shared window by its content; small shards cut the corpus in many."""
-    x = suffix_dedup.dedup(docs, window=window, hot=hot, shard_bytes=shard_bytes)
+@pytest.mark.parametrize(("window", "hot", "shard_bytes", "hot_core"),
+                         [(200, 512, 1 << 20, 4096), (60, 1, 1 << 20, 4096), (80, 1, 1 << 20, 1), (100, 512, 3000, 4096)])
+def test_suffix_dedup(docs, texts, window, hot, shard_bytes, hot_core):
+    """hot = 1 deals every shared window by its core, hot_core = 1 by its content; small shards cut the corpus in many."""
+    x = suffix_dedup.dedup(docs, window=window, hot=hot, shard_bytes=shard_bytes, hot_core=hot_core)
     got = {r["doc_id"]: (r["n_bytes"], r["n_spans"], bytes(r["kept"])) for r in x.collect()}
     assert got == brute_bytes(texts, window)
     assert {f.name for f in x.schema["rest"].dataType} >= {"spans", "th", "key", "row"}
