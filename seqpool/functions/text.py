@@ -82,14 +82,20 @@ HASH_BASE = 31
 
 
 def ngram_bucket_array(x, n: int, n_bits: int) -> np.ndarray:
-    cp = _codepoints(x)
-    if len(cp) < n:
+    """Sorted distinct buckets of one text: n shifted adds over its code points, and a bitmap in place of a sort."""
+    cp = _codepoints(x).astype(np.uint64)
+    m = len(cp) - n + 1
+    if m <= 0:
         return np.zeros(0, dtype=np.int64)
-    win = np.lib.stride_tricks.sliding_window_view(cp.astype(np.uint64), n)
-    powers = np.array([HASH_BASE ** (n - 1 - k) for k in range(n)], dtype=np.uint64)
-    p = (win * powers).sum(axis=1) % np.uint64(1 << 32)
-    h = (p * np.uint64(HASH_MULT)) % np.uint64(1 << 32)
-    return np.unique((h * np.uint64(n_bits)) >> np.uint64(32)).astype(np.int64)
+    p = cp[:m].copy()
+    for k in range(1, n):
+        p *= np.uint64(HASH_BASE)
+        p += cp[k:k + m]
+    p &= np.uint64(0xFFFFFFFF)
+    h = (p * np.uint64(HASH_MULT)) & np.uint64(0xFFFFFFFF)
+    seen = np.zeros(n_bits, dtype=bool)
+    seen[((h * np.uint64(n_bits)) >> np.uint64(32)).astype(np.int64)] = True
+    return np.flatnonzero(seen)
 
 
 def ngram_buckets(seq: Column, n: int, n_bits: int) -> Column:
@@ -125,6 +131,9 @@ def dense_bits(indices: Column, n_bits: int) -> Column:
     return _dense(indices)
 
 
-def letters(text: Column) -> Column:
-    """ASCII letters of a text, upper-cased (the sequence alphabet of the views)."""
-    return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def upper_ascii(text: Column) -> Column:
+    """a-z upper-cased; every other character stays as it is (unknown characters reach the tokenizers)."""
+    return F.translate(text, _LOWER, _UPPER)

@@ -1,7 +1,8 @@
 """Key lookups between entity / pair tables and feature tables.
 
-Broadcast only behind a size check (``small_side``); beyond the bound the join shuffles on
-the key and AQE's skew-join splitting handles a hot key on the large side.
+No join is forced to broadcast: Spark broadcasts a side by its size, otherwise the join shuffles on
+the key and AQE's skew-join splitting handles a hot key.  Lookups keep every row; rows whose key has no
+feature have a NULL vector, and ``unresolved`` lists such keys with their number of rows.
 """
 
 from __future__ import annotations
@@ -9,47 +10,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small (one counting job on a dimension table)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def lookup(df: DataFrame, features: DataFrame, on: str, key: str = "key", vec: str = "vec",
-           out: str | None = None, how: str = "inner", broadcast_check: bool = False) -> DataFrame:
-    """Attach the feature vector of ``df[on]`` (features unique per key)."""
-    f = features.select(F.col(key).alias(on), F.col(vec).alias(out or f"{on}_vec"))
-    if broadcast_check:
-        f = small_side(f)
+def lookup(df: DataFrame, features: DataFrame, on: str, key: str = "key", cols: dict[str, str] | None = None,
+           out: str | None = None, how: str = "left") -> DataFrame:
+    """Attach columns of ``features`` (one row per key) to ``df[on]``; ``cols`` maps them to their new names."""
+    names = cols or {"vec": out or f"{on}_vec"}
+    f = features.select(F.col(key).alias(on), *[F.col(a).alias(b) for a, b in names.items()])
     return df.join(f, on, how)
 
 
 def pair_features(pairs: DataFrame, features: DataFrame, drug: str = "drug_key", target: str = "target_key",
-                  key: str = "key", vec: str = "vec") -> DataFrame:
-    """Pair -> drug vector and target vector (two lookups, inner)."""
-    x = lookup(pairs, features, drug, key, vec, out="drug_vec")
-    return lookup(x, features, target, key, vec, out="target_vec")
+                  key: str = "key", vec: str = "vec", how: str = "left") -> DataFrame:
+    """Pair -> drug vector and target vector (two lookups; every pair stays)."""
+    x = lookup(pairs, features, drug, key, {vec: "drug_vec"}, how=how)
+    return lookup(x, features, target, key, {vec: "target_vec"}, how=how)
 
 
 def edge_features(edges: DataFrame, features: DataFrame, a: str = "p0", b: str = "p1",
-                  key: str = "key", vec: str = "vec") -> DataFrame:
-    """Both ends of an edge looked up in the same feature table (two aliased joins)."""
-    f = features.select(F.col(key).cast("string").alias("_k"), F.col(vec).alias("_v"))
-    x = edges.join(f.withColumnRenamed("_k", a).withColumnRenamed("_v", f"{a}_vec"), a)
-    return x.join(f.withColumnRenamed("_k", b).withColumnRenamed("_v", f"{b}_vec"), b)
+                  key: str = "key", vec: str = "vec", how: str = "left") -> DataFrame:
+    """Both ends of an edge looked up in the same feature table (every edge stays)."""
+    x = lookup(edges, features, a, key, {vec: f"{a}_vec"}, how=how)
+    return lookup(x, features, b, key, {vec: f"{b}_vec"}, how=how)
+
+
+def unresolved(df: DataFrame, features: DataFrame, on: str, key: str = "key") -> DataFrame:
+    """Quarantine: keys of ``df[on]`` without a feature row, and how many rows they hold."""
+    missing = df.join(features.select(F.col(key).alias(on)), on, "left_anti")
+    return missing.groupBy(F.col(on).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def resolve(ids: DataFrame, primary: DataFrame, fallback: DataFrame, acc: str = "acc", seq: str = "seq") -> DataFrame:
+def _last(dictionary: DataFrame, acc: str, seq: str, order: str | None, out: str) -> DataFrame:
+    """One row per accession: the last by ``order`` (the largest text without one)."""
+    last = F.max_by(F.col(seq), F.col(order)) if order else F.max(F.col(seq))
+    return dictionary.groupBy(acc).agg(last.alias(out))
+
+
+def resolve(ids: DataFrame, primary: DataFrame, fallback: DataFrame, acc: str = "acc", seq: str = "seq",
+            order: str | None = None) -> DataFrame:
     """Accession -> sequence from the primary dictionary, else the fall-back table.
 
-    Output keeps every id row (order / duplicates preserved by row) with ``source`` in
-    {'primary', 'fallback', NULL}; unresolved rows have a NULL sequence (quarantine)."""
-    p = primary.select(F.col(acc), F.col(seq).alias("_p"))
-    f = fallback.select(F.col(acc), F.col(seq).alias("_f"))
-    x = ids.join(p, acc, "left").join(f, acc, "left")
+    Output keeps every id row with ``source`` in {'primary', 'fallback', NULL}; unresolved rows have
+    a NULL sequence (quarantine).  Of repeated dictionary entries the last by ``order`` counts."""
+    x = ids.join(_last(primary, acc, seq, order, "_p"), acc, "left").join(_last(fallback, acc, seq, order, "_f"), acc, "left")
     return x.select(
         *[c for c in ids.columns],
         F.coalesce("_p", "_f").alias(seq),
@@ -58,9 +60,8 @@ def resolve(ids: DataFrame, primary: DataFrame, fallback: DataFrame, acc: str =
 
 
 def label_map(df: DataFrame, index: DataFrame, cls: str, idx: str = "idx") -> DataFrame:
-    """Class name -> index; classes unseen in train give NULL (Q21).  The class dimension is
-    broadcast after a size check."""
-    return df.join(small_side(index.select(cls, idx)), cls, "left")
+    """Class name -> index; classes unseen in train give NULL (Q21)."""
+    return df.join(index.select(cls, idx), cls, "left")
 
 
 def semi(df: DataFrame, keep: DataFrame, on: str) -> DataFrame:
@@ -73,6 +74,11 @@ def anti(df: DataFrame, drop: DataFrame, on: str) -> DataFrame:
     return df.join(drop.select(on), on, "left_anti")
 
 
+def last_lines(annotations: DataFrame, order: str, on: str = "protein", codes: str = "codes") -> DataFrame:
+    """One annotation per protein: later lines replace earlier ones."""
+    return annotations.groupBy(on).agg(F.max_by(F.col(codes), F.col(order)).alias(codes))
+
+
 def annotation_join(proteins: DataFrame, annotations: DataFrame, on: str = "protein",
                     codes: str = "codes") -> tuple[DataFrame, DataFrame]:
     """Proteins with their code lists.  Annotated proteins without codes get an empty list;
@@ -86,9 +92,9 @@ def annotation_join(proteins: DataFrame, annotations: DataFrame, on: str = "prot
 
 def code_index(annotations: DataFrame, vocab_index: DataFrame, on: str = "protein", codes: str = "codes",
                code: str = "code", idx: str = "idx") -> DataFrame:
-    """Explode code lists and look each code up in the vocabulary (broadcast after size check)."""
+    """Explode code lists and look each code up in the vocabulary."""
     ex = annotations.select(on, F.posexplode(codes).alias("pos", code))
-    return ex.join(small_side(vocab_index.select(code, idx)), code, "left")
+    return ex.join(vocab_index.select(code, idx), code, "left")
 
 
 def align(preds: DataFrame, labels: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -27,6 +27,11 @@ def _safe_div(a: Column, b: Column, default=None) -> Column:
 # ------------------------------------------------------------------------------ curve
 
 
+def scored(preds: DataFrame, score: str, label: str) -> DataFrame:
+    """Rows that can be ranked: those without a score (NULL or NaN) or a label are left out before anything is counted."""
+    return preds.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+
+
 def score_curve(preds: DataFrame, score: str = "score", label: str = "label",
                 group: Sequence[str] = ()) -> DataFrame:
     """One row per (group, distinct score) in descending order with cumulative TP/FP.
@@ -34,7 +39,7 @@ def score_curve(preds: DataFrame, score: str = "score", label: str = "label",
     Columns: score, tp, fp (counts at this score), cum_tp, cum_fp, tot_tp, tot_fp."""
     g = list(group)
     pos = F.col(label).cast("double")
-    collapsed = preds.groupBy(*g, F.col(score).alias("score")).agg(
+    collapsed = scored(preds, score, label).groupBy(*g, F.col(score).alias("score")).agg(
         F.sum(pos).alias("tp"), F.sum(F.lit(1.0) - pos).alias("fp")
     )
     return running_sums(collapsed, "score", ["tp", "fp"], descending=True, partition_by=g)
@@ -122,7 +127,7 @@ def f1_max(df: DataFrame, protein: str = "protein", score: str = "score", target
     the label count); the per-protein step changes are summed per score and accumulated with
     running_sums."""
     g = list(group)
-    per = df.groupBy(*g, protein, F.col(score).alias("score")).agg(
+    per = scored(df, score, target).groupBy(*g, protein, F.col(score).alias("score")).agg(
         F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col(target).cast("double")).alias("h")
     )
     w = Window.partitionBy(*g, protein).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -171,8 +176,8 @@ def sigmoid(x: Column) -> Column:
 def loss_weighted_bce(df: DataFrame, weights: DataFrame, logit: str = "score", target: str = "target",
                       label: str = "label", weight: str = "weight") -> DataFrame:
     """L2: mean over (row, label) of w_label * BCE(sigmoid(logit), target).  ``weights`` is one
-    row per label (class dimension), broadcast."""
-    j = df.join(F.broadcast(weights.select(label, weight)), label, "left")
+    row per label (class dimension)."""
+    j = df.join(weights.select(label, weight), label, "left")
     term = F.col(weight) * bce_term(sigmoid(F.col(logit)), F.col(target).cast("double"))
     return j.agg(F.avg(term).alias("weighted_bce"))
 

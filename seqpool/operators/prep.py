@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from seqpool.plans.prefix import global_row_number
+from seqpool.functions.text import upper_ascii
+from seqpool.plans.prefix import global_row_number, hash_bucket
 
 SEQ_CAP = 1022      # encoder input cap: max_len 1024 minus the two terminals
 RESIDUE_CAP = 550   # residue-record truncation of the multi-label task
@@ -39,7 +40,7 @@ def nullsafe_split(df: DataFrame, set_col: str = "set", val_col: str = "validati
 
 def normalize_sequence(c: Column, cap: int = SEQ_CAP) -> Column:
     """Upper-case and cut to ``cap`` characters (the encoder's input limit)."""
-    return F.substring(F.upper(c), 1, cap)
+    return F.substring(upper_ascii(c), 1, cap)
 
 
 def truncate_arrays(cols: Sequence[str], cap: int = RESIDUE_CAP) -> list[Column]:
@@ -86,14 +87,14 @@ def residue_record(residues: Column, positions: Column) -> Column:
                     F.array_repeat(F.lit(6), n).alias("atom"))
 
 
-def pos_neg_union(pos: DataFrame, neg: DataFrame, strict: bool = False) -> DataFrame:
+def pos_neg_union(pos: DataFrame, neg: DataFrame, strict: bool = False, id_col: str = "row_id", seed: int = 12345) -> DataFrame:
     """Positives labelled 1 then negatives labelled 0.  ``strict`` reproduces the reference's
-    sizing of labels by the positives (Q2): negatives are cut to the number of positives."""
+    sizing of labels by the positives (Q2): as many negatives as positives, the first in the seeded order of ``id_col``."""
     p = pos.withColumn("label", F.lit(1).cast("bigint"))
     n = neg.withColumn("label", F.lit(0).cast("bigint"))
     if strict:
-        n_pos = pos.count()
-        n = n.limit(n_pos)
+        n_pos = pos.select(F.count(F.lit(1))).scalar()
+        n = seeded_shuffle(n, id_col, seed, out="_pos").where(F.col("_pos") < n_pos).drop("_pos")
     return p.unionByName(n)
 
 
@@ -115,7 +116,7 @@ def hash_order_key(seed: int, id_col: Column) -> Column:
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 12345, out: str = "position") -> DataFrame:
     """K4: position (0-based) of each row in the md5(seed|id) order."""
     x = df.withColumn("_h", hash_order_key(seed, F.col(id_col)))
-    r = global_row_number(x, "_h", tiebreak=[id_col], out="_rn")
+    r = global_row_number(x, "_h", tiebreak=[id_col], out="_rn", bucket=hash_bucket(F.col("_h"), 60, df.count()))
     return r.withColumn(out, F.col("_rn") - 1).drop("_h", "_rn")
 
 

@@ -37,21 +37,28 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def _erf(a: np.ndarray) -> np.ndarray:
-    return np.array([math.erf(float(x)) for x in np.ravel(a)], dtype=np.float64).reshape(np.shape(a))
+ERF_SWITCH, ERF_TERMS, ERF_LEVELS = 2.5, 40, 40
 
 
-@pandas_udf(DoubleType())
-def gelu(x: pd.Series) -> pd.Series:
-    """GELU(x) = x * Phi(x) with the exact erf (Spark has no built-in erf)."""
-    v = x.to_numpy(dtype=np.float64)
-    return pd.Series(0.5 * v * (1.0 + _erf(v / math.sqrt(2.0)).astype(np.float64)))
+def erf(x: Column) -> Column:
+    """The error function as a column expression (Spark has none): Taylor series near zero, continued fraction beyond."""
+    a = F.abs(x)
+    t = -a * a
+    series = F.lit(1.0 / (math.factorial(ERF_TERMS) * (2 * ERF_TERMS + 1)))
+    for n in range(ERF_TERMS - 1, -1, -1):  # sum of t**n / (n! (2n + 1)), by Horner's rule
+        series = F.lit(1.0 / (math.factorial(n) * (2 * n + 1))) + t * series
+    near = F.lit(2.0 / math.sqrt(math.pi)) * a * series
+    far_x = F.greatest(a, F.lit(ERF_SWITCH))
+    tail = far_x
+    for n in range(ERF_LEVELS, 0, -1):
+        tail = far_x + F.lit(n / 2.0) / tail
+    far = F.lit(1.0) - F.exp(-far_x * far_x) / (F.lit(math.sqrt(math.pi)) * tail)
+    return F.signum(x) * F.when(a < ERF_SWITCH, near).otherwise(far)
 
 
-@pandas_udf(ArrayType(DoubleType()))
-def gelu_vec(x: pd.Series) -> pd.Series:
-    return pd.Series([0.5 * (a := np.asarray(v, dtype=np.float64)) * (1.0 + _erf(a / math.sqrt(2.0)).astype(np.float64))
-                      for v in x.to_numpy()])
+def gelu(x: Column) -> Column:
+    """GELU(x) = x * Phi(x) with the exact erf."""
+    return F.lit(0.5) * x * (F.lit(1.0) + erf(x / F.lit(math.sqrt(2.0))))
 
 
 def logistic(x: Column, x0: float = 0.0, k: float = 1.0) -> Column:
@@ -60,12 +67,10 @@ def logistic(x: Column, x0: float = 0.0, k: float = 1.0) -> Column:
     return F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))
 
 
-ACTIVATIONS = {"relu": relu, "elu": elu, "sigmoid": sigmoid, "leaky_relu": leaky_relu}
+ACTIVATIONS = {"relu": relu, "elu": elu, "sigmoid": sigmoid, "leaky_relu": leaky_relu, "gelu": gelu}
 
 
 def act_vec(v: Column, name: str) -> Column:
-    if name == "gelu":
-        return gelu_vec(v)
     f = ACTIVATIONS[name]
     return F.transform(v, lambda x: f(x))
 
@@ -120,10 +125,10 @@ def multilabel_mlp(v: Column, w1: np.ndarray, w2: np.ndarray, mean1=None, var1=N
 def batch_norm(long_df: DataFrame, key: str, dim: str, value: str, eps: float = 1e-5) -> DataFrame:
     """H17 training form: per-dimension mean / population variance over all rows.
 
-    Statistics come from a partial aggregate per dimension (d rows) joined back by broadcast;
+    Statistics come from a partial aggregate per dimension (d rows) joined back;
     no window over a whole dimension (that would put every row of a dimension in one task)."""
     stats = long_df.groupBy(dim).agg(F.avg(value).alias("_mu"), F.var_pop(value).alias("_var"))
-    j = long_df.join(F.broadcast(stats), dim)
+    j = long_df.join(stats, dim)
     return j.select(key, dim, ((F.col(value) - F.col("_mu")) / F.sqrt(F.col("_var") + F.lit(eps))).alias("value"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seqpool.operators import pooling as P
 from seqpool.plans import params as PR
 from seqpool.plans import views as V
+from seqpool.session import materialise
 
 # Fixed query shapes.
 DIM = 64          # width of the driver's embedding vectors
@@ -21,6 +22,7 @@ SWE_L = 8         # slices in the checked SWE queries
 SWE_M = 16        # reference points in the checked SWE queries
 TOPK = 5
 
+WITHOUT_SQL: set[str] = set()  # registered queries that SQL cannot express
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -42,6 +44,14 @@ def swe_params(n_slices: int = SWE_L, n_ref: int = SWE_M):
 
 @query
 def pool_swe(spark, sf):
+    """The flagship: window layout (no set is collected), projection in numpy per Arrow batch."""
+    th, ref, w = swe_params()
+    out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="window", project_with="arrow")
+    return out.select("seq_id", "slice", r6("value").alias("value"))
+
+
+@query
+def pool_swe_arrays(spark, sf):
     th, ref, w = swe_params()
     out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="arrays")
     return out.select("seq_id", "slice", r6("value").alias("value"))
@@ -170,6 +180,32 @@ def metric_f1_max(spark, sf):
 IDENTITY_LEVELS = (95, 50, 30)
 
 
+def line_preds(spark, sf):
+    """A score per line with many distinct values; some scores and some groups are NULL."""
+    li = V.table(spark, sf, "lineitem")
+    score = F.col("l_extendedprice") / (F.col("l_quantity") * 2500.0)
+    return li.select(
+        F.col("l_orderkey").alias("protein"), F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_linenumber") < 7, score).alias("score"),
+        (F.col("l_returnflag") == "R").cast("bigint").alias("label"),
+        F.when(F.col("l_linestatus") == "O", F.month("l_shipdate").cast("bigint")).alias("grp"))
+
+
+@query
+def line_average_precision(spark, sf):
+    return M.average_precision(line_preds(spark, sf)).select(r6("average_precision").alias("average_precision"))
+
+
+@query
+def line_auroc_by_group(spark, sf):
+    return M.auroc(line_preds(spark, sf), group=["grp"]).select("grp", r6("auroc").alias("auroc"))
+
+
+@query
+def line_f1_max(spark, sf):
+    return M.f1_max(line_preds(spark, sf), target="label").select(r6("f1_max").alias("f1_max"))
+
+
 def _by_identity(spark, sf):
     ml = V.mlab(spark, sf)
     mem = V.members(spark, sf)
@@ -182,7 +218,7 @@ def _by_identity(spark, sf):
 
 @query
 def metric_by_identity(spark, sf):
-    x = _by_identity(spark, sf)
+    x = materialise(_by_identity(spark, sf).select("protein", "percent", "score", "target"), "by-identity")
     ap = M.average_precision(x, "score", "target", group=["percent"])
     fm = M.f1_max(x, group=["percent"])
     return ap.join(fm, "percent").select("percent", r6("average_precision").alias("micro_auprc"),
@@ -251,7 +287,7 @@ def nullsafe_split(spark, sf):
 
 @query
 def normalize_sequence(spark, sf):
-    return _docs(spark, sf).select("doc_id", PP.normalize_sequence(TX.letters(F.col("text"))).alias("seq"))
+    return _docs(spark, sf).select("doc_id", PP.normalize_sequence(TX.upper_ascii(F.col("text"))).alias("seq"))
 
 
 def _positions(res):
@@ -261,7 +297,7 @@ def _positions(res):
 
 
 def _residues(spark, sf):
-    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.letters(F.col("text"))).alias("res"))
+    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii(F.col("text"))).alias("res"))
     return d.select("doc_id", PP.residue_record(F.col("res"), _positions(F.col("res"))).alias("rec"))
 
 
@@ -287,11 +323,11 @@ def truncate_residues(spark, sf):
 
 @query
 def center_positions(spark, sf):
-    """Positions minus the per-protein mean (array aggregate; the set is bounded by the residue cap)."""
-    d = _docs(spark, sf).select("doc_id", F.slice(TX.residue_ids(TX.letters(F.col("text"))), 1, PP.RESIDUE_CAP).alias("res"))
+    """Positions of all residues minus the per-protein mean (truncation comes later)."""
+    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii(F.col("text"))).alias("res"))
     r = d.where(F.size("res") > 0).select("doc_id", PP.center_positions(_positions(F.col("res"))).alias("c"))
     ss = F.aggregate("c", F.lit(0.0), lambda a, p: a + F.aggregate(p, F.lit(0.0), lambda s, x: s + x * x))
-    return r.select("doc_id", r6(ss).alias("centered_ss"))
+    return r.select("doc_id", r6(F.sqrt(ss / F.size("c"))).alias("centered_rms"))
 
 
 @query
@@ -315,7 +351,7 @@ def trim_tokens(spark, sf):
 
 @query
 def zero_vector_fallback(spark, sf):
-    seq = TX.letters(F.col("text"))
+    seq = TX.upper_ascii(F.col("text"))
     fp = TX.dense_bits(TX.hashed_fingerprint(seq, 2048, 2), 2048)
     valid = F.length(seq) >= 3
     d = _docs(spark, sf).select("doc_id", PP.zero_fallback(fp, valid, 2048).alias("v"), (~valid).alias("rejected"))
@@ -324,14 +360,14 @@ def zero_vector_fallback(spark, sf):
 
 @query
 def hashed_fingerprint(spark, sf):
-    b = TX.ngram_buckets(TX.letters(F.col("text")), 3, 2048)
+    b = TX.ngram_buckets(TX.upper_ascii(F.col("text")), 3, 2048)
     return _docs(spark, sf).select("doc_id", F.size(b).cast("bigint").alias("n_bits"),
                                    F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bit_sum"))
 
 
 @query
 def char_tokenize(spark, sf):
-    ids = TX.char_tokenize(TX.letters(F.col("text")))
+    ids = TX.char_tokenize(TX.upper_ascii(F.col("text")))
     return _docs(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
                                    F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
                                    _wsum(ids).alias("id_wsum"))
@@ -339,7 +375,7 @@ def char_tokenize(spark, sf):
 
 @query
 def residue_ids(spark, sf):
-    ids = TX.residue_ids(TX.letters(F.col("text")))
+    ids = TX.residue_ids(TX.upper_ascii(F.col("text")))
     return _docs(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n"),
                                    F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
                                    _wsum(ids).alias("id_wsum"))
@@ -385,19 +421,37 @@ def seeded_shuffle(spark, sf):
     return PP.seeded_shuffle(_docs(spark, sf).select("doc_id"), "doc_id", SEED)
 
 
-@query
-def pad_batch(spark, sf):
-    """W2 + H9 + H10: sequences batched (B=4) in seeded order, padded with sentinel 20 to the batch maximum."""
-    from pyspark.sql import Window
+SENTINEL = 20.0
+
+
+def _padded_batches(spark, sf):
     t = V.tokens(spark, sf)
-    seqs = t.groupBy("seq_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    seqs = t.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
     b = PP.assign_batches(seqs, "seq_id", 4, SEED)
-    w = Window.partitionBy("batch_id")
-    b = b.withColumn("pad_len", F.max("n").over(w))
-    padded = F.concat(F.array_repeat(F.lit(1.0), F.col("n")), F.array_repeat(F.lit(20.0), F.col("pad_len") - F.col("n")))
-    mask = F.transform(padded, lambda x: x != F.lit(20.0))
-    return b.select("seq_id", "batch_id", F.col("n").cast("bigint").alias("n"), F.col("pad_len").cast("bigint").alias("pad_len"),
-                    F.size(F.filter(mask, lambda m: m)).cast("bigint").alias("n_valid"))
+    longest = b.groupBy("batch_id").agg(F.max("n").alias("pad_len"))
+    slots = b.join(longest, "batch_id").select(
+        "batch_id", "seq_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pad_len") - 1)).alias("pos"))
+    filled = slots.join(t, ["seq_id", "pos"], "left")
+    vec = F.coalesce(F.col("vec").cast("array<double>"), F.array_repeat(F.lit(SENTINEL), DIM))
+    return filled.select("batch_id", "seq_id", "pos", F.posexplode(vec).alias("dim", "value")).withColumn("dim", F.col("dim").cast("bigint"))
+
+
+@query
+def pad_batch(spark, sf):
+    """W2 + H9: token vectors of a sequence, padded with the sentinel to the longest of its batch (B=4, seeded order).
+
+    A row per (sequence, position, dimension) of the padded batch."""
+    x = _padded_batches(spark, sf)
+    return x.select("batch_id", "seq_id", "pos", "dim", r6("value").alias("value"))
+
+
+@query
+def sentinel_mask(spark, sf):
+    """Valid positions of the padded batch, by all dimensions and by the first one alone."""
+    x = _padded_batches(spark, sf)
+    off = (F.col("value") != F.lit(SENTINEL)).cast("bigint")
+    return x.groupBy("batch_id", "seq_id", "pos").agg(
+        F.max(off).alias("valid_any"), F.max(F.when(F.col("dim") == 0, off)).alias("valid_first"))
 
 
 @query
@@ -424,7 +478,7 @@ def group_holdout_split(spark, sf):
 
 @query
 def pair_feature_join(spark, sf):
-    x = J.pair_features(V.pairs(spark, sf), V.features(spark, sf))
+    x = J.pair_features(V.pairs(spark, sf), V.key_features(spark, sf, V.pair_keys(spark, sf)))
     return x.select("row_id", "drug_key", "target_key", "label",
                     r6(vsum("drug_vec")).alias("drug_sum"), r6(vsum("target_vec")).alias("target_sum"))
 
@@ -432,20 +486,26 @@ def pair_feature_join(spark, sf):
 @query
 def entity_feature_join(spark, sf):
     s = V.splits(spark, sf).select("doc_id", "target")
-    x = J.lookup(s, V.features(spark, sf), "doc_id", out="vec")
+    x = J.lookup(s, V.key_features(spark, sf, V.entity_keys(spark, sf)), "doc_id", out="vec")
     return x.select("doc_id", "target", r6(vsum("vec")).alias("vec_sum"))
 
 
+@query
+def unresolved_pair_keys(spark, sf):
+    """Quarantine of the pair lookup over the given vectors only: drug keys without one, and their pairs."""
+    return J.unresolved(V.pairs(spark, sf), V.features(spark, sf), "drug_key")
+
+
 @query
 def edge_feature_selfjoin(spark, sf):
-    x = J.edge_features(V.edges(spark, sf), V.features(spark, sf))
+    x = J.edge_features(V.edges(spark, sf), V.key_features(spark, sf, V.edge_keys(spark, sf)))
     return x.select("row_id", "label", r6(vsum("p0_vec")).alias("p0_sum"), r6(vsum("p1_vec")).alias("p1_sum"))
 
 
 def _resolved(spark, sf):
     e = V.edges(spark, sf)
     ids = PP.distinct_keys([(e, "p0"), (e, "p1")], out="acc")
-    prim = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("acc"), TX.letters(F.col("text")).alias("seq"))
+    prim = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("acc"), F.col("text").alias("seq"))
     fb = V.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("acc"), F.col("url").alias("seq"))
     return J.resolve(ids, prim, fb)
 
@@ -474,8 +534,8 @@ def missing_keys_anti(spark, sf):
     return J.anti(keys, V.features(spark, sf), "key").select(F.col("key").alias("drug_key"))
 
 
-def _annotations(spark, sf):
-    return ST.parse_annotation_lines(V.annot_lines(spark, sf))
+def _annotations(spark, sf, with_errors=True):
+    return ST.parse_annotation_lines(V.annot_lines(spark, sf, with_errors))
 
 
 def _vocab_index(spark, sf):
@@ -491,13 +551,13 @@ def annotation_scan(spark, sf):
 
 @query
 def annotation_join(spark, sf):
-    good, _ = J.annotation_join(V.annot_proteins(spark, sf), _annotations(spark, sf))
+    good, _ = J.annotation_join(V.annot_proteins(spark, sf), _annotations(spark, sf, False))
     return good.select("protein", F.size("codes").cast("bigint").alias("n_codes"))
 
 
 @query
 def annotation_quarantine(spark, sf):
-    _, bad = J.annotation_join(V.annot_proteins(spark, sf), _annotations(spark, sf))
+    _, bad = J.annotation_join(V.annot_proteins(spark, sf), _annotations(spark, sf, False))
     return bad.select("protein")
 
 
@@ -526,11 +586,11 @@ def class_weights(spark, sf):
 
 @query
 def multi_hot(spark, sf):
+    """Every protein's whole vector, zeros included; proteins without codes have only zeros."""
     vi = _vocab_index(spark, sf)
-    n_codes = vi.count()
-    idx = J.code_index(_annotations(spark, sf), vi)
-    mh = LB.multi_hot(idx.where(F.col("idx").isNotNull()), n_codes)
-    return mh.select("protein", F.posexplode("multi_hot").alias("idx", "value")).where(F.col("value") > 0).select(
+    a = _annotations(spark, sf)
+    mh = LB.multi_hot(a.select("protein"), J.code_index(a, vi), vi)
+    return mh.select("protein", F.posexplode("multi_hot").alias("idx", "value")).select(
         "protein", F.col("idx").cast("bigint").alias("idx"), F.col("value").cast("double").alias("value"))
 
 
@@ -559,6 +619,7 @@ from seqpool.operators import score as SC  # noqa: E402
 from seqpool.functions.vec import cosine as _cos, dot as _dot, euclidean as _euc, norm as _norm, sq_euclidean as _sqe  # noqa: E402
 
 PROJ_OUT = 8
+EVERY_N_VAL = 5
 
 
 def _bias(n):
@@ -572,7 +633,21 @@ def _proj_long(spark, sf):
 
 
 def _pair_vecs(spark, sf):
-    return J.pair_features(V.pairs(spark, sf), V.features(spark, sf))
+    return J.pair_features(V.pairs(spark, sf), V.key_features(spark, sf, V.pair_keys(spark, sf)))
+
+
+def _scored_pairs(spark, sf, act, cosine):
+    """Each distinct key is projected once (with its norm); the narrow vectors are joined, one dot per pair."""
+    f = V.key_features(spark, sf, V.pair_keys(spark, sf))
+    sides = []
+    for offset in (0, 5):
+        h = f.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM, offset), act=act).alias("h"))
+        sides.append(materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected"))
+    x = J.lookup(V.pairs(spark, sf), sides[0], "drug_key", cols={"h": "hd", "norm": "nd"})
+    x = J.lookup(x, sides[1], "target_key", cols={"h": "ht", "norm": "nt"})
+    inner = _dot("hd", "ht")
+    score = F.least(F.greatest(inner / (F.col("nd") * F.col("nt")), F.lit(-1.0)), F.lit(1.0)) if cosine else inner
+    return x.select("row_id", r6(score).alias("score"))
 
 
 @query
@@ -643,11 +718,33 @@ def batch_norm(spark, sf):
     return SC.batch_norm(long, "key", "dim", "x").select("key", "dim", r6("value").alias("value"))
 
 
+@query
+def linspace_reference(spark, sf):
+    """H4: M evenly spaced points on [-1, 1] per set (M = its size); the single point of M = 1 is -1."""
+    n = V.tokens(spark, sf).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+    x = n.select("seq_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    point = F.lit(-1.0) + F.coalesce(F.try_divide(F.lit(2.0) * F.col("i"), (F.col("n") - 1).cast("double")), F.lit(0.0))
+    return x.select("seq_id", "i", r6(point).alias("x"))
+
+
+@query
+def run_summary(spark, sf):
+    """Per run, the mean seconds of an epoch (divided by the evaluation cadence), wall clock and evaluation seconds."""
+    ep = V.epochs(spark, sf)
+    start, end = (F.unix_micros(F.col(c).cast("timestamp")) / 1e6 for c in ("t_start", "t_end"))
+    return ep.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_epochs"), r6(F.avg((end - start) / EVERY_N_VAL)).alias("epoch_time"),
+        r6(F.max(end) - F.min(start)).alias("wall_clock"), r6(F.max_by(end - start, "epoch")).alias("eval_time"))
+
+
 @query
 def step_counter(spark, sf):
+    """Steps before each batch, epoch * batches * B + i * B."""
     n_rows = V.pairs(spark, sf).select(F.count(F.lit(1))).scalar()
     n_batches = F.ceil(n_rows / F.lit(float(BATCH)))
-    return V.epochs(spark, sf).select("run_id", "epoch", (F.col("epoch") * n_batches * BATCH).cast("bigint").alias("step"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), (n_batches - 1).cast("bigint"))).alias("i")
+    x = V.epochs(spark, sf).select("run_id", "epoch", every)
+    return x.select("run_id", "epoch", "i", (F.col("epoch") * n_batches * BATCH + F.col("i") * BATCH).cast("bigint").alias("step"))
 
 
 @query
@@ -675,21 +772,28 @@ def plateau_schedule(spark, sf):
 
 @query
 def score_pairs_cosine(spark, sf):
-    s = SC.score_cosine(F.col("drug_vec"), F.col("target_vec"), PR.projector(PROJ_OUT, DIM), PR.projector(PROJ_OUT, DIM, 5))
-    return _pair_vecs(spark, sf).select("row_id", r6(s).alias("score"))
+    return _scored_pairs(spark, sf, "relu", cosine=True)
 
 
 @query
 def score_pairs_inner(spark, sf):
-    s = SC.score_inner(F.col("drug_vec"), F.col("target_vec"), PR.projector(PROJ_OUT, DIM), PR.projector(PROJ_OUT, DIM, 5))
-    return _pair_vecs(spark, sf).select("row_id", r6(s).alias("score"))
+    return _scored_pairs(spark, sf, "relu", cosine=False)
+
+
+@query
+def score_pairs_gelu(spark, sf):
+    return _scored_pairs(spark, sf, "gelu", cosine=False)
 
 
 @query
 def score_edges(spark, sf):
-    x = J.edge_features(V.edges(spark, sf), V.features(spark, sf))
-    w = PR.projector(PROJ_OUT, DIM)
-    return x.select("row_id", r6(SC.score_cosine(F.col("p0_vec"), F.col("p1_vec"), w, w)).alias("score"))
+    f = V.key_features(spark, sf, V.edge_keys(spark, sf))
+    h = f.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM), act="relu").alias("h"))
+    h = materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected")
+    x = J.lookup(V.edges(spark, sf), h, "p0", cols={"h": "ha", "norm": "na"})
+    x = J.lookup(x, h, "p1", cols={"h": "hb", "norm": "nb"})
+    score = _dot("ha", "hb") / (F.col("na") * F.col("nb"))
+    return x.select("row_id", r6(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))).alias("score"))
 
 
 @query

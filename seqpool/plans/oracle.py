@@ -73,7 +73,7 @@ qv AS (SELECT seq_id, slice, w, r, {quantile_sql()} AS q FROM qs)
 SELECT seq_id, CAST(slice AS BIGINT) AS slice, round(sum(w * (r - q)), 6) AS value
 FROM qv GROUP BY seq_id, slice"""
 
-SQL["pool_swe_window"] = SQL["pool_swe"]
+SQL["pool_swe_window"] = SQL["pool_swe_arrays"] = SQL["pool_swe"]
 SQL["pool_swe_numpy"] = SQL["pool_swe"]
 
 SQL["swe_displacement"] = f"""{SWE_PREFIX},
@@ -214,6 +214,31 @@ f AS (SELECT {"pp." + group + ", " if group else ""}pp.t, avg(pp.tp / pp.k) AS p
       GROUP BY ALL)"""
 
 
+LINE_PREDS = """lp AS (SELECT l_orderkey AS protein, l_extendedprice / (l_quantity * 2500.0::DOUBLE) AS score,
+              CAST(l_returnflag = 'R' AS BIGINT) AS label, CASE WHEN l_linestatus = 'O' THEN CAST(month(l_shipdate) AS BIGINT) END AS grp
+       FROM lineitem WHERE l_linenumber < 7)"""
+
+SQL["line_average_precision"] = f"""WITH {LINE_PREDS},
+{ap_sql('lp', 'score', 'label')}
+SELECT round(sum(tp * ctp / (ctp + cfp)) / max(ttp), 6) AS average_precision FROM cc"""
+
+SQL["line_auroc_by_group"] = f"""WITH {LINE_PREDS},
+{ap_sql('lp', 'score', 'label', 'grp')}
+SELECT grp, round(sum(fp * (2 * ctp - tp)) / 2.0::DOUBLE / nullif(max(ttp) * max(tfp), 0), 6) AS auroc FROM cc GROUP BY grp"""
+
+SQL["line_f1_max"] = f"""WITH {LINE_PREDS},
+s AS (SELECT protein, score, count(*)::DOUBLE AS k, sum(label)::DOUBLE AS h FROM lp GROUP BY 1, 2),
+r AS (SELECT protein, score, sum(k) OVER w AS ck, sum(h) OVER w AS ch, sum(h) OVER (PARTITION BY protein) AS np,
+             row_number() OVER (PARTITION BY protein ORDER BY score DESC) AS rk
+      FROM s WINDOW w AS (PARTITION BY protein ORDER BY score DESC)),
+d AS (SELECT score, ch / ck - coalesce(lag(ch / ck) OVER p, 0) AS dp,
+             (ch - coalesce(lag(ch) OVER p, 0)) / (np + 1e-10::DOUBLE) AS dr, CASE WHEN rk = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ds
+      FROM r WINDOW p AS (PARTITION BY protein ORDER BY score DESC)),
+t AS (SELECT score, sum(dp) AS dp, sum(dr) AS dr, sum(ds) AS ds FROM d GROUP BY score),
+c AS (SELECT sum(dp) OVER (ORDER BY score DESC) / sum(ds) OVER (ORDER BY score DESC) AS p,
+             sum(dr) OVER (ORDER BY score DESC) / sum(ds) OVER () AS r FROM t)
+SELECT round(max(2 * p * r / (p + r + 1e-10::DOUBLE)), 6) AS f1_max FROM c"""
+
 SQL["metric_f1_max"] = f"""WITH {MLAB},
 {fmax_sql('mlab')}
 SELECT round(max(2 * p * r / (p + r + 1e-10::DOUBLE)), 6) AS f1_max FROM f"""
@@ -298,7 +323,8 @@ srows AS (
 
 
 def letters(x: str) -> str:
-    return f"upper(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+    """a-z upper-cased, everything else as it is."""
+    return f"translate({x}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
 def chars(x: str) -> str:
@@ -342,10 +368,10 @@ SQL["truncate_residues"] = f"""WITH r AS (SELECT doc_id, ({RES})[1:550] AS res F
 SELECT doc_id, CAST(len(res) AS BIGINT) AS n, {wsum('res')} AS residue_wsum,
        CAST(len(res) * (len(res) - 1) / 2 AS BIGINT) AS number_sum FROM r"""
 
-SQL["center_positions"] = f"""WITH r AS (SELECT doc_id, ({RES})[1:550] AS res FROM documents),
+SQL["center_positions"] = f"""WITH r AS (SELECT doc_id, ({RES}) AS res FROM documents),
 e AS (SELECT doc_id, CAST(unnest(res) AS DOUBLE) AS x0, CAST(unnest(range(len(res))) AS DOUBLE) AS x1 FROM r),
 e2 AS (SELECT doc_id, x0, x1, CAST((CAST(x1 AS BIGINT) * CAST(x1 AS BIGINT)) % 17 AS DOUBLE) AS x2 FROM e)
-SELECT doc_id, round(count(*) * (var_pop(x0) + var_pop(x1) + var_pop(x2)), 6) AS centered_ss FROM e2 GROUP BY doc_id"""
+SELECT doc_id, round(sqrt(var_pop(x0) + var_pop(x1) + var_pop(x2)), 6) AS centered_rms FROM e2 GROUP BY doc_id"""
 
 SQL["sanitize_key"] = """SELECT page_id, replace(url, '/', '|') AS key FROM pages"""
 
@@ -390,9 +416,17 @@ FROM documents"""
 
 SQL["pad_batch"] = f"""WITH {TOKENS},
 s AS (SELECT seq_id, count(*) AS n FROM tokens GROUP BY seq_id),
-b AS (SELECT seq_id, n, (row_number() OVER (ORDER BY {HASH_ORDER.format(x='seq_id')}, seq_id) - 1) // 4 AS batch_id FROM s)
-SELECT seq_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(n AS BIGINT) AS n,
-       CAST(max(n) OVER (PARTITION BY batch_id) AS BIGINT) AS pad_len, CAST(n AS BIGINT) AS n_valid FROM b"""
+b AS (SELECT seq_id, n, CAST((row_number() OVER (ORDER BY {HASH_ORDER.format(x='seq_id')}, seq_id) - 1) // 4 AS BIGINT) AS batch_id FROM s),
+slots AS (SELECT batch_id, seq_id, CAST(unnest(range((SELECT max(n) FROM b b2 WHERE b2.batch_id = b.batch_id))) AS BIGINT) AS pos FROM b),
+padded AS (SELECT slots.batch_id, slots.seq_id, slots.pos, CAST(d.d AS BIGINT) AS dim,
+                  coalesce(CAST(t.vec[d.d + 1] AS DOUBLE), 20.0::DOUBLE) AS value
+           FROM slots LEFT JOIN tokens t ON slots.seq_id = t.seq_id AND slots.pos = t.pos, range(64) d(d))
+SELECT batch_id, seq_id, pos, dim, round(value, 6) AS value FROM padded"""
+
+SQL["sentinel_mask"] = SQL["pad_batch"].rsplit("SELECT batch_id, seq_id, pos, dim", 1)[0] + """SELECT batch_id, seq_id, pos,
+  CAST(max(CASE WHEN value <> 20.0::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS valid_any,
+  CAST(max(CASE WHEN dim = 0 AND value <> 20.0::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS valid_first
+FROM padded GROUP BY batch_id, seq_id, pos"""
 
 FIRST_APPEAR = """fa AS (SELECT target, min(doc_id) AS first FROM srows WHERE split = 'train' GROUP BY target),
 idx AS (SELECT target, CAST(row_number() OVER (ORDER BY first, target) - 1 AS BIGINT) AS idx FROM fa)"""
@@ -410,22 +444,40 @@ SQL["group_holdout_split"] = """SELECT doc_id, source,
 
 VSUM = "round(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE))), 6)"
 
-SQL["pair_feature_join"] = f"""WITH {PAIRS}
-SELECT p.row_id, p.drug_key, p.target_key, p.label, {VSUM.format(v='a.embedding')} AS drug_sum,
-       {VSUM.format(v='b.embedding')} AS target_sum
-FROM pairs p JOIN embeddings a ON p.drug_key = a.vec_id JOIN embeddings b ON p.target_key = b.vec_id"""
 
-SQL["entity_feature_join"] = f"""WITH {SPLITS}
-SELECT s.doc_id, s.target, {VSUM.format(v='e.embedding')} AS vec_sum FROM splits s JOIN embeddings e ON s.doc_id = e.vec_id"""
 
-SQL["edge_feature_selfjoin"] = f"""WITH {EDGES}
-SELECT x.row_id, x.label, {VSUM.format(v='a.embedding')} AS p0_sum, {VSUM.format(v='b.embedding')} AS p1_sum
-FROM edges x JOIN embeddings a ON x.p0 = CAST(a.vec_id AS VARCHAR) JOIN embeddings b ON x.p1 = CAST(b.vec_id AS VARCHAR)"""
+def key_vectors(source: str) -> str:
+    """kv: (key, i, x) of the hash encoder, 64 wide, for the distinct keys of ``source`` (one column, key)."""
+    return f"""kk AS (SELECT DISTINCT CAST(key AS VARCHAR) AS key FROM ({source})),
+kv AS (SELECT kk.key, CAST(g.i AS BIGINT) AS i,
+              CAST(CAST(('0x' || substr(md5(kk.key || '|' || CAST(g.i AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS FLOAT) AS DOUBLE) AS x
+       FROM kk, range(64) g(i)),
+kl AS (SELECT key, list(x ORDER BY i) AS vec, sum(x) AS total FROM kv GROUP BY key)"""
+
+
+LINE_KEYS = "SELECT l_partkey AS key FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem"
+
+SQL["pair_feature_join"] = f"""WITH {PAIRS},
+{key_vectors(LINE_KEYS)}
+SELECT p.row_id, p.drug_key, p.target_key, p.label, round(a.total, 6) AS drug_sum, round(b.total, 6) AS target_sum
+FROM pairs p LEFT JOIN kl a ON CAST(p.drug_key AS VARCHAR) = a.key LEFT JOIN kl b ON CAST(p.target_key AS VARCHAR) = b.key"""
+
+SQL["entity_feature_join"] = f"""WITH {SPLITS},
+{key_vectors("SELECT doc_id AS key FROM documents")}
+SELECT s.doc_id, s.target, round(k.total, 6) AS vec_sum FROM splits s LEFT JOIN kl k ON CAST(s.doc_id AS VARCHAR) = k.key"""
+
+SQL["edge_feature_selfjoin"] = f"""WITH {EDGES},
+{key_vectors(LINE_KEYS)}
+SELECT x.row_id, x.label, round(a.total, 6) AS p0_sum, round(b.total, 6) AS p1_sum
+FROM edges x LEFT JOIN kl a ON x.p0 = a.key LEFT JOIN kl b ON x.p1 = b.key"""
+
+SQL["unresolved_pair_keys"] = f"""WITH {PAIRS}
+SELECT drug_key AS key, count(*) AS n_rows FROM pairs WHERE drug_key NOT IN (SELECT vec_id FROM embeddings) GROUP BY drug_key"""
 
 RESOLVED = f"""{EDGES},
 ids AS (SELECT DISTINCT acc FROM (SELECT p0 AS acc FROM edges UNION ALL SELECT p1 FROM edges)),
 r AS (SELECT ids.acc, d.s AS ps, pg.url AS fs FROM ids
-      LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS acc, {letters('text')} AS s FROM documents) d ON ids.acc = d.acc
+      LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS acc, text AS s FROM documents) d ON ids.acc = d.acc
       LEFT JOIN (SELECT CAST(page_id AS VARCHAR) AS acc, url FROM pages) pg ON ids.acc = pg.acc)"""
 
 SQL["resolve_accession"] = f"""WITH {RESOLVED}
@@ -446,7 +498,7 @@ annot AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS protein,
                  list_filter(string_split(CASE WHEN k % 10 = 0 THEN ''
                                                WHEN k % 4 = 0 THEN event_type || ',k' || CAST(k % 7 AS VARCHAR) || ',' || event_type
                                                ELSE event_type || ',k' || CAST(k % 7 AS VARCHAR) END, ','), lambda x: x <> '') AS codes
-          FROM ev WHERE event_type <> 'error'),
+          FROM ev),
 vocab AS (SELECT code, CAST(row_number() OVER (ORDER BY code) - 1 AS BIGINT) AS idx FROM
           (SELECT DISTINCT event_type AS code FROM events UNION SELECT 'k' || CAST(range AS VARCHAR) FROM range(8))),
 ex AS (SELECT protein, CAST(unnest(range(len(codes))) AS BIGINT) AS pos, unnest(codes) AS code FROM annot)"""
@@ -455,7 +507,7 @@ SQL["annotation_scan"] = f"""WITH {ANNOT} SELECT protein, pos, code FROM ex"""
 
 SQL["annotation_join"] = f"""WITH {ANNOT}
 SELECT 'e' || CAST(e.event_id AS VARCHAR) AS protein, CAST(len(a.codes) AS BIGINT) AS n_codes
-FROM events e JOIN annot a ON 'e' || CAST(e.event_id AS VARCHAR) = a.protein"""
+FROM events e JOIN annot a ON 'e' || CAST(e.event_id AS VARCHAR) = a.protein WHERE e.event_type <> 'error'"""
 
 SQL["annotation_quarantine"] = """SELECT 'e' || CAST(event_id AS VARCHAR) AS protein FROM events WHERE event_type = 'error'"""
 
@@ -468,17 +520,20 @@ SELECT vocab.code, vocab.idx, CAST(coalesce(f.freq, 0) AS BIGINT) AS freq FROM v
 SQL["class_weights"] = f"""WITH {ANNOT},
 f AS (SELECT code, count(*) AS freq FROM ex GROUP BY code),
 lf AS (SELECT vocab.code, vocab.idx, CAST(coalesce(f.freq, 0) AS BIGINT) AS freq FROM vocab LEFT JOIN f ON vocab.code = f.code)
-SELECT code, idx, freq, round((SELECT count(*) FROM annot)::DOUBLE / nullif(freq, 0)::DOUBLE, 6) AS weight FROM lf"""
+SELECT code, idx, freq, round((SELECT count(DISTINCT protein) FROM annot)::DOUBLE / nullif(freq, 0)::DOUBLE, 6) AS weight FROM lf"""
 
 SQL["multi_hot"] = f"""WITH {ANNOT}
-SELECT DISTINCT ex.protein, vocab.idx, 1.0::DOUBLE AS value FROM ex JOIN vocab ON ex.code = vocab.code"""
+SELECT annot.protein, vocab.idx, CASE WHEN list_contains(annot.codes, vocab.code) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+FROM annot, vocab"""
 
 SQL["align_pred_label"] = f"""WITH {REG_ID} SELECT row_id, round(p, 6) AS p, round(y, 6) AS y FROM reg"""
 
-SQL["fasta_records"] = f"""SELECT CAST(doc_id AS VARCHAR) AS acc, {letters('text')} AS seq FROM documents"""
+FASTA_BODY = letters("regexp_replace(text, '[\\s>]+', '', 'g')")
+
+SQL["fasta_records"] = f"""SELECT CAST(doc_id AS VARCHAR) AS acc, {FASTA_BODY} AS seq FROM documents"""
 
 SQL["fasta_lines"] = f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) || ' ' || lang AS name,
-                   regexp_extract_all({letters('text')}, '.{{1,60}}') AS ch FROM documents)
+                   regexp_extract_all({FASTA_BODY}, '.{{1,60}}') AS ch FROM documents)
 SELECT name, CAST(unnest(range(len(ch))) AS BIGINT) AS line_no, unnest(ch) AS seq FROM c"""
 
 # ---------------------------------------------------------------------------------- vector functions, heads
@@ -516,8 +571,9 @@ SELECT row_id, round(least(greatest(1.0::DOUBLE / (1.0::DOUBLE + exp(-10.0::DOUB
 FROM preds"""
 
 PAIRV = f"""{PAIRS},
-pv AS (SELECT p.row_id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b
-       FROM pairs p JOIN embeddings a ON p.drug_key = a.vec_id JOIN embeddings b ON p.target_key = b.vec_id)"""
+{key_vectors(LINE_KEYS)},
+pv AS (SELECT p.row_id, a.vec AS a, b.vec AS b
+       FROM pairs p LEFT JOIN kl a ON CAST(p.drug_key AS VARCHAR) = a.key LEFT JOIN kl b ON CAST(p.target_key AS VARCHAR) = b.key)"""
 
 COS = """least(greatest(list_inner_product({a}, {b}) / (greatest(sqrt(list_inner_product({a}, {a})), 1e-8::DOUBLE)
         * greatest(sqrt(list_inner_product({b}, {b})), 1e-8::DOUBLE)), -1.0::DOUBLE), 1.0::DOUBLE)"""
@@ -531,11 +587,6 @@ SELECT row_id, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k
 
 SQL["inner_product"] = f"""WITH {PAIRV} SELECT row_id, round(list_inner_product(a, b), 6) AS inner FROM pv"""
 
-SQL["masked_softmax"] = f"""WITH {TOKENS},
-{TOKEN_DIMS}
-SELECT seq_id, pos, dim, round(exp(x - max(x) OVER (PARTITION BY seq_id, dim)) / sum(exp(x - max(x) OVER (PARTITION BY seq_id, dim))) OVER (PARTITION BY seq_id, dim), 6) AS value
-FROM tdims"""
-
 SQL["masked_softmax"] = f"""WITH {TOKENS},
 {TOKEN_DIMS},
 m AS (SELECT seq_id, dim, max(x) AS mx FROM tdims GROUP BY seq_id, dim),
@@ -546,8 +597,21 @@ SQL["batch_norm"] = f"""WITH {FDIMS},
 s AS (SELECT i, avg(x) AS mu, var_pop(x) AS va FROM fdims GROUP BY i)
 SELECT fdims.key, fdims.i AS dim, round((fdims.x - s.mu) / sqrt(s.va + 1e-5::DOUBLE), 6) AS value FROM fdims JOIN s ON fdims.i = s.i"""
 
-SQL["step_counter"] = f"""WITH {EPOCHS}
-SELECT run_id, epoch, CAST(epoch * ceil((SELECT count(*) FROM lineitem) / 32.0::DOUBLE) * 32 AS BIGINT) AS step FROM epochs"""
+SQL["step_counter"] = f"""WITH {EPOCHS},
+b AS (SELECT CAST(ceil(count(*) / 32.0::DOUBLE) AS BIGINT) AS b FROM lineitem),
+x AS (SELECT run_id, epoch, b, CAST(unnest(range(b)) AS BIGINT) AS i FROM epochs, b)
+SELECT run_id, epoch, i, CAST(epoch * b * 32 + i * 32 AS BIGINT) AS step FROM x"""
+
+SQL["linspace_reference"] = f"""WITH {TOKENS},
+n AS (SELECT seq_id, count(*) AS n FROM tokens GROUP BY seq_id),
+x AS (SELECT seq_id, n, CAST(unnest(range(n)) AS BIGINT) AS i FROM n)
+SELECT seq_id, i, round(CASE WHEN n = 1 THEN -1.0::DOUBLE ELSE (i * 1.0::DOUBLE - (n - 1 - i)) / (n - 1) END, 6) AS x FROM x"""
+
+SQL["run_summary"] = f"""WITH {EPOCHS},
+s AS (SELECT *, date_diff('microsecond', t_start, t_end) / 1e6::DOUBLE AS sec FROM epochs)
+SELECT run_id, count(*) AS n_epochs, round(avg(sec / 5.0::DOUBLE), 6) AS epoch_time,
+       round(date_diff('microsecond', min(t_start), max(t_end)) / 1e6::DOUBLE, 6) AS wall_clock,
+       round(arg_max(sec, epoch), 6) AS eval_time FROM s GROUP BY run_id"""
 
 SQL["checkpoint_events"] = f"""WITH {EPOCHS},
 p AS (SELECT run_id, epoch, v, greatest(coalesce(max(v) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 0.0::DOUBLE) AS prev FROM epochs)
@@ -560,32 +624,47 @@ SQL["cosine_restart_lr"] = f"""WITH {EPOCHS}
 SELECT run_id, epoch, round(1e-4::DOUBLE / 2.0::DOUBLE * (1.0::DOUBLE + cos(pi() * (epoch % 10) / 10.0::DOUBLE)) * 1e6::DOUBLE, 6) AS lr_e6 FROM epochs"""
 
 
-def hidden(name: str, offset: int) -> str:
+def hidden(name: str, offset: int, act: str = "greatest({z}, 0.0::DOUBLE)") -> str:
     return f"""{wmat('w' + name, 8, 64, offset)},
-z{name} AS (SELECT fdims.key, w{name}.o, greatest(sum(w{name}.w * fdims.x), 0.0::DOUBLE) AS h
-            FROM fdims JOIN w{name} ON fdims.i = w{name}.i GROUP BY fdims.key, w{name}.o),
+y{name} AS (SELECT kv.key, w{name}.o, sum(w{name}.w * kv.x) AS z
+            FROM kv JOIN w{name} ON kv.i = w{name}.i GROUP BY kv.key, w{name}.o),
+z{name} AS (SELECT key, o, {act.format(z='z')} AS h FROM y{name}),
 h{name} AS (SELECT key, list(h ORDER BY o) AS h FROM z{name} GROUP BY key)"""
 
 
 SQL["score_pairs_cosine"] = f"""WITH {PAIRS},
-{FDIMS},
+{key_vectors(LINE_KEYS)},
 {hidden('d', 0)},
 {hidden('t', 5)}
 SELECT p.row_id, round({COS.format(a='hd.h', b='ht.h')}, 6) AS score
-FROM pairs p JOIN hd ON p.drug_key = hd.key JOIN ht ON p.target_key = ht.key"""
+FROM pairs p LEFT JOIN hd ON CAST(p.drug_key AS VARCHAR) = hd.key LEFT JOIN ht ON CAST(p.target_key AS VARCHAR) = ht.key"""
 
-SQL["score_pairs_inner"] = f"""WITH {PAIRS},
-{FDIMS},
-{hidden('d', 0)},
-{hidden('t', 5)}
+
+def erf(x: str) -> str:
+    """Taylor sum and asymptotic continued fraction, written as list sums."""
+    near = (f"2.0::DOUBLE / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: "
+            f"(CASE WHEN n % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * pow({x}, 2 * n + 1) / (factorial(CAST(least(n, 20) AS INTEGER))"
+            f" * list_product(list_transform(range(21, greatest(n + 1, 21)), lambda k: CAST(k AS DOUBLE)) || [1.0::DOUBLE]) * (2 * n + 1))))")
+    return near
+
+
+GELU = "0.5::DOUBLE * {z} * (1.0::DOUBLE + " + erf("({z} / sqrt(2.0::DOUBLE))") + ")"
+
+for _name, _act in (("score_pairs_inner", "greatest({z}, 0.0::DOUBLE)"), ("score_pairs_gelu", GELU)):
+    SQL[_name] = f"""WITH {PAIRS},
+{key_vectors(LINE_KEYS)},
+{hidden('d', 0, _act)},
+{hidden('t', 5, _act)}
 SELECT p.row_id, round(list_inner_product(hd.h, ht.h), 6) AS score
-FROM pairs p JOIN hd ON p.drug_key = hd.key JOIN ht ON p.target_key = ht.key"""
+FROM pairs p LEFT JOIN hd ON CAST(p.drug_key AS VARCHAR) = hd.key LEFT JOIN ht ON CAST(p.target_key AS VARCHAR) = ht.key"""
+
+SQL["gelu"] = f"""WITH {Z8} SELECT key, o, round({GELU.format(z='z')}, 6) AS gelu FROM z"""
 
 SQL["score_edges"] = f"""WITH {EDGES},
-{FDIMS},
+{key_vectors(LINE_KEYS)},
 {hidden('d', 0)}
 SELECT x.row_id, round({COS.format(a='a.h', b='b.h')}, 6) AS score
-FROM edges x JOIN hd a ON x.p0 = CAST(a.key AS VARCHAR) JOIN hd b ON x.p1 = CAST(b.key AS VARCHAR)"""
+FROM edges x LEFT JOIN hd a ON x.p0 = a.key LEFT JOIN hd b ON x.p1 = b.key"""
 
 SQL["score_classes"] = f"""WITH {EMB_LOGITS}
 SELECT vec_id, CAST(first(o ORDER BY z DESC, o ASC) AS BIGINT) AS pred FROM lg GROUP BY vec_id"""
@@ -618,14 +697,33 @@ FROM documents d, range(8) g(i)"""
 VEC8SUM = f"""(SELECT round(sum(CAST(CAST({HASH8.format(s='{s}')} AS FLOAT) AS DOUBLE)), 6) FROM range(8) g(i))"""
 
 SQL["feature_store_roundtrip"] = f"""SELECT md5(key) AS key_md5, 'hash8' AS model, {VEC8SUM.format(s='key')} AS vec_sum
-FROM (SELECT DISTINCT replace(text, '/', '|') AS key FROM documents)"""
+FROM (SELECT DISTINCT text AS key FROM documents)"""
 
 SQL["feature_store_fallback"] = f"""SELECT doc_id,
-  CASE WHEN replace(text, '/', '|') IN (SELECT replace(text, '/', '|') FROM benchmark) THEN 'store' ELSE 'encoded' END AS source,
-  CASE WHEN replace(text, '/', '|') IN (SELECT replace(text, '/', '|') FROM benchmark) THEN {VEC8SUM.format(s="replace(text, '/', '|')")}
-       ELSE {VEC8SUM.format(s='text')} END AS vec_sum
+  CASE WHEN text IN (SELECT text FROM benchmark) THEN 'store' ELSE 'encoded' END AS source, {VEC8SUM.format(s='text')} AS vec_sum
 FROM documents"""
 
 SQL["metrics_sink"] = f"""WITH {EPOCHS}
 SELECT run_id, epoch, 'val/v' AS metric, round(v, 6) AS value FROM epochs
 UNION ALL SELECT run_id, epoch, 'charts/epoch_time', round(date_diff('microsecond', t_start, t_end) / 1e6::DOUBLE, 6) FROM epochs"""
+
+
+def plateau(mode: str) -> str:
+    """The scheduler as a recursive query: one step per epoch and run."""
+    start, better = ("'Infinity'", "n.v < f.best * (1.0::DOUBLE - 1e-4::DOUBLE)") if mode == "min" else (
+        "'-Infinity'", "n.v > f.best * (1.0::DOUBLE + 1e-4::DOUBLE)")
+    return f"""f_{mode} AS (
+  SELECT run_id, 0::BIGINT AS rn, NULL::BIGINT AS epoch, {start}::DOUBLE AS best, 0 AS bad, 1e-3::DOUBLE AS lr FROM (SELECT DISTINCT run_id FROM epochs)
+  UNION ALL
+  SELECT n.run_id, n.rn, n.epoch, CASE WHEN {better} THEN n.v ELSE f.best END,
+         CASE WHEN {better} THEN 0 WHEN f.bad + 1 > 5 THEN 0 ELSE f.bad + 1 END,
+         CASE WHEN NOT ({better}) AND f.bad + 1 > 5 THEN greatest(f.lr * 0.6::DOUBLE, 0.0::DOUBLE) ELSE f.lr END
+  FROM f_{mode} f JOIN numbered n ON n.run_id = f.run_id AND n.rn = f.rn + 1)"""
+
+
+SQL["plateau_schedule"] = f"""WITH RECURSIVE {EPOCHS},
+numbered AS (SELECT run_id, epoch, v, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS rn FROM epochs),
+{plateau('min')},
+{plateau('max')}
+SELECT run_id, 'min' AS mode, epoch, round(lr * 1e6::DOUBLE, 6) AS lr_e6 FROM f_min WHERE rn > 0
+UNION ALL SELECT run_id, 'max', epoch, round(lr * 1e6::DOUBLE, 6) FROM f_max WHERE rn > 0"""

@@ -1,16 +1,18 @@
 """Distributed running sums over a global order (no single-partition window over the data).
 
 A plain ``sum() OVER (ORDER BY x)`` without PARTITION BY moves every row into one task.
-Here the order column is cut into K value ranges (bucket boundaries from one
-``approxQuantile`` job; K floats reach the driver), then
+Here the order column is cut into value ranges (buckets) and then
 
-  1. per bucket totals                      -> K rows
-  2. exclusive offsets over the K totals    -> window over K rows (bounded by K, not the data)
-  3. running sum inside each bucket         -> window PARTITION BY bucket (parallel, spillable)
-  4. running = inner + offset               -> broadcast join of the K-row offset table
+  1. running sum inside each bucket         -> window PARTITION BY bucket (parallel, spillable)
+  2. per bucket totals                      -> from the same exchange, one row per bucket
+  3. exclusive offsets over the totals      -> window over one row per bucket and group
+  4. running = inner + offset               -> null-safe join on group and bucket
 
-Bucket assignment is a pure function of the value (``Bucketizer``), so ties never straddle
-buckets and a recomputed partition after executor loss lands in the same bucket.
+Buckets hold about ``ROWS_PER_BUCKET`` rows, so their number grows with the data.  Their bounds come from one
+``percentile_approx`` job, or, for keys that are hashes, from the key's leading bits without any job.  A bucket is a
+pure function of the value, so ties never straddle buckets and a recomputed partition lands in the same bucket.
+
+NULL and NaN order values come last, after all others, in either direction; NULL groups are groups like others.
 """
 
 from __future__ import annotations
@@ -18,29 +20,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 8192  # bound on the broadcast offset table (rows)
+ROWS_PER_BUCKET = 1 << 17
 
 
-def _boundaries(df: DataFrame, col: str, k: int, rel_err: float) -> list[float]:
+def _boundaries(df: DataFrame, col: str, rows_per_bucket: int) -> list[float]:
+    """Approximate quantiles that cut the non-null values in buckets; strictly increasing."""
+    x = F.col(col).cast("double")
+    x = F.when(~F.isnan(x), x)
+    n = df.agg(F.count(x)).first()[0]
+    k = -(-n // rows_per_bucket)
     if k <= 1:
         return []
     probs = [i / k for i in range(1, k)]
-    accuracy = max(1, int(round(1.0 / rel_err)))
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("q")).first()
-    qs = row["q"] if row is not None and row["q"] is not None else []
-    out = []
-    for q in qs:
-        if q is not None and (not out or q > out[-1]):
-            out.append(float(q))
-    return out
+    qs = df.agg(F.percentile_approx(x, probs, max(1000, 10 * k))).first()[0] or []
+    return sorted({float(q) for q in qs})
 
 
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, 4 * n))
+def hash_bucket(key: Column, key_bits: int, n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """Bucket of a uniformly distributed non-negative key: its leading bits, as many as ``n_rows`` call for."""
+    bits = max(0, (max(1, n_rows) // rows_per_bucket).bit_length())
+    return F.shiftright(key, key_bits - bits).cast("int")
 
 
 def running_sums(
@@ -50,39 +52,51 @@ def running_sums(
     descending: bool = True,
     partition_by: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
-    n_buckets: int | None = None,
-    rel_err: float = 1e-3,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in the order) and ``tot_<c>`` (total) for each value column.
 
     Rows equal on (partition_by, order_col, tiebreak) get arbitrary relative order, so collapse
-    ties first (group by the order value) when ties must count together."""
-    k = n_buckets or default_buckets(df)
-    k = max(1, min(MAX_BUCKETS, k))
-    bounds = _boundaries(df, order_col, k, rel_err)
-    splits = [float("-inf")] + bounds + [float("inf")]
-    work = df.withColumn("_ord", F.col(order_col).cast("double"))
-    if len(splits) > 2:
-        work = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bk", handleInvalid="keep").transform(work)
+    ties first (group by the order value) when ties must count together.  ``bucket``: a column that does not
+    decrease with the order column, in place of quantile buckets."""
+    if bucket is not None:
+        work = df.withColumn("_bk", bucket)
+        if descending:
+            work = work.withColumn("_bk", -F.col("_bk"))
     else:
-        work = work.withColumn("_bk", F.lit(0.0))
-    work = work.withColumn("_bk", F.col("_bk").cast("int"))
-    if descending:
-        work = work.withColumn("_bk", F.lit(len(splits)) - F.col("_bk"))  # larger values first
+        bounds = _boundaries(df, order_col, rows_per_bucket)
+        value = F.col(order_col).cast("double")
+        missing = value.isNull() | F.isnan(value)
+        work = df.withColumn("_ord", F.when(missing, F.lit(0.0)).otherwise(value))
+        if bounds:
+            splits = [float("-inf"), *bounds, float("inf")]
+            work = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bk").transform(work)
+        else:
+            work = work.withColumn("_bk", F.lit(0.0))
+        at = F.col("_bk").cast("int")
+        at = len(bounds) - at if descending else at  # larger values first
+        work = work.withColumn("_bk", F.when(missing, F.lit(len(bounds) + 1)).otherwise(at)).drop("_ord")
     part = list(partition_by)
-    bucket_tot = work.groupBy(*part, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in value_cols])
-    ob = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
-    offsets = bucket_tot.select(
-        *part, "_bk",
-        *[F.coalesce(F.sum(f"_bt_{c}").over(ob), F.lit(0)).alias(f"_off_{c}") for c in value_cols],
-        *[F.sum(f"_bt_{c}").over(whole).alias(f"tot_{c}") for c in value_cols],
-    )
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    own = F.col(order_col)
+    if dict(df.dtypes)[order_col] in ("double", "float"):
+        own = F.when(~F.isnan(own), own)
+    order = own.desc_nulls_last() if descending else own.asc_nulls_last()
     ties = [F.col(t).desc() if descending else F.col(t).asc() for t in tiebreak]
     inner = Window.partitionBy(*part, "_bk").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     within = work.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in value_cols])
-    joined = within.join(F.broadcast(offsets), [*part, "_bk"])
+    totals = within.groupBy(*part, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in value_cols])
+    before = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    offsets = totals.select(
+        *[F.col(p).alias(f"_g{i}") for i, p in enumerate(part)], F.col("_bk").alias("_ob"),
+        *[F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in value_cols],
+        *[F.sum(f"_bt_{c}").over(whole).alias(f"tot_{c}") for c in value_cols],
+    )
+    same = F.col("_bk") == F.col("_ob")
+    for i, p in enumerate(part):
+        same = same & F.col(p).eqNullSafe(F.col(f"_g{i}"))
+    joined = within.join(offsets, same)
     return joined.select(
         *[c for c in df.columns],
         *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in value_cols],
@@ -91,8 +105,8 @@ def running_sums(
 
 
 def global_row_number(df: DataFrame, order_col: str, tiebreak: Sequence[str], out: str = "row_number",
-                      descending: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
+                      descending: bool = False, partition_by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """1-based position in a global order, computed with ``running_sums`` over a constant 1."""
     x = df.withColumn("_one", F.lit(1).cast("bigint"))
-    r = running_sums(x, order_col, ["_one"], descending=descending, tiebreak=tiebreak, partition_by=partition_by)
+    r = running_sums(x, order_col, ["_one"], descending=descending, tiebreak=tiebreak, partition_by=partition_by, bucket=bucket)
     return r.withColumnRenamed("cum__one", out).drop("_one", "tot__one")

@@ -5,6 +5,7 @@ them.  The same definitions exist as SQL in ``seqpool.plans.oracle`` for the Duc
 
 tokens     ragged token sets:        embeddings -> (seq_id, pos, vec)  seq_id = floor(sqrt(vec_id))
 features   one vector per key:       embeddings -> (key, vec)
+key_features a vector for each key of the pairs, entities or edges, by the hash encoder
 pairs      interaction pairs:        lineitem   -> (row_id, drug_key, target_key, label)
 edges      graph edges:              lineitem   -> (row_id, p0, p1, label, split)
 splits     classification table:     documents LEFT JOIN labels -> (doc_id, sequence, target, set, validation)
@@ -13,7 +14,7 @@ reg        regression predictions:   lineitem   -> (row_id, p, y)
 mlab       multi-label predictions:  documents x 10 labels (generated, not joined) -> (protein, label, score, target)
 epochs     per-run metric history:   events by (event_type, day) -> (run_id, epoch, v, t_start, t_end)
 members    identity membership:      documents  -> (protein, p30, p40, p50, p70, p95)
-annot_lines annotation TSV body:     events (not 'error') -> value = "<protein>\\t<code>,<code>"
+annot_lines annotation TSV body:     events -> value = "<protein>\\t<code>,<code>"
 fasta      FASTA records:            documents  -> value = ">id lang\\n<60-char lines>"
 """
 
@@ -22,6 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqpool.session import materialise
+from seqpool.sources.store import HashEncoder, encode_keys
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -30,6 +34,7 @@ TABLES = (
 # Fixed values of the view definitions (must be equal in the DuckDB oracle).
 TEST_SOURCES = ["src0", "src1", "src2", "src3"]
 N_MLAB_LABELS = 10
+KEY_DIM = 64
 FASTA_LINE = 60
 EPOCH_ORIGIN = "2024-01-01"
 
@@ -48,6 +53,27 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_features(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """(key, vec): a feature for every distinct key of ``keys`` (key), made by the hash encoder; written once."""
+    enc = encode_keys(keys, "key", HashEncoder(KEY_DIM, "hash64"))
+    kind = dict(keys.dtypes)["key"]
+    return materialise(enc.select(F.col("key").cast(kind).alias("key"), "vec"), "key-features")
+
+
+def pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct drug and target keys of the pairs."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.explode(F.array("l_partkey", "l_suppkey")).alias("key")).distinct()
+
+
+def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")).distinct()
+
+
+def edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_keys(spark, sf_dir).select(F.col("key").cast("string").alias("key"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
@@ -170,10 +196,12 @@ def _annot_codes() -> Column:
     return F.when(k % 10 == 0, F.lit("")).otherwise(with_dup)
 
 
-def annot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Body lines of an annotation TSV: one protein per non-error event."""
+def annot_lines(spark: SparkSession, sf_dir: str, with_errors: bool = True) -> DataFrame:
+    """Body lines of an annotation TSV: one protein per event; without those of error events for the quarantine."""
     ev = table(spark, sf_dir, "events")
-    return ev.where(F.col("event_type") != "error").select(
+    if not with_errors:
+        ev = ev.where(F.col("event_type") != "error")
+    return ev.select(
         F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit("\t"), _annot_codes()).alias("value")
     )
 
@@ -185,19 +213,17 @@ def annot_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annot_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary: event types seen in the table plus k0..k7 (k7 never occurs -> zero frequency)."""
+    """Vocabulary: the codes of all lines, event types without a line's codes, and k7 (which never occurs)."""
     ev = table(spark, sf_dir, "events")
-    types = ev.select(F.col("event_type").alias("code")).distinct()
-    ks = ev.select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select(
-        F.concat(F.lit("k"), F.col("i").cast("string")).alias("code")
-    ).distinct()
-    return types.unionByName(ks).distinct()
+    own = F.array(F.col("event_type"), F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("bigint") % 7).cast("string")),
+                  F.lit("k7"))
+    return ev.select(F.explode(own).alias("code")).distinct()
 
 
 def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTA records as ``spark.read.option('lineSep', '\\n>')`` would deliver them (leading '>' kept)."""
     d = table(spark, sf_dir, "documents")
-    letters = F.upper(F.regexp_replace(F.col("text"), "[^A-Za-z]", ""))
-    body = F.array_join(F.regexp_extract_all(letters, F.lit(f".{{1,{FASTA_LINE}}}"), 0), "\n")
+    letters = F.translate(F.regexp_replace(F.col("text"), "[\\s>]+", ""), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    body = F.array_join(F.regexp_extract_all(letters, F.lit(f"(?s).{{1,{FASTA_LINE}}}"), 0), "\n")
     header = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"))
     return d.select(F.concat(header, F.lit("\n"), body).alias("value"))

@@ -66,6 +66,14 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/seqpool-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df, name: str):
+    """Write ``df`` once to the shared folder and read it back: one evaluation, and a cut of the lineage."""
+    spark = df.sparkSession
+    path = shared_scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per context (they need not share the driver's path)."""
     sc = spark.sparkContext

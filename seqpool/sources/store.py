@@ -1,8 +1,10 @@
 """Feature store and result sinks as Parquet tables under the shared checkpoint folder.
 
-The store is ``(key STRING, model STRING, vec ARRAY<FLOAT>)`` partitioned by ``model`` so a read
-for one encoder prunes to its partition.  Writes are idempotent: only keys missing from the
-store (left-anti join) are encoded and appended.
+The store is ``(digest STRING, key STRING, model STRING, vec ARRAY<FLOAT>)`` partitioned by ``model`` so a read
+for one encoder prunes to its partition.  The encoder gets the raw string.  ``key`` is the raw string made safe
+for a name ('/' becomes '|'), which distinct strings can share; rows are found by ``digest``, the 128-bit hash of the
+raw string, so each string has its own vector.  Writes are idempotent: only digests that the store lacks are
+encoded and appended.
 """
 
 from __future__ import annotations
@@ -11,12 +13,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqpool.functions.text import sanitize_key
 
-STORE_SCHEMA = "key string, model string, vec array<float>"
+STORE_SCHEMA = "digest string, key string, model string, vec array<float>"
 
 
 class HashEncoder:
@@ -28,49 +30,69 @@ class HashEncoder:
     def encode(self, keys: pd.Series) -> pd.Series:
         out = []
         for k in keys.to_numpy():
-            out.append(np.array([int(hashlib.md5(f"{k}|{i}".encode()).hexdigest()[:8], 16) / 2.0 ** 32
-                                 for i in range(self.dim)], dtype=np.float32))
+            start = hashlib.md5(f"{k}|".encode())
+            row = np.empty(self.dim, dtype=np.float64)
+            for i in range(self.dim):
+                h = start.copy()
+                h.update(str(i).encode())
+                row[i] = int(h.hexdigest()[:8], 16)
+            out.append((row / 2.0 ** 32).astype(np.float32))
         return pd.Series(out)
 
 
-def encode_distinct(df: DataFrame, col: str, encoder, out: str = "vec") -> DataFrame:
-    """Run the encoder once per distinct value (Arrow batches in Python workers) and join back."""
-    keys = df.select(F.col(col).alias("key")).where(F.col("key").isNotNull()).distinct()
+def digest_of(c: Column) -> Column:
+    return F.md5(c.cast("string").cast("binary"))
+
+
+def encode_keys(df: DataFrame, col: str, encoder, out: str = "vec") -> DataFrame:
+    """(digest, key, model, vec) of every distinct non-null string; each goes to the encoder once."""
+    x = df.select(F.col(col).cast("string").alias("key")).where(F.col("key").isNotNull())
+    keys = x.groupBy(digest_of(F.col("key")).alias("digest")).agg(F.first("key").alias("key"))
     name = encoder.name
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "model": name, out: encoder.encode(b["key"])})
+            yield pd.DataFrame({"digest": b["digest"], "key": b["key"], "model": name, out: encoder.encode(b["key"])})
 
-    enc = keys.mapInPandas(run, f"key string, model string, {out} array<float>")
-    return df.join(enc.withColumnRenamed("key", col), col, "left")
+    return keys.mapInPandas(run, f"digest string, key string, model string, {out} array<float>")
+
+
+def encode_distinct(df: DataFrame, col: str, encoder, out: str = "vec") -> DataFrame:
+    """``df`` with the encoder's vector of ``df[col]``; joined on the digest, so texts travel once."""
+    enc = encode_keys(df, col, encoder, out).select(F.col("digest").alias("_digest"), "model", out)
+    return df.withColumn("_digest", digest_of(F.col(col))).join(enc, "_digest", "left").drop("_digest")
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_store(spark: SparkSession, path: str, model: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(path).where(F.col("model") == model)
 
 
-def write_missing(spark: SparkSession, keys: DataFrame, path: str, encoder, key: str = "key") -> int:
-    """S9 + J7: encode keys not yet in the store and append them (safe to re-run)."""
-    k = keys.select(sanitize_key(F.col(key)).alias("key")).distinct()
-    try:
-        existing = read_store(spark, path, encoder.name).select("key")
-        k = k.join(existing, "key", "left_anti")
-    except Exception:  # noqa: BLE001 - store does not exist yet
-        pass
-    enc = encode_distinct(k, "key", encoder).select("key", "model", "vec")
-    enc.write.mode("append").partitionBy("model").parquet(path)
-    return 0
+def write_missing(spark: SparkSession, keys: DataFrame, path: str, encoder, key: str = "key") -> None:
+    """S9 + J7: encode the strings that the store lacks and append them (safe to re-run).
+
+    Any error in reading an existing store is raised."""
+    k = keys.select(F.col(key).cast("string").alias("key")).where(F.col("key").isNotNull())
+    if store_exists(spark, path):
+        have = read_store(spark, path, encoder.name).select("digest")
+        k = k.withColumn("digest", digest_of(F.col("key"))).join(have, "digest", "left_anti").select("key")
+    enc = encode_keys(k, "key", encoder).withColumn("key", sanitize_key(F.col("key")))
+    enc.select("digest", "key", "model", "vec").write.mode("append").partitionBy("model").parquet(path)
 
 
 def lookup_with_fallback(spark: SparkSession, df: DataFrame, col: str, path: str, encoder) -> DataFrame:
     """Stored vector when present, else encode now (and report which)."""
-    store = read_store(spark, path, encoder.name).select(F.col("key").alias("_k"), F.col("vec").alias("_sv"))
-    x = df.withColumn("_k", sanitize_key(F.col(col))).join(store, "_k", "left")
-    hit = x.where(F.col("_sv").isNotNull()).withColumn("source", F.lit("store")).withColumnRenamed("_sv", "vec")
-    miss = encode_distinct(x.where(F.col("_sv").isNull()).drop("_sv"), "_k", encoder).drop("model")
-    miss = miss.withColumn("source", F.lit("encoded"))
-    return hit.unionByName(miss).drop("_k")
+    store = read_store(spark, path, encoder.name).select(F.col("digest").alias("_digest"), F.col("vec").alias("_stored"))
+    x = df.withColumn("_digest", digest_of(F.col(col))).join(store, "_digest", "left")
+    fresh = encode_keys(x.where(F.col("_stored").isNull()), col, encoder).select(F.col("digest").alias("_digest"), F.col("vec").alias("_new"))
+    y = x.join(fresh, "_digest", "left")
+    source = F.when(F.col("_stored").isNotNull(), "store").when(F.col("_new").isNotNull(), "encoded")
+    return y.select(*df.columns, F.coalesce("_stored", "_new").alias("vec"), source.alias("source"))
 
 
 def append_metrics(df: DataFrame, path: str) -> None:

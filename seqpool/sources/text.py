@@ -7,9 +7,11 @@ record even when a record spans input splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqpool.plans.prefix import global_row_number
+
 
 def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per FASTA record (``value`` starts after '>' except for the file's first record),
@@ -25,7 +27,8 @@ def _record_parts(value: Column):
     body = F.regexp_replace(body, "^>", "")
     lines = F.split(body, "\n")
     header = F.get(lines, F.lit(0))
-    rest = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.length(x) > 0)
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.trim(x))
+    rest = F.filter(rest, lambda x: F.length(x) > 0)
     return header, rest
 
 
@@ -50,31 +53,40 @@ def fasta_lines(records: DataFrame, value: str = "value") -> DataFrame:
         "name", F.col("line_no").cast("bigint").alias("line_no"), "seq")
 
 
-def parse_annotation_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_annotation_lines(lines: DataFrame, value: str = "value", keep=()) -> DataFrame:
     """S6 body: ``protein\\tcode,code`` -> (protein, codes ARRAY<STRING>); empty items skipped and a
     missing second field gives an empty list."""
     parts = F.split(F.regexp_replace(F.col(value), "\r", ""), "\t")
     codes = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
     return lines.select(F.get(parts, F.lit(0)).alias("protein"),
-                        F.filter(F.split(codes, ","), lambda x: x != "").alias("codes"))
+                        F.filter(F.split(codes, ","), lambda x: x != "").alias("codes"), *keep)
+
+
+HEAD_LINES = 3  # line 1 (0-based) is the vocabulary, lines 0 and 2 are titles
 
 
 def read_annotation_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Returns (vocabulary (code, idx), annotations (protein, codes)).
-
-    Line 1 (0-based) holds the tab-separated vocabulary, lines > 2 the annotations.  Line
-    numbers come from a zip-with-index over the ordered text rows; only the three head lines
-    reach the driver."""
-    raw = spark.read.text(path)
-    numbered = raw.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])).toDF("value string, line long")
-    head = numbered.where(F.col("line") == 1).select("value")
+    """Returns (vocabulary (code, idx), annotations (protein, codes, line)).
+
+    Row ids rise with the lines inside a file block, so the head of each file is found from the least id of its
+    first block (one row per file), and ``line`` orders the lines of a file for the last-wins rule."""
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
+    first = raw.where("block = 0").groupBy("file").agg(F.min("row").alias("row0"))
+    x = raw.join(first, "file").withColumn("line", F.when(F.col("block") == 0, F.col("row") - F.col("row0")))
+    is_head = F.coalesce(F.col("line") < HEAD_LINES, F.lit(False))
+    head = x.where(is_head & (F.col("line") == 1))
     vocab = head.select(F.posexplode(F.split(F.col("value"), "\t")).alias("idx", "code")).where(F.col("code") != "")
-    vocab = vocab.select("code", F.col("idx").cast("bigint").alias("idx"))
-    body = numbered.where(F.col("line") > 2).select("value")
-    return vocab, parse_annotation_lines(body)
+    vocab = vocab.groupBy("code").agg(F.min("idx").cast("bigint").alias("idx"))
+    body = x.where(~is_head)
+    parsed = parse_annotation_lines(body, keep=[F.struct("file", "block", "row").alias("line")])
+    return vocab, parsed
 
 
 def vocabulary_index(codes: DataFrame, code: str = "code") -> DataFrame:
-    """Vocabulary order = sorted code text (the TSV head line is written in this order).
-    The vocabulary is a small dimension (bounded number of codes)."""
-    return codes.select(code).distinct().select(code, (F.row_number().over(Window.orderBy(code)) - 1).cast("bigint").alias("idx"))
+    """Rank of each distinct code in text order, over ranges of the codes' first bytes."""
+    x = codes.select(code).distinct()
+    x = x.withColumn("_first", F.conv(F.hex(F.rpad(F.encode(F.col(code), "UTF-8"), 6, F.lit(b"\x00"))), 16, 10).cast("double"))
+    r = global_row_number(x, "_first", tiebreak=[code], out="_rn")
+    return r.select(code, (F.col("_rn") - 1).cast("bigint").alias("idx"))

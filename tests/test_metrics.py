@@ -54,8 +54,8 @@ def test_running_sums_bucket_invariant(spark):
     rng = np.random.default_rng(1)
     rows = [(float(x), 1.0) for x in rng.integers(0, 50, size=400)]
     df = spark.createDataFrame(rows, "s double, v double").groupBy("s").agg(F.sum("v").alias("v"))
-    a = {r.s: r.cum_v for r in running_sums(df, "s", ["v"], n_buckets=1).collect()}
-    b = {r.s: r.cum_v for r in running_sums(df, "s", ["v"], n_buckets=7).collect()}
+    a = {r.s: r.cum_v for r in running_sums(df, "s", ["v"], rows_per_bucket=1 << 20).collect()}
+    b = {r.s: r.cum_v for r in running_sums(df, "s", ["v"], rows_per_bucket=5).collect()}
     assert a == b
     top = max(a)
     assert a[top] == sum(1 for x, _ in rows if x == top)
