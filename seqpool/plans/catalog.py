@@ -424,7 +424,8 @@ def seeded_shuffle(spark, sf):
 SENTINEL = 20.0
 
 
-def _padded_batches(spark, sf):
+def _padded_slots(spark, sf):
+    """(batch_id, seq_id, pos, vec) of batches padded with sentinel vectors."""
     t = V.tokens(spark, sf)
     seqs = t.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
     b = PP.assign_batches(seqs, "seq_id", 4, SEED)
@@ -433,7 +434,12 @@ def _padded_batches(spark, sf):
         "batch_id", "seq_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pad_len") - 1)).alias("pos"))
     filled = slots.join(t, ["seq_id", "pos"], "left")
     vec = F.coalesce(F.col("vec").cast("array<double>"), F.array_repeat(F.lit(SENTINEL), DIM))
-    return filled.select("batch_id", "seq_id", "pos", F.posexplode(vec).alias("dim", "value")).withColumn("dim", F.col("dim").cast("bigint"))
+    return filled.select("batch_id", "seq_id", "pos", vec.alias("vec"))
+
+
+def _padded_batches(spark, sf):
+    x = _padded_slots(spark, sf).select("batch_id", "seq_id", "pos", F.posexplode("vec").alias("dim", "value"))
+    return x.withColumn("dim", F.col("dim").cast("bigint"))
 
 
 @query
@@ -810,11 +816,15 @@ def score_multilabel(spark, sf):
         "key", F.col("label").cast("bigint").alias("label"), r6("logit").alias("logit"))
 
 
-POOL_METHODS = ("avg", "max", "topk", "swe")
+POOL_METHODS = ("avg", "max", "topk", "swe", "light_attn")
 
 
 def pool(tokens, method: str, **kw):
     """U4: named pooling front door; unknown names raise."""
+    if method in POOL_METHODS and "pos" not in tokens.columns:  # one ready vector per key passes through
+        return tokens.select("seq_id", F.posexplode("vec").alias("idx", "value")).withColumn("idx", F.col("idx").cast("bigint"))
+    if method == "light_attn":
+        return light_attention(tokens.withColumn("vec", F.slice(F.col("vec").cast("array<double>"), 1, CONV_DIM)))
     if method == "avg":
         return P.pool_avg(tokens).withColumnRenamed("dim", "idx")
     if method == "max":
@@ -902,3 +912,202 @@ def metrics_sink(spark, sf):
     SS.append_metrics(long, path)
     back = spark.read.parquet(path)
     return back.select("run_id", "epoch", "metric", r6("value").alias("value"))
+
+
+# --------------------------------------------------------------------------------------- along the positions
+
+import numpy as np  # noqa: E402
+
+from seqpool.operators import fit as FT  # noqa: E402
+from seqpool.operators import sequence as SQ  # noqa: E402
+from seqpool.sources import files as FS  # noqa: E402
+from seqpool.streaming import jobs as SJ  # noqa: E402
+
+CONV_DIM = 4
+CONV_WIDTH = 5
+
+
+def _conv_weight(offset):
+    o, i, k = np.meshgrid(np.arange(CONV_DIM), np.arange(CONV_DIM), np.arange(CONV_WIDTH), indexing="ij")
+    return ((o * 5 + i * 3 + k * 7 + offset) % 11 - 5) / 10.0
+
+
+def _narrow_tokens(spark, sf):
+    return V.tokens(spark, sf).select("seq_id", "pos", F.slice(F.col("vec").cast("array<double>"), 1, CONV_DIM).alias("vec"))
+
+
+@query
+def conv1d_same(spark, sf):
+    y = SQ.conv1d_same(_narrow_tokens(spark, sf), _conv_weight(0), _bias(CONV_DIM))
+    return y.select("seq_id", "pos", F.posexplode("vec").alias("dim", "value")).select(
+        "seq_id", "pos", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
+
+
+def light_attention(tokens):
+    return SQ.pool_light_attention(tokens, _conv_weight(0), _bias(CONV_DIM), _conv_weight(4), _bias(CONV_DIM),
+                                   PR.projector(CONV_DIM, 2 * CONV_DIM), _bias(CONV_DIM))
+
+
+@query
+def pool_light_attn(spark, sf):
+    return light_attention(_narrow_tokens(spark, sf)).select(
+        "seq_id", F.col("idx").cast("bigint").alias("idx"), r6("value").alias("value"))
+
+
+@query
+def pool_swe_masked(spark, sf):
+    """SWE of padded batches; padding is found by the sentinel in the first dimension."""
+    x = _padded_slots(spark, sf)
+    real = x.where(SQ.sentinel_valid(F.col("vec"), SENTINEL, first_only=True))
+    th, ref, w = swe_params()
+    out = P.pool_swe(real, th, ref, w, layout="window", project_with="arrow")
+    return out.select("seq_id", "slice", r6("value").alias("value"))
+
+
+@query
+def invalid_shift(spark, sf):
+    x = _padded_slots(spark, sf)
+    y = SQ.invalid_shift(x, SQ.sentinel_valid(F.col("vec"), SENTINEL, first_only=True))
+    return y.select("batch_id", "seq_id", "pos", r6("shift").alias("shift"))
+
+
+@query
+def reference_argsort(spark, sf):
+    """K3: order of reference points on each slice; the points are the labels' mean vectors."""
+    e = V.table(spark, sf, "embeddings")
+    long = e.select(F.col("label").cast("bigint").alias("m"), F.posexplode("embedding").alias("d", "x"))
+    mean = long.groupBy("m", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vec = F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"])  # DIM values
+    p = mean.groupBy("m").agg(vec.alias("vec")).select("m", F.posexplode(matvec(PR.slicers(SWE_L, DIM), "vec")).alias("slice", "p"))
+    from pyspark.sql import Window
+    rank = F.row_number().over(Window.partitionBy("slice").orderBy("p", "m")) - 1
+    return p.select(F.col("slice").cast("bigint").alias("slice"), "m", rank.cast("bigint").alias("rank"))
+
+
+@query
+def interp1d(spark, sf):
+    """Knots are a set's sorted first dimension, values its second; nine points from below the first to above the last."""
+    t = V.tokens(spark, sf).select("seq_id", "pos", F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
+    own = F.array_sort(F.collect_list(F.struct("x", "pos", "y")))  # one encoder input's length
+    s = t.groupBy("seq_id").agg(own.alias("s"))
+    s = s.select("seq_id", F.transform("s", lambda k: k["x"]).alias("xs"), F.transform("s", lambda k: k["y"]).alias("ys"))
+    at = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("j"))
+    q = F.array_min("xs") - 0.5 + F.col("j") * (F.array_max("xs") - F.array_min("xs") + 1.0) / 8.0
+    at = at.withColumn("q", q)
+    return at.select("seq_id", F.col("j").cast("bigint").alias("j"), r6(SQ.interp1d(F.col("xs"), F.col("ys"), F.col("q"), eps=1e-2)).alias("y"))
+
+
+@query
+def concat_features(spark, sf):
+    """The features of two named encoders, one behind the other."""
+    x = SS.encode_concat(_docs(spark, sf).select("doc_id", "source"), "source", "hash8,salted4")
+    return x.select("doc_id", F.posexplode("vec").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("bigint").alias("dim"), r6(F.col("value").cast("double")).alias("value"))
+
+
+# --------------------------------------------------------------------------------------- files
+
+
+@query
+def scan_split_csv(spark, sf):
+    path = shared_scratch(spark, "split-csv")
+    e = V.edges(spark, sf).select(F.monotonically_increasing_id().alias("index"), "row_id", "p0", "p1", "label", "split")
+    e.write.partitionBy("split").option("header", "true").csv(path)
+    return FS.scan_split_csv(spark, path, "row_id string, p0 string, p1 string, label bigint")
+
+
+@query
+def scan_flagged_csv(spark, sf):
+    """Whole texts, with quotes and line ends, through a CSV; the split comes from the row's own columns."""
+    path = shared_scratch(spark, "flagged-csv")
+    s = V.splits(spark, sf).select("doc_id", "sequence", "target", "set", "validation")
+    s.write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    x = FS.scan_flagged_csv(spark, path, "doc_id bigint, sequence string, target string, `set` string, validation boolean")
+    return x.select("doc_id", F.md5("sequence").alias("sequence_md5"), PP.nullsafe_split(x).alias("split"))
+
+
+@query
+def scan_edge_lists(spark, sf):
+    path = shared_scratch(spark, "edge-lists")
+    number = F.when(F.col("split") == "train", "1").when(F.col("split") == "val", "0").otherwise("2")
+    name = F.concat(F.lit("Intra"), number, F.when(F.col("label") == 1, "_pos").otherwise("_neg"))
+    V.edges(spark, sf).select("p0", "p1", name.alias("name")).write.partitionBy("name").option("sep", " ").csv(path)
+    x = FS.scan_edge_lists(spark, path)
+    return x.groupBy("p0", "p1", "label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scan_fasta(spark, sf):
+    """FASTA files written and read back, record by record."""
+    path = shared_scratch(spark, "fasta")
+    V.fasta(spark, sf).write.text(path)
+    return ST.fasta_records(ST.read_fasta_records(spark, path))
+
+
+@query
+def scan_fasta_lines(spark, sf):
+    """FASTA files written and read back, line by line."""
+    path = shared_scratch(spark, "fasta")
+    V.fasta(spark, sf).write.text(path)
+    return ST.fasta_lines(ST.read_fasta_records(spark, path))
+
+
+@query
+def scan_annotation_tsv(spark, sf):
+    """Annotation files (title, vocabulary, title, then a line per protein) written and read back."""
+    path = shared_scratch(spark, "annotation")
+    codes = [r["code"] for r in _vocab_index(spark, sf).orderBy("idx").collect()]  # the vocabulary
+    ST.write_annotation_tsv(V.annot_lines(spark, sf), codes, path)
+    vocab, lines = ST.read_annotation_tsv(spark, path)
+    return J.code_index(J.last_lines(lines, "line"), vocab).select("protein", F.col("pos").cast("bigint").alias("pos"), "code", "idx")
+
+
+@query
+def scan_membership(spark, sf):
+    """Membership flags through a CSV, filtered at one threshold."""
+    path = shared_scratch(spark, "members")
+    V.members(spark, sf).write.option("header", "true").csv(path)
+    return PP.identity_filter(FS.scan_membership(spark, path), 50).select("protein")
+
+
+# --------------------------------------------------------------------------------------- streams and fits
+
+
+@query
+def stream_featurize(spark, sf):
+    """Documents arrive file by file; every distinct text is encoded once."""
+    folder = shared_scratch(spark, "stream-in")
+    d = _docs(spark, sf).select("doc_id", "text")
+    d.repartition(12, "doc_id").write.parquet(folder)
+    enc = SS.HashEncoder(8)
+    out = SJ.stream_featurize(spark, folder, d.schema, "text", enc)
+    st = SS.read_stream_output(spark, out)
+    return st.select(F.md5("key").alias("key_md5"), "model", r6(vsum("vec")).alias("vec_sum"))
+
+
+@query
+def stream_metrics(spark, sf):
+    """Confusion counts and squared error as running state over scored files."""
+    folder = shared_scratch(spark, "stream-in")
+    x = line_preds(spark, sf).where(F.col("score").isNotNull()).select("protein", "score", "label")
+    x.repartition(12, "protein").write.parquet(folder)
+    p, y = F.col("score") > 0.5, F.col("label") == 1
+    sums = {"n": F.count(F.lit(1)), "tp": F.count_if(p & y), "fp": F.count_if(p & ~y), "fn": F.count_if(~p & y),
+            "tn": F.count_if(~p & ~y), "se": F.sum(F.pow(F.col("score") - F.col("label"), 2))}
+    s = SJ.stream_sums(spark, folder, x.schema, sums)
+    return s.select("tp", "fp", "fn", "tn", r6(F.col("se") / F.col("n")).alias("mse"))
+
+
+@query
+def fit_class_head(spark, sf):
+    """T6 + S12: the class head fitted on all labelled vectors, its parameters saved and loaded, the predictions of both."""
+    e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"), "label")
+    model = FT.fit_class_head(e)
+    path = shared_scratch(spark, "class-head")
+    FT.save_parameters(model, path)
+    one = FT.predict_class(model, e, "vec_id")
+    two = FT.predict_class(FT.load_parameters(path), e, "vec_id").withColumnRenamed("pred", "pred_loaded")
+    return one.join(two, "vec_id")
+
+
+WITHOUT_SQL |= {"fit_class_head"}

@@ -727,3 +727,77 @@ numbered AS (SELECT run_id, epoch, v, row_number() OVER (PARTITION BY run_id ORD
 {plateau('max')}
 SELECT run_id, 'min' AS mode, epoch, round(lr * 1e6::DOUBLE, 6) AS lr_e6 FROM f_min WHERE rn > 0
 UNION ALL SELECT run_id, 'max', epoch, round(lr * 1e6::DOUBLE, 6) FROM f_max WHERE rn > 0"""
+
+# ---------------------------------------------------------------------------------- along the positions, files, streams
+
+
+def conv(name: str, offset: int) -> str:
+    """``name``: (seq_id, pos, o, y) of the zero-padded width-5 convolution over the first four dimensions."""
+    return f"""{name} AS (
+  SELECT t.seq_id, t.pos, o.o, o.o / 10.0::DOUBLE + sum(((o.o * 5 + x.dim * 3 + (x.pos - t.pos + 2) * 7 + {offset}) % 11 - 5) / 10.0::DOUBLE * x.x) AS y
+  FROM (SELECT DISTINCT seq_id, pos FROM nd) t JOIN nd x ON t.seq_id = x.seq_id AND abs(x.pos - t.pos) <= 2, range(4) o(o)
+  GROUP BY t.seq_id, t.pos, o.o)"""
+
+
+NARROW = f"""{TOKENS},
+{TOKEN_DIMS},
+nd AS (SELECT * FROM tdims WHERE dim < 4)"""
+
+SQL["conv1d_same"] = f"""WITH {NARROW},
+{conv('c', 0)}
+SELECT seq_id, pos, CAST(o AS BIGINT) AS dim, round(y, 6) AS value FROM c"""
+
+SQL["pool_light_attn"] = f"""WITH {NARROW},
+{conv('v', 0)},
+{conv('a', 4)},
+m AS (SELECT seq_id, o, max(y) AS top FROM a GROUP BY seq_id, o),
+s AS (SELECT v.seq_id, v.o, max(v.y) AS most, sum(exp(a.y - m.top) * v.y) / sum(exp(a.y - m.top)) AS att
+      FROM v JOIN a ON v.seq_id = a.seq_id AND v.pos = a.pos AND v.o = a.o JOIN m ON m.seq_id = v.seq_id AND m.o = v.o GROUP BY v.seq_id, v.o),
+f AS (SELECT seq_id, o AS i, most AS x FROM s UNION ALL SELECT seq_id, o + 4, att FROM s)
+SELECT f.seq_id, CAST(j.j AS BIGINT) AS idx, round(j.j / 10.0::DOUBLE + sum(((j.j * 13 + f.i * 7) % 19 - 9) / 90.0::DOUBLE * f.x), 6) AS value
+FROM f, range(4) j(j) GROUP BY f.seq_id, j.j"""
+
+SQL["pool_dispatch"] += f"\nUNION ALL SELECT 'light_attn', seq_id, idx, value FROM ({SQL['pool_light_attn']})"
+
+SQL["pool_swe_masked"] = SQL["pool_swe"]
+
+SQL["invalid_shift"] = SQL["pad_batch"].rsplit("SELECT batch_id, seq_id, pos, dim", 1)[0] + """SELECT batch_id, seq_id, pos,
+  round(0.001::DOUBLE * sum(CASE WHEN value = 20.0::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos), 6) AS shift
+FROM padded WHERE dim = 0"""
+
+SQL["reference_argsort"] = f"""WITH e AS (SELECT CAST(label AS BIGINT) AS m, CAST(unnest(range(len(embedding))) AS BIGINT) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+mean AS (SELECT m, d, avg(x) AS x FROM e GROUP BY m, d),
+{theta_cte()},
+p AS (SELECT mean.m, th.l AS slice, sum(mean.x * th.t) AS p FROM mean JOIN th ON mean.d = th.d GROUP BY mean.m, th.l)
+SELECT CAST(slice AS BIGINT) AS slice, m, CAST(row_number() OVER (PARTITION BY slice ORDER BY p, m) - 1 AS BIGINT) AS rank FROM p"""
+
+SQL["interp1d"] = f"""WITH {TOKENS},
+t AS (SELECT seq_id, pos, CAST(vec[1] AS DOUBLE) AS x, CAST(vec[2] AS DOUBLE) AS y FROM tokens),
+k AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY x, pos) - 1 AS i, count(*) OVER (PARTITION BY seq_id) AS n FROM t),
+r AS (SELECT seq_id, min(x) AS lo, max(x) AS hi, any_value(n) AS n FROM k GROUP BY seq_id),
+q AS (SELECT seq_id, n, j.j AS j, lo - 0.5::DOUBLE + j.j * (hi - lo + 1.0::DOUBLE) / 8.0::DOUBLE AS q FROM r, range(9) j(j)),
+b AS (SELECT q.seq_id, q.n, q.j, q.q, (SELECT count(*) FROM k WHERE k.seq_id = q.seq_id AND k.x < q.q) AS below FROM q),
+c AS (SELECT *, least(greatest(below - 1, 0), n - 2) AS i FROM b)
+SELECT c.seq_id, CAST(c.j AS BIGINT) AS j,
+       round(CASE WHEN c.n = 1 THEN z.y ELSE a.y + (d.y - a.y) / (0.01::DOUBLE + (d.x - a.x)) * (c.q - a.x) END, 6) AS y
+FROM c LEFT JOIN k a ON a.seq_id = c.seq_id AND a.i = c.i LEFT JOIN k d ON d.seq_id = c.seq_id AND d.i = c.i + 1
+       LEFT JOIN k z ON z.seq_id = c.seq_id AND z.i = 0"""
+
+SQL["concat_features"] = """SELECT doc_id, CAST(g.i AS BIGINT) AS dim,
+  round(CAST(CAST(('0x' || substr(md5(CASE WHEN g.i < 8 THEN source || '|' || CAST(g.i AS VARCHAR) ELSE 's:' || source || '|' || CAST(g.i - 8 AS VARCHAR) END), 1, 8))::BIGINT
+        / 4294967296.0::DOUBLE AS FLOAT) AS DOUBLE), 6) AS value
+FROM documents, range(12) g(i)"""
+
+SQL["scan_split_csv"] = f"WITH {EDGES} SELECT row_id, p0, p1, label, split FROM edges"
+SQL["scan_flagged_csv"] = f"""WITH {SPLITS}
+SELECT splits.doc_id, md5(splits.sequence) AS sequence_md5, srows.split FROM splits JOIN srows ON splits.doc_id = srows.doc_id"""
+SQL["scan_edge_lists"] = f"WITH {EDGES} SELECT p0, p1, label, split, count(*) AS n FROM edges GROUP BY ALL"
+SQL["scan_fasta"] = SQL["fasta_records"]
+SQL["scan_fasta_lines"] = SQL["fasta_lines"]
+SQL["scan_annotation_tsv"] = SQL["code_index_join"]
+SQL["scan_membership"] = SQL["identity_filter"]
+SQL["stream_featurize"] = SQL["feature_store_roundtrip"]
+SQL["stream_metrics"] = f"""WITH {LINE_PREDS}
+SELECT count(*) FILTER (WHERE score > 0.5::DOUBLE AND label = 1) AS tp, count(*) FILTER (WHERE score > 0.5::DOUBLE AND label <> 1) AS fp,
+       count(*) FILTER (WHERE NOT score > 0.5::DOUBLE AND label = 1) AS fn, count(*) FILTER (WHERE NOT score > 0.5::DOUBLE AND label <> 1) AS tn,
+       round(avg((score - label) * (score - label)), 6) AS mse FROM lp"""

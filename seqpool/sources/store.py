@@ -24,13 +24,13 @@ STORE_SCHEMA = "digest string, key string, model string, vec array<float>"
 class HashEncoder:
     """Deterministic test encoder: vec[i] = int(md5(key|i)[:8], 16) / 2^32 (stands in for a real model)."""
 
-    def __init__(self, dim: int = 8, name: str = "hash8"):
-        self.dim, self.name = dim, name
+    def __init__(self, dim: int = 8, name: str = "hash8", salt: str = ""):
+        self.dim, self.name, self.salt = dim, name, salt
 
     def encode(self, keys: pd.Series) -> pd.Series:
         out = []
         for k in keys.to_numpy():
-            start = hashlib.md5(f"{k}|".encode())
+            start = hashlib.md5(f"{self.salt}{k}|".encode())
             row = np.empty(self.dim, dtype=np.float64)
             for i in range(self.dim):
                 h = start.copy()
@@ -63,6 +63,35 @@ def encode_distinct(df: DataFrame, col: str, encoder, out: str = "vec") -> DataF
     return df.withColumn("_digest", digest_of(F.col(col))).join(enc, "_digest", "left").drop("_digest")
 
 
+ENCODERS = {
+    "hash8": lambda: HashEncoder(8),
+    "salted4": lambda: HashEncoder(4, "salted4", salt="s:"),
+}
+
+
+def get_encoders(names: str) -> list:
+    """Encoders by name, several separated by commas; an unknown name is an error."""
+    parts = [n.strip() for n in names.split(",")]
+    unknown = [n for n in parts if n not in ENCODERS]
+    if unknown:
+        raise ValueError(f"unknown encoders {unknown}; expected some of {sorted(ENCODERS)}")
+    return [ENCODERS[n]() for n in parts]
+
+
+def encode_concat(df: DataFrame, col: str, names: str, out: str = "vec") -> DataFrame:
+    """``df`` with the vectors of the named encoders of ``df[col]``, one behind the other."""
+    x, vecs = df, []
+    for i, encoder in enumerate(get_encoders(names)):
+        x = encode_distinct(x, col, encoder, f"_v{i}").drop("model")
+        vecs.append(f"_v{i}")
+    return x.withColumn(out, F.concat(*vecs)).drop(*vecs)
+
+
+def read_stream_output(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows that a streaming query wrote under ``path``."""
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
+
+
 def store_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

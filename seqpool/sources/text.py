@@ -7,6 +7,7 @@ record even when a record spans input splits.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,18 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return vocab, parsed
 
 
+def write_annotation_tsv(lines: DataFrame, codes: list[str], path: str, value: str = "value") -> None:
+    """Annotation files of the layout that ``read_annotation_tsv`` reads: every file starts with the three head lines."""
+    head = ["### vocabulary", "\t".join(codes), "### protein\tcodes"]
+
+    def run(batches):
+        yield pd.DataFrame({"value": head})
+        for b in batches:
+            yield pd.DataFrame({"value": b[value]})
+
+    lines.select(value).mapInPandas(run, "value string").write.text(path)
+
+
 def vocabulary_index(codes: DataFrame, code: str = "code") -> DataFrame:
     """Rank of each distinct code in text order, over ranges of the codes' first bytes."""
     x = codes.select(code).distinct()
