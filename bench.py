@@ -15,6 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from seqpool.operators import pooling as P  # noqa: E402
 from seqpool.plans import catalog as C  # noqa: E402
 from seqpool.plans import params as PR  # noqa: E402
@@ -30,7 +32,25 @@ def _swe(n_slices, n_ref, layout, project_with):
     return run
 
 
+def _many_tokens(spark, sf, copies=512):
+    """Over a million tokens: every token set of the table in ``copies`` shifted versions."""
+    t = V.tokens(spark, sf)
+    x = t.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    shifted = F.transform("vec", lambda v: v.cast("double") + F.col("c") / F.lit(float(copies)))
+    return x.select((F.col("seq_id") * copies + F.col("c")).alias("seq_id"), "pos", shifted.alias("vec"))
+
+
+def _swe_many(layout):
+    def run(spark, sf):
+        return P.pool_swe(_many_tokens(spark, sf), PR.slicers(8, C.DIM), PR.permuted_reference(16, 8), PR.ref_weights(16),
+                          layout=layout, project_with="arrow")
+    return run
+
+
 HEADLINE = {
+    "pool_swe_1m_tokens_window": _swe_many("window"),
+    "pool_swe_1m_tokens_numpy": _swe_many("numpy"),
+    "entry_pool_swe": C.pool_swe,
     "pool_swe_L64_M100_arrays": _swe(64, 100, "arrays", "sql"),
     "pool_swe_L64_M100_window": _swe(64, 100, "window", "sql"),
     "pool_swe_L64_M100_arrow": _swe(64, 100, "numpy", "arrow"),
@@ -43,6 +63,11 @@ HEADLINE = {
     "metric_auroc": C.metric_auroc,
     "metric_f1_max": C.metric_f1_max,
     "metric_binary_confusion": C.metric_binary_confusion,
+    "metric_by_identity": C.metric_by_identity,
+    "line_average_precision": C.line_average_precision,
+    "score_pairs_cosine": C.score_pairs_cosine,
+    "encode_distinct": C.encode_distinct,
+    "masked_softmax": C.masked_softmax,
     "assign_batches": C.assign_batches,
     "hashed_fingerprint": C.hashed_fingerprint,
 }

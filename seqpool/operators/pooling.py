@@ -147,7 +147,7 @@ def pool_swe(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray, weight
     c_l = F.get(lit_vector(const), F.col("slice").cast("int"))
     weff = F.get(lit_matrix(w_eff), F.col("slice").cast("int"))
     if layout == "window":
-        return _swe_window(proj, key, m, c_l, weff, eps)
+        return _swe_window(proj, key, m, c_l, weff, eps, np.asarray(w_eff) if project_with == "arrow" else None)
     s = sorted_slices(proj, key)
     total = F.aggregate(
         F.sequence(F.lit(1), F.lit(m)), F.lit(0.0),
@@ -184,28 +184,73 @@ def _swe_numpy(const: np.ndarray, w_eff: np.ndarray, eps: float):
     return _value
 
 
-def _swe_window(proj: DataFrame, key: str, m: int, c_l: Column, weff: Column, eps: float) -> DataFrame:
+def swe_coefficients(n: int, w_eff: np.ndarray, eps: float = INTERP_EPS) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, coefficients L x ranks): what the sorted value of each rank adds to the embedding of a set of n tokens.
+
+    The interpolated quantiles are linear in the sorted values, and at most 2 M ranks have a part."""
+    m = w_eff.shape[1]
+    if n == 1:
+        return np.zeros(1, dtype=np.int64), w_eff.sum(axis=1, keepdims=True)
+    if n == m:
+        return np.arange(n), w_eff
+    j = np.arange(1, m + 1)
+    i0 = np.clip((j * (n + 1) + m) // (m + 1) - 2, 0, n - 2)
+    s = (j / (m + 1.0) - (i0 + 1) / (n + 1.0)) / (eps + 1.0 / (n + 1))
+    ranks = np.unique(np.concatenate([i0, i0 + 1]))
+    out = np.zeros((len(ranks), w_eff.shape[0]))
+    np.add.at(out, np.searchsorted(ranks, i0), (w_eff * (1.0 - s)).T)
+    np.add.at(out, np.searchsorted(ranks, i0 + 1), (w_eff * s).T)
+    return ranks, out.T
+
+
+def _coefficient_udf(w_eff: np.ndarray, eps: float):
+    """Coefficient of (rank, n, slice), per Arrow batch; the table of a set size (2 M x L values) is kept for further batches."""
+    @pandas_udf("double")
+    def _coef(r: pd.Series, n: pd.Series, sl: pd.Series) -> pd.Series:
+        rank, size, at = r.to_numpy(), n.to_numpy(), sl.to_numpy()
+        out = np.zeros(len(rank))
+        for k in np.unique(size):
+            rows = np.flatnonzero(size == k)
+            ranks, table = _coefficient_table(int(k))
+            place = np.minimum(np.searchsorted(ranks, rank[rows]), len(ranks) - 1)
+            out[rows] = np.where(ranks[place] == rank[rows], table[at[rows], place], 0.0)
+        return pd.Series(out)
+
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _coefficient_table(k: int):
+        if k not in kept:
+            if len(kept) >= 1024:
+                kept.clear()
+            kept[k] = swe_coefficients(k, w_eff, eps)
+        return kept[k]
+
+    return _coef
+
+
+def _swe_window(proj: DataFrame, key: str, m: int, c_l: Column, weff: Column, eps: float, w_eff: np.ndarray | None = None) -> DataFrame:
+    """Ranks by a window, a coefficient per rank (as columns, or by Arrow batch where ``w_eff`` is given), one sum per group."""
     w = Window.partitionBy(key, "slice").orderBy("p", "pos")
     wn = Window.partitionBy(key, "slice")
     ranked = proj.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(wn).cast("int"))
     r, n = F.col("r").cast("int"), F.col("n")
-    lo = F.when(r >= 2, F.greatest(F.floor(r * F.lit(m + 1) / (n + 1)).cast("int") - 1, F.lit(1))).otherwise(1)
-    hi = F.when(r <= n - 3, F.least(F.ceil((r + 2) * F.lit(m + 1) / (n + 1)).cast("int") + 1, F.lit(m))).otherwise(m)
-
-    def contrib(acc, j):
-        i0 = _knot_index(j, n, m)
-        s = _interp_fraction(j, i0, n, m, eps)
-        part = F.when(i0 == r, F.lit(1.0) - s).when(i0 == r - 1, s).otherwise(F.lit(0.0))
-        return acc + F.get(weff, j - 1) * part
-
-    general = F.aggregate(F.sequence(lo, F.greatest(hi, lo)), F.lit(0.0), contrib)
-    all_w = F.aggregate(weff, F.lit(0.0), lambda acc, x: acc + x)
-    coef = F.when(n == 1, all_w).when(n == m, F.get(weff, r)).otherwise(general)
-    return (
-        ranked.select(F.col(key), F.col("slice"), c_l.alias("c"), (F.col("p") * coef).alias("t"))
-        .groupBy(key, "slice")
-        .agg((F.first("c") - F.sum("t")).alias("value"))
-    )
+    if w_eff is not None:
+        coef = _coefficient_udf(w_eff, eps)(r, n, F.col("slice").cast("int"))
+    else:
+        lo = F.when(r >= 2, F.greatest(F.floor(r * F.lit(m + 1) / (n + 1)).cast("int") - 1, F.lit(1))).otherwise(1)
+        hi = F.when(r <= n - 3, F.least(F.ceil((r + 2) * F.lit(m + 1) / (n + 1)).cast("int") + 1, F.lit(m))).otherwise(m)
+
+        def contrib(acc, j):
+            i0 = _knot_index(j, n, m)
+            s = _interp_fraction(j, i0, n, m, eps)
+            part = F.when(i0 == r, F.lit(1.0) - s).when(i0 == r - 1, s).otherwise(F.lit(0.0))
+            return acc + F.get(weff, j - 1) * part
+
+        general = F.aggregate(F.sequence(lo, F.greatest(hi, lo)), F.lit(0.0), contrib)
+        all_w = F.aggregate(weff, F.lit(0.0), lambda acc, x: acc + x)
+        coef = F.when(n == 1, all_w).when(n == m, F.get(weff, r)).otherwise(general)
+    sums = ranked.select(F.col(key), F.col("slice"), (F.col("p") * coef).alias("t")).groupBy(key, "slice").agg(F.sum("t").alias("t"))
+    return sums.select(F.col(key), F.col("slice"), (c_l - F.col("t")).alias("value"))
 
 
 def swe_displacement(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray,
@@ -218,13 +263,11 @@ def swe_displacement(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray
     proj = slice_projections(tokens, theta, key, pos, vec, project_with)
     s = sorted_slices(proj, key)
     ref_l = F.get(lit_matrix(ref.T), F.col("slice").cast("int"))
-    idx_l = F.get(F.array(*[F.array(*[F.lit(int(i)) for i in row]) for row in order]), F.col("slice").cast("int"))
-    pts = s.select(F.col(key), F.col("slice"), F.col("v"), ref_l.alias("ref"), idx_l.alias("idx"),
-                   F.posexplode(F.sequence(F.lit(0), F.lit(m - 1))).alias("m", "m_"))
-    return pts.select(
-        F.col(key), F.col("slice"), F.col("m").cast("bigint").alias("m"),
-        (F.get(F.col("ref"), F.col("m")) - swe_quantile(F.col("v"), F.get(F.col("idx"), F.col("m")) + 1, m, eps)).alias("value"),
-    )
+    idx_l = F.get(lit_matrix(order.astype(np.float64)), F.col("slice").cast("int"))
+    # the m values of a (set, slice) as one array, so that the sorted values are not copied m times
+    pairs = F.zip_with(ref_l, idx_l, lambda r, i: r - swe_quantile(F.col("v"), i.cast("int") + 1, m, eps))
+    return s.select(F.col(key), F.col("slice"), F.posexplode(pairs).alias("m", "value")).select(
+        F.col(key), F.col("slice"), F.col("m").cast("bigint").alias("m"), "value")
 
 
 def slice_rank(tokens: DataFrame, theta: np.ndarray, key: str = "seq_id", pos: str = "pos",

@@ -53,7 +53,8 @@ SORTED = """sv AS (SELECT seq_id, slice, list(p ORDER BY p, pos) AS v, count(*)
 
 def quantile_sql(m: int = SWE_M, eps: str = "1.1920929e-07::DOUBLE") -> str:
     """q at 1-based point j of sorted list v with n elements (columns j, v, n in scope)."""
-    i0 = f"least(greatest(CAST(ceil(j * (n + 1) / {m + 1}.0::DOUBLE) AS BIGINT) - 2, 0), n - 2)"
+    below = f"len(list_filter(range(1, n + 1), lambda i: i * {m + 1} < j * (n + 1)))"  # knots below the point, counted one by one
+    i0 = f"least(greatest({below} - 1, 0), n - 2)"
     return f"""CASE WHEN n = 1 THEN v[1] WHEN n = {m} THEN v[j]
      ELSE v[{i0} + 1] + (v[{i0} + 2] - v[{i0} + 1]) / ({eps} + 1.0::DOUBLE / (n + 1))
           * (j / {m + 1}.0::DOUBLE - ({i0} + 1) / (n + 1.0::DOUBLE)) END"""
