@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -29,3 +33,113 @@ def load_parameters(path: str) -> PipelineModel:
 def predict_class(model: PipelineModel, vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     x = vectors.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     return model.transform(x).select(key, F.col("prediction").cast("bigint").alias("pred"))
+
+
+# --------------------------------------------------------------------------------------- gradient fits
+
+
+class AdamW:
+    """One update rule for a dict of small arrays (they are the model's parameters, not data)."""
+
+    def __init__(self, lr: float, decay: float = 0.01, betas=(0.9, 0.999), eps: float = 1e-8):
+        self.lr, self.decay, self.betas, self.eps = lr, decay, betas, eps
+        self.t, self.m, self.v = 0, {}, {}
+
+    def update(self, params: dict, grads: dict) -> dict:
+        self.t += 1
+        out = {}
+        for k, p in params.items():
+            self.m[k] = self.betas[0] * self.m.get(k, 0.0) + (1 - self.betas[0]) * grads[k]
+            self.v[k] = self.betas[1] * self.v.get(k, 0.0) + (1 - self.betas[1]) * grads[k] ** 2
+            m = self.m[k] / (1 - self.betas[0] ** self.t)
+            v = self.v[k] / (1 - self.betas[1] ** self.t)
+            out[k] = p * (1 - self.lr * self.decay) - self.lr * m / (np.sqrt(v) + self.eps)
+        return out
+
+
+def fit_by_gradient(rows: DataFrame, params: dict[str, np.ndarray], partial: Callable, steps: int, lr: float) -> tuple[dict, list[float]]:
+    """Full-batch steps: every task adds up its rows' gradients in numpy, Spark sums them per parameter, the driver updates.
+
+    ``partial(batch, params)`` gives (loss sum, rows, gradient sums).  Only sums, one per parameter entry, reach the driver.
+    ``rows`` is read once per step and should be a written table."""
+    names = list(params)
+    rule, losses = AdamW(lr), []
+    for _ in range(steps):
+        now = params
+
+        def run(batches, now=now):
+            loss, n, total = 0.0, 0, {k: np.zeros_like(v) for k, v in now.items()}
+            for b in batches:
+                one, m, grads = partial(b, now)
+                loss, n = loss + one, n + m
+                for k in names:
+                    total[k] += grads[k]
+            flat = np.concatenate([[loss, float(n)], *[total[k].ravel() for k in names]])
+            yield pd.DataFrame({"i": np.arange(len(flat)), "g": flat})
+
+        sums = rows.mapInPandas(run, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").collect()
+        flat = np.array([r["g"] for r in sums])
+        if not len(flat) or flat[1] == 0:
+            break
+        losses.append(float(flat[0] / flat[1]))
+        at, grads = 2, {}
+        for k in names:
+            size = params[k].size
+            grads[k] = flat[at: at + size].reshape(params[k].shape) / flat[1]
+            at += size
+        params = rule.update(params, grads)
+    return params, losses
+
+
+def pair_cosine_bce(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
+    """T1 with BCE: cosine of relu(Wd a) and relu(Wt b), clipped inside (0, 1)."""
+    a, b = np.stack(batch["drug_vec"].to_numpy()), np.stack(batch["target_vec"].to_numpy())
+    y = batch["label"].to_numpy(dtype=np.float64)
+    h, g = a @ params["drug"].T, b @ params["target"].T
+    hr, gr = np.maximum(h, 0), np.maximum(g, 0)
+    nh, ng = np.maximum(np.linalg.norm(hr, axis=1), 1e-8), np.maximum(np.linalg.norm(gr, axis=1), 1e-8)
+    c = (hr * gr).sum(axis=1) / (nh * ng)
+    p = np.clip(c, 1e-6, 1 - 1e-6)
+    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+    dc = np.where((c > 1e-6) & (c < 1 - 1e-6), (p - y) / (p * (1 - p)), 0.0)[:, None]
+    dh = dc * (gr / (nh * ng)[:, None] - (c / nh**2)[:, None] * hr) * (h > 0)
+    dg = dc * (hr / (nh * ng)[:, None] - (c / ng**2)[:, None] * gr) * (g > 0)
+    return float(loss), len(y), {"drug": dh.T @ a, "target": dg.T @ b}
+
+
+def pair_inner_mse(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
+    """T2 with MSE: inner product of relu(Wd a) and relu(Wt b)."""
+    a, b = np.stack(batch["drug_vec"].to_numpy()), np.stack(batch["target_vec"].to_numpy())
+    y = batch["label"].to_numpy(dtype=np.float64)
+    h, g = a @ params["drug"].T, b @ params["target"].T
+    hr, gr = np.maximum(h, 0), np.maximum(g, 0)
+    e = (hr * gr).sum(axis=1) - y
+    dh, dg = 2 * e[:, None] * gr * (h > 0), 2 * e[:, None] * hr * (g > 0)
+    return float((e**2).sum()), len(y), {"drug": dh.T @ a, "target": dg.T @ b}
+
+
+def fit_pair_head(pairs: DataFrame, drug: np.ndarray, target: np.ndarray, loss: str = "bce", steps: int = 8, lr: float = 1e-2):
+    """(parameters, loss before each step).  ``pairs``: drug_vec, target_vec, label; pooling is frozen."""
+    partial = {"bce": pair_cosine_bce, "mse": pair_inner_mse}[loss]
+    return fit_by_gradient(pairs, {"drug": drug, "target": target}, partial, steps, lr)
+
+
+def multilabel_bce(weights: np.ndarray, slope: float = 0.2):
+    """T8's loss: label-weighted BCE of the logits W2 leaky(W1 leaky(x)), averaged over labels."""
+    def partial(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
+        x, y = np.stack(batch["vec"].to_numpy()), np.stack(batch["targets"].to_numpy()).astype(np.float64)
+        x = np.where(x >= 0, x, slope * x)
+        u = x @ params["w1"].T
+        h = np.where(u >= 0, u, slope * u)
+        z = h @ params["w2"].T
+        loss = (weights * (np.logaddexp(0, z) - y * z)).mean(axis=1).sum()
+        dz = weights * (1 / (1 + np.exp(-z)) - y) / y.shape[1]
+        du = (dz @ params["w2"]) * np.where(u >= 0, 1.0, slope)
+        return float(loss), len(y), {"w1": du.T @ x, "w2": dz.T @ h}
+
+    return partial
+
+
+def fit_multilabel_head(rows: DataFrame, w1: np.ndarray, w2: np.ndarray, weights: np.ndarray, steps: int = 8, lr: float = 1e-2):
+    """(parameters, loss before each step).  ``rows``: vec, targets (0/1 per label); the backbone is frozen."""
+    return fit_by_gradient(rows, {"w1": w1, "w2": w2}, multilabel_bce(weights), steps, lr)

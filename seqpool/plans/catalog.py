@@ -924,6 +924,7 @@ from seqpool.sources import files as FS  # noqa: E402
 from seqpool.streaming import jobs as SJ  # noqa: E402
 
 CONV_DIM = 4
+FIT_STEPS = 6
 CONV_WIDTH = 5
 
 
@@ -1110,4 +1111,30 @@ def fit_class_head(spark, sf):
     return one.join(two, "vec_id")
 
 
-WITHOUT_SQL |= {"fit_class_head"}
+def _losses(spark, losses):
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "step bigint, loss double")
+
+
+@query
+def fit_pair_head(spark, sf):
+    """Projectors fitted on all pairs by full-batch steps; the loss before each step."""
+    x = _pair_vecs(spark, sf).where(F.col("drug_vec").isNotNull() & F.col("target_vec").isNotNull())
+    x = materialise(x.select("drug_vec", "target_vec", "label"), "pair-rows")
+    _, losses = FT.fit_pair_head(x, PR.projector(PROJ_OUT, DIM), PR.projector(PROJ_OUT, DIM, 5), steps=FIT_STEPS)
+    return _losses(spark, losses)
+
+
+@query
+def fit_multilabel_head(spark, sf):
+    """The two-layer head fitted on all labelled vectors (one label of ten is set), labels weighted by their frequency."""
+    e = V.table(spark, sf, "embeddings").where("label IS NOT NULL")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda i: (i == F.col("label")).cast("double"))
+    x = materialise(e.select(F.col("embedding").cast("array<double>").alias("vec"), labels.alias("targets")), "label-rows")
+    counts = {r["label"]: r["n"] for r in e.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    weights = np.array([n / counts[i] if i in counts else 0.0 for i in range(N_CLASSES)])
+    _, losses = FT.fit_multilabel_head(x, PR.projector(16, DIM), PR.projector(N_CLASSES, 16, 3), weights, steps=FIT_STEPS)
+    return _losses(spark, losses)
+
+
+WITHOUT_SQL |= {"fit_class_head", "fit_pair_head", "fit_multilabel_head"}
