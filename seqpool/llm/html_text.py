@@ -5,7 +5,7 @@ text length; lines inside menus, headers, footers, sidebars, notices, adverts, f
 give none, and lines that are mostly links weigh nothing.  Sums of the weights over sliding windows of lines
 surge where the main text begins and dive where it ends; the lines between are the text.  Where the
 page marks its article, only lines inside it have weight, and a window holds text as soon as its sum is not zero;
-elsewhere a surge needs ``SURGE_CHARS``.
+elsewhere a surge needs ``SURGE_CHARS``, and if no window has as many, all lines with weight are the text.
 
 Defined results: null and empty html, or a page without main text, give an empty text; unclosed
 elements end with their parent or the page; repeated rows each get their row.
@@ -165,6 +165,8 @@ def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
             if weight[i] > 0:
                 keep.append(lines[i][0])
             i += 1
+    if not keep:  # no surge: a short text is the text between its first and last line
+        keep = [line[0] for line, w in zip(lines, weight, strict=True) if w]
     return "\n".join(keep)
 
 

@@ -155,7 +155,8 @@ def open_pairs(shared: DataFrame, stars: DataFrame, texts: DataFrame, k: int, si
 
     def mixed(x: DataFrame) -> DataFrame:
         kinds = x.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n_shingles").alias("least"))
-        return x.join(kinds.where("a < b").select("key", "least"), "key")
+        kinds = written(kinds.where("a < b").select("key", "least"), "near-mixed")  # a join of two plain sides can split a hot key
+        return x.join(kinds, "key")
 
     first = written(mixed(placed), "near-open")
     own = unshared(texts.join(first.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)

@@ -129,7 +129,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, k: int = SEED_WO
     firsts = written(hits.groupBy("anchor", "ctx", "many").agg(place).select("anchor", "ctx", "many", "first.*"), "substring-contexts")
     groups = firsts.where("many").groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"))
-    groups = groups.where("d0 < d1").select("anchor", (F.col("n") > pairwise).alias("hot"))
+    groups = written(groups.where("d0 < d1").select("anchor", (F.col("n") > pairwise).alias("hot")), "substring-groups")
     wanted = firsts.where("many").join(groups, "anchor").select("anchor", "ctx", "d", "th", "s", "e", "p", "hot")
     contexts = written(context_rows(docs, wanted, window), "substring-words")
     spans = extended(contexts, window)

@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_BYTES, k: int = SEED_BY
     place = F.min(F.struct("d", "th", "s", "e", "p")).alias("first")
     firsts = hits.where("many").groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), place)
     firsts = written(firsts.select("anchor", "ctx", "n", "first.*"), "suffix-contexts")
-    groups = firsts.groupBy("anchor").agg((F.count(F.lit(1)) > hot).alias("hot"))
+    groups = written(firsts.groupBy("anchor").agg((F.count(F.lit(1)) > hot).alias("hot")), "suffix-groups")
     wanted = firsts.join(groups, "anchor")
     contexts = written(context_rows(docs, wanted, window, k), "suffix-bytes")
     spans = repeats(contexts, window, shard_bytes, hot_core)

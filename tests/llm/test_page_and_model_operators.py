@@ -137,6 +137,7 @@ LONG = "A sentence of the main text that is long enough to count as such, with s
     ("<main><p>if a < b and c > d</p><!-- <p>no</p> --></main>", "if a < b and c > d"),
     ("<article><header class=post-header><h1>T</h1></header><ul><li>1<li>2</ul><table><tr><td>c1<td>c2</table><pre>k  l\nm</pre></article>",
      "T\n1\n2\nc1\nc2\nk l m"),
+    ("<div><p>A short note.</p><p>Two.</p></div>", "A short note.\nTwo."),
     ("<div role=dialog>Cookies!</div><article><div class='cookie-notice'>ok?</div><p hidden>h</p><p>z</p></article>", "z"),
 ])
 def test_main_text(page, text):
