@@ -30,8 +30,16 @@ URL_RULES = (
 
 @query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL judged by the explicit rules, else by the rules mined from the URLs they label."""
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    """Every page's URL judged by the explicit rules, else by the rules mined from labelled URLs.
+
+    A page shows a document, whose id is the last number of the URL's path; its quality label is the URL's label."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"(\d{1,18})\D*$", 1)
+    shown = pages.select("page_id", F.when(number != "", number).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
+    quality = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    label = F.when(F.col("quality") == 0, "block").otherwise("allow").alias("label")
+    labels = shown.join(quality.select("doc_id", "quality"), "doc_id").select("page_id", label)
+    return url_filter.filter_urls(pages, URL_RULES, labels)
 
 
 @query

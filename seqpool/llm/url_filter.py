@@ -1,8 +1,8 @@
-"""URL filters: explicit host/path rules, and association rules mined from the URLs those rules label.
+"""URL filters: explicit host/path rules, and association rules mined from labelled URLs.
 
-The explicit rules label a part of the URLs.  FP-growth mines token combinations (host labels,
-path segments, file endings, parameter names) that go with a label; rules below the support or the
-confidence are pruned.  A mined rule stands in an inverted index under its rarest token, so a URL
+FP-growth mines token combinations (host labels, path segments, file endings, parameter names) that go
+with a label, ``block`` or ``allow``; rules below the support or the confidence are pruned.  The labels are given per
+page; without any, the verdicts of the explicit rules serve.  A mined rule stands in an inverted index under its rarest token, so a URL
 meets only the rules that share that token, and the full antecedent is compared after the join.
 URLs with equal tokens are judged once.
 
@@ -24,7 +24,7 @@ from seqpool.llm.common import written
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
-MIN_SUPPORT = 0.01
+MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
 DEFAULT_VERDICT = "allow"
 LABELS = ("block", "allow")
@@ -102,15 +102,21 @@ def match_rules(signatures: DataFrame, rules: DataFrame) -> DataFrame:
         "signature", F.col("b.verdict").alias("mined_verdict"), "b.confidence", "b.mined_rule")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], min_support: float = MIN_SUPPORT,
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None, min_support: float = MIN_SUPPORT,
                 min_confidence: float = MIN_CONFIDENCE, default: str = DEFAULT_VERDICT) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined_rule, confidence for every row of ``pages`` (page_id, url)."""
+    """page_id, host, path, rule, verdict, mined_rule, confidence for every row of ``pages`` (page_id, url).
+
+    ``labels``: page_id, label (block or allow); of several labels of a page, block counts."""
     x = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
     tokens = F.coalesce(url_tokens(F.col("url"), F.col("host"), F.col("path")), F.array().cast("array<string>"))
     x = x.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), tokens.alias("tokens"))
     x = x.withColumn("signature", F.array_join("tokens", " "))
-    mined = mine_rules(x.where(F.col("verdict").isNotNull()), min_support, min_confidence)
+    labelled = x.where(F.col("verdict").isNotNull()).select("tokens", "verdict")
+    if labels is not None:
+        one = labels.where(F.col("label").isin(*LABELS)).groupBy("page_id").agg(F.max("label").alias("label"))
+        labelled = x.join(one, "page_id").select("tokens", F.col("label").alias("verdict"))
+    mined = mine_rules(labelled, min_support, min_confidence)
     unknown = x.where(F.col("verdict").isNull()).groupBy("signature").agg(F.first("tokens").alias("tokens"))
     judged = match_rules(unknown, mined)
     y = x.join(judged, "signature", "left")

@@ -50,6 +50,19 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(x.where("page_id in (4, 6)"), queries.URL_RULES).collect()} == {"allow"}
 
 
+def test_labels_decide_where_no_rule_does(spark):
+    """Hosts of one kind are labelled block; a page of such a host without a label is blocked, others are not."""
+    rows = [(i, f"https://{'spam' if i % 4 == 0 else 'good'}{i % 3}.x{i % 5}.info/a/{i}") for i in range(80)]
+    rows += [(200, "https://spam0.x0.info/b/1"), (201, "https://good1.x1.info/b/1"), (202, "https://spam0.net/en/1")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, "block" if i % 4 == 0 else "allow") for i in range(80)] + [(3, "allow"), (5, "odd")], "page_id bigint, label string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, queries.URL_RULES, labels, min_support=0.02).collect()}
+    assert got[200]["verdict"] == "block" and got[200]["mined_rule"] and got[200]["rule"] is None
+    assert got[201]["verdict"] == "allow"
+    assert got[202]["rule"] == "net/" and got[202]["mined_rule"] is None
+    assert all(got[i]["verdict"] == ("block" if i % 4 == 0 else "allow") for i in range(80))
+
+
 def test_mined_rules_are_those_of_brute_force(spark):
     rng = random.Random(4)
     rows = []
