@@ -133,12 +133,16 @@ def batch_norm(long_df: DataFrame, key: str, dim: str, value: str, eps: float =
 
 
 def masked_softmax(long_df: DataFrame, group: list[str], value: str, valid: Column | None = None,
-                   fill: float = -1e10) -> Column:
-    """Softmax over the rows of each group; masked rows take ``fill`` before the softmax."""
+                   fill: float = -1e10, out: str = "softmax") -> DataFrame:
+    """``out``, the softmax over the rows of each group; masked rows take ``fill`` before the softmax.
+
+    The maximum and the sum of a group are partial aggregates joined back, so a large group is dealt over tasks."""
     x = F.col(value) if valid is None else F.when(valid, F.col(value)).otherwise(F.lit(fill))
-    w = Window.partitionBy(*group)
-    e = F.exp(x - F.max(x).over(w))
-    return e / F.sum(e).over(w)
+    rows = long_df.withColumn("_x", x)
+    top = rows.groupBy(*group).agg(F.max("_x").alias("_top"))
+    rows = rows.join(top, group).withColumn("_e", F.exp(F.col("_x") - F.col("_top")))
+    total = rows.groupBy(*group).agg(F.sum("_e").alias("_total"))
+    return rows.join(total, group).withColumn(out, F.col("_e") / F.col("_total")).drop("_x", "_top", "_e", "_total")
 
 
 # ------------------------------------------------------------------------------ epoch histories

@@ -594,6 +594,10 @@ m AS (SELECT seq_id, dim, max(x) AS mx FROM tdims GROUP BY seq_id, dim),
 e AS (SELECT t.seq_id, t.pos, t.dim, exp(t.x - m.mx) AS e FROM tdims t JOIN m ON t.seq_id = m.seq_id AND t.dim = m.dim)
 SELECT seq_id, pos, dim, round(e / sum(e) OVER (PARTITION BY seq_id, dim), 6) AS value FROM e"""
 
+SQL["masked_softmax_padded"] = SQL["pad_batch"].rsplit("SELECT batch_id, seq_id, pos, dim", 1)[0] + """SELECT seq_id, pos, dim,
+  round(CASE WHEN value = 20.0::DOUBLE THEN 0.0::DOUBLE ELSE exp(value) END
+        / sum(CASE WHEN value = 20.0::DOUBLE THEN 0.0::DOUBLE ELSE exp(value) END) OVER (PARTITION BY seq_id, dim), 6) AS value FROM padded"""
+
 SQL["batch_norm"] = f"""WITH {FDIMS},
 s AS (SELECT i, avg(x) AS mu, var_pop(x) AS va FROM fdims GROUP BY i)
 SELECT fdims.key, fdims.i AS dim, round((fdims.x - s.mu) / sqrt(s.va + 1e-5::DOUBLE), 6) AS value FROM fdims JOIN s ON fdims.i = s.i"""

@@ -13,7 +13,7 @@ EDGE_SPLITS = {"1": "train", "0": "val", "2": "test"}  # fixed values: number in
 def scan_split_csv(spark: SparkSession, path: str, schema: str, index: str = "index") -> DataFrame:
     """CSVs with header under ``path``/<split>..., unioned with a ``split`` tag; the index column is dropped."""
     x = spark.read.schema(f"{index} bigint, {schema}").option("recursiveFileLookup", "true").csv(path, header=True, quote='"', escape='"')
-    split = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:split=)?(train|val|test)[^/]*(?:/[^/]*)?$", 1)
+    split = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:split=)?(train|val|test)(?:\.[^/]*|/[^/]*|\.[^/]*/[^/]*)$", 1)
     return x.select("*", split.alias("split")).drop(index)
 
 
