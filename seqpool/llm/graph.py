@@ -17,13 +17,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (itself included)."""
     both = _both_ways(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "edges-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them.  Edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
     rest = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -31,11 +31,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node of its component, for every node of an edge (u, v) but the roots.
 
-    Each round is written to the shared folder, which cuts the lineage; only a count and two sums reach the driver."""
+    Each round is written to the shared folder, which cuts the lineage; only a count and a sum reach the driver.  The least
+    neighbours are written before they are joined: a join of two plain sides can split the rows of a node with very many edges."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, before = written(now, "edges"), None
     for _ in range(MAX_ROUNDS):
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(written(_large_star(now), "edges-star")), "edges")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

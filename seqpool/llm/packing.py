@@ -42,7 +42,7 @@ LEARNING_RATE = 0.02  # a covered length loses so much weight
 LONG_BONUS = 0.002  # long pieces first: short ones fill gaps later
 TOKENIZER = "byte_bpe_50k.json"
 
-_BYTES = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, lot bigint, lot_rank bigint"
+_PIECE = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, lot bigint, lot_rank bigint"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     x = docs.select("doc_id", "text")
-    schema = _BYTES.format(x.schema["doc_id"].dataType.simpleString()) + ", ids array<bigint>" * with_ids
+    schema = _PIECE.format(x.schema["doc_id"].dataType.simpleString()) + ", ids array<bigint>" * with_ids
     return x.mapInArrow(run, schema)
 
 
