@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 from seqpool.llm.common import table
+from seqpool.llm.oracle import SQL as _SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(_SQL)
 
 
 def query(fn):
