@@ -28,7 +28,8 @@ RUN_SCHEMA = "anchor bigint, ctx bigint, d bigint, th bigint, s int, e int, p in
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), the key (d, th), and ``rest``: a struct of the other columns."""
     rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
-    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest, F.lit(0)).alias("rest"))
+    spare = "".join(["none", *docs.columns])  # a struct needs a field, and this is no column's name
+    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*rest, F.lit(0).alias(spare)).alias("rest"))
     return x.select("doc_id", "text", "rest", F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("d"),
                     F.xxhash64("text").alias("th"))
 

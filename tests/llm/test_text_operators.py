@@ -178,6 +178,8 @@ def test_suffix_dedup_repeated_rows(spark, nothing):
     got = sorted(suffix_dedup.dedup(x).select("doc_id", "kept_text").collect(), key=str)
     assert got == sorted([(1, ""), (1, ""), (None, ""), (2, "short")], key=str)
     assert suffix_dedup.dedup(nothing).count() == 0
+    alone = suffix_dedup.dedup(x.select("text", "doc_id")).select("doc_id", "n_bytes")
+    assert sorted(map(tuple, alone.collect()), key=str) == sorted([(1, len(text.encode()))] * 2 + [(None, 300), (2, 5)], key=str)
 
 
 @pytest.mark.parametrize("seed", range(40))
