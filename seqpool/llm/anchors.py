@@ -41,21 +41,37 @@ def unit_values(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return T.word_hashes(data, offsets)
 
 
+def _long_pieces(unit: str, data: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shift, values, starts) of pieces of one very long text that share window - 1 units, so that each window is in one.
+
+    A run that a piece cuts becomes two; that changes contexts, not which windows have an equal."""
+    units = data if unit == "bytes" else T.word_hashes(data, np.array([0, len(data)]))[0]
+    step = T.LONG_BYTES // 8
+    for lo in range(0, max(1, len(units) - window + 1), step):
+        piece = units[lo: lo + step + window - 1]
+        yield lo, T.byte_values()[piece] if unit == "bytes" else piece, np.array([0, len(piece)])
+
+
 def window_runs(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     """The runs of all windows of ``keyed`` documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in T.chunks(batch):
-                values, starts = unit_values(unit, data, offsets)
-                text, first, last, place, anchor = T.anchor_runs(values, starts, window, k)
-                if not len(text):
-                    continue
-                base = starts[text]
-                ctx = T.span_hashes(values, base + first, base + last + window)
-                d = np.asarray(part.column("d"))[text]
-                th = np.asarray(part.column("th"))[text]
-                cols = [anchor.view(np.int64), ctx.view(np.int64), d, th, *(x.astype(np.int32) for x in (first, last, place))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in RUN_SCHEMA.split(", ")])
+                if part.num_rows > 1 or len(data) <= T.LONG_BYTES:
+                    pieces = [(0, *unit_values(unit, data, offsets))]
+                else:
+                    pieces = _long_pieces(unit, data, window)
+                for shift, values, starts in pieces:
+                    text, first, last, place, anchor = T.anchor_runs(values, starts, window, k)
+                    if not len(text):
+                        continue
+                    base = starts[text]
+                    ctx = T.span_hashes(values, base + first, base + last + window)
+                    d = np.asarray(part.column("d"))[text]
+                    th = np.asarray(part.column("th"))[text]
+                    at = [(x + shift).astype(np.int32) for x in (first, last, place)]
+                    cols = [anchor.view(np.int64), ctx.view(np.int64), d, th, *at]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in RUN_SCHEMA.split(", ")])
 
     return docs.select("text", "d", "th").mapInArrow(run, RUN_SCHEMA)
 

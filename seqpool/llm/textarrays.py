@@ -94,12 +94,34 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts] + mix((ends - starts).astype(_U)))
 
 
+LONG_BYTES = 1 << 22  # a single text above this is worked on piece by piece, so that no array of eight bytes a byte is made
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the index of the first word of each text (one entry more than texts)."""
+    if len(offsets) == 2 and len(data) > LONG_BYTES:
+        space = np.zeros(256, dtype=bool)
+        space[list(SPACES)] = True
+        found, at = [], 0
+        while at < len(data):
+            stop = min(at + LONG_BYTES // 4, len(data))
+            while stop < len(data) and not space[data[stop]]:
+                stop += 1  # a piece ends before white space
+            found.append(word_hashes(data[at:stop], np.array([0, stop - at]))[0] if stop - at <= LONG_BYTES else
+                         _one_long(data[at:stop]))
+            at = stop
+        hashes = np.concatenate(found)
+        return hashes, np.array([0, len(hashes)])
     starts, ends = words(data, offsets)
     return span_hashes(byte_values()[data], starts, ends), np.searchsorted(starts, offsets)
 
 
+def _one_long(data: np.ndarray) -> np.ndarray:
+    """Hashes of a piece whose last word is longer than ``LONG_BYTES``: no cheaper way for one huge word."""
+    starts, ends = words(data, np.array([0, len(data)]))
+    return span_hashes(byte_values()[data], starts, ends)
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k consecutive values from each position (len - k + 1 entries, at least none)."""
     n = len(values) - k + 1

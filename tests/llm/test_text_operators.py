@@ -182,6 +182,27 @@ def test_suffix_dedup_repeated_rows(spark, nothing):
     assert sorted(map(tuple, alone.collect()), key=str) == sorted([(1, len(text.encode()))] * 2 + [(None, 300), (2, 5)], key=str)
 
 
+def test_very_long_texts_in_pieces(texts, monkeypatch):
+    """With a low limit the long texts are worked on in pieces; hashes and windows stay the same."""
+    from seqpool.llm import anchors
+
+    monkeypatch.setattr(T, "LONG_BYTES", 4000)
+    raw = [t.encode() for t in texts if t and len(t) > 9000]
+    for r in raw:
+        data = np.frombuffer(r, dtype=np.uint8)
+        hashes, starts = T.word_hashes(data, np.array([0, len(data)]))
+        whole = T.span_hashes(T.byte_values()[data], *T.words(data, np.array([0, len(data)])))
+        assert starts[1] == len(whole) and (hashes == whole).all()
+        for unit, window, k in (("bytes", 200, 32), ("words", 50, 8)):
+            n = len(data) if unit == "bytes" else len(whole)
+            seen = []
+            for shift, values, begin in anchors._long_pieces(unit, data, window):
+                t, f, e, _, _ = T.anchor_runs(values, begin, window, k)
+                seen += [i + shift for a, b in zip(f, e, strict=True) for i in range(a, b + 1)]
+            assert sorted(seen) == list(range(n - window + 1))
+    assert raw
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_induced_sort_with_disk_queues(tmp_path, monkeypatch, seed):
     import pyarrow.fs as pafs
