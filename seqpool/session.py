@@ -17,13 +17,17 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # keep Arrow batches small: one row can hold a whole token matrix
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+# Rows in an Arrow batch where the session names no number: a row can be a whole text or token matrix, and a Python
+# worker holds a batch several times over.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "seqpool") -> SparkSession:
     """A local session for tests and benchmarks (never used on a cluster)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -58,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_base(spark))
     ship_package(spark)
+    if _BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*_BATCH)
     return sc.getCheckpointDir()
 
 
