@@ -28,14 +28,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) with the smallest node of its component, for every node of an edge (u, v) but the roots.
 
+    With ``rounds`` it stops after so many: the root is then some node of the component, the smallest for stars.
+
     Each round is written to the shared folder, which cuts the lineage; only a count and a sum reach the driver.  The least
     neighbours are written before they are joined: a join of two plain sides can split the rows of a node with very many edges."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, before = written(now, "edges"), None
-    for _ in range(MAX_ROUNDS):
+    for done in range(MAX_ROUNDS):
+        if done == rounds:
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         now = written(_small_star(written(_large_star(now), "edges-star")), "edges")
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:

@@ -149,7 +149,7 @@ def open_pairs(shared: DataFrame, stars: DataFrame, texts: DataFrame, k: int, si
     open document.  A document whose bound is too low for the smallest set of its bucket falls away before any
     pair is made, and pairs whose bounds are too low are not made."""
     share = similarity / 100
-    found = components(stars.where("linked").select("u", "v"))
+    found = components(stars.where("linked").select("u", "v"), rounds=1)  # a bound for pruning need not be the closure
     placed = shared.join(found.withColumnRenamed("node", "v"), "v", "left")
     placed = placed.select("key", "u", "v", "n_shingles", F.coalesce("root", "v").alias("root"))
 
