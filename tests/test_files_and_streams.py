@@ -65,3 +65,36 @@ def test_softmax_with_mask(spark):
     x = spark.createDataFrame([("a", 0, 1.0, True), ("a", 1, 1.0, True), ("a", 2, 9.0, False), ("b", 0, 3.0, False)], "g string, i int, v double, ok boolean")
     got = {(r["g"], r["i"]): r["softmax"] for r in SC.masked_softmax(x, ["g"], "v", valid=F.col("ok")).collect()}
     assert got == {("a", 0): 0.5, ("a", 1): 0.5, ("a", 2): 0.0, ("b", 0): 1.0}
+
+
+def test_light_attention_by_hand(spark):
+    import numpy as np
+
+    tokens = spark.createDataFrame([("s", i, [float(i + 1)]) for i in range(3)], "seq_id string, pos bigint, vec array<double>")
+    value = np.array([[[0.1, 0.2, 0.4, 0.2, 0.1]]])
+    att = np.array([[[0.0, 0.0, 1.0, 0.0, 0.0]]])
+    got = {r["pos"]: r["vec"][0] for r in SQ.conv1d_same(tokens, value, [0.0]).collect()}
+    assert [round(got[i], 9) for i in range(3)] == [1.1, 1.6, 1.7]
+    both = SQ.pool_light_attention(tokens, value, [0.0], att, [0.0], np.eye(2), [0.0, 0.0]).collect()
+    assert {r["idx"]: round(r["value"], 6) for r in both} == {0: 1.7, 1: 1.621509}
+
+
+def test_convolution_has_a_direction(spark):
+    import numpy as np
+
+    tokens = spark.createDataFrame([("s", i, [float(i + 1)]) for i in range(3)], "seq_id string, pos bigint, vec array<double>")
+    ahead = np.array([[[0.0, 0.0, 0.0, 1.0, 0.0]]])  # weight of the next position
+    got = {r["pos"]: r["vec"][0] for r in SQ.conv1d_same(tokens, ahead, [0.5]).collect()}
+    assert got == {0: 2.5, 1: 3.5, 2: 0.5}
+
+
+def test_interpolation_by_hand(spark):
+    at = [0.0, 0.1, 0.25, 0.4, 0.6, 1.0]
+    y = SQ.interp1d(F.lit([0.1, 0.4, 0.9]), F.lit([1.0, 4.0, 2.0]), F.col("x"))
+    got = spark.createDataFrame([(x,) for x in at], "x double").select(y.alias("y")).collect()
+    assert [round(r["y"], 5) for r in got] == [0.0, 1.0, 2.5, 4.0, 3.2, 1.6]
+
+
+def test_gelu_by_hand(spark):
+    got = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 1.0, 2.0)], "x double").select(SC.gelu(F.col("x")).alias("y")).collect()
+    assert [round(r["y"], 6) for r in got] == [-0.158655, 0.0, 0.841345, 1.9545]
