@@ -31,6 +31,7 @@ BLOCK = set("""address article aside blockquote body caption center dd details d
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select
 summary table tbody td tfoot th thead tr ul""".split())
 DROPPED = set("nav footer aside form menu dialog button select head noscript audio video datalist".split())
+UNCLOSED = {"nav", "header", "form"}
 ENDS_PARAGRAPH = BLOCK - {"body", "html", "option", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 DROPPED_WORDS = set("""ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo
 promotion cookie cookies consent gdpr notice notices notification alert sidebar sidebars menu menus nav navbar navigation
@@ -123,6 +124,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in VOID:
             continue
+        if marks["drop"] and (tag == "main" or (tag == "article" and stack[marks["drop"] - 1] in UNCLOSED)):
+            pop_to(marks["drop"] - 1)  # a menu or header that was never closed ends where the article begins
         if tag in ENDS_PARAGRAPH:
             for depth in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
                 if stack[depth] == "p":

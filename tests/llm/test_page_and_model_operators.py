@@ -147,6 +147,8 @@ LONG = "A sentence of the main text that is long enough to count as such, with s
      f"{LONG}\nShort.\n{LONG}"),
     (f"<ul><li><a href=1>{LONG}</a></li></ul><p>{LONG}</p>", LONG),
     ("<article><p>cut off in a <a href='x", "cut off in a"),
+    (f"<nav><ul><li><a>h</a><article><p>{LONG}</p></article>", LONG),
+    (f"<aside><article><p>{LONG}</p></article></aside><article><p>z</p></article>", "z"),
     ("<main><p>if a < b and c > d</p><!-- <p>no</p> --></main>", "if a < b and c > d"),
     ("<article><header class=post-header><h1>T</h1></header><ul><li>1<li>2</ul><table><tr><td>c1<td>c2</table><pre>k  l\nm</pre></article>",
      "T\n1\n2\nc1\nc2\nk l m"),
