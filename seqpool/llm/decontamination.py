@@ -137,11 +137,64 @@ def template_windows(rows: DataFrame, id_column: str, only: np.ndarray | None =
     return x.mapInArrow(run, _HIT.format(x.schema[id_column].dataType.simpleString()))
 
 
+def longest_chain(pairs: list[dict]) -> list[dict]:
+    """The longest chain of pairs (sorted by pos, item_pos) that rises in both texts; of equal ones that with fewest shifts."""
+    places = {x: i + 1 for i, x in enumerate(sorted({p["item_pos"] for p in pairs}))}
+    tree: list[tuple[int, int, int]] = [(0, 0, -1)] * (len(places) + 1)  # best (length, -shifts, pair) up to an item position
+    ends: list[tuple[int, int, int]] = []
+    before: list[int] = []
+    shift_ends: dict[int, int] = {}
+    at = 0
+    while at < len(pairs):
+        stop = at
+        while stop < len(pairs) and pairs[stop]["pos"] == pairs[at]["pos"]:
+            p = pairs[stop]
+            best, i = (0, 0, -1), places[p["item_pos"]] - 1
+            while i:
+                best = max(best, tree[i])
+                i &= i - 1
+            if best[0]:
+                best = (best[0], best[1] - 1, best[2])
+            along = shift_ends.get(p["pos"] - p["item_pos"])
+            if along is not None and ends[along][:2] > best[:2]:
+                best = ends[along]
+            before.append(best[2])
+            ends.append((best[0] + 1, best[1], stop))
+            stop += 1
+        for j in range(at, stop):  # pairs of one document position never follow each other
+            p = pairs[j]
+            shift_ends[p["pos"] - p["item_pos"]] = j
+            i = places[p["item_pos"]]
+            while i < len(tree):
+                tree[i] = max(tree[i], ends[j])
+                i += i & -i
+        at = stop
+    chain, j = [], max(ends)[2] if ends else -1
+    while j >= 0:
+        chain.append(pairs[j])
+        j = before[j]
+    return chain
+
+
+def slot_votes(aligned: list[dict]) -> tuple[float, int, bool]:
+    """(consistency, slot pairs, equal) of pairs that align each item position at most once."""
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for p in aligned:
+        for a, b in zip(p["item_slots"], p["slots"], strict=True):
+            votes[a][b] += 1
+    total = sum(sum(c.values()) for c in votes.values())
+    agree = sum(max(c.values()) for c in votes.values())
+    return agree / total if total else 1.0, total, all(set(c) == {a} for a, c in votes.items())
+
+
 def best_match(pairs: list[dict], n_windows: int, n_words: int) -> tuple[int, int, float, bool]:
     """(windows matched, slot pairs, consistency, verbatim) of the best stretch of the document.
 
-    ``pairs``: pos, item_pos, hash, slots, item_slots of the windows that the two share."""
-    pairs = sorted(pairs, key=lambda p: (p["pos"], p["item_pos"]))
+    ``pairs``: pos, item_pos, hash, slots, item_slots of the windows that the two share.  An item position votes once: along
+    the longest chain of the stretch, or along one shift (pos - item_pos) that aligns as many windows and agrees better."""
+    pairs = sorted(pairs, key=lambda p: (p["pos"], p["item_pos"], -len(p["slots"])))
+    pairs = [p for i, p in enumerate(pairs)
+             if not i or (p["pos"], p["item_pos"]) != (pairs[i - 1]["pos"], pairs[i - 1]["item_pos"])]
     reach, lo, best = 2 * n_words + WINDOW, 0, (0, 0, 0)
     inside: Counter = Counter()
     for hi, p in enumerate(pairs):
@@ -153,14 +206,13 @@ def best_match(pairs: list[dict], n_windows: int, n_words: int) -> tuple[int, in
             lo += 1
         if len(inside) > best[0]:
             best = (len(inside), lo, hi + 1)
-    votes: dict[str, Counter] = defaultdict(Counter)
-    for p in pairs[best[1]: best[2]]:
-        for a, b in zip(p["item_slots"], p["slots"], strict=True):
-            votes[a][b] += 1
-    total = sum(sum(c.values()) for c in votes.values())
-    agree = sum(max(c.values()) for c in votes.values())
-    verbatim = best[0] == n_windows and all(set(c) == {a} for a, c in votes.items())
-    return best[0], total, agree / total if total else 1.0, verbatim
+    chain = longest_chain(pairs[best[1]: best[2]])
+    shifts: dict[int, list[dict]] = defaultdict(list)
+    for p in pairs:
+        shifts[p["pos"] - p["item_pos"]].append(p)
+    ways = [chain] + [x for x in shifts.values() if len(x) >= len(chain)]
+    agreed, total, equal = max(map(slot_votes, ways))
+    return best[0], total, agreed, best[0] == n_windows and equal
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,

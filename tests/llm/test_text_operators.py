@@ -337,3 +337,31 @@ def test_slots_must_be_consistent():
     changing = [pair(i, "1five", f"1x{i}") for i in range(10)]
     assert decontamination.best_match(steady, 10, 14)[2] == 1.0
     assert decontamination.best_match(changing, 10, 14)[2] == 0.1
+
+
+REPEATED = "A shop sells 12 red marbles on Monday, 15 red marbles on Tuesday and 9 red marbles on Sunday. How many in all?"
+
+
+def test_item_that_repeats_a_template(spark):
+    """Windows of one template vote along the alignment only, so a copy is consistent with itself."""
+    rng = random.Random(2)
+    plain = " ".join(words(rng, 60))
+    other = REPEATED.replace("12", "31").replace("15", "42").replace("Tuesday", "Friday")
+    docs = spark.createDataFrame([(1, f"{plain}. {REPEATED} {plain}"), (2, f"{plain}. {other} {plain}"),
+                                  (3, f"{plain}. {other} {REPEATED}")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(70, REPEATED)], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontamination.contaminated(docs, items).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1]["verbatim"] and got[1]["consistency"] == 1.0
+    assert not got[2]["verbatim"] and got[2]["consistency"] == 1.0
+    assert got[3]["verbatim"]
+
+
+def test_votes_follow_the_longest_chain():
+    def pair(pos, item_pos):
+        return {"pos": pos, "item_pos": item_pos, "slots": [f"1{pos}"], "item_slots": [f"1{item_pos}"]}
+
+    every = [pair(a, b) for a in range(6) for b in range(6)]  # one template throughout: only the diagonal is an alignment
+    assert decontamination.best_match(every, 6, 11) == (6, 6, 1.0, True)
+    moved = [pair(a, a) for a in range(3)] + [pair(a + 4, a) for a in range(3, 6)]  # words put in between
+    assert [p["item_pos"] for p in decontamination.longest_chain(moved)] == [5, 4, 3, 2, 1, 0]
