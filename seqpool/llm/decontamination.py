@@ -1,11 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names (capitalised words inside a sentence) and units (after a number) become typed placeholders, other words
-are lower-cased.  Windows of five canonical words are joined on their hash between documents and benchmark
-items; a window with fewer than three plain words is taken literally, since its template says nothing.  A document holds an
-item if, within a stretch of about the item's length, at least ``CONTAINMENT`` of the item's windows stand in it, and the
-slots are consistent: each value of the item's slots goes with one value in the document.  That finds copies as well as
-questions with other numbers, names or units.
+are lower-cased.  Windows of five words are joined on their hash between documents and benchmark items, in two families: literal
+windows of lower-cased words, which neither capitals nor punctuation change, and template windows of canonical words with at
+least three plain words.  A document holds an item if, within a stretch of about the item's length, at least ``CONTAINMENT`` of the
+item's windows of one family stand in it, and the slots are consistent: each value of the item's slots goes with one value in the
+document (literal windows have no slots).  That finds copies as well as questions with other numbers, names or units.
 
 Defined results: one row per (doc_id, item_id) that match, with the best match of repeated ids; null and empty texts match
 nothing; texts and items of fewer than five words are one window, so such an item only matches such a
@@ -38,6 +38,7 @@ pounds percent litre litres liter liters l ml degrees degree celsius fahrenheit
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 
 _HIT = "doc_id {}, th bigint, pos int, hash bigint, slots array<string>"
+_ITEM = "item_id bigint, item_th bigint, family int, n_words int, item_pos int, hash bigint, item_slots array<string>"
 _MATCH = "doc_id {}, th bigint, item_id bigint, n_windows int, n_matched int, n_slots int, consistency double, verbatim boolean"
 
 
@@ -55,7 +56,7 @@ def _hash_of(word: str) -> int:
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray):
-    """Starts, ends, kinds, plain hashes and template hashes of the words of a chunk, and each text's first word."""
+    """Starts, ends, kinds and plain hashes of the words of a chunk, and each text's first word."""
     letter = np.zeros(256, dtype=bool)
     letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
     spaced = np.where(letter[data], data, np.uint8(32))
@@ -84,57 +85,115 @@ def canonical(data: np.ndarray, offsets: np.ndarray):
         opens[1:] = marks[starts[1:]] > marks[ends[:-1]]
         opens[first[:-1][first[:-1] < len(starts)]] = True
     kinds[capital & ~opens & (kinds == PLAIN)] = NAME
-    template = np.where(kinds == PLAIN, hashes, T.mix(kinds.astype(np.uint64) + np.uint64(0xABCDEF)))
-    return starts, ends, kinds, hashes, template, first
+    return starts, ends, kinds, hashes, first
 
 
-def window_hashes(kinds: np.ndarray, hashes: np.ndarray, template: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of k words, and whether it is a template (else it is literal)."""
-    n = len(kinds) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
+def template_spans(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the template windows of a chunk: those with enough plain words."""
+    starts = np.arange(max(len(kinds) - WINDOW + 1, 0))
     plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
-    literal = (plain[k:] - plain[:-k]) < min(LEAST_PLAIN, k)
-    return np.where(literal, T.mix(T.gram_hashes(hashes, k) ^ np.uint64(0x5EED)), T.gram_hashes(template, k)), ~literal
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(starts)]
+    good = (plain[starts + WINDOW] - plain[starts] >= LEAST_PLAIN) & (starts + WINDOW <= first[1:][text])
+    return starts[good], starts[good] + WINDOW
+
+
+def template_hashes(kinds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return np.where(kinds == PLAIN, hashes, T.mix(kinds.astype(np.uint64) + np.uint64(0xABCDEF)))
+
+
+def short_spans(first: np.ndarray, width: int) -> np.ndarray:
+    """Starts of the texts that have just ``width`` words."""
+    return first[:-1][np.diff(first) == width]
+
+
+def chunk_windows(kinds: np.ndarray, hashes: np.ndarray, first: np.ndarray,
+                  widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(reading, starts, ends, positions, hashes) of the windows of a chunk; in reading -1 they are literal.
+
+    A literal window is the hash of lower-cased words, so neither capitals nor punctuation matter."""
+    n = len(kinds) - WINDOW + 1
+    if n > 0:
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+        at = np.flatnonzero(np.arange(n) + WINDOW <= first[1:][text])
+        yield -1, at, at + WINDOW, at, T.mix(T.gram_hashes(hashes, WINDOW) ^ np.uint64(0x5EED))[at]
+    starts, ends = template_spans(kinds, first)
+    yield 0, starts, ends, starts, T.span_hashes(template_hashes(kinds, hashes), starts, ends)
+    for k in widths:
+        at = short_spans(first, k)
+        yield -1, at, at + k, at, T.mix(T.span_hashes(hashes, at, at + k) ^ np.uint64(0x5EED + k))
+        plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
+        n_plain = plain[at + k] - plain[at]
+        at = at[(n_plain >= min(LEAST_PLAIN, k)) & (n_plain < k)]
+        yield 0, at, at + k, at, T.mix(T.span_hashes(template_hashes(kinds, hashes), at, at + k) + np.uint64(k))
+
+
+def filter_table(only: np.ndarray) -> np.ndarray:
+    """Which leading bits the sorted hashes have: a quick first look-up."""
+    bits = min(26, max(16, (16 * len(only)).bit_length()))
+    out = np.zeros(1 << bits, dtype=bool)
+    out[only >> np.uint64(64 - bits)] = True
+    return out
 
 
-def template_windows(rows: DataFrame, id_column: str, only: np.ndarray | None = None) -> DataFrame:
-    """id, th, pos, hash, slots of the windows of ``rows`` (id, text); of those in ``only``, if it is given."""
+def text_windows(batch: pa.RecordBatch, widths: list[int], only: np.ndarray | None = None, quick: np.ndarray | None = None):
+    """(rows, each text's first word, windows) of each chunk; a window: (row, reading, start, end, position, hash, slots)."""
+    for part, data, offsets in T.chunks(batch):
+        begins, stops, kinds, hashes, first = canonical(data, offsets)
+        found, raw = {}, None
+        for reading, starts, ends, places, values in chunk_windows(kinds, hashes, first, widths):
+            if only is not None:
+                near = np.flatnonzero(quick[values >> np.uint64(64 - (len(quick).bit_length() - 1))])
+                values = values[near]
+                if len(only):
+                    real = only[np.minimum(np.searchsorted(only, values), len(only) - 1)] == values
+                    near, values = near[real], values[real]
+                starts, ends, places = starts[near], ends[near], places[near]
+            row = np.searchsorted(first, starts, side="right") - 1
+            for i, j, k, at, h in zip(row.tolist(), starts.tolist(), ends.tolist(), places.tolist(), values.tolist(), strict=True):
+                raw = raw or data.tobytes()
+                slots = [] if reading < 0 else [
+                    f"{kinds[x]}{raw[begins[x]:stops[x]].decode()}" for x in range(j, k) if kinds[x] != PLAIN]
+                found.setdefault((i, at, h), (i, reading, j, k, at - int(first[i]), h, slots))
+        if found:
+            yield part, first, list(found.values())
+
+
+def _batch(part: pa.RecordBatch, id_column: str, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """The id and text hash of each row's first entry, then its hash and slots behind the integers between."""
+    take = pa.array([r[0] for r in rows], pa.int64())
+    middle = [pa.array([r[i] for r in rows], pa.int32()) for i in range(1, len(names) - 3)]
+    return pa.RecordBatch.from_arrays(
+        [part.column(id_column).take(take), part.column("th").take(take), *middle,
+         pa.array(np.array([r[-2] for r in rows], dtype=np.uint64).view(np.int64)), pa.array([r[-1] for r in rows], pa.list_(pa.string()))],
+        names)
+
+
+def document_windows(docs: DataFrame, widths: list[int], only: np.ndarray | None = None) -> DataFrame:
+    """doc_id, th, pos, hash, slots of the windows of ``docs``; of those in ``only``, if it is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quick = None if only is None else filter_table(only)
         for batch in batches:
-            for part, data, offsets in T.chunks(batch):
-                starts, ends, kinds, hashes, template, first = canonical(data, offsets)
-                ids, th = part.column(id_column), part.column("th")
-                found = []  # (row, position of the window, hash, words in it, template or not)
-                all_hashes, all_templates = window_hashes(kinds, hashes, template, WINDOW)
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))[: len(all_hashes)]
-                good = np.arange(len(all_hashes)) + WINDOW <= first[1:][row]
-                if only is not None and len(only):
-                    near = np.minimum(np.searchsorted(only, all_hashes), len(only) - 1)
-                    good &= only[near] == all_hashes
-                elif only is not None:
-                    good[:] = False
-                for j in np.flatnonzero(good):
-                    found.append((int(row[j]), int(j), all_hashes[j], WINDOW, bool(all_templates[j])))
-                for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < WINDOW)):  # short texts: one window
-                    lo, hi = int(first[i]), int(first[i + 1])
-                    h, is_template = window_hashes(kinds[lo:hi], hashes[lo:hi], template[lo:hi], hi - lo)
-                    h = T.mix(h + np.uint64(hi - lo))[0]
-                    if only is None or (len(only) and only[min(int(np.searchsorted(only, h)), len(only) - 1)] == h):
-                        found.append((int(i), lo, h, hi - lo, bool(is_template[0])))
-                if not found:
-                    continue
-                raw = data.tobytes()
-                slots = [[f"{kinds[x]}{raw[starts[x]:ends[x]].decode()}" for x in range(j, j + k) if kinds[x] != PLAIN] if is_t else []
-                         for _, j, _, k, is_t in found]
-                take = pa.array([f[0] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), th.take(take), pa.array([f[1] - int(first[f[0]]) for f in found], pa.int32()),
-                     pa.array(np.array([f[2] for f in found], dtype=np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-                    ["doc_id", "th", "pos", "hash", "slots"])
+            for part, _, found in text_windows(batch, widths, only, quick):
+                yield _batch(part, "doc_id", [(i, pos, h, slots) for i, _, _, _, pos, h, slots in found],
+                             ["doc_id", "th", "pos", "hash", "slots"])
+
+    x = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    return x.mapInArrow(run, _HIT.format(x.schema["doc_id"].dataType.simpleString()))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """item_id, item_th, family, n_words, item_pos, hash, item_slots of the windows of the items.
+
+    Family 0 has the literal windows, family 1 the templates; each is held against a document on its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, first, found in text_windows(batch, list(range(1, WINDOW))):
+                size = np.diff(first)
+                yield _batch(part, "item_id", [(i, 0 if reading < 0 else 1, int(size[i]), pos, h, slots)
+                                               for i, reading, _, _, pos, h, slots in found],
+                             [c.split()[0] for c in _ITEM.split(", ")])
 
-    x = rows.select(id_column, "text").withColumn("th", F.xxhash64("text"))
-    return x.mapInArrow(run, _HIT.format(x.schema[id_column].dataType.simpleString()))
+    return items.select("item_id", "text").withColumn("th", F.xxhash64("text")).mapInArrow(run, _ITEM)
 
 
 def longest_chain(pairs: list[dict]) -> list[dict]:
@@ -188,7 +247,7 @@ def slot_votes(aligned: list[dict]) -> tuple[float, int, bool]:
 
 
 def best_match(pairs: list[dict], n_windows: int, n_words: int) -> tuple[int, int, float, bool]:
-    """(windows matched, slot pairs, consistency, verbatim) of the best stretch of the document.
+    """(windows matched, slot pairs, consistency, verbatim) of the best stretch of the document; literal windows all found are verbatim.
 
     ``pairs``: pos, item_pos, hash, slots, item_slots of the windows that the two share.  An item position votes once: along
     the longest chain of the stretch, or along one shift (pos - item_pos) that aligns as many windows and agrees better."""
@@ -217,33 +276,33 @@ def best_match(pairs: list[dict], n_windows: int, n_words: int) -> tuple[int, in
 
 def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
             consistency: float = CONSISTENCY) -> DataFrame:
-    """doc_id, th (hash of the text), item_id, n_windows, n_matched, n_slots, consistency, verbatim of the matching pairs.
+    """doc_id, th (hash of the text), item_id, n_windows, n_matched, n_slots, consistency, verbatim of the matching pairs,
+    once for each family of windows that matches.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    windows = template_windows(items, "item_id").select(
-        F.col("doc_id").alias("item_id"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), "hash",
-        F.col("slots").alias("item_slots"))
-    windows = written(windows, "benchmark-windows")
+    windows = written(item_windows(items), "benchmark-windows")
     hashes = windows.select("hash").distinct()
     only = None
     if hashes.count() <= PREFILTER_WINDOWS:
         only = np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64))
-    per_item = windows.groupBy("item_id", "item_th").agg(F.countDistinct("item_pos").cast("int").alias("n_windows"))
-    hits = template_windows(docs, "doc_id", only)
+    widths = sorted(r["n_words"] for r in windows.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())
+    one = ["item_id", "item_th", "family"]
+    per_item = windows.groupBy(*one).agg(F.countDistinct("item_pos").cast("int").alias("n_windows"), F.max("n_words").alias("n_words"))
+    hits = document_windows(docs, widths, only)
     kind = hits.schema["doc_id"].dataType.simpleString()
-    shared = hits.join(windows, "hash")
+    shared = hits.join(windows.drop("n_words"), "hash")
     # at most the windows of one document that one item shares
-    groups = shared.groupBy("doc_id", "th", "item_id", "item_th").agg(
+    groups = shared.groupBy("doc_id", "th", *one).agg(
         F.collect_list(F.struct("pos", "item_pos", "slots", "item_slots")).alias("pairs"),
         F.countDistinct("item_pos").alias("seen"))
-    groups = groups.join(per_item, ["item_id", "item_th"]).where(F.col("seen") >= containment * F.col("n_windows"))
+    groups = groups.join(per_item, one).where(F.col("seen") >= containment * F.col("n_windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.select(["pairs", "n_windows"]).to_pylist():
-                out.append((r["n_windows"], *best_match(r["pairs"], r["n_windows"], r["n_windows"] + WINDOW)))
+            for r in batch.select(["pairs", "n_windows", "n_words"]).to_pylist():
+                out.append((r["n_windows"], *best_match(r["pairs"], r["n_windows"], r["n_words"])))
             if out:
                 c = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -251,13 +310,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINM
                      pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.bool_())],
                     ["doc_id", "th", "item_id", "n_windows", "n_matched", "n_slots", "consistency", "verbatim"])
 
-    found = groups.select("doc_id", "th", "item_id", "n_windows", "pairs").mapInArrow(run, _MATCH.format(kind))
+    found = groups.select("doc_id", "th", "item_id", "n_windows", "n_words", "pairs").mapInArrow(run, _MATCH.format(kind))
     return found.where((F.col("n_matched") >= containment * F.col("n_windows")) & (F.col("consistency") >= consistency))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
                  consistency: float = CONSISTENCY) -> DataFrame:
     """The best match of each (doc_id, item_id) that match."""
-    best = F.max(F.struct("n_matched", "consistency", "verbatim", "n_slots", "n_windows")).alias("m")
+    share = (F.col("n_matched") / F.col("n_windows")).alias("share")
+    best = F.max(F.struct(share, "verbatim", "consistency", "n_matched", "n_slots", "n_windows")).alias("m")
     return matches(docs, benchmark, containment, consistency).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "m.n_windows", "m.n_matched", "m.n_slots", "m.consistency", "m.verbatim")

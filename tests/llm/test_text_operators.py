@@ -365,3 +365,18 @@ def test_votes_follow_the_longest_chain():
     assert decontamination.best_match(every, 6, 11) == (6, 6, 1.0, True)
     moved = [pair(a, a) for a in range(3)] + [pair(a + 4, a) for a in range(3, 6)]  # words put in between
     assert [p["item_pos"] for p in decontamination.longest_chain(moved)] == [5, 4, 3, 2, 1, 0]
+
+
+STOPPED = "The dog ran home. It was late. Nobody saw the cat. They all went to bed."
+
+
+def test_copies_without_capitals_or_stops(spark):
+    rng = random.Random(1)
+    plain = " ".join(words(rng, 300))
+    bare = STOPPED.replace(".", "")
+    docs = spark.createDataFrame([(8, f"{plain}. {ITEM.lower()}"), (9, f"{ITEM.upper()} {plain}"), (10, f"{plain} {bare} {plain}"),
+                                  (11, plain)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(70, ITEM), (71, STOPPED)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, items).collect()}
+    assert set(got) == {(8, 70), (9, 70), (10, 71)}
+    assert all(r["verbatim"] and r["consistency"] == 1.0 and r["n_matched"] == r["n_windows"] for r in got.values())
