@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names (capitalised words inside a sentence) and units (after a number) become typed placeholders, other words
+Numbers, names (capitalised words) and units (after a number) become typed placeholders, other words
 are lower-cased.  Windows of five words are joined on their hash between documents and benchmark items, in two families: literal
-windows of lower-cased words, which neither capitals nor punctuation change, and template windows of canonical words with at
-least three plain words.  A document holds an item if, within a stretch of about the item's length, at least ``CONTAINMENT`` of the
-item's windows of one family stand in it, and the slots are consistent: each value of the item's slots goes with one value in the
-document (literal windows have no slots).  That finds copies as well as questions with other numbers, names or units.
+windows of lower-cased words, which neither capitals nor punctuation change, and template windows of canonical words, which
+grow until they have three plain words.  A capital that opens a sentence matches as a plain word and as a name; a name also as the
+same word without its capital.  A document holds an item if, within a stretch of about the item's length, at least ``CONTAINMENT``
+of the item's windows of one family stand in it, and the slots are consistent: each value of the item's slots goes with one value in
+the document (literal windows have no slots).  That finds copies as well as questions with other numbers, names or units.
 
 Defined results: one row per (doc_id, item_id) that match, with the best match of repeated ids; null and empty texts match
-nothing; texts and items of fewer than five words are one window, so such an item only matches such a
-document; repeated items each match; an empty table on either side gives no rows.
+nothing; an item of fewer than five words is one window, looked up at its own width in every text, and an item with fewer than
+three plain words is only found literally; repeated items each match; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -56,7 +57,9 @@ def _hash_of(word: str) -> int:
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray):
-    """Starts, ends, kinds and plain hashes of the words of a chunk, and each text's first word."""
+    """Starts, ends, kinds in each reading and plain hashes of the words of a chunk, and each text's first word.
+
+    A capital that opens a sentence is plain in the first reading and a name in the second; in the third no word is a name."""
     letter = np.zeros(256, dtype=bool)
     letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
     spaced = np.where(letter[data], data, np.uint8(32))
@@ -84,17 +87,29 @@ def canonical(data: np.ndarray, offsets: np.ndarray):
     if len(starts):
         opens[1:] = marks[starts[1:]] > marks[ends[:-1]]
         opens[first[:-1][first[:-1] < len(starts)]] = True
-    kinds[capital & ~opens & (kinds == PLAIN)] = NAME
-    return starts, ends, kinds, hashes, first
-
-
-def template_spans(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the template windows of a chunk: those with enough plain words."""
-    starts = np.arange(max(len(kinds) - WINDOW + 1, 0))
-    plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(starts)]
-    good = (plain[starts + WINDOW] - plain[starts] >= LEAST_PLAIN) & (starts + WINDOW <= first[1:][text])
-    return starts[good], starts[good] + WINDOW
+    capital &= kinds == PLAIN
+    readings = np.stack([kinds, kinds, kinds])
+    readings[0][capital & ~opens] = NAME
+    readings[1][capital] = NAME
+    return starts, ends, readings, hashes, first
+
+
+def template_spans(kinds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the template windows of a chunk: WINDOW words, or as many more as give LEAST_PLAIN plain words.
+
+    Windows grow to the right.  The last two arrays are those that grow to the left, where the words before an end are slots."""
+    n = len(kinds)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin, stop = first[:-1][text], first[1:][text]
+    plain = np.flatnonzero(kinds == PLAIN)
+    before = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
+    starts = np.arange(n)
+    none_right, none_left = np.full(LEAST_PLAIN, n), np.full(LEAST_PLAIN, -1)
+    ends = np.maximum(starts + WINDOW, np.concatenate([plain, none_right])[before[:-1] + LEAST_PLAIN - 1] + 1)
+    good = ends <= stop
+    left = np.concatenate([none_left, plain])[before[1:]]
+    wide = (left >= begin) & (left < starts + 1 - WINDOW)
+    return starts[good], ends[good], left[wide], starts[wide] + 1
 
 
 def template_hashes(kinds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -102,29 +117,35 @@ def template_hashes(kinds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def short_spans(first: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the texts that have just ``width`` words."""
-    return first[:-1][np.diff(first) == width]
+    """Starts of the spans of ``width`` words that lie in one text."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.flatnonzero(np.arange(len(text)) + width <= first[1:][text])
 
 
-def chunk_windows(kinds: np.ndarray, hashes: np.ndarray, first: np.ndarray,
+def chunk_windows(readings: np.ndarray, hashes: np.ndarray, first: np.ndarray,
                   widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(reading, starts, ends, positions, hashes) of the windows of a chunk; in reading -1 they are literal.
 
-    A literal window is the hash of lower-cased words, so neither capitals nor punctuation matter."""
-    n = len(kinds) - WINDOW + 1
+    A literal window is the hash of lower-cased words, so neither capitals nor punctuation matter.  A window that grew to the left
+    stands at the position of its last WINDOW words."""
+    n = len(hashes) - WINDOW + 1
     if n > 0:
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
         at = np.flatnonzero(np.arange(n) + WINDOW <= first[1:][text])
         yield -1, at, at + WINDOW, at, T.mix(T.gram_hashes(hashes, WINDOW) ^ np.uint64(0x5EED))[at]
-    starts, ends = template_spans(kinds, first)
-    yield 0, starts, ends, starts, T.span_hashes(template_hashes(kinds, hashes), starts, ends)
-    for k in widths:
-        at = short_spans(first, k)
-        yield -1, at, at + k, at, T.mix(T.span_hashes(hashes, at, at + k) ^ np.uint64(0x5EED + k))
+    for reading, kinds in enumerate(readings):
+        words = template_hashes(kinds, hashes)
+        starts, ends, left, stops = template_spans(kinds, first)
+        yield reading, starts, ends, starts, T.span_hashes(words, starts, ends)
+        yield reading, left, stops, stops - WINDOW, T.mix(T.span_hashes(words, left, stops) ^ np.uint64(0x1EF7))
         plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
-        n_plain = plain[at + k] - plain[at]
-        at = at[(n_plain >= min(LEAST_PLAIN, k)) & (n_plain < k)]
-        yield 0, at, at + k, at, T.mix(T.span_hashes(template_hashes(kinds, hashes), at, at + k) + np.uint64(k))
+        for k in widths:
+            at = short_spans(first, k)
+            if not reading:
+                yield -1, at, at + k, at, T.mix(T.span_hashes(hashes, at, at + k) ^ np.uint64(0x5EED + k))
+            n_plain = plain[at + k] - plain[at]
+            at = at[(n_plain >= min(LEAST_PLAIN, k)) & (n_plain < k)]
+            yield reading, at, at + k, at, T.mix(T.span_hashes(words, at, at + k) + np.uint64(k))
 
 
 def filter_table(only: np.ndarray) -> np.ndarray:
@@ -136,11 +157,11 @@ def filter_table(only: np.ndarray) -> np.ndarray:
 
 
 def text_windows(batch: pa.RecordBatch, widths: list[int], only: np.ndarray | None = None, quick: np.ndarray | None = None):
-    """(rows, each text's first word, windows) of each chunk; a window: (row, reading, start, end, position, hash, slots)."""
+    """(rows, each text's first word, windows) of each chunk; a window: (row, readings, start, end, position, hash, slots)."""
     for part, data, offsets in T.chunks(batch):
-        begins, stops, kinds, hashes, first = canonical(data, offsets)
+        begins, stops, readings, hashes, first = canonical(data, offsets)
         found, raw = {}, None
-        for reading, starts, ends, places, values in chunk_windows(kinds, hashes, first, widths):
+        for reading, starts, ends, places, values in chunk_windows(readings, hashes, first, widths):
             if only is not None:
                 near = np.flatnonzero(quick[values >> np.uint64(64 - (len(quick).bit_length() - 1))])
                 values = values[near]
@@ -151,9 +172,15 @@ def text_windows(batch: pa.RecordBatch, widths: list[int], only: np.ndarray | No
             row = np.searchsorted(first, starts, side="right") - 1
             for i, j, k, at, h in zip(row.tolist(), starts.tolist(), ends.tolist(), places.tolist(), values.tolist(), strict=True):
                 raw = raw or data.tobytes()
+                place = at if k - j >= WINDOW else -1  # of a short item's hash one place is enough
+                if (i, place, h) in found:
+                    found[i, place, h][1].append(reading)
+                    continue
+                # slots behind the first words are those of the next windows
+                kinds, stop = readings[reading], k if at > j else min(k, j + WINDOW)
                 slots = [] if reading < 0 else [
-                    f"{kinds[x]}{raw[begins[x]:stops[x]].decode()}" for x in range(j, k) if kinds[x] != PLAIN]
-                found.setdefault((i, at, h), (i, reading, j, k, at - int(first[i]), h, slots))
+                    f"{kinds[x]}{raw[begins[x]:stops[x]].decode()}" for x in range(j, stop) if kinds[x] != PLAIN]
+                found[i, place, h] = (i, [reading], j, k, at - int(first[i]), h, slots)
         if found:
             yield part, first, list(found.values())
 
@@ -184,14 +211,33 @@ def document_windows(docs: DataFrame, widths: list[int], only: np.ndarray | None
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, item_th, family, n_words, item_pos, hash, item_slots of the windows of the items.
 
-    Family 0 has the literal windows, family 1 the templates; each is held against a document on its own."""
+    Family 0 has the literal windows.  The others have the templates: one family for the positions that each reading has, with the
+    windows of every reading there; each family is held against a document on its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, first, found in text_windows(batch, list(range(1, WINDOW))):
-                size = np.diff(first)
-                yield _batch(part, "item_id", [(i, 0 if reading < 0 else 1, int(size[i]), pos, h, slots)
-                                               for i, reading, _, _, pos, h, slots in found],
-                             [c.split()[0] for c in _ITEM.split(", ")])
+                size, out = np.diff(first).tolist(), []
+                places: dict[int, list[set]] = defaultdict(lambda: [set(), set(), set()])
+                kept = []
+                for w in found:
+                    i, readings, j, k, pos, _, _ = w
+                    if k - j < WINDOW and k - j != size[i]:
+                        continue  # of a short item only the whole is a window
+                    if pos != j - first[i] and k != first[i + 1]:
+                        continue  # only the last window of an item grows to the left
+                    kept.append(w)
+                    for reading in readings:
+                        if reading >= 0:
+                            places[i][reading].add(pos)
+                for i, readings, _, _, pos, h, slots in kept:
+                    if readings[0] < 0:
+                        families = [0]
+                    else:
+                        kinds = dict.fromkeys(frozenset(x) for x in places[i] if x)
+                        families = [n + 1 for n, x in enumerate(kinds) if pos in x]
+                    out += [(i, family, size[i], pos, h, slots) for family in families]
+                if out:
+                    yield _batch(part, "item_id", out, [c.split()[0] for c in _ITEM.split(", ")])
 
     return items.select("item_id", "text").withColumn("th", F.xxhash64("text")).mapInArrow(run, _ITEM)
 

@@ -380,3 +380,37 @@ def test_copies_without_capitals_or_stops(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, items).collect()}
     assert set(got) == {(8, 70), (9, 70), (10, 71)}
     assert all(r["verbatim"] and r["consistency"] == 1.0 and r["n_matched"] == r["n_windows"] for r in got.values())
+
+
+def test_dense_slots_opening_names_and_short_items(spark):
+    rng = random.Random(4)
+    plain = " ".join(words(rng, 60))
+    sums, fruits = "What is 12 plus 15 plus 20?", "Tom has 5 apples. Ann has 7 pears. How many fruits do they have?"
+    other = fruits.replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "8").replace("7", "3")
+    texts = ["What is 31 plus 42 plus 53?", f"{plain}. What is 31 plus 42 plus 53? {plain}", f"{plain}. {other} {plain}",
+             f"{plain} Count 12 big apples {plain}", f"{plain}. Count 9 big apples. Count 9 big apples. {plain}",
+             f"{plain} PARIS {plain} paris", ITEM.lower().replace("12", "14").replace("30", "39").replace("5 apples", "8 apples"),
+             f"What is 31 plus 42 minus 53? {plain}", f"{plain} 1 2 3 4 5 6 {plain}", "1 2 3 4 5 7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(70, sums), (71, fruits), (72, "Count 12 big apples"), (73, "Paris"), (74, ITEM), (75, "1 2 3 4 5 6")],
+                                  "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, items).collect()}
+    assert set(got) == {(0, 70), (1, 70), (2, 71), (3, 72), (4, 72), (5, 73), (6, 74), (8, 75)}
+    assert all(r["consistency"] == 1.0 and r["n_matched"] == r["n_windows"] for r in got.values())
+    assert {k for k in got if got[k]["verbatim"]} == {(3, 72), (5, 73), (8, 75)}
+
+
+def test_template_windows_by_hand():
+    """Windows of every start and end over random kinds of words, counted one by one."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = rng.integers(0, 14, 5)
+        kinds, first = (rng.random(sizes.sum()) < 0.5).astype(np.int8), np.concatenate([[0], np.cumsum(sizes)])
+        right, left = [], []
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            for i in range(lo, hi):
+                right += [(i, e) for e in range(i + 5, hi + 1) if (kinds[i:e] == 0).sum() >= 3][:1]
+                left += [(b, i + 1) for b in range(i - 4, lo - 1, -1) if (kinds[b:i + 1] == 0).sum() >= 3][:1]
+        starts, ends, begins, stops = decontamination.template_spans(kinds, first)
+        assert list(zip(starts, ends, strict=True)) == right
+        assert list(zip(begins, stops, strict=True)) == [x for x in left if x[1] - x[0] > 5]
