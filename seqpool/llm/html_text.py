@@ -8,7 +8,8 @@ page marks its article, only lines inside it have weight, and a window holds tex
 elsewhere a surge needs ``SURGE_CHARS``, and if no window has as many, all lines with weight are the text.
 
 Defined results: null and empty html, or a page without main text, give an empty text; unclosed
-elements end with their parent or the page; repeated rows each get their row.
+elements end with their parent or the page, a head without its end also at the body or at the first thing that is no head
+content, an unclosed dropped element also at an article; repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu n
 summary table tbody td tfoot th thead tr ul""".split())
 DROPPED = set("nav footer aside form menu dialog button select head noscript audio video datalist".split())
 UNCLOSED = {"nav", "header", "form"}
+HEAD_CONTENT = set("base basefont bgsound link meta noframes noscript script style template title head html".split())
 ENDS_PARAGRAPH = BLOCK - {"body", "html", "option", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 DROPPED_WORDS = set("""ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo
 promotion cookie cookies consent gdpr notice notices notification alert sidebar sidebars menu menus nav navbar navigation
@@ -78,13 +80,28 @@ def _unwanted(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def unclosed_elements(page: str) -> set[int]:
+    """Where the start tags without an end tag of their own stand."""
+    opened: dict[str, list[int]] = {}
+    for m in _TOKEN.finditer(page):
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if not (m["end"] or m["end2"]):
+            opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            opened[tag].pop()
+    return {at for places in opened.values() for at in places}
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters in links, inside a marked article) of the page's lines outside dropped elements."""
     lines: list[tuple[str, int, bool]] = []
     stack: list[str] = []
     marks = {"drop": 0, "main": 0, "link": 0}  # depth at which the outermost such element stands; 0: none
     text: list[str] = []
-    linked = 0
+    linked, dropped_at, bodies = 0, 0, 0
+    unclosed: set[int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -102,6 +119,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
     at = 0
     for m in _TOKEN.finditer(page):
+        if stack and stack[-1] == "head" and m.start() > at and page[at: m.start()].strip():
+            pop_to(len(stack) - 1)  # text ends an open head
         if m.start() > at and not marks["drop"]:
             piece = page[at: m.start()]
             text.append(piece)
@@ -112,6 +131,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag is None:
             continue
         tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
+        if stack and stack[-1] == "head" and not end and tag not in HEAD_CONTENT:
+            pop_to(len(stack) - 1)  # so does the first element that is no head content
+        if tag == "body" and not end:
+            bodies += 1
+            if bodies == 1 and marks["drop"] and ("head" in stack or stack[marks["drop"] - 1] == "noscript"):
+                pop_to(stack.index("head") if "head" in stack else marks["drop"] - 1)
         if tag == "br" and not marks["drop"]:
             text.append(" ")
         if tag in BLOCK and not marks["drop"]:
@@ -124,7 +149,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in VOID:
             continue
-        if marks["drop"] and (tag == "main" or (tag == "article" and stack[marks["drop"] - 1] in UNCLOSED)):
+        if marks["drop"] and tag == "article" and stack[marks["drop"] - 1] not in UNCLOSED and unclosed is None:
+            unclosed = unclosed_elements(page)
+        if marks["drop"] and (tag == "main" or (tag == "article" and (
+                stack[marks["drop"] - 1] in UNCLOSED or dropped_at in unclosed))):
             pop_to(marks["drop"] - 1)  # a menu or header that was never closed ends where the article begins
         if tag in ENDS_PARAGRAPH:
             for depth in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
@@ -139,11 +167,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         stack.append(tag)
         if not marks["drop"] and _unwanted(tag, attrs, marks["main"] > 0):
-            marks["drop"] = len(stack)
+            marks["drop"], dropped_at = len(stack), m.start()
         if not marks["main"] and not marks["drop"] and (tag in MAIN or 'role="main"' in attrs):
             marks["main"] = len(stack)
         if not marks["link"] and tag == "a":
             marks["link"] = len(stack)
+    if stack and stack[-1] == "head" and page[at:].strip():
+        pop_to(len(stack) - 1)
     if not marks["drop"]:
         text.append(page[at:])
         flush()

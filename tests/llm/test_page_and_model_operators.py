@@ -159,6 +159,23 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<!doctype html><html><head><title>x</title><body><article><p>{LONG}</article>", LONG),
+    (f"<html><head><meta charset=utf-8><title>x</title><link href=a><script>b</script><p>{LONG}<p>{LONG}", f"{LONG}\n{LONG}"),
+    (f"<html><head><title>x</title><noscript><link href=a></noscript><div class=menu><a>m</a></div><main><p>{LONG}</main>", LONG),
+    (f"<head><title>x</title><noscript><link href=a><body><p>{LONG}", LONG),
+    (f"<head><title>x</title>\n{LONG}", LONG),
+    (f"<head><title>x</title></head><noscript>Turn it on<body><p>{LONG}", LONG),
+    (f"<head><title>x</title><noscript>Turn it on</noscript></head><p>{LONG}", LONG),
+    *[(f"<body><{tag}>menu<article><p>{LONG}</p></article>", LONG)
+      for tag in ("aside", "button", "select", "noscript", "menu", "footer", "dialog", "div class=sidebar")],
+    (f"<aside>menu<article><p>{LONG}</p><aside>note</aside></article>", LONG),
+    (f"<aside>menu<article><p>{LONG}</p></article></aside><p>{LONG} z</p>", f"{LONG} z"),
+])
+def test_main_text_without_optional_or_forgotten_end_tags(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_table(spark):
     page = f"<article><p>{LONG}</p></article>"
     x = spark.createDataFrame([(1, "u", page, "t"), (1, "u", page, "t"), (None, None, None, "t"), (2, "v", "<p>" * 50_000, "t")],
