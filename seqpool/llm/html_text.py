@@ -18,7 +18,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW_LINES = 3
@@ -205,10 +205,10 @@ def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of ``pages`` (page_id, url, html)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
+            texts = pa.array([main_text(x.as_py()) for x in b.column("html")], b.schema.field("html").type)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), texts], ["page_id", "url", "text"])
 
     x = pages.select("page_id", "url", "html")
-    return x.mapInPandas(run, x.select("page_id", "url", x["html"].alias("text")).schema)
+    return x.mapInArrow(run, x.select("page_id", "url", x["html"].alias("text")).schema)

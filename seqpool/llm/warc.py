@@ -83,6 +83,11 @@ def _whole(x):
     return None if x is None or x != x else int(x)
 
 
+def _whole_columns(x: pd.DataFrame, rows: list, columns: dict[str, int | str]) -> pd.DataFrame:
+    """``x`` with the named columns as integers with nulls, taken from ``rows``: never by way of floats."""
+    return x.assign(**{name: pd.array([r[at] for r in rows], dtype="Int64") for name, at in columns.items()})
+
+
 def _writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -105,7 +110,7 @@ def _writer(folder: str):
                                   "response" if refers is None else "revisit", page_id))
                     at += len(member)
                 x = pd.DataFrame(index, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
-                yield x.astype({"page_id": "Int64"})
+                yield _whole_columns(x, index, {"page_id": -1})
         finally:
             if out is not None:
                 out.close()
@@ -130,7 +135,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or shared_scratch(pages.sparkSession, "warc")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    index = with_references(pages, min_bytes).mapInPandas(_writer(folder), INDEX_SCHEMA)
+    x = with_references(pages, min_bytes)
+    for name in ("page_id", "refers_to"):  # as strings: pandas makes a column of numbers with nulls a column of floats
+        x = x.withColumn(name, F.col(name).cast("bigint").cast("string"))
+    index = x.mapInPandas(_writer(folder), INDEX_SCHEMA)
     return folder, written(index, "warc-index")
 
 
@@ -138,7 +146,7 @@ def _reader(folder: str, with_payload: bool):
     columns = [c.split()[0] for c in RECORD_SCHEMA.split(", ")] + ["payload"] * with_payload
 
     def frame(records: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(records, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return _whole_columns(pd.DataFrame(records, columns=columns), records, {"page_id": "page_id", "refers_to": "refers_to"})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(folder)

@@ -122,6 +122,18 @@ def test_warc_files_are_whole_gzip_archives(spark):
     assert warc.read_records(*warc.write_archives(x.where("false"))).count() == 0
 
 
+def test_ids_above_the_integers_of_floats(spark):
+    big = (1 << 53) + 1
+    page = f"<article><p>{LONG}</p></article>"
+    rows = [(big, "u", page), (big + 2, "v", page), (None, "w", page), ((1 << 62) + 1, "x", "<p>other"), (-big, "y", None), (3, "z", "")]
+    x = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    folder, index = warc.write_archives(x)
+    assert {r["page_id"] for r in index.collect()} == {r[0] for r in rows}
+    got = {r["url"]: (r["page_id"], r["refers_to"]) for r in warc.read_records(folder, index).collect()}
+    assert got == {"u": (big, big + 2), "v": (big + 2, None), "w": (None, big + 2), "x": ((1 << 62) + 1, None), "y": (-big, 3), "z": (3, None)}
+    assert {(r["page_id"], r["url"]) for r in html_text.extract(x).collect()} == {r[:2] for r in rows}
+
+
 def test_warc_finds_a_broken_payload():
     member = zlib.compress(b"")
     record = warc.make_record(1, "u", b"abc", warc.base32_sha1(b"abd"))
