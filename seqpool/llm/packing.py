@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -41,6 +42,7 @@ LP_SHARE = 0.9  # of what a configuration could still cover, taken in one step
 LEARNING_RATE = 0.02  # a covered length loses so much weight
 LONG_BONUS = 0.002  # long pieces first: short ones fill gaps later
 TOKENIZER = "byte_bpe_50k.json"
+SPACE_RUN = 1 << 16  # tiktoken's pattern runs out of stack on a million white spaces in a row
 
 _PIECE = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, lot bigint, lot_rank bigint"
 
@@ -55,8 +57,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids of the byte-level BPE file at ``path``, as the ``tokenizers`` library gives them.
 
-    The merges run in ``tiktoken`` over the same vocabulary (about three times as fast); texts that
-    hold one of the file's special strings go to ``tokenizers`` itself."""
+    The merges run in ``tiktoken`` over the same vocabulary (about three times as fast); texts that hold one of the
+    file's special strings, or a run of white space that its pattern cannot take, go to ``tokenizers`` itself."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -68,10 +70,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     sign = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     ranks = {bytes(sign[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    long_space = re.compile(r"\s{%d}" % SPACE_RUN)
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or long_space.search(text):
             return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

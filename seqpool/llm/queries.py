@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, suffix_dedup, toxicity, url_filter, warc
+from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, suffix_dedup, token_files, toxicity, url_filter, warc
 from seqpool.llm.common import table
 from seqpool.llm.oracle import SQL as _SQL
 
@@ -119,3 +119,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
                     "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids written to files and read back."""
+    folder, index = token_files.write_files(table(spark, sf_dir, "documents"))
+    return token_files.read_files(spark, folder, index)
