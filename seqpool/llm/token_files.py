@@ -22,10 +22,12 @@ no file and no rows; other columns are not read.  Memory of a task: a stripe, or
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +111,17 @@ def decode_stripe(raw: bytes, id_of: np.ndarray) -> tuple[list, np.ndarray, np.n
     return [None if gone else d for gone, d in zip(missing, doc_ids, strict=True)], sizes, ids
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian u4), task, row: every text's ids with the end id."""
+@lru_cache(maxsize=4)
+def id_type(path: str) -> str:
+    """The narrowest unsigned type that holds every id of the tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    top = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def token_table(docs: DataFrame, kind: str, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, ids (as bytes of type ``kind``), task, row: every text's ids with the end id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer or tokenizer_path())
         task, row = TaskContext.get().partitionId(), 0
@@ -118,7 +129,7 @@ def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids = [np.append(encode(x or ""), end).astype("<u4", copy=False).tobytes() for x in part.column("text").to_pylist()]
+                ids = [np.append(encode(x or ""), end).astype(kind).tobytes() for x in part.column("text").to_pylist()]
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([task] * n, pa.int64()),
@@ -129,13 +140,13 @@ def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return x.mapInArrow(run, "doc_id bigint, ids binary, task bigint, row bigint")
 
 
-def rank_table(tokens: DataFrame) -> np.ndarray:
+def rank_table(tokens: DataFrame, kind: str) -> np.ndarray:
     """The ids of the corpus by descending frequency, equal counts by id: at most the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+                own = np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind))
                 if len(own) > len(seen):
                     seen, own = own, seen
                 seen[: len(own)] += own
@@ -146,7 +157,7 @@ def rank_table(tokens: DataFrame) -> np.ndarray:
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], dtype="<u4")
 
 
-def _writer(folder: str, id_of: np.ndarray):
+def _writer(folder: str, id_of: np.ndarray, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 0, dtype="<u4")
         rank_of[id_of] = np.arange(len(id_of), dtype="<u4")
@@ -172,7 +183,7 @@ def _writer(folder: str, id_of: np.ndarray):
             for batch in batches:
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                     doc_ids.append(doc_id)
-                    held.append(np.frombuffer(ids.as_py(), dtype="<u4"))
+                    held.append(np.frombuffer(ids.as_py(), dtype=kind))
                     size += len(held[-1])
                     if size >= STRIPE_IDS:
                         flush()
@@ -194,15 +205,16 @@ def write_files(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
 
     The index has ``first``, the number of ids in all stripes before."""
     folder = folder or shared_scratch(docs.sparkSession, "token-files")
-    tokens = written(token_table(docs, tokenizer), "token-ids")
-    id_of = rank_table(tokens)
+    kind = id_type(tokenizer or tokenizer_path())
+    tokens = written(token_table(docs, kind, tokenizer), "token-ids")
+    id_of = rank_table(tokens, kind)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{TABLE_FILE}", compression=None) as f:
         f.write(id_of.tobytes())
     order = ["doc_id", "task", "row"]
     dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
-    index = written(dealt.mapInArrow(_writer(folder, id_of), INDEX_SCHEMA), "token-index")
+    index = written(dealt.mapInArrow(_writer(folder, id_of, kind), INDEX_SCHEMA), "token-index")
     whole = index.groupBy("task").agg(F.sum("n_ids").alias("n"))
     earlier = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     offsets = whole.select("task", F.coalesce(earlier, F.lit(0)).alias("earlier"))
