@@ -61,3 +61,38 @@ k AS (SELECT d.doc_id, len(d.w) AS n, CASE WHEN gone.doc_id IS NULL THEN d.w
       FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - coalesce(len(kept), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
+
+SQL["op12_phrases"] = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+x AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM w),
+y AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM x WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM y GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+part AS (SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, a FROM cand WHERE k > 2),
+kept AS (SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.lang = c.lang AND part.phrase = c.phrase AND 100 * part.a >= 100 * c.a)),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM kept),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, l.a AS l, r.a AS r, n, j,
+                  CAST((CAST(1000 AS HUGEINT) * cut.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+           FROM cut JOIN total ON total.lang = cut.lang
+           JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:j], ' ')
+           JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1:cut.k], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000"""
+
+_TERMS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op13_ranked_search"] = rf"""WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM n, total),
+q AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark),
+qt AS (SELECT item_id, t, count(*) AS c FROM q GROUP BY item_id, t),
+s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM qt JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20"""

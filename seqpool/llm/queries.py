@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, substring_dedup, suffix_dedup, token_files, toxicity, url_filter, warc
+from seqpool.llm import decontamination, fingerprints, html_text, near_dedup, packing, phrases, ranked_search, substring_dedup, suffix_dedup, token_files, toxicity, url_filter, warc
 from seqpool.llm.common import table
 from seqpool.llm.oracle import SQL as _SQL
 
@@ -126,3 +126,15 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids written to files and read back."""
     folder, index = token_files.write_files(table(spark, sf_dir, "documents"))
     return token_files.read_files(spark, folder, index)
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two to five words."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
