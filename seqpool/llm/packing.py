@@ -74,7 +74,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special) or long_space.search(text):
+        if any(s in text for s in special) or len(text) >= SPACE_RUN and long_space.search(text):
             return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

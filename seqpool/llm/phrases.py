@@ -1,8 +1,9 @@
 """Phrase collocations, counted exactly with counting quotient filters.
 
 1. Every task cuts its texts into chunks of about ``CHUNK_BYTES``: a sequence of chunk-local word numbers (0 between
-   pieces) and the chunk's dictionary with counts.  Only dictionaries are shuffled to count words.  Words below
-   ``min_count`` cannot be part of a candidate; the others get dense ids, which go back to the chunks that hold them.
+   pieces) and the chunk's dictionary with counts, ordered by hash.  Only dictionaries are shuffled to count words, each in
+   pieces by the leading bits of the hash.  Words below ``min_count`` cannot be part of a candidate; the others get dense
+   ids, which go back to the chunks that hold them.
 2. Two-word phrases: each chunk packs its pairs of ids, permutes them and sends one filter per shard (the leading bits
    of the permuted key); a shard merges its sorted filters and sends back to each chunk which of its pairs are frequent.
 3. Longer phrases the same way, at places where every pair is frequent: all others are below ``min_count`` too, so nothing is lost.
@@ -20,6 +21,7 @@ are not read.  A word of any length is one word; texts are worked on in slices,
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -30,27 +32,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqpool.llm import quotient_filter as Q
+from seqpool.llm import textarrays as T
 from seqpool.llm.common import written
 
 MIN_COUNT, MAX_WORDS, TOP, COVERED_PERCENT = 100, 5, 2000, 100
 CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 SHARD_BYTES = 64 << 20  # of filters, by a bound from the number of words
-ID_BUCKETS = 64
+SHARD_WORDS = 1 << 20  # dictionary entries of all chunks that meet in a task
 
 # Bytes of the pieces' ends become a line feed, the tab a space, A-Z small letters; UTF-8 bytes of other signs stay.
 _FOLD = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CHUNK_SCHEMA = "chunk bigint, body binary, entries array<struct<lang:string,word:string,n:bigint>>"
+_CHUNK_SCHEMA = "chunk bigint, body binary, entries array<struct<h:bigint,lang:string,word:string,n:bigint,local:int>>, n_entries bigint"
 
 
 def _pressed(ids: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(ids, dtype="<i4").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """32-bit numbers as four planes of bytes, compressed: the upper planes are nearly empty."""
+    planes = np.ascontiguousarray(ids, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _opened(body: bytes) -> np.ndarray:
     size = int.from_bytes(body[:8], "little")
-    return np.frombuffer(pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype="<i4")
+    planes = np.frombuffer(pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
 def _slices(data: bytes) -> Iterator[bytes]:
@@ -90,18 +95,26 @@ class _Chunk:
         ids = np.concatenate(self.parts)
         ids = ids[np.append(True, (ids[1:] != 0) | (ids[:-1] != 0))]  # one 0 between pieces
         entries = [(k, lang, word) for lang, own in self.numbers.items() for word, k in own.items() if k > 0]
-        entries.sort()
-        counts = np.bincount(ids, minlength=len(entries) + 1)[1:]
+        counts = np.bincount(ids, minlength=len(entries) + 1)
+        local = np.array([x[0] for x in entries], dtype=np.int64)
+        ends = np.cumsum([len(x[2]) for x in entries], dtype=np.int64)
+        data = np.frombuffer(b"".join(x[2] for x in entries), dtype=np.uint8)
+        seeds = {lang: zlib.crc32(lang.encode()) for lang in self.numbers}
+        hashes = T.span_hashes(T.byte_values()[data], np.append(0, ends)[:-1], ends) if entries else np.empty(0, np.uint64)
+        hashes = T.mix(hashes + np.array([seeds[x[1]] for x in entries], dtype=np.uint64)) >> np.uint64(1)
+        order = np.argsort(hashes)
         values = pa.StructArray.from_arrays(
-            [pa.array([x[1] for x in entries], pa.string()), pa.array([x[2].decode() for x in entries], pa.string()),
-             pa.array(counts, pa.int64())], names=["lang", "word", "n"])
+            [pa.array(hashes[order].astype(np.int64)), pa.array([entries[i][1] for i in order], pa.string()),
+             pa.array([entries[i][2].decode() for i in order], pa.string()), pa.array(counts[local[order]], pa.int64()),
+             pa.array(local[order], pa.int32())], names=["h", "lang", "word", "n", "local"])
         lists = pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_pressed(ids)], pa.binary()), lists],
-                                          names=["chunk", "body", "entries"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), pa.array([_pressed(ids)], pa.binary()), lists, pa.array([len(entries)], pa.int64())],
+            names=["chunk", "body", "entries", "n_entries"])
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """chunk, body (its word numbers), entries (language, word and count of the numbers from 1)."""
+    """chunk, body (its word numbers), entries (hash, language, word, count and number of its words), n_entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, now = TaskContext.get().partitionId() << 32, 0, _Chunk()
         for batch in batches:
@@ -117,6 +130,70 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return x.mapInArrow(run, _CHUNK_SCHEMA)
 
 
+_PIECE_SCHEMA = "shard bigint, chunk bigint, entries array<struct<lang:string,word:string,n:bigint,local:int>>"
+
+
+def _dealt_entries(shard_bits: int):
+    """A chunk's dictionary in pieces: a row per shard, which is the leading bits of the words' hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, entries in zip(batch.column("chunk"), batch.column("entries"), strict=True):
+                shards = np.asarray(entries.values.field("h")) >> (63 - shard_bits)
+                if not len(shards):
+                    continue
+                starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
+                own = pa.StructArray.from_arrays([entries.values.field(c) for c in ("lang", "word", "n", "local")],
+                                                 names=["lang", "word", "n", "local"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(shards)), pa.int32()), own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shards[starts]), pa.array([chunk.as_py()] * len(starts), pa.int64()), lists], names=["shard", "chunk", "entries"])
+
+    return run
+
+
+_WORD_SCHEMA = "lang string, word string, n bigint, id bigint, chunk bigint, local binary, ids binary"
+
+
+def _merge_words(shard_bits: int, min_count: int):
+    """A shard's dictionaries -> frequent words with ids (id set), sums per language (lang only), and per chunk its words' ids."""
+    def run(group: pa.Table) -> pa.Table:
+        shard = group["shard"][0].as_py()
+        entries = group["entries"].combine_chunks()
+        flat = entries.flatten()
+        lang, word = (flat.field(c).dictionary_encode() for c in ("lang", "word"))
+        code = np.asarray(lang.indices).astype(np.int64) * len(word.dictionary) + np.asarray(word.indices)
+        distinct, place = np.unique(code, return_inverse=True)
+        counts = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(counts, place, np.asarray(flat.field("n")))
+        of_lang, of_word = np.divmod(distinct, len(word.dictionary))
+        sums = np.zeros(len(lang.dictionary), dtype=np.int64)
+        np.add.at(sums, of_lang, counts)
+        often = np.flatnonzero(counts >= min_count)
+        ids = np.zeros(len(distinct), dtype=np.int64)
+        ids[often] = (np.arange(len(often)) << shard_bits) + shard + 1
+
+        sizes = np.asarray(entries.value_lengths())
+        local, found = np.asarray(flat.field("local")), ids[place]
+        back, at = [], 0
+        for chunk, size in zip(group["chunk"].to_pylist(), sizes, strict=True):
+            held = np.flatnonzero(found[at: at + size]) + at
+            if len(held):
+                back.append((chunk, _pressed(local[held]), _pressed(found[held].astype(np.uint32).view(np.int32))))
+            at += size
+        m, k = len(often), len(sums)
+        empty = [None] * (m + k)
+        return pa.table({
+            "lang": pa.concat_arrays([lang.dictionary.take(pa.array(of_lang[often])), lang.dictionary, pa.nulls(len(back), pa.string())]),
+            "word": pa.concat_arrays([word.dictionary.take(pa.array(of_word[often])), pa.nulls(k + len(back), pa.string())]),
+            "n": pa.array([*counts[often], *sums, *[None] * len(back)], pa.int64()),
+            "id": pa.array([*ids[often], *[None] * (k + len(back))], pa.int64()),
+            "chunk": pa.array([*empty, *(x[0] for x in back)], pa.int64()),
+            "local": pa.array([*empty, *(x[1] for x in back)], pa.binary()),
+            "ids": pa.array([*empty, *(x[2] for x in back)], pa.binary())})
+
+    return run
+
+
 def _relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunk bodies in ids of the frequent words; -1 for other words."""
     for batch in batches:
@@ -124,25 +201,21 @@ def _relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local = _opened(body.as_py())
             table = np.full(int(local.max(initial=0)) + 1, -1, dtype=np.int32)
             table[0] = 0
-            if known.is_valid:
-                pairs = known.values
-                table[np.asarray(pairs.field("local"))] = np.asarray(pairs.field("id")).astype(np.int64).astype(np.int32)
+            for piece in known.as_py() or []:
+                table[_opened(piece["local"])] = _opened(piece["ids"])
             yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([_pressed(table[local])], pa.binary())],
                                              names=["chunk", "body"])
 
 
 def frequent_words(chunks: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words with id, totals per language, chunks in those ids), each a written table."""
-    entries = chunks.select("chunk", F.posexplode("entries").alias("place", "e"))
-    entries = entries.select("chunk", (F.col("place") + 1).alias("local"), "e.lang", "e.word", "e.n")
-    counts = written(entries.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-word-counts")
-    totals = written(counts.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
-    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(ID_BUCKETS))
-    words = counts.where(F.col("n") >= min_count).withColumn("b", bucket)
-    number = F.row_number().over(Window.partitionBy("b").orderBy("lang", "word")).cast("bigint")
-    words = written(words.select("lang", "word", "n", ((number - 1) * ID_BUCKETS + F.col("b") + 1).alias("id")), "phrase-words")
-    known = entries.join(words.select("lang", "word", "id"), ["lang", "word"])
-    known = known.groupBy("chunk").agg(F.collect_list(F.struct("local", "id")).alias("known"))  # at most the chunk's dictionary
+    """(words with id, totals per language, chunks in those ids), the last a written table."""
+    n_entries = chunks.agg(F.sum("n_entries").alias("n")).first()["n"] or 0
+    shard_bits = max(0, (n_entries // SHARD_WORDS).bit_length())
+    pieces = chunks.select("chunk", "entries").mapInArrow(_dealt_entries(shard_bits), _PIECE_SCHEMA)
+    merged = written(pieces.groupBy("shard").applyInArrow(_merge_words(shard_bits, min_count), _WORD_SCHEMA), "phrase-words")
+    words = merged.where("id IS NOT NULL").select("lang", "word", "n", "id")
+    totals = merged.where("id IS NULL AND chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
+    known = merged.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("local", "ids")).alias("known"))
     bodies = chunks.select("chunk", "body").join(known, "chunk", "left").select("chunk", "body", "known")
     return words, totals, written(bodies.mapInArrow(_relabel, "chunk bigint, body binary"), "phrase-chunks")
 
@@ -264,7 +337,10 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of ``docs`` (text, lang)."""
     chunks = written(chunk_table(docs), "phrase-texts")
     words, totals, bodies = frequent_words(chunks, min_count)
+    totals = written(totals, "phrase-totals")
     size = words.agg(F.max("id").alias("id")).first()["id"] or 1
+    if size >= 1 << 31:
+        raise ValueError("chunks hold word ids in 31 bits: raise min_count")
     n_words = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
     phrases = written(frequent_phrases(bodies, int(size).bit_length(), n_words, min_count, max_words), "phrase-counts")
 

@@ -133,6 +133,7 @@ def brute_phrases(rows, min_count, max_words, top, percent):
 def test_phrases(spark, monkeypatch, min_count, max_words, top, percent):
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(phrases, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 100)
     rng = random.Random(8)
     vocabulary = ["a", "b", "c", "é", "漢", "X", "x", "w1", "w2", "\x00", "\xa0", "ß-", "''", "dd", "ee"]
     rows = [(None, "en"), ("", None), (" \t ", "en"), ("a a a a a a a", "en"), (". , ;\n", "fr"), ("one", None)]
