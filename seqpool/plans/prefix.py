@@ -8,9 +8,11 @@ Here the order column is cut into value ranges (buckets) and then
   3. exclusive offsets over the totals      -> window over one row per bucket and group
   4. running = inner + offset               -> null-safe join on group and bucket
 
-Buckets hold about ``ROWS_PER_BUCKET`` rows, so their number grows with the data.  Their bounds come from one
-``percentile_approx`` job, or, for keys that are hashes, from the key's leading bits without any job.  A bucket is a
-pure function of the value, so ties never straddle buckets and a recomputed partition lands in the same bucket.
+Buckets hold about ``ROWS_PER_BUCKET`` rows, up to ``MAX_RANGES`` of them (beyond that they grow, and the window inside
+spills), so the bounds that one ``percentile_approx`` job brings to the driver are bounded.  With groups, only those of more
+than a bucket's rows are cut, each by bounds of its own, which stay in a table (``group_ranges``).  For keys that are
+hashes the key's leading bits do without any job.  A bucket is a pure function of the value, so ties never straddle
+buckets and a recomputed partition lands in the same bucket.
 
 NULL and NaN order values come last, after all others, in either direction; NULL groups are groups like others.
 """
@@ -23,22 +25,72 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqpool.session import materialise
+
 ROWS_PER_BUCKET = 1 << 17
+MAX_RANGES = 1 << 12
+SEARCH_STEP = 64  # bounds of a group are searched in two steps of so many
 
 
-def _boundaries(df: DataFrame, col: str, rows_per_bucket: int) -> list[float]:
-    """Approximate quantiles that cut the non-null values in buckets; strictly increasing."""
+def _value(col: str) -> Column:
     x = F.col(col).cast("double")
-    x = F.when(~F.isnan(x), x)
-    n = df.agg(F.count(x)).first()[0]
-    k = -(-n // rows_per_bucket)
+    return F.when(~F.isnan(x), x)
+
+
+def _boundaries(df: DataFrame, col: str, rows_per_bucket: int) -> list[float]:
+    """Approximate quantiles that cut the non-null values in at most ``MAX_RANGES`` buckets; strictly increasing."""
+    n = df.agg(F.count(_value(col))).first()[0]
+    k = min(-(-n // rows_per_bucket), MAX_RANGES)
     if k <= 1:
         return []
     probs = [i / k for i in range(1, k)]
-    qs = df.agg(F.percentile_approx(x, probs, max(1000, 10 * k))).first()[0] or []
+    qs = df.agg(F.percentile_approx(_value(col), probs, max(1000, 10 * k))).first()[0] or []
     return sorted({float(q) for q in qs})
 
 
+def group_ranges(df: DataFrame, keys: Sequence[str], col: str, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(keys, bounds): for each group of more than ``rows_per_range`` rows the ascending bounds of its ranges; a written table.
+
+    A group is cut in a power of two of ranges, at most ``MAX_RANGES``."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_range)
+    sizes = materialise(sizes, "large-groups")
+    if sizes.isEmpty():
+        return sizes.select(*keys, F.array().cast("array<double>").alias("bounds"))
+    x = df.join(_renamed(sizes, keys), _same(keys), "left_semi")
+    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
+    cut = x.groupBy(*keys).agg(F.percentile_approx(_value(col), probs, 10 * MAX_RANGES).alias("all"), F.count(F.lit(1)).alias("n"))
+    wanted = F.least(F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / rows_per_range))), F.lit(MAX_RANGES))
+    step = (F.lit(MAX_RANGES) / wanted).cast("int")
+    bounds = F.filter("all", lambda _, i: (i + 1) % step == 0)
+    return materialise(cut.select(*keys, F.array_sort(F.array_distinct(bounds)).alias("bounds")), "group-ranges")
+
+
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in df.columns if c not in keys])
+
+
+def _same(keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return out
+
+
+def range_of(value: Column, bounds: Column) -> Column:
+    """How many of the ascending ``bounds`` lie below ``value``: its range.  Null bounds: 0."""
+    top = F.filter(bounds, lambda _, i: (i + 1) % SEARCH_STEP == 0)
+    first = F.size(F.filter(top, lambda b: b < value)) * SEARCH_STEP
+    own = F.slice(bounds, first + 1, F.lit(SEARCH_STEP))
+    return F.when(bounds.isNull() | value.isNull(), 0).otherwise(first + F.size(F.filter(own, lambda b: b < value))).cast("int")
+
+
+def with_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str], col: str, out: str = "_bk") -> DataFrame:
+    """``df`` with the range of ``col`` within its group; 0 in groups that are not cut.  ``ranges`` is a written table, so
+    a group that needs cutting is dealt over tasks by Spark as well (it is broadcast, or the join is split)."""
+    x = df.join(_renamed(ranges, keys), _same(keys), "left")
+    return x.select(*df.columns, range_of(_value(col), F.col("bounds")).alias(out))
+
+
 def hash_bucket(key: Column, key_bits: int, n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
     """Bucket of a uniformly distributed non-negative key: its leading bits, as many as ``n_rows`` call for."""
     bits = max(0, (max(1, n_rows) // rows_per_bucket).bit_length())
@@ -64,11 +116,15 @@ def running_sums(
         work = df.withColumn("_bk", bucket)
         if descending:
             work = work.withColumn("_bk", -F.col("_bk"))
+    elif partition_by:
+        df = materialise(df, "ordered")
+        work = with_ranges(df, group_ranges(df, partition_by, order_col, rows_per_bucket), partition_by, order_col)
+        at = -F.col("_bk") if descending else F.col("_bk")
+        work = work.withColumn("_bk", F.when(_value(order_col).isNull(), F.lit(MAX_RANGES)).otherwise(at))
     else:
+        df = materialise(df, "ordered")
         bounds = _boundaries(df, order_col, rows_per_bucket)
-        value = F.col(order_col).cast("double")
-        missing = value.isNull() | F.isnan(value)
-        work = df.withColumn("_ord", F.when(missing, F.lit(0.0)).otherwise(value))
+        work = df.withColumn("_ord", F.coalesce(_value(order_col), F.lit(0.0)))
         if bounds:
             splits = [float("-inf"), *bounds, float("inf")]
             work = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bk").transform(work)
@@ -76,7 +132,7 @@ def running_sums(
             work = work.withColumn("_bk", F.lit(0.0))
         at = F.col("_bk").cast("int")
         at = len(bounds) - at if descending else at  # larger values first
-        work = work.withColumn("_bk", F.when(missing, F.lit(len(bounds) + 1)).otherwise(at)).drop("_ord")
+        work = work.withColumn("_bk", F.when(_value(order_col).isNull(), F.lit(len(bounds) + 1)).otherwise(at)).drop("_ord")
     part = list(partition_by)
     own = F.col(order_col)
     if dict(df.dtypes)[order_col] in ("double", "float"):
