@@ -48,6 +48,7 @@ def _swe_many(layout):
 
 
 HEADLINE = {
+    "pool_swe_1m_tokens_sorted": _swe_many("sorted"),
     "pool_swe_1m_tokens_window": _swe_many("window"),
     "pool_swe_1m_tokens_numpy": _swe_many("numpy"),
     "entry_pool_swe": C.pool_swe,

@@ -13,13 +13,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from seqpool.functions.vec import dot, lit_matrix, lit_vector
+from seqpool.operators.interpolate import interpolate
+from seqpool.operators.sequence import PAD_EPS, invalid_shift
 from seqpool.plans.params import INTERP_EPS, swe_effective_weights
+from seqpool.plans.prefix import running_sums
+from seqpool.session import materialise
+
+LARGE_SET = 1 << 18  # tokens of a set that one task sorts as a matrix; larger sets are ranked over ranges
 
 # ---------------------------------------------------------------------------------------
 # helpers
@@ -129,7 +137,7 @@ def sorted_slices(proj: DataFrame, key: str = "seq_id") -> DataFrame:
 
 def pool_swe(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray, weights: np.ndarray,
              key: str = "seq_id", pos: str = "pos", vec: str = "vec", layout: str = "arrays",
-             project_with: str = "sql", eps: float = INTERP_EPS) -> DataFrame:
+             project_with: str = "sql", eps: float = INTERP_EPS, large_set: int = LARGE_SET) -> DataFrame:
     """A5: sliced-Wasserstein embedding, one value per (key, slice).
 
     out_l = sum_m w_m (R[m,l] - q_l[argsort(R[:,l])[m]]),  q_l = interpolated sorted projections.
@@ -137,9 +145,16 @@ def pool_swe(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray, weight
     layout="arrays": sort each (key, slice) group into an array, evaluate M quantiles.
     layout="window": rank tokens with a window (spillable sort, no collect) and let every token
                      add its own coefficient; the interpolation is linear in the sorted values.
+    layout="sorted": one row per token with its L projections, one shuffle by the set; a task walks through its sets and sorts
+                     each as a matrix.  Sets of more than ``large_set`` tokens are ranked over many tasks instead.
+    layout="ranges": every set is ranked over ranges of its projections, as the large ones of "sorted" are.
     """
     m = int(np.asarray(reference).shape[0])
     const, w_eff = swe_effective_weights(reference, weights)
+    if layout == "sorted":
+        return _swe_by_size(tokens, theta, const, w_eff, key, pos, vec, project_with, eps, large_set)
+    if layout == "ranges":
+        return _swe_ranges(tokens, theta, const, w_eff, key, pos, vec, project_with, eps, large_set)
     proj = slice_projections(tokens, theta, key, pos, vec, project_with)
     if layout == "numpy":
         s = sorted_slices(proj, key)
@@ -253,6 +268,133 @@ def _swe_window(proj: DataFrame, key: str, m: int, c_l: Column, weff: Column, ep
     return sums.select(F.col(key), F.col("slice"), (c_l - F.col("t")).alias("value"))
 
 
+def sorted_set_values(p: np.ndarray, const: np.ndarray, w_eff: np.ndarray, eps: float = INTERP_EPS) -> np.ndarray:
+    """The embedding (L values) of one set from its projections (n x L)."""
+    n, m = len(p), w_eff.shape[1]
+    v = np.sort(p, axis=0)
+    if n == 1:
+        q = np.repeat(v, m, axis=0)
+    elif n == m:
+        q = v
+    else:
+        j = np.arange(1, m + 1)
+        i0 = np.clip((j * (n + 1) + m) // (m + 1) - 2, 0, n - 2)
+        s = (j / (m + 1.0) - (i0 + 1) / (n + 1.0)) / (eps + 1.0 / (n + 1))
+        q = v[i0] + (v[i0 + 1] - v[i0]) * s[:, None]
+    return const - (w_eff.T * q).sum(axis=0)
+
+
+def _swe_matrices(proj: DataFrame, key: str, const: np.ndarray, w_eff: np.ndarray, eps: float) -> DataFrame:
+    """(key, slice, value) from (key, p array of L): the rows of a set meet in one task, in the order of the keys."""
+    n_slices = len(const)
+    slices = pa.array(np.arange(n_slices), pa.int64())
+
+    def run(batches):
+        held: list[np.ndarray] = []  # of the set that the last rows belong to
+        now = None
+
+        def value():
+            out = sorted_set_values(np.concatenate(held), const, w_eff, eps)
+            held.clear()
+            return out
+
+        for batch in batches:
+            keys, ready, values = batch.column(key), [], []
+            if keys.type == pa.null() or batch.num_rows == 0:
+                continue
+            runs = pc.run_end_encode(keys)
+            ends = np.asarray(runs.run_ends)
+            p = np.asarray(batch.column("p").flatten()).reshape(-1, n_slices)
+            for at, end, k in zip(np.append(0, ends[:-1]), ends, runs.values, strict=True):
+                if held and not k.equals(now):
+                    ready.append(now)
+                    values.append(value())
+                now = k
+                held.append(p[at:end])
+            if ready:
+                yield _long(ready, values, keys.type)
+        if held:
+            yield _long([now], [value()], now.type)
+
+    def _long(ready, values, kind):
+        keys = pa.array([k.as_py() for k in ready], kind)
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(np.repeat(np.arange(len(ready)), n_slices))), pa.array(np.tile(np.asarray(slices), len(ready))),
+             pa.array(np.concatenate(values))], names=[key, "slice", "value"])
+
+    dealt = proj.repartition(key).sortWithinPartitions(key)
+    return dealt.mapInArrow(run, f"`{key}` {proj.schema[key].dataType.simpleString()}, slice bigint, value double")
+
+
+def _swe_by_size(tokens: DataFrame, theta, const, w_eff, key: str, pos: str, vec: str, project_with: str, eps: float, large_set: int) -> DataFrame:
+    sizes = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_set)
+    large = materialise(sizes.select(F.col(key).alias("_large")), "large-sets")
+    proj = project_arrow(vec, theta) if project_with == "arrow" else project_sql(vec, theta)
+    if large.isEmpty():
+        return _swe_matrices(tokens.select(key, proj.alias("p")), key, const, w_eff, eps)
+    own = F.col(key).eqNullSafe(F.col("_large"))
+    small = tokens.join(large, own, "left_anti").select(key, proj.alias("p"))
+    rest = tokens.join(large, own, "left_semi")
+    return _swe_matrices(small, key, const, w_eff, eps).unionByName(
+        _swe_ranges(rest, theta, const, w_eff, key, pos, vec, project_with, eps, large_set))
+
+
+def _swe_ranges(tokens: DataFrame, theta, const, w_eff, key: str, pos: str, vec: str, project_with: str, eps: float, rows_per_range: int) -> DataFrame:
+    """Ranks of a (set, slice) over ranges of its projections, the coefficient of each rank, one sum."""
+    ranked = ranked_projections(tokens, theta, key, pos, vec, project_with, rows_per_range)
+    coef = _coefficient_udf(w_eff, eps)(F.col("rank").cast("int"), F.col("n").cast("int"), F.col("slice").cast("int"))
+    sums = ranked.select(key, "slice", (F.col("p") * coef).alias("t")).groupBy(key, "slice").agg(F.sum("t").alias("t"))
+    c_l = F.get(lit_vector(const), F.col("slice").cast("int"))
+    return sums.select(key, "slice", (c_l - F.col("t")).alias("value"))
+
+
+def ranked_projections(tokens: DataFrame, theta: np.ndarray, key: str = "seq_id", pos: str = "pos", vec: str = "vec",
+                       project_with: str = "sql", rows_per_range: int = LARGE_SET) -> DataFrame:
+    """(key, pos, slice, p, rank, n): 0-based ranks within (key, slice), ties by position; a set of any size is dealt over tasks."""
+    proj = slice_projections(tokens, theta, key, pos, vec, project_with).withColumn("_one", F.lit(1).cast("bigint"))
+    x = running_sums(proj, "p", ["_one"], descending=False, partition_by=[key, "slice"], tiebreak=[pos], rows_per_bucket=rows_per_range)
+    return x.select(key, pos, "slice", "p", (F.col("cum__one") - 1).alias("rank"), F.col("tot__one").alias("n"))
+
+
+def padded_knots(slots: DataFrame, valid: Column, theta: np.ndarray, key: str = "seq_id", pos: str = "pos", vec: str = "vec",
+                 project_with: str = "sql", pad_eps: float = PAD_EPS) -> DataFrame:
+    """(key, slice, pos, x, y): the knots of a padded set's quantile function on every slice, padding on the right.
+
+    The n real projections, ascending, stand at i / (n + 1).  The k-th padded position stands ``pad_eps * k`` beyond the last of
+    them, on the line through the two largest values, so that it changes neither the order nor the function.  A single
+    real token is a constant function."""
+    shifted = invalid_shift(slots, valid, key, pos, pad_eps).withColumn("_ok", valid)
+    proj = project_arrow(vec, theta) if project_with == "arrow" else project_sql(vec, theta)
+    x = shifted.select(key, pos, "shift", "_ok", F.posexplode(proj).alias("slice", "p")).withColumn("slice", F.col("slice").cast("bigint"))
+    group = Window.partitionBy(key, "slice")
+    x = x.withColumn("_i", F.row_number().over(group.orderBy(~F.col("_ok"), "p", pos)))
+    x = x.withColumn("_n", F.count(F.when(F.col("_ok"), 1)).over(group))
+    i, n, ok = F.col("_i"), F.col("_n"), F.col("_ok")
+    x = x.withColumn("_top", F.max(F.when(ok & (i == n), F.col("p"))).over(group))
+    x = x.withColumn("_next", F.max(F.when(ok & (i == n - 1), F.col("p"))).over(group))
+    slope = F.when(n > 1, (F.col("_top") - F.col("_next")) * (n + 1)).otherwise(0.0)
+    return x.where("_n > 0").select(
+        key, "slice", pos, F.when(ok, i / (n + 1)).otherwise(n / (n + 1) + F.col("shift")).alias("x"),
+        F.when(ok, F.col("p")).otherwise(F.col("_top") + slope * F.col("shift")).alias("y"))
+
+
+def pool_swe_padded(slots: DataFrame, valid: Column, theta: np.ndarray, reference: np.ndarray, weights: np.ndarray, key: str = "seq_id",
+                    pos: str = "pos", vec: str = "vec", project_with: str = "sql", eps: float = INTERP_EPS,
+                    pad_eps: float = PAD_EPS) -> DataFrame:
+    """The embedding of padded sets: interpolation through ``padded_knots`` at the M reference points of each slice.
+
+    Sets without a real token have no row."""
+    m = int(np.asarray(reference).shape[0])
+    const, w_eff = swe_effective_weights(reference, weights)
+    knots = materialise(padded_knots(slots, valid, theta, key, pos, vec, project_with, pad_eps), "padded-knots")
+    j = F.explode(F.sequence(F.lit(1), F.lit(m)))
+    points = knots.select(key, "slice").distinct().select(key, "slice", j.alias("j")).withColumn("at", F.col("j") / F.lit(m + 1.0))
+    q = interpolate(knots, points, [key, "slice"], tie=pos, eps=eps, out="q")
+    w = F.get(F.get(lit_matrix(w_eff), F.col("slice").cast("int")), F.col("j") - 1)
+    sums = q.groupBy(key, "slice").agg(F.sum(w * F.col("q")).alias("t"))
+    return sums.select(key, "slice", (F.get(lit_vector(const), F.col("slice").cast("int")) - F.col("t")).alias("value"))
+
+
 def swe_displacement(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray,
                      key: str = "seq_id", pos: str = "pos", vec: str = "vec",
                      project_with: str = "sql", eps: float = INTERP_EPS) -> DataFrame:
@@ -273,9 +415,7 @@ def swe_displacement(tokens: DataFrame, theta: np.ndarray, reference: np.ndarray
 def slice_rank(tokens: DataFrame, theta: np.ndarray, key: str = "seq_id", pos: str = "pos",
                vec: str = "vec", project_with: str = "sql") -> DataFrame:
     """Rank (0-based) of every projected token within its (key, slice), ties by position."""
-    proj = slice_projections(tokens, theta, key, pos, vec, project_with)
-    w = Window.partitionBy(key, "slice").orderBy("p", pos)
-    return proj.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+    return ranked_projections(tokens, theta, key, pos, vec, project_with).select(key, pos, "slice", "p", "rank")
 
 
 def slice_end_slope(tokens: DataFrame, theta: np.ndarray, key: str = "seq_id", pos: str = "pos",

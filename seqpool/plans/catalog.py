@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqpool.operators import pooling as P
+from seqpool.operators.interpolate import interpolate
 from seqpool.plans import params as PR
 from seqpool.plans import views as V
 from seqpool.session import materialise
@@ -44,9 +45,9 @@ def swe_params(n_slices: int = SWE_L, n_ref: int = SWE_M):
 
 @query
 def pool_swe(spark, sf):
-    """The flagship: window layout (no set is collected), projection in numpy per Arrow batch."""
+    """The flagship: one row per token with its projections, one shuffle by the set; large sets are ranked over ranges."""
     th, ref, w = swe_params()
-    out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="window", project_with="arrow")
+    out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="sorted", project_with="arrow")
     return out.select("seq_id", "slice", r6("value").alias("value"))
 
 
@@ -962,13 +963,20 @@ def pool_light_attn(spark, sf):
         "seq_id", F.col("idx").cast("bigint").alias("idx"), r6("value").alias("value"))
 
 
+@query
+def pool_swe_ranges(spark, sf):
+    """A5 for sets of any size: every (set, slice) of more than 16 tokens is ranked over ranges."""
+    th, ref, w = swe_params()
+    out = P.pool_swe(V.tokens(spark, sf), th, ref, w, layout="ranges", project_with="arrow", large_set=16)
+    return out.select("seq_id", "slice", r6("value").alias("value"))
+
+
 @query
 def pool_swe_masked(spark, sf):
-    """SWE of padded batches; padding is found by the sentinel in the first dimension."""
+    """SWE of padded batches through the padded knots; padding is found by the sentinel in the first dimension."""
     x = _padded_slots(spark, sf)
-    real = x.where(SQ.sentinel_valid(F.col("vec"), SENTINEL, first_only=True))
     th, ref, w = swe_params()
-    out = P.pool_swe(real, th, ref, w, layout="window", project_with="arrow")
+    out = P.pool_swe_padded(x, SQ.sentinel_valid(F.col("vec"), SENTINEL, first_only=True), th, ref, w, project_with="arrow")
     return out.select("seq_id", "slice", r6("value").alias("value"))
 
 
@@ -994,15 +1002,13 @@ def reference_argsort(spark, sf):
 
 @query
 def interp1d(spark, sf):
-    """Knots are a set's sorted first dimension, values its second; nine points from below the first to above the last."""
+    """Knots are a set's first dimension, values its second; nine points from below the first to above the last."""
     t = V.tokens(spark, sf).select("seq_id", "pos", F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
-    own = F.array_sort(F.collect_list(F.struct("x", "pos", "y")))  # one encoder input's length
-    s = t.groupBy("seq_id").agg(own.alias("s"))
-    s = s.select("seq_id", F.transform("s", lambda k: k["x"]).alias("xs"), F.transform("s", lambda k: k["y"]).alias("ys"))
-    at = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("j"))
-    q = F.array_min("xs") - 0.5 + F.col("j") * (F.array_max("xs") - F.array_min("xs") + 1.0) / 8.0
-    at = at.withColumn("q", q)
-    return at.select("seq_id", F.col("j").cast("bigint").alias("j"), r6(SQ.interp1d(F.col("xs"), F.col("ys"), F.col("q"), eps=1e-2)).alias("y"))
+    ends = t.groupBy("seq_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    j = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint")))
+    points = ends.select("*", j.alias("j")).select(
+        "seq_id", "j", (F.col("lo") - 0.5 + F.col("j") * (F.col("hi") - F.col("lo") + 1.0) / 8.0).alias("at"))
+    return interpolate(t, points, ["seq_id"]).select("seq_id", "j", r6("value").alias("y"))
 
 
 @query

@@ -764,7 +764,33 @@ FROM f, range(4) j(j) GROUP BY f.seq_id, j.j"""
 
 SQL["pool_dispatch"] += f"\nUNION ALL SELECT 'light_attn', seq_id, idx, value FROM ({SQL['pool_light_attn']})"
 
-SQL["pool_swe_masked"] = SQL["pool_swe"]
+SQL["pool_swe_ranges"] = SQL["pool_swe"]
+
+# Knots of the padded batch built one by one: real ones at i / (n + 1), the k-th padded one 0.001 k beyond, on the last line.
+SQL["pool_swe_masked"] = SQL["pad_batch"].rsplit("SELECT batch_id, seq_id, pos, dim", 1)[0].rstrip() + f""",
+{theta_cte()},
+{ref_cte()},
+ok AS (SELECT seq_id, pos, max(CASE WHEN dim = 0 AND value <> 20.0::DOUBLE THEN 1 ELSE 0 END) = 1 AS ok FROM padded GROUP BY seq_id, pos),
+pr AS (SELECT p.seq_id, p.pos, th.l AS slice, sum(p.value * th.t) AS p FROM padded p JOIN th ON p.dim = th.d GROUP BY ALL),
+real AS (SELECT pr.*, row_number() OVER (PARTITION BY pr.seq_id, slice ORDER BY p, pr.pos) AS i, count(*) OVER (PARTITION BY pr.seq_id, slice) AS n
+         FROM pr JOIN ok ON ok.seq_id = pr.seq_id AND ok.pos = pr.pos WHERE ok.ok),
+ends AS (SELECT seq_id, slice, any_value(n) AS n, max(CASE WHEN i = n THEN p END) AS top, max(CASE WHEN i = n - 1 THEN p END) AS next FROM real GROUP BY seq_id, slice),
+pad AS (SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS k FROM ok WHERE NOT ok.ok),
+knots AS (SELECT seq_id, slice, i, i / (n + 1.0::DOUBLE) AS x, p AS y FROM real
+          UNION ALL
+          SELECT e.seq_id, e.slice, e.n + k, e.n / (e.n + 1.0::DOUBLE) + 0.001::DOUBLE * k,
+                 CASE WHEN e.n = 1 THEN top ELSE top + (top - next) * (e.n + 1) * 0.001::DOUBLE * k END
+          FROM ends e JOIN pad ON pad.seq_id = e.seq_id),
+kn AS (SELECT *, count(*) OVER (PARTITION BY seq_id, slice) AS n FROM knots),
+size AS (SELECT DISTINCT seq_id, slice, n FROM kn),
+pts AS (SELECT size.*, refpts.r, refpts.w, (refpts.a + 1) / {SWE_M + 1}.0::DOUBLE AS t FROM size JOIN refpts ON refpts.slice = size.slice),
+placed AS (SELECT pts.*, (SELECT count(*) FROM kn WHERE kn.seq_id = pts.seq_id AND kn.slice = pts.slice AND kn.x < pts.t) AS below FROM pts),
+seg AS (SELECT *, greatest(least(below, n - 1), 1) AS i FROM placed)
+SELECT seg.seq_id, CAST(seg.slice AS BIGINT) AS slice,
+       round(sum(w * (r - CASE WHEN seg.n = 1 THEN a.y ELSE a.y + (b.y - a.y) / (1.1920929e-07::DOUBLE + (b.x - a.x)) * (t - a.x) END)), 6) AS value
+FROM seg JOIN kn a ON a.seq_id = seg.seq_id AND a.slice = seg.slice AND a.i = seg.i
+         LEFT JOIN kn b ON b.seq_id = seg.seq_id AND b.slice = seg.slice AND b.i = seg.i + 1
+GROUP BY seg.seq_id, seg.slice"""
 
 SQL["invalid_shift"] = SQL["pad_batch"].rsplit("SELECT batch_id, seq_id, pos, dim", 1)[0] + """SELECT batch_id, seq_id, pos,
   round(0.001::DOUBLE * sum(CASE WHEN value = 20.0::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos), 6) AS shift
@@ -784,7 +810,7 @@ q AS (SELECT seq_id, n, j.j AS j, lo - 0.5::DOUBLE + j.j * (hi - lo + 1.0::DOUBL
 b AS (SELECT q.seq_id, q.n, q.j, q.q, (SELECT count(*) FROM k WHERE k.seq_id = q.seq_id AND k.x < q.q) AS below FROM q),
 c AS (SELECT *, least(greatest(below - 1, 0), n - 2) AS i FROM b)
 SELECT c.seq_id, CAST(c.j AS BIGINT) AS j,
-       round(CASE WHEN c.n = 1 THEN z.y ELSE a.y + (d.y - a.y) / (0.01::DOUBLE + (d.x - a.x)) * (c.q - a.x) END, 6) AS y
+       round(CASE WHEN c.n = 1 THEN z.y ELSE a.y + (d.y - a.y) / (1.1920929e-07::DOUBLE + (d.x - a.x)) * (c.q - a.x) END, 6) AS y
 FROM c LEFT JOIN k a ON a.seq_id = c.seq_id AND a.i = c.i LEFT JOIN k d ON d.seq_id = c.seq_id AND d.i = c.i + 1
        LEFT JOIN k z ON z.seq_id = c.seq_id AND z.i = 0"""
 
