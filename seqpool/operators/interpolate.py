@@ -39,7 +39,7 @@ def interpolate(knots: DataFrame, points: DataFrame, keys: Sequence[str], x: str
     both = materialise(k.unionByName(p), "interpolate-rows")
     ranges = group_ranges(both, keys, "_x", rows_per_range)
     both = with_ranges(both, ranges, keys, "_x")
-    if not ranges.isEmpty():
+    if ranges is not None:
         both = both.unionByName(_halo(both, ranges, keys))
 
     part = Window.partitionBy(*keys, "_bk")

@@ -42,7 +42,12 @@ def score_curve(preds: DataFrame, score: str = "score", label: str = "label",
     collapsed = scored(preds, score, label).groupBy(*g, F.col(score).alias("score")).agg(
         F.sum(pos).alias("tp"), F.sum(F.lit(1.0) - pos).alias("fp")
     )
-    return running_sums(collapsed, "score", ["tp", "fp"], descending=True, partition_by=g)
+    return curve_of_counts(collapsed, g)
+
+
+def curve_of_counts(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """The curve from one row per (group, score) with its counts tp and fp."""
+    return running_sums(counts, "score", ["tp", "fp"], descending=True, partition_by=list(group))
 
 
 def pr_roc_curve(preds: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -58,18 +63,24 @@ def pr_roc_curve(preds: DataFrame, score: str = "score", label: str = "label") -
 def average_precision(preds: DataFrame, score: str = "score", label: str = "label",
                       group: Sequence[str] = ()) -> DataFrame:
     """M1: sum over distinct thresholds of (R_k - R_{k-1}) * P_k (step-wise, not interpolated)."""
-    c = score_curve(preds, score, label, group)
+    return average_precision_of(score_curve(preds, score, label, group), group)
+
+
+def average_precision_of(curve: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     prec = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-    return c.groupBy(*group).agg(
+    return curve.groupBy(*group).agg(
         _safe_div(F.sum(F.col("tp") * prec), F.max("tot_tp")).alias("average_precision")
     )
 
 
 def auroc(preds: DataFrame, score: str = "score", label: str = "label", group: Sequence[str] = ()) -> DataFrame:
     """M2: trapezoid area under the ROC curve (ties = one step, i.e. half credit)."""
-    c = score_curve(preds, score, label, group)
+    return auroc_of(score_curve(preds, score, label, group), group)
+
+
+def auroc_of(curve: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     area = F.sum(F.col("fp") * (F.lit(2.0) * F.col("cum_tp") - F.col("tp"))) / F.lit(2.0)
-    return c.groupBy(*group).agg(_safe_div(area, F.max("tot_tp") * F.max("tot_fp")).alias("auroc"))
+    return curve.groupBy(*group).agg(_safe_div(area, F.max("tot_tp") * F.max("tot_fp")).alias("auroc"))
 
 
 # ------------------------------------------------------------------------------ threshold metrics

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import DoubleType
 
 from seqpool.functions.vec import dot, lit_matrix, lit_vector
@@ -84,12 +84,11 @@ def project_arrow(vec: str | Column, theta: np.ndarray) -> Column:
     """X . theta_l for every slice, as one numpy matmul per Arrow batch (large d * L)."""
     th = np.ascontiguousarray(np.asarray(theta, dtype=np.float64).T)  # d x L
 
-    @pandas_udf("array<double>")
-    def _proj(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack(v.to_numpy()).astype(np.float64, copy=False)
-        return pd.Series(list(x @ th))
+    @arrow_udf("array<double>")
+    def _proj(v: pa.Array) -> pa.Array:
+        values = np.asarray(v.flatten(), dtype=np.float64)
+        ends = np.arange(len(v) + 1, dtype=np.int32) * th.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array((values.reshape(-1, th.shape[0]) @ th).ravel()))
 
     return _proj(F.col(vec) if isinstance(vec, str) else vec)
 

@@ -1089,13 +1089,15 @@ def scan_membership(spark, sf):
 
 @query
 def stream_featurize(spark, sf):
-    """Documents arrive file by file; every distinct text is encoded once."""
-    folder = shared_scratch(spark, "stream-in")
-    d = _docs(spark, sf).select("doc_id", "text")
-    d.repartition(12, "doc_id").write.parquet(folder)
+    """Documents arrive file by file, those of two languages after the others; a second run goes on in the same store."""
+    folder, store, state = (shared_scratch(spark, f"stream-{x}") for x in ("in", "features", "state"))
+    d = _docs(spark, sf).select("doc_id", "text", "lang")
+    late = F.col("lang").isin("de", "es")
     enc = SS.HashEncoder(8)
-    out = SJ.stream_featurize(spark, folder, d.schema, "text", enc)
-    st = SS.read_stream_output(spark, out)
+    for rows in (d.where(~late | F.col("lang").isNull()), d.where(late)):
+        rows.repartition(6, "doc_id").write.mode("append").parquet(folder)
+        SJ.stream_featurize(spark, folder, d.schema, "text", enc, store=store, checkpoint=state)
+    st = SS.read_store(spark, store, enc.name)
     return st.select(F.md5("key").alias("key_md5"), "model", r6(vsum("vec")).alias("vec_sum"))
 
 
@@ -1112,6 +1114,17 @@ def stream_metrics(spark, sf):
     return s.select("tp", "fp", "fn", "tn", r6(F.col("se") / F.col("n")).alias("mse"))
 
 
+@query
+def stream_rank_metrics(spark, sf):
+    """Average precision and AUROC from per-score counts kept over a stream of scored files."""
+    folder = shared_scratch(spark, "stream-in")
+    x = line_preds(spark, sf).select("protein", "score", "label")
+    x.repartition(8, "protein").write.parquet(folder)
+    curve = materialise(M.curve_of_counts(SJ.stream_score_counts(spark, folder, x.schema)), "stream-curve")
+    both = M.average_precision_of(curve).join(M.auroc_of(curve))  # a row each
+    return both.select(r6("average_precision").alias("average_precision"), r6("auroc").alias("auroc"))
+
+
 @query
 def fit_class_head(spark, sf):
     """T6 + S12: the class head fitted on all labelled vectors, its parameters saved and loaded, the predictions of both."""

@@ -832,3 +832,8 @@ SQL["stream_metrics"] = f"""WITH {LINE_PREDS}
 SELECT count(*) FILTER (WHERE score > 0.5::DOUBLE AND label = 1) AS tp, count(*) FILTER (WHERE score > 0.5::DOUBLE AND label <> 1) AS fp,
        count(*) FILTER (WHERE NOT score > 0.5::DOUBLE AND label = 1) AS fn, count(*) FILTER (WHERE NOT score > 0.5::DOUBLE AND label <> 1) AS tn,
        round(avg((score - label) * (score - label)), 6) AS mse FROM lp"""
+
+SQL["stream_rank_metrics"] = f"""WITH {LINE_PREDS},
+{ap_sql('lp', 'score', 'label')}
+SELECT round(sum(tp * ctp / (ctp + cfp)) / max(ttp), 6) AS average_precision,
+       round(sum(fp * (2 * ctp - tp)) / 2.0::DOUBLE / nullif(max(ttp) * max(tfp), 0), 6) AS auroc FROM cc"""

@@ -48,14 +48,14 @@ def _boundaries(df: DataFrame, col: str, rows_per_bucket: int) -> list[float]:
     return sorted({float(q) for q in qs})
 
 
-def group_ranges(df: DataFrame, keys: Sequence[str], col: str, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame:
+def group_ranges(df: DataFrame, keys: Sequence[str], col: str, rows_per_range: int = ROWS_PER_BUCKET) -> DataFrame | None:
     """(keys, bounds): for each group of more than ``rows_per_range`` rows the ascending bounds of its ranges; a written table.
 
-    A group is cut in a power of two of ranges, at most ``MAX_RANGES``."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_range)
-    sizes = materialise(sizes, "large-groups")
-    if sizes.isEmpty():
-        return sizes.select(*keys, F.array().cast("array<double>").alias("bounds"))
+    A group is cut in a power of two of ranges, at most ``MAX_RANGES``.  None if no group is that large."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n").alias("n")).first()["n"] or 0) <= rows_per_range:
+        return None
+    sizes = materialise(sizes.where(F.col("_n") > rows_per_range), "large-groups")
     x = df.join(_renamed(sizes, keys), _same(keys), "left_semi")
     probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
     cut = x.groupBy(*keys).agg(F.percentile_approx(_value(col), probs, 10 * MAX_RANGES).alias("all"), F.count(F.lit(1)).alias("n"))
@@ -84,9 +84,11 @@ def range_of(value: Column, bounds: Column) -> Column:
     return F.when(bounds.isNull() | value.isNull(), 0).otherwise(first + F.size(F.filter(own, lambda b: b < value))).cast("int")
 
 
-def with_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str], col: str, out: str = "_bk") -> DataFrame:
+def with_ranges(df: DataFrame, ranges: DataFrame | None, keys: Sequence[str], col: str, out: str = "_bk") -> DataFrame:
     """``df`` with the range of ``col`` within its group; 0 in groups that are not cut.  ``ranges`` is a written table, so
     a group that needs cutting is dealt over tasks by Spark as well (it is broadcast, or the join is split)."""
+    if ranges is None:
+        return df.withColumn(out, F.lit(0))
     x = df.join(_renamed(ranges, keys), _same(keys), "left")
     return x.select(*df.columns, range_of(_value(col), F.col("bounds")).alias(out))
 
@@ -118,7 +120,8 @@ def running_sums(
             work = work.withColumn("_bk", -F.col("_bk"))
     elif partition_by:
         df = materialise(df, "ordered")
-        work = with_ranges(df, group_ranges(df, partition_by, order_col, rows_per_bucket), partition_by, order_col)
+        ranges = group_ranges(df, partition_by, order_col, rows_per_bucket)
+        work = with_ranges(df, ranges, partition_by, order_col)
         at = -F.col("_bk") if descending else F.col("_bk")
         work = work.withColumn("_bk", F.when(_value(order_col).isNull(), F.lit(MAX_RANGES)).otherwise(at))
     else:
@@ -139,6 +142,11 @@ def running_sums(
         own = F.when(~F.isnan(own), own)
     order = own.desc_nulls_last() if descending else own.asc_nulls_last()
     ties = [F.col(t).desc() if descending else F.col(t).asc() for t in tiebreak]
+    if part and bucket is None and ranges is None:  # every group is a task's work
+        own_group = Window.partitionBy(*part)
+        inner = own_group.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(c).over(inner).alias(f"cum_{c}") for c in value_cols],
+                         *[F.sum(c).over(own_group).alias(f"tot_{c}") for c in value_cols])
     inner = Window.partitionBy(*part, "_bk").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     within = work.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in value_cols])
     totals = within.groupBy(*part, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in value_cols])

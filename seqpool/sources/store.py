@@ -4,12 +4,13 @@ The store is ``(digest STRING, key STRING, model STRING, vec ARRAY<FLOAT>)`` par
 for one encoder prunes to its partition.  The encoder gets the raw string.  ``key`` is the raw string made safe
 for a name ('/' becomes '|'), which distinct strings can share; rows are found by ``digest``, the 128-bit hash of the
 raw string, so each string has its own vector.  Writes are idempotent: only digests that the store lacks are
-encoded and appended.
+encoded and appended.  Each write is a part of its own (a second partition column), which a repeated write overwrites.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -87,19 +88,25 @@ def encode_concat(df: DataFrame, col: str, names: str, out: str = "vec") -> Data
     return x.withColumn(out, F.concat(*vecs)).drop(*vecs)
 
 
-def read_stream_output(spark: SparkSession, path: str) -> DataFrame:
-    """The committed rows that a streaming query wrote under ``path``."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
-
-
 def store_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def read_parts(spark: SparkSession, path: str, model: str) -> DataFrame:
+    return spark.read.schema(STORE_SCHEMA + ", part string").parquet(path).where(F.col("model") == model)
+
+
 def read_store(spark: SparkSession, path: str, model: str) -> DataFrame:
-    return spark.read.schema(STORE_SCHEMA).parquet(path).where(F.col("model") == model)
+    return read_parts(spark, path, model).drop("part")
+
+
+def write_part(encoded: DataFrame, path: str, part: str) -> None:
+    """Write encoded rows as the part ``part`` of their model's partition; the same part written before is replaced."""
+    x = encoded.withColumn("key", sanitize_key(F.col("key"))).withColumn("part", F.lit(part))
+    (x.select("digest", "key", "vec", "model", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model", "part").parquet(path))
 
 
 def write_missing(spark: SparkSession, keys: DataFrame, path: str, encoder, key: str = "key") -> None:
@@ -110,8 +117,7 @@ def write_missing(spark: SparkSession, keys: DataFrame, path: str, encoder, key:
     if store_exists(spark, path):
         have = read_store(spark, path, encoder.name).select("digest")
         k = k.withColumn("digest", digest_of(F.col("key"))).join(have, "digest", "left_anti").select("key")
-    enc = encode_keys(k, "key", encoder).withColumn("key", sanitize_key(F.col("key")))
-    enc.select("digest", "key", "model", "vec").write.mode("append").partitionBy("model").parquet(path)
+    write_part(encode_keys(k, "key", encoder), path, uuid.uuid4().hex)
 
 
 def lookup_with_fallback(spark: SparkSession, df: DataFrame, col: str, path: str, encoder) -> DataFrame:

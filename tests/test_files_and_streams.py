@@ -1,7 +1,10 @@
+import uuid
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from seqpool.operators import metrics as M
 from seqpool.operators import score as SC
 from seqpool.operators import sequence as SQ
 from seqpool.session import shared_scratch
@@ -39,7 +42,7 @@ def test_stream_encodes_each_string_once(spark):
     x = spark.createDataFrame(rows, "id int, text string")
     x.repartition(9).write.parquet(folder)
     enc = SS.HashEncoder(8)
-    out = SS.read_stream_output(spark, SJ.stream_featurize(spark, folder, x.schema, "text", enc, files_per_trigger=2)).collect()
+    out = SS.read_store(spark, SJ.stream_featurize(spark, folder, x.schema, "text", enc, files_per_trigger=2), enc.name).collect()
     assert sorted(r["key"] for r in out) == [f"key {i}" for i in range(7)]
     assert all(r["vec"] == [float(v) for v in enc.encode(pd.Series([r["key"]]))[0]] for r in out)
 
@@ -98,3 +101,48 @@ def test_interpolation_by_hand(spark):
 def test_gelu_by_hand(spark):
     got = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 1.0, 2.0)], "x double").select(SC.gelu(F.col("x")).alias("y")).collect()
     assert [round(r["y"], 6) for r in got] == [-0.158655, 0.0, 0.841345, 1.9545]
+
+
+def test_featurisation_goes_on_where_it_ended(spark, tmp_path):
+    class CountingEncoder(SS.HashEncoder):
+        """Leaves a file per encoded string."""
+
+        def __init__(self, folder):
+            super().__init__(4, "counting")
+            self.folder = folder
+
+        def encode(self, keys):
+            for k in keys:
+                open(f"{self.folder}/{uuid.uuid4().hex}-{k}", "w").close()
+            return super().encode(keys)
+
+    folder, store, state = (shared_scratch(spark, x) for x in ("in", "store", "state"))
+    enc = CountingEncoder(str(tmp_path))
+    schema = "id int, text string"
+    seen = lambda: sorted(p.name.split("-")[1] for p in tmp_path.iterdir())
+    SS.write_missing(spark, spark.createDataFrame([("k0",)], "key string"), store, enc)  # another writer's row
+    for lo in (0, 5, 5):
+        rows = [(i, f"k{i}") for i in range(lo, lo + 10)] * 2
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(folder)
+        SJ.stream_featurize(spark, folder, spark.read.parquet(folder).schema, "text", enc, 2, store, state)
+        assert seen() == sorted(f"k{i}" for i in range(lo + 10))
+    SJ.stream_featurize(spark, folder, spark.read.parquet(folder).schema, "text", enc, 2, store, shared_scratch(spark, "new-state"))
+    rows = SS.read_store(spark, store, enc.name).collect()
+    assert sorted(r["key"] for r in rows) == sorted(f"k{i}" for i in range(15)) and len(seen()) == 15
+
+
+def test_rank_metrics_of_a_stream(spark):
+    folder, table, state = (shared_scratch(spark, x) for x in ("in", "counts", "state"))
+    schema = "g string, score double, label int"
+    rows = [(["a", "b", None][i % 3], [None, float("nan"), (i * 37 % 23) / 23][min(i, 2)], [0, 1, None][i % 7 % 3]) for i in range(300)]
+    for half in (rows[:200], rows[200:]):
+        spark.createDataFrame(half, schema).repartition(4).write.mode("append").parquet(folder)
+        counts = SJ.stream_score_counts(spark, folder, spark.read.parquet(folder).schema, group=["g"], files_per_trigger=2, table=table, checkpoint=state)
+    curve = M.curve_of_counts(counts, ["g"])
+    whole = spark.createDataFrame(rows, schema)
+    got = {r["g"]: r for r in M.average_precision_of(curve, ["g"]).collect()}, {r["g"]: r for r in M.auroc_of(curve, ["g"]).collect()}
+    for r in M.average_precision(whole, group=["g"]).collect():
+        assert got[0][r["g"]]["average_precision"] == pytest.approx(r["average_precision"])
+    for r in M.auroc(whole, group=["g"]).collect():
+        assert got[1][r["g"]]["auroc"] == pytest.approx(r["auroc"])
+    assert set(got[0]) == {"a", "b", None}
