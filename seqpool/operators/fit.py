@@ -62,35 +62,41 @@ def fit_by_gradient(rows: DataFrame, params: dict[str, np.ndarray], partial: Cal
 
     ``partial(batch, params)`` gives (loss sum, rows, gradient sums).  Only sums, one per parameter entry, reach the driver.
     ``rows`` is read once per step and should be a written table."""
-    names = list(params)
     rule, losses = AdamW(lr), []
     for _ in range(steps):
-        now = params
-
-        def run(batches, now=now):
-            loss, n, total = 0.0, 0, {k: np.zeros_like(v) for k, v in now.items()}
-            for b in batches:
-                one, m, grads = partial(b, now)
-                loss, n = loss + one, n + m
-                for k in names:
-                    total[k] += grads[k]
-            flat = np.concatenate([[loss, float(n)], *[total[k].ravel() for k in names]])
-            yield pd.DataFrame({"i": np.arange(len(flat)), "g": flat})
-
-        sums = rows.mapInPandas(run, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").collect()
-        flat = np.array([r["g"] for r in sums])
-        if not len(flat) or flat[1] == 0:
+        loss, n, grads = gradient_sums(rows, params, partial)
+        if n == 0:
             break
-        losses.append(float(flat[0] / flat[1]))
-        at, grads = 2, {}
-        for k in names:
-            size = params[k].size
-            grads[k] = flat[at: at + size].reshape(params[k].shape) / flat[1]
-            at += size
-        params = rule.update(params, grads)
+        losses.append(loss / n)
+        params = rule.update(params, {k: g / n for k, g in grads.items()})
     return params, losses
 
 
+def gradient_sums(rows: DataFrame, params: dict[str, np.ndarray], partial: Callable) -> tuple[float, int, dict]:
+    """(loss sum, rows, gradient sums) of ``rows``: a partial sum per task, then one sum per parameter entry."""
+    names = list(params)
+
+    def run(batches):
+        loss, n, total = 0.0, 0, {k: np.zeros_like(v) for k, v in params.items()}
+        for b in batches:
+            one, m, grads = partial(b, params)
+            loss, n = loss + one, n + m
+            for k in names:
+                total[k] += grads[k]
+        flat = np.concatenate([[loss, float(n)], *[total[k].ravel() for k in names]])
+        yield pd.DataFrame({"i": np.arange(len(flat)), "g": flat})
+
+    sums = rows.mapInPandas(run, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").collect()
+    flat = np.array([r["g"] for r in sums])
+    if not len(flat):
+        return 0.0, 0, {k: np.zeros_like(v) for k, v in params.items()}
+    at, grads = 2, {}
+    for k in names:
+        grads[k] = flat[at: at + params[k].size].reshape(params[k].shape)
+        at += params[k].size
+    return float(flat[0]), int(flat[1]), grads
+
+
 def pair_cosine_bce(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
     """T1 with BCE: cosine of relu(Wd a) and relu(Wt b), clipped inside (0, 1)."""
     a, b = np.stack(batch["drug_vec"].to_numpy()), np.stack(batch["target_vec"].to_numpy())
