@@ -799,6 +799,30 @@ def score_pairs_gelu(spark, sf):
     return _scored_pairs(spark, sf, "gelu", cosine=False)
 
 
+LINE_DIM, LINE_SLICES = 4, 8
+
+
+def _line_swe():
+    return PR.slicers(LINE_SLICES, LINE_DIM), PR.permuted_reference(SWE_M, LINE_SLICES), PR.ref_weights(SWE_M)
+
+
+@query
+def score_pairs_pooled(spark, sf):
+    """T1 with a ragged target: a supplier's tokens are its lines; each supplier is pooled and projected once."""
+    th, ref, w = _line_swe()
+    z = P.pool_swe(V.line_tokens(spark, sf), th, ref, w, key="key", layout="sorted", project_with="arrow")
+    z = P.pack(z, "key", "slice", "value")
+    drugs = V.key_features(spark, sf, V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key")).distinct())
+    sides = []
+    for x, width, offset in ((drugs, DIM, 0), (z, LINE_SLICES, 5)):
+        h = x.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, width, offset), act="relu").alias("h"))
+        sides.append(materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected"))
+    x = J.lookup(V.pairs(spark, sf), sides[0], "drug_key", cols={"h": "hd", "norm": "nd"})
+    x = J.lookup(x, sides[1], "target_key", cols={"h": "ht", "norm": "nt"})
+    score = _dot("hd", "ht") / (F.col("nd") * F.col("nt"))
+    return x.select("row_id", r6(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))).alias("score"))
+
+
 @query
 def score_edges(spark, sf):
     f = V.key_features(spark, sf, V.edge_keys(spark, sf))
@@ -832,7 +856,7 @@ def pool(tokens, method: str, **kw):
     if method in POOL_METHODS and "pos" not in tokens.columns:  # one ready vector per key passes through
         return tokens.select("seq_id", F.posexplode("vec").alias("idx", "value")).withColumn("idx", F.col("idx").cast("bigint"))
     if method == "light_attn":
-        return light_attention(tokens.withColumn("vec", F.slice(F.col("vec").cast("array<double>"), 1, CONV_DIM)))
+        return light_attention(tokens)
     if method == "avg":
         return P.pool_avg(tokens).withColumnRenamed("dim", "idx")
     if method == "max":
@@ -928,10 +952,11 @@ import numpy as np  # noqa: E402
 
 from seqpool.operators import fit as FT  # noqa: E402
 from seqpool.operators import sequence as SQ  # noqa: E402
+from seqpool.operators import train as TR  # noqa: E402
 from seqpool.sources import files as FS  # noqa: E402
 from seqpool.streaming import jobs as SJ  # noqa: E402
 
-CONV_DIM = 4
+CONV_DIM = DIM
 FIT_STEPS = 6
 CONV_WIDTH = 5
 
@@ -941,13 +966,9 @@ def _conv_weight(offset):
     return ((o * 5 + i * 3 + k * 7 + offset) % 11 - 5) / 10.0
 
 
-def _narrow_tokens(spark, sf):
-    return V.tokens(spark, sf).select("seq_id", "pos", F.slice(F.col("vec").cast("array<double>"), 1, CONV_DIM).alias("vec"))
-
-
 @query
 def conv1d_same(spark, sf):
-    y = SQ.conv1d_same(_narrow_tokens(spark, sf), _conv_weight(0), _bias(CONV_DIM))
+    y = SQ.conv1d_same(V.tokens(spark, sf), _conv_weight(0), _bias(CONV_DIM))
     return y.select("seq_id", "pos", F.posexplode("vec").alias("dim", "value")).select(
         "seq_id", "pos", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
 
@@ -959,7 +980,7 @@ def light_attention(tokens):
 
 @query
 def pool_light_attn(spark, sf):
-    return light_attention(_narrow_tokens(spark, sf)).select(
+    return light_attention(V.tokens(spark, sf)).select(
         "seq_id", F.col("idx").cast("bigint").alias("idx"), r6("value").alias("value"))
 
 
@@ -1163,4 +1184,45 @@ def fit_multilabel_head(spark, sf):
     return _losses(spark, losses)
 
 
-WITHOUT_SQL |= {"fit_class_head", "fit_pair_head", "fit_multilabel_head"}
+def _pooled_training(spark, sf, n_batches):
+    """Pairs by batch and target: the part's feature, the supplier's lines as tokens, the label."""
+    lines = V.line_tokens(spark, sf)
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"])  # an encoder input's length
+    sets = lines.groupBy(F.col("key").alias("target_key")).agg(tokens.alias("tokens"))
+    drugs = V.key_features(spark, sf, V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key")).distinct())
+    pairs = J.lookup(V.pairs(spark, sf), drugs, "drug_key", cols={"vec": "drug_vec"})
+    rows = TR.pooled_rows(pairs.select("row_id", "drug_vec", "target_key", "label"), sets, n_batches)
+    folder = shared_scratch(spark, "train-batches")
+    rows.repartition("batch").write.partitionBy("batch").parquet(folder)
+    return folder
+
+
+def _pooled_params():
+    th, ref, w = _line_swe()
+    return {"drug": PR.projector(PROJ_OUT, DIM), "target": PR.projector(PROJ_OUT, LINE_SLICES, 5), "theta": th, "reference": ref, "weight": w}
+
+
+@query
+def fit_pair_start(spark, sf):
+    """The loss at the start, and its gradient by the weights of the reference points, over all pairs."""
+    rows = spark.read.parquet(_pooled_training(spark, sf, 1)).drop("batch")
+    loss, n, grads = FT.gradient_sums(rows, _pooled_params(), TR.pooled_cosine_bce())
+    out = [("loss", 0, loss / n)] + [("weight", i, float(g) / n) for i, g in enumerate(grads["weight"])]
+    return spark.createDataFrame(out, "name string, idx bigint, value double").withColumn("value", r6("value"))
+
+
+@query
+def fit_pair_pooled(spark, sf):
+    """Pooling and projectors trained by mini-batches; the last is held out for validation.  Loss and value per epoch."""
+    n = 5
+    folder = _pooled_training(spark, sf, n)
+    held_out = spark.read.parquet(folder).where(F.col("batch") == n - 1)
+
+    def measure(params):
+        return M.average_precision(TR.pooled_scores(held_out, params)).first()[0]
+
+    state = TR.fit_epochs(spark, folder, n - 1, _pooled_params(), TR.pooled_cosine_bce(), measure, shared_scratch(spark, "fit"), epochs=2)
+    return spark.createDataFrame([(h["epoch"], h["loss"], h["value"]) for h in state.history], "epoch bigint, loss double, value double")
+
+
+WITHOUT_SQL |= {"fit_class_head", "fit_pair_head", "fit_multilabel_head", "fit_pair_pooled"}

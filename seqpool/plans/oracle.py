@@ -737,16 +737,16 @@ UNION ALL SELECT run_id, 'max', epoch, round(lr * 1e6::DOUBLE, 6) FROM f_max WHE
 
 
 def conv(name: str, offset: int) -> str:
-    """``name``: (seq_id, pos, o, y) of the zero-padded width-5 convolution over the first four dimensions."""
+    """``name``: (seq_id, pos, o, y) of the zero-padded width-5 convolution."""
     return f"""{name} AS (
   SELECT t.seq_id, t.pos, o.o, o.o / 10.0::DOUBLE + sum(((o.o * 5 + x.dim * 3 + (x.pos - t.pos + 2) * 7 + {offset}) % 11 - 5) / 10.0::DOUBLE * x.x) AS y
-  FROM (SELECT DISTINCT seq_id, pos FROM nd) t JOIN nd x ON t.seq_id = x.seq_id AND abs(x.pos - t.pos) <= 2, range(4) o(o)
+  FROM (SELECT DISTINCT seq_id, pos FROM nd) t JOIN nd x ON t.seq_id = x.seq_id AND abs(x.pos - t.pos) <= 2, range(64) o(o)
   GROUP BY t.seq_id, t.pos, o.o)"""
 
 
 NARROW = f"""{TOKENS},
 {TOKEN_DIMS},
-nd AS (SELECT * FROM tdims WHERE dim < 4)"""
+nd AS (SELECT * FROM tdims)"""
 
 SQL["conv1d_same"] = f"""WITH {NARROW},
 {conv('c', 0)}
@@ -758,9 +758,9 @@ SQL["pool_light_attn"] = f"""WITH {NARROW},
 m AS (SELECT seq_id, o, max(y) AS top FROM a GROUP BY seq_id, o),
 s AS (SELECT v.seq_id, v.o, max(v.y) AS most, sum(exp(a.y - m.top) * v.y) / sum(exp(a.y - m.top)) AS att
       FROM v JOIN a ON v.seq_id = a.seq_id AND v.pos = a.pos AND v.o = a.o JOIN m ON m.seq_id = v.seq_id AND m.o = v.o GROUP BY v.seq_id, v.o),
-f AS (SELECT seq_id, o AS i, most AS x FROM s UNION ALL SELECT seq_id, o + 4, att FROM s)
+f AS (SELECT seq_id, o AS i, most AS x FROM s UNION ALL SELECT seq_id, o + 64, att FROM s)
 SELECT f.seq_id, CAST(j.j AS BIGINT) AS idx, round(j.j / 10.0::DOUBLE + sum(((j.j * 13 + f.i * 7) % 19 - 9) / 90.0::DOUBLE * f.x), 6) AS value
-FROM f, range(4) j(j) GROUP BY f.seq_id, j.j"""
+FROM f, range(64) j(j) GROUP BY f.seq_id, j.j"""
 
 SQL["pool_dispatch"] += f"\nUNION ALL SELECT 'light_attn', seq_id, idx, value FROM ({SQL['pool_light_attn']})"
 
@@ -837,3 +837,37 @@ SQL["stream_rank_metrics"] = f"""WITH {LINE_PREDS},
 {ap_sql('lp', 'score', 'label')}
 SELECT round(sum(tp * ctp / (ctp + cfp)) / max(ttp), 6) AS average_precision,
        round(sum(fp * (2 * ctp - tp)) / 2.0::DOUBLE / nullif(max(ttp) * max(tfp), 0), 6) AS auroc FROM cc"""
+
+_POOLED = f"""{PAIRS},
+tokens AS (SELECT l_suppkey AS seq_id, row_number() OVER () AS pos,
+                  [l_quantity / 50.0::DOUBLE, l_extendedprice / 100000.0::DOUBLE, l_discount * 10.0::DOUBLE, l_tax * 10.0::DOUBLE] AS vec FROM lineitem),
+{TOKEN_DIMS},
+{theta_cte(8, 4)},
+{proj_cte()},
+{SORTED},
+{ref_cte(SWE_M, 8)},
+qs AS (SELECT sv.seq_id, sv.slice, refpts.m, refpts.r, refpts.w, refpts.a + 1 AS j, sv.v, sv.n FROM sv JOIN refpts ON sv.slice = refpts.slice),
+gap AS (SELECT seq_id, slice, m, w, r - ({quantile_sql()}) AS gap FROM qs),
+kp AS (SELECT CAST(seq_id AS VARCHAR) AS key, slice AS i, sum(w * gap) AS x FROM gap GROUP BY 1, 2),
+{key_vectors('SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS key FROM lineitem')},
+{hidden('d', 0)},
+{hidden('t', 5).replace('kv', 'kp').replace('range(64)', 'range(8)')}"""
+
+SQL["score_pairs_pooled"] = f"""WITH {_POOLED}
+SELECT p.row_id, round({COS.format(a='hd.h', b='ht.h')}, 6) AS score
+FROM pairs p LEFT JOIN hd ON CAST(p.drug_key AS VARCHAR) = hd.key LEFT JOIN ht ON CAST(p.target_key AS VARCHAR) = ht.key"""
+
+# Loss of the pooled pairs, and its gradient by the weights of the reference points: through cosine, projector and pooling.
+SQL["fit_pair_start"] = f"""WITH {_POOLED},
+pp AS (SELECT p.target_key AS seq_id, p.label AS y, hd.h AS a, ht.h AS b, greatest(sqrt(list_inner_product(hd.h, hd.h)), 1e-8::DOUBLE) AS na,
+              greatest(sqrt(list_inner_product(ht.h, ht.h)), 1e-8::DOUBLE) AS nb, list_inner_product(hd.h, ht.h) AS ab
+       FROM pairs p JOIN hd ON CAST(p.drug_key AS VARCHAR) = hd.key JOIN ht ON CAST(p.target_key AS VARCHAR) = ht.key),
+pc AS (SELECT *, ab / (na * nb) AS c, least(greatest(ab / (na * nb), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p FROM pp),
+dc AS (SELECT *, CASE WHEN c > 1e-6::DOUBLE AND c < 1 - 1e-6::DOUBLE THEN (p - y) / (p * (1 - p)) ELSE 0 END AS dc FROM pc),
+dg AS (SELECT seq_id, o.o AS o, sum(CASE WHEN b[o.o + 1] > 0 THEN dc * (a[o.o + 1] / (na * nb) - c / (nb * nb) * b[o.o + 1]) ELSE 0 END) AS v
+       FROM dc, range(8) o(o) GROUP BY seq_id, o.o),
+dz AS (SELECT dg.seq_id, wt.i AS slice, sum(dg.v * wt.w) AS v FROM dg JOIN wt ON wt.o = dg.o GROUP BY dg.seq_id, wt.i),
+n AS (SELECT count(*) AS n FROM pp)
+SELECT 'loss' AS name, CAST(0 AS BIGINT) AS idx, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS value FROM pc
+UNION ALL
+SELECT 'weight', CAST(gap.m AS BIGINT), round(sum(gap.gap * dz.v) / any_value(n.n), 6) FROM gap JOIN dz ON dz.seq_id = gap.seq_id AND dz.slice = gap.slice, n GROUP BY gap.m"""

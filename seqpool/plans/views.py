@@ -4,6 +4,7 @@ Each view is a lazy DataFrame derived from the given parquet tables, so its size
 them.  The same definitions exist as SQL in ``seqpool.plans.oracle`` for the DuckDB check.
 
 tokens     ragged token sets:        embeddings -> (seq_id, pos, vec)  seq_id = floor(sqrt(vec_id))
+line_tokens ragged token sets:       lineitem   -> (key, pos, vec)  key = l_suppkey
 features   one vector per key:       embeddings -> (key, vec)
 key_features a vector for each key of the pairs, entities or edges, by the hash encoder
 pairs      interaction pairs:        lineitem   -> (row_id, drug_key, target_key, label)
@@ -74,6 +75,13 @@ def edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_keys(spark, sf_dir).select(F.col("key").cast("string").alias("key"))
 
 
+def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged token sets of the suppliers: a supplier's lines, four measures each; (key, pos, vec)."""
+    li = table(spark, sf_dir, "lineitem")
+    scaled = [F.col("l_quantity") / 50.0, F.col("l_extendedprice") / 100000.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0]
+    return li.select(F.col("l_suppkey").alias("key"), lineitem_row_id().alias("pos"), F.array(*[c.cast("double") for c in scaled]).alias("vec"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
