@@ -3,12 +3,15 @@
 A document's set holds the hashes of its distinct word shingles.  One hash function deals the shingles to bins; a
 bin's value is its smallest hash, and an empty bin takes the value of a non-empty bin chosen by a hash
 of its own (optimal densification).  Bands of bins are bucket keys.  In a bucket every document is paired with the bucket's
-smallest id only (a star), so that a bucket of n gives n - 1 candidates.  Candidates are confirmed on the full
-sets.  Buckets that still hold several components after that are compared across components, so that a link which
-no star could see is not lost.  Documents with equal sets are one class from the start.
+smallest member only (a star), so that a bucket of n gives n - 1 candidates.  Candidates are confirmed on the full
+sets.  Documents with equal sets are one node from the start; ids come in at the end.
+
+Buckets that still hold several components after that may hide links that no star saw.  Their members are compared by prefixes:
+with the shingles of every set in one order, rarest first, two sets at 0.8 share one among the first n - ceil(0.8 n) + 1 of
+either, so common shingles never become keys.  Sizes and places bound what a pair can share before it is made.
 
 Defined results: null texts, and texts without words, have empty sets and are linked with nothing; fewer words than a
-shingle are one shingle; repeated rows and ids are equal sets, linked through their id; a null doc_id is kept
+shingle are one shingle; rows that share an id are one document, which has the links of each of its texts; a null doc_id is kept
 alone, with a null component.
 """
 
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqpool.llm import textarrays as T
@@ -30,7 +33,7 @@ SIMILARITY = 80  # hundredths
 BANDS, ROWS = 64, 8  # a pair at 0.8 shares no band with a chance of (1 - 0.8**8)**64 < 1e-5
 _SEED = np.uint64(0x8CB92BA72F3D8DD7)
 
-_SET = "doc_id bigint, n_shingles bigint, set_key bigint, set_key2 bigint, bands array<bigint>"
+_SET = "doc_id bigint, th bigint, n_shingles bigint, set_key bigint, set_key2 bigint, bands array<bigint>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -79,7 +82,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set (two keys) and its band keys."""
+    """doc_id, th (hash of the text), n_shingles, a digest of the set (two keys) and its band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in T.chunks(batch):
@@ -91,31 +94,29 @@ def document_sets(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)),
+                    [part.column("doc_id"), part.column("th"), pa.array(n), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     [c.split()[0] for c in _SET.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SET)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, _SET)
 
 
-def unshared(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_own: how many shingles of a document stand in no other document of ``texts``."""
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """node, shingle: a row per distinct shingle of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in T.chunks(batch):
                 sets = shingle_sets(data, offsets, k)
-                ids = np.repeat(np.asarray(part.column("doc_id")), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+                nodes = np.repeat(np.asarray(part.column("node")), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingle bigint")
-    held = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"))
-    return held.where("doc_id = other").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_own"))
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint")
 
 
 def compared(texts: DataFrame, pairs: DataFrame, k: int, similarity: int) -> DataFrame:
     """The candidate pairs (u, v) with the size of their full sets' intersection, and whether that links them.
 
-    ``texts`` has one row per document."""
+    ``texts`` has one row per node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -135,70 +136,76 @@ def compared(texts: DataFrame, pairs: DataFrame, k: int, similarity: int) -> Dat
                     [part.column("u"), part.column("v"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())],
                     ["u", "v", "both", "linked"])
 
-    hub = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("left"))
-    member = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("right"))
+    hub = texts.select(F.col("node").alias("u"), F.col("text").alias("left"))
+    member = texts.select(F.col("node").alias("v"), F.col("text").alias("right"))
     return pairs.join(member, "v").join(hub, "u").select("u", "v", "left", "right").mapInArrow(
         run, "u bigint, v bigint, both bigint, linked boolean")
 
 
 def open_pairs(shared: DataFrame, stars: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Pairs (u, v) of one bucket and of different components so far that may still be similar.
+    """Pairs (u, v) of different components so far, both in a bucket of several components, that may be similar.
 
-    ``shared``: key, u (the bucket's hub), v, n_shingles; ``stars``: u, v, both, linked.  What two members
-    share is bounded by what each shares with the hub, plus what each has outside the hub that stands in any other
-    open document.  A document whose bound is too low for the smallest set of its bucket falls away before any
-    pair is made, and pairs whose bounds are too low are not made."""
-    share = similarity / 100
+    ``shared``: key, u (the bucket's hub), v, n_shingles; ``stars``: u, v, linked.  Rows of the join are (shingle, node) of
+    prefixes; shingles that no other open node has need no row, but count as places of the order."""
     found = components(stars.where("linked").select("u", "v"), rounds=1)  # a bound for pruning need not be the closure
     placed = shared.join(found.withColumnRenamed("node", "v"), "v", "left")
-    placed = placed.select("key", "u", "v", "n_shingles", F.coalesce("root", "v").alias("root"))
-
-    def mixed(x: DataFrame) -> DataFrame:
-        kinds = x.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n_shingles").alias("least"))
-        kinds = written(kinds.where("a < b").select("key", "least"), "near-mixed")  # a join of two plain sides can split a hot key
-        return x.join(kinds, "key")
-
-    first = written(mixed(placed), "near-open")
-    own = unshared(texts.join(first.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
-    x = first.join(own.withColumnRenamed("doc_id", "v"), "v", "left")
-    x = x.withColumn("r", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
-    x = x.where(F.col("r") * (1 + 1 / share) - F.col("n_shingles") + 1e-6 >= F.col("least"))
-    x = mixed(x.select("key", "u", "v", "n_shingles", "root", "r")).join(stars.select("u", "v", "both"), ["u", "v"], "left")
-    inside = F.coalesce("both", "n_shingles")  # the hub itself has no star
-    x = x.select("key", "v", "n_shingles", "root", inside.alias("inside"), F.greatest(F.col("r") - inside, F.lit(0)).alias("outside"))
-    x = written(x, "near-open")
+    placed = written(placed.select("key", "v", "n_shingles", F.coalesce("root", "v").alias("root")), "near-placed")
+    kinds = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    kinds = written(kinds, "near-mixed")  # a join of two plain sides can split a hot key
+    nodes = written(placed.join(kinds, "key").groupBy("v").agg(F.first("n_shingles").alias("n"), F.first("root").alias("root")), "near-open")
+    rows = written(shingle_rows(texts.join(nodes.select(F.col("v").alias("node")), "node", "left_semi"), k), "near-shingles")
+    often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-often")
+    of_node = Window.partitionBy("node")
+    x = rows.join(often, "shingle").join(nodes.withColumnRenamed("v", "node"), "node")
+    place = F.row_number().over(of_node.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(of_node)
+    first = F.col("n") - F.floor((F.col("n") * similarity + 99) / 100) + 1
+    x = x.withColumn("i", place).where(F.col("i") <= first).select("shingle", "node", "n", "root", "i")
+    x = written(x, "near-prefixes")
     a, b = x.alias("a"), x.alias("b")
-    most = F.least("a.inside", "b.inside") + F.least("a.outside", "b.outside")
-    close = 100 * most >= similarity * (F.col("a.n_shingles") + F.col("b.n_shingles") - most)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.v") < F.col("b.v")) & (F.col("a.root") != F.col("b.root")) & close)
-    return pairs.select(F.col("a.v").alias("u"), F.col("b.v").alias("v")).distinct()
+    most = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    close = 100 * most >= similarity * (F.col("a.n") + F.col("b.n") - most)
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node"))
+                   & (F.col("a.root") != F.col("b.root")) & close)
+    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = SIMILARITY, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("th", F.xxhash64("text"))
     sets = written(document_sets(texts, k, bands, rows), "near-sets")
-    full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_key", "set_key2", "n_shingles"]
-    # equal sets are one class, shown by its smallest id
-    classes = full.groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("x")).select(*same, "x.doc_id", "x.bands")
-    classes = written(classes, "near-classes")
-    banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("w")).where("u < w")
-    shared = written(banded.join(hubs.select("key", "u"), "key").select("key", "u", F.col("doc_id").alias("v"), "n_shingles"),
-                     "near-buckets")
+    full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("node", F.xxhash64(*same))
+    # equal sets are one node, shown by one of its rows
+    nodes = full.groupBy("node", "n_shingles").agg(F.min(F.struct("doc_id", "th", "bands")).alias("x"))
+    nodes = written(nodes.select("node", "n_shingles", "x.doc_id", "x.th", "x.bands"), "near-nodes")
+    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u < w")
+    shared = written(banded.join(hubs.select("key", "u"), "key").select("key", "u", F.col("node").alias("v"), "n_shingles"), "near-buckets")
     stars = written(shared.where("u < v").select("u", "v").distinct(), "near-stars")
-    # the texts of bucket members, one per id: all that the later steps read of the documents
-    texts = texts.where("doc_id IS NOT NULL").join(shared.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = written(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "near-texts")
+    # the texts of bucket members, one per node: all that the later steps read of the documents
+    shown = nodes.select("node", "doc_id", "th").join(shared.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
+    texts = texts.join(shown, ["doc_id", "th"]).groupBy("node").agg(F.max("text").alias("text"))
+    texts = written(texts, "near-texts")
     stars = written(compared(texts, stars, k, similarity), "near-stars")
     across = open_pairs(shared, stars, texts, k, similarity).join(stars, ["u", "v"], "left_anti")
     across = compared(texts, written(across, "near-across"), k, similarity)
     links = stars.unionByName(across).where("linked").select("u", "v")
-    # every row: its class, and the class's component; rows that share an id are one document
-    member = full.join(classes.select(*same, F.col("doc_id").alias("rep")), same).select("doc_id", "rep")
-    roots = components(links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
-    out = sets.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    named = document_components(full.select("doc_id", "node"), links)
+    out = sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def document_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, component_id): the smallest id reachable through links of nodes, and through ids that several nodes share."""
+    roots = components(links)
+    x = members.distinct().join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
+    x = written(x, "near-members")
+    of_id = written(x.groupBy("doc_id").agg(F.min("root").alias("u"), F.max("root").alias("w")).where("u < w"), "near-shared-ids")
+    again = components(x.join(of_id, "doc_id").where("root <> u").select("u", F.col("root").alias("v")))
+    x = x.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    x = written(x.select("doc_id", F.coalesce("top", "root").alias("root")).distinct(), "near-roots")
+    least = written(x.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
+    return x.join(least, "root").select("doc_id", "component_id")

@@ -104,6 +104,35 @@ def test_links_that_no_hub_sees(spark):
     assert got == brute_components([t for _, t in sorted(rows)], 4)
 
 
+def test_an_id_has_the_links_of_all_its_texts(spark):
+    def text(name, changed=0):
+        return " ".join(f"{name}{i}" if i >= changed else f"new{name}{i}" for i in range(60))
+
+    rows = [(1, text("a")), (1, text("b")), (1, ""), (2, text("a", 2)), (3, text("b", 2)), (4, text("c")), (4, text("d")), (5, text("d")),
+            (6, text("e")), (6, text("f")), (7, text("f")), (7, text("g")), (8, text("g", 1)), (9, None), (None, text("a"))]
+    x = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(x).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (6, 6, True), (7, 6, False), (8, 6, False),
+                   (9, 9, True), (None, None, True)}
+
+
+def test_members_of_a_bucket_far_from_its_hub(spark):
+    """Many texts of one template: what they share is common, links hang on rare words."""
+    rng = random.Random(17)
+    template = words(rng, 120)
+    texts = []
+    for g in range(12):
+        own = template[:60] + words(rng, 12, 10_000) + template[60:]
+        for _ in range(3):
+            w = list(own)
+            w[rng.randrange(len(w))] = f"z{rng.randrange(9999)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r[0]: tuple(r[1:]) for r in near_dedup.near_duplicates(x, k=4, bands=64, rows=4).collect()}
+    assert got == brute_components(texts, 4)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     x = T.mix(rng.integers(1, 1 << 62, 1000).astype(np.uint64))
