@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct word shingles.  One hash function deals the shingles to bins; a
 bin's value is its smallest hash, and an empty bin takes the value of a non-empty bin chosen by a hash
 of its own (optimal densification).  Bands of bins are bucket keys.  In a bucket every document is paired with the bucket's
-smallest member only (a star), so that a bucket of n gives n - 1 candidates.  Candidates are confirmed on the full
+hub only (a star), so that a bucket of n gives n - 1 candidates.  Candidates are confirmed on the full
 sets.  Documents with equal sets are one node from the start; ids come in at the end.
 
 Buckets that still hold several components after that may hide links that no star saw.  Their members are compared by prefixes:
@@ -142,30 +142,61 @@ def compared(texts: DataFrame, pairs: DataFrame, k: int, similarity: int) -> Dat
         run, "u bigint, v bigint, both bigint, linked boolean")
 
 
-def open_pairs(shared: DataFrame, stars: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """Pairs (u, v) of different components so far, both in a bucket of several components, that may be similar.
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(u, v), u < v: each bucket's members with its two hubs.
 
-    ``shared``: key, u (the bucket's hub), v, n_shingles; ``stars``: u, v, linked.  Rows of the join are (shingle, node) of
-    prefixes; shingles that no other open node has need no row, but count as places of the order."""
-    found = components(stars.where("linked").select("u", "v"), rounds=1)  # a bound for pruning need not be the closure
-    placed = shared.join(found.withColumnRenamed("node", "v"), "v", "left")
-    placed = written(placed.select("key", "v", "n_shingles", F.coalesce("root", "v").alias("root")), "near-placed")
+    One hub is the member that meets most others over all its buckets: in a group of near copies one that was changed
+    little.  The other is the smallest member."""
+    met = written(shared.groupBy("v").agg(F.sum("size").alias("met")), "near-met")
+    hubs = shared.join(met, "v").groupBy("key").agg(F.max(F.struct("met", "v")).alias("hub"), F.min("v").alias("least"))
+    hubs = written(hubs.select("key", F.array_distinct(F.array("hub.v", "least")).alias("hubs")), "near-hubs")
+    pairs = shared.join(hubs, "key").select("v", F.explode("hubs").alias("hub")).where("v <> hub")
+    return pairs.select(F.least("hub", "v").alias("u"), F.greatest("hub", "v").alias("v")).distinct()
+
+
+def _with_roots(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """``nodes`` with the root of the component that ``links`` give so far."""
+    found = written(components(links), "near-found").select(F.col("node").alias(node), "root")
+    return nodes.join(found, node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def prefix_rows(shared: DataFrame, links: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """(shingle, node, n, i): the prefixes of the nodes in buckets that hold several components of ``links``.
+
+    ``shared``: key, v, n_shingles.  Shingles that no other open node has need no row, but count as places of the order."""
+    placed = written(_with_roots(shared.select("key", "v", "n_shingles"), links, "v"), "near-placed")
     kinds = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     kinds = written(kinds, "near-mixed")  # a join of two plain sides can split a hot key
-    nodes = written(placed.join(kinds, "key").groupBy("v").agg(F.first("n_shingles").alias("n"), F.first("root").alias("root")), "near-open")
-    rows = written(shingle_rows(texts.join(nodes.select(F.col("v").alias("node")), "node", "left_semi"), k), "near-shingles")
+    nodes = placed.join(kinds, "key").groupBy(F.col("v").alias("node")).agg(F.first("n_shingles").alias("n"))
+    nodes = written(nodes, "near-open")
+    rows = written(shingle_rows(texts.join(nodes.select("node"), "node", "left_semi"), k), "near-shingles")
     often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-often")
     of_node = Window.partitionBy("node")
-    x = rows.join(often, "shingle").join(nodes.withColumnRenamed("v", "node"), "node")
+    x = rows.join(often, "shingle").join(nodes, "node")
     place = F.row_number().over(of_node.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(of_node)
     first = F.col("n") - F.floor((F.col("n") * similarity + 99) / 100) + 1
-    x = x.withColumn("i", place).where(F.col("i") <= first).select("shingle", "node", "n", "root", "i")
-    x = written(x, "near-prefixes")
-    a, b = x.alias("a"), x.alias("b")
-    most = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    close = 100 * most >= similarity * (F.col("a.n") + F.col("b.n") - most)
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node"))
-                   & (F.col("a.root") != F.col("b.root")) & close)
+    return x.withColumn("i", place).where(F.col("i") <= first).select("shingle", "node", "n", "i")
+
+
+def _may_link(a: str, b: str, similarity: int):
+    """Whether two prefix rows of one shingle and of different components may belong to similar sets."""
+    x = {c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("node", "root", "n", "i")}
+    most = 1 + F.least(x["n"][0] - x["i"][0], x["n"][1] - x["i"][1])
+    return (x["root"][0] != x["root"][1]) & (100 * most >= similarity * (x["n"][0] + x["n"][1] - most))
+
+
+def prefix_stars(prefixes: DataFrame, similarity: int) -> DataFrame:
+    """(u, v), u < v: the rows of each shingle with its hub, the node whose prefix has it first."""
+    hubs = prefixes.groupBy("shingle").agg(F.min(F.struct("i", "node", "n", "root")).alias("h"))
+    hubs = written(hubs.select("shingle", "h.*"), "near-prefix-hubs")
+    pairs = prefixes.alias("a").join(hubs.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where(_may_link("a", "b", similarity))
+    return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def prefix_pairs(prefixes: DataFrame, similarity: int) -> DataFrame:
+    """(u, v), u < v: all pairs of a shingle that are still of different components and may be similar."""
+    a, b = prefixes.alias("a"), prefixes.alias("b")
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & _may_link("a", "b", similarity))
     return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
@@ -181,17 +212,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     nodes = full.groupBy("node", "n_shingles").agg(F.min(F.struct("doc_id", "th", "bands")).alias("x"))
     nodes = written(nodes.select("node", "n_shingles", "x.doc_id", "x.th", "x.bands"), "near-nodes")
     banded = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u < w")
-    shared = written(banded.join(hubs.select("key", "u"), "key").select("key", "u", F.col("node").alias("v"), "n_shingles"), "near-buckets")
-    stars = written(shared.where("u < v").select("u", "v").distinct(), "near-stars")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = written(banded.join(sizes, "key").select("key", F.col("node").alias("v"), "n_shingles", "size"), "near-buckets")
+    stars = written(star_pairs(shared), "near-stars")
     # the texts of bucket members, one per node: all that the later steps read of the documents
     shown = nodes.select("node", "doc_id", "th").join(shared.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
     texts = texts.join(shown, ["doc_id", "th"]).groupBy("node").agg(F.max("text").alias("text"))
     texts = written(texts, "near-texts")
     stars = written(compared(texts, stars, k, similarity), "near-stars")
-    across = open_pairs(shared, stars, texts, k, similarity).join(stars, ["u", "v"], "left_anti")
-    across = compared(texts, written(across, "near-across"), k, similarity)
-    links = stars.unionByName(across).where("linked").select("u", "v")
+    links = stars.where("linked").select("u", "v")
+    judged = stars.select("u", "v")
+    prefixes = written(prefix_rows(shared, links, texts, k, similarity), "near-prefixes")
+    for candidates in (prefix_stars, prefix_pairs):
+        rows_now = written(_with_roots(prefixes, links, "node"), "near-rooted")
+        new = candidates(rows_now, similarity).join(judged, ["u", "v"], "left_anti")
+        new = written(compared(texts, written(new, "near-across"), k, similarity), "near-across")
+        links, judged = links.unionByName(new.where("linked").select("u", "v")), judged.unionByName(new.select("u", "v"))
     named = document_components(full.select("doc_id", "node"), links)
     out = sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
