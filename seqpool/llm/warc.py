@@ -124,7 +124,7 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     x = x.withColumn("sha1", F.sha1("payload"))
     narrow = x.where(F.octet_length("payload") >= min_bytes)
     first = narrow.groupBy("sha1").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("sha1", "response_id")
+    first = written(first.where("n > 1").select("sha1", "response_id"), "warc-first")  # so that the join can split a hot digest
     y = x.join(first, "sha1", "left")
     own = F.col("page_id").eqNullSafe(F.col("response_id"))
     return y.select("page_id", "url", "payload", "sha1", F.when(~own, F.col("response_id")).alias("refers_to"))
