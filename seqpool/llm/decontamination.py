@@ -331,7 +331,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINM
     hashes = windows.select("hash").distinct()
     only = None
     if hashes.count() <= PREFILTER_WINDOWS:
-        only = np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64))
+        only = np.sort(hashes.toArrow()["hash"].to_numpy().view(np.uint64))  # eight bytes a window
     widths = sorted(r["n_words"] for r in windows.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())
     one = ["item_id", "item_th", "family"]
     per_item = windows.groupBy(*one).agg(F.countDistinct("item_pos").cast("int").alias("n_windows"), F.max("n_words").alias("n_words"))
