@@ -68,7 +68,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """(antecedent, verdict, confidence, support, token) from rows (tokens, verdict).
 
     ``token`` is the antecedent's rarest token, the key of the inverted index.  The number of
-    rules is bounded by the support, not by the number of URLs."""
+    rules does not depend on the number of URLs, but doubles with each token that a frequent signature has."""
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
