@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,10 @@ breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments di
 recommended share sharing social subscribe subscription newsletter signup login popup modal overlay widget widgets
 pagination pager skip copyright""".split())
 COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
+PART_WORDS = set("""a area articles avatar bar block bottom box btn button buttons card cards column container content count div form group
+header icon icons id inline inner item items label left link links list main meta more news outer page panel post posts right row section slot
+small stories text thread title toggle top unit user wrap wrapper zone""".split())  # may stand beside a dropped word
+QUOTING = {"pre", "code"}
 LAYOUT_WORDS = {"with", "has", "no", "without"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu",
                  "menubar", "form"}
@@ -67,6 +72,8 @@ def _unwanted(tag: str, attrs: str, in_main: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = set(_WORD.findall(one))
+                if in_main and tag not in MAIN and (tag in QUOTING or words - DROPPED_WORDS - PART_WORDS):
+                    continue  # "related-work": inside the article a name with any other word says nothing
                 if words & LAYOUT_WORDS or (in_main and words & {"header", "copyright"}):
                     continue  # "with-sidebar", or the heading part of the article itself
                 if words & (COMMENT_WORDS if tag in MAIN else DROPPED_WORDS):
@@ -98,6 +105,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters in links, inside a marked article) of the page's lines outside dropped elements."""
     lines: list[tuple[str, int, bool]] = []
     stack: list[str] = []
+    opened: Counter = Counter()  # of the stack, so that an end tag without a start costs nothing
     marks = {"drop": 0, "main": 0, "link": 0}  # depth at which the outermost such element stands; 0: none
     text: list[str] = []
     linked, dropped_at, bodies = 0, 0, 0
@@ -112,6 +120,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     def pop_to(depth: int) -> None:
+        opened.subtract(stack[depth:])
         del stack[depth:]
         for k in marks:
             if marks[k] > depth:
@@ -141,6 +150,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
         if tag in BLOCK and not marks["drop"]:
             flush()
+        if end and not opened[tag]:
+            continue
         if end:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth] == tag:
@@ -154,7 +165,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if marks["drop"] and (tag == "main" or (tag == "article" and (
                 stack[marks["drop"] - 1] in UNCLOSED or dropped_at in unclosed))):
             pop_to(marks["drop"] - 1)  # a menu or header that was never closed ends where the article begins
-        if tag in ENDS_PARAGRAPH:
+        if tag in ENDS_PARAGRAPH and opened["p"]:
             for depth in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
                 if stack[depth] == "p":
                     pop_to(depth)
@@ -166,6 +177,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
         stack.append(tag)
+        opened[tag] += 1
         if not marks["drop"] and _unwanted(tag, attrs, marks["main"] > 0):
             marks["drop"], dropped_at = len(stack), m.start()
         if not marks["main"] and not marks["drop"] and (tag in MAIN or 'role="main"' in attrs):

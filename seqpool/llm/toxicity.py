@@ -191,9 +191,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column, max_tra
 
 def interpolate(x: Column, edges: Sequence[float], values: Sequence[float]) -> Column:
     """The piecewise linear function through (edges, values), constant beyond both ends."""
-    out = F.lit(float(values[-1]))
-    for i in range(len(edges) - 1, 0, -1):
-        a, b, u, v = map(float, (edges[i - 1], edges[i], values[i - 1], values[i]))
-        line = F.lit(v) if b <= a else u + (x - a) * ((v - u) / (b - a))
-        out = F.when(x < b, line).otherwise(out)
-    return F.when(x <= float(edges[0]), F.lit(float(values[0]))).otherwise(out)
+    e, v = [float(a) for a in edges], [float(a) for a in values]
+    slopes = [(v[i + 1] - v[i]) / (e[i + 1] - e[i]) if e[i + 1] > e[i] else 0.0 for i in range(len(e) - 1)] + [0.0]
+    reached = F.size(F.filter(F.lit(e), lambda edge: edge <= x))  # the segment; literal arrays, so that the plan stays flat
+    line = F.element_at(F.lit(v), reached) + (x - F.element_at(F.lit(e), reached)) * F.element_at(F.lit(slopes), reached)
+    return F.when(reached == 0, F.lit(v[0])).otherwise(line)

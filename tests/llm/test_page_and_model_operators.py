@@ -198,6 +198,18 @@ def test_html_table(spark):
     assert html_text.extract(x.where("false")).count() == 0
 
 
+def test_article_keeps_parts_whose_class_only_holds_a_dropped_word():
+    page = """<article><p>first</p><div class="social-history"><p>second</p></div><section class="related-work">third</section>
+    <pre class="comment">fourth</pre><div class="related-posts">no</div><div id="comment-list"><p>no</p></div></article>"""
+    assert html_text.main_text(page) == "first\nsecond\nthird\nfourth"
+
+
+def test_end_tags_without_a_start_cost_nothing():
+    start = time.perf_counter()
+    html_text.main_text("<b>" * 100_000 + "</i>" * 100_000 + "text")
+    assert time.perf_counter() - start < 20  # the walk of the whole stack took minutes
+
+
 # packing --------------------------------------------------------------------------------------------
 
 def test_ids_are_those_of_tokenizers():
@@ -380,3 +392,14 @@ def test_pipeline_runs(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "suffix_dedup", "decontamination", "packing"]
+
+
+def test_calibration_curves_of_many_edges(spark):
+    rng = np.random.default_rng(3)
+    edges, values = np.sort(rng.random(1000)), np.sort(rng.random(1000))
+    points = [-1.0, 2.0, *edges[:5].tolist(), float(edges[-1]), *rng.random(50).tolist()]
+    rows = spark.createDataFrame([(p,) for p in points], "x double")
+    got = [r["y"] for r in rows.select(toxicity.interpolate(F.col("x"), edges, values).alias("y")).collect()]
+    assert np.allclose(got, np.interp(points, edges, values), atol=1e-12)
+    flat = rows.select(toxicity.interpolate(F.col("x"), [0.5], [0.25]).alias("y")).distinct().collect()
+    assert [r["y"] for r in flat] == [0.25]
