@@ -28,21 +28,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u > v) are stars: every u has one v, and no v is a u.  Then v is the smallest node of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return ends.where("up > 1 OR (up > 0 AND down > 0)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node of its component, for every node of an edge (u, v) but the roots.
 
-    With ``rounds`` it stops after so many: the root is then some node of the component, the smallest for stars.
+    (node, root) of an earlier call may stand among the edges: stars cost no round.
 
-    Each round is written to the shared folder, which cuts the lineage; only a count and a sum reach the driver.  The least
+    Each round is written to the shared folder, which cuts the lineage; only a count reaches the driver.  The least
     neighbours are written before they are joined: a join of two plain sides can split the rows of a node with very many edges."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, before = written(now, "edges"), None
-    for done in range(MAX_ROUNDS):
-        if done == rounds:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        now = written(_small_star(written(_large_star(now), "edges-star")), "edges")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == state:
+    now = written(now, "edges")
+    for _ in range(MAX_ROUNDS):
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        now = written(_small_star(written(_large_star(now), "edges-star")), "edges")
     raise RuntimeError("components did not settle")

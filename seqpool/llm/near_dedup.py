@@ -154,17 +154,16 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return pairs.select(F.least("hub", "v").alias("u"), F.greatest("hub", "v").alias("v")).distinct()
 
 
-def _with_roots(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
-    """``nodes`` with the root of the component that ``links`` give so far."""
-    found = written(components(links), "near-found").select(F.col("node").alias(node), "root")
-    return nodes.join(found, node, "left").withColumn("root", F.coalesce("root", node))
+def _with_roots(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``nodes`` with the root of the component that the links give so far."""
+    return nodes.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
 
 
-def prefix_rows(shared: DataFrame, links: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """(shingle, node, n, i): the prefixes of the nodes in buckets that hold several components of ``links``.
+def prefix_rows(shared: DataFrame, roots: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
+    """(shingle, node, n, i): the prefixes of the nodes in buckets that hold several components of ``roots``.
 
     ``shared``: key, v, n_shingles.  Shingles that no other open node has need no row, but count as places of the order."""
-    placed = written(_with_roots(shared.select("key", "v", "n_shingles"), links, "v"), "near-placed")
+    placed = written(_with_roots(shared.select("key", "v", "n_shingles"), roots, "v"), "near-placed")
     kinds = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     kinds = written(kinds, "near-mixed")  # a join of two plain sides can split a hot key
     nodes = placed.join(kinds, "key").groupBy(F.col("v").alias("node")).agg(F.first("n_shingles").alias("n"))
@@ -220,23 +219,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     texts = texts.join(shown, ["doc_id", "th"]).groupBy("node").agg(F.max("text").alias("text"))
     texts = written(texts, "near-texts")
     stars = written(compared(texts, stars, k, similarity), "near-stars")
-    links = stars.where("linked").select("u", "v")
+    roots = components(stars.where("linked").select("u", "v"))
     judged = stars.select("u", "v")
-    prefixes = written(prefix_rows(shared, links, texts, k, similarity), "near-prefixes")
+    prefixes = written(prefix_rows(shared, roots, texts, k, similarity), "near-prefixes")
     for candidates in (prefix_stars, prefix_pairs):
-        rows_now = written(_with_roots(prefixes, links, "node"), "near-rooted")
+        rows_now = written(_with_roots(prefixes, roots, "node"), "near-rooted")
         new = candidates(rows_now, similarity).join(judged, ["u", "v"], "left_anti")
         new = written(compared(texts, written(new, "near-across"), k, similarity), "near-across")
-        links, judged = links.unionByName(new.where("linked").select("u", "v")), judged.unionByName(new.select("u", "v"))
-    named = document_components(full.select("doc_id", "node"), links)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new.where("linked").select("u", "v")))
+        judged = judged.unionByName(new.select("u", "v"))
+    named = document_components(full.select("doc_id", "node"), roots)
     out = sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def document_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, component_id): the smallest id reachable through links of nodes, and through ids that several nodes share."""
-    roots = components(links)
+def document_components(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, component_id): the smallest id reachable through components of nodes, and through ids that several nodes share."""
     x = members.distinct().join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).distinct()
     x = written(x, "near-members")
     of_id = written(x.groupBy("doc_id").agg(F.min("root").alias("u"), F.max("root").alias("w")).where("u < w"), "near-shared-ids")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqpool.llm import decontamination, fingerprints, induced_sort, near_dedup, substring_dedup, suffix_dedup
+from seqpool.llm import decontamination, fingerprints, graph, induced_sort, near_dedup, substring_dedup, suffix_dedup
 from seqpool.llm import textarrays as T
 
 SCHEMA = "doc_id bigint, text string, spans string, th string, key int, row string, doc_id2 bigint"
@@ -91,6 +91,21 @@ def test_near_duplicates_repeated_rows_and_null_ids(spark, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("edges", [[], [(5, 2), (2, 9), (2, 7)], [(i, i + 1) for i in range(40)], [(1, 3), (2, 3), (2, 8), (8, 1), (6, 7), (4, 4)]])
+def test_components(spark, edges):
+    """None, a star, a path, a cycle beside a pair and a loop; the roots found may stand among the edges of a later call."""
+    got = graph.components(spark.createDataFrame(edges, "u bigint, v bigint"))
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(tuple, got.collect())) == sorted((x, r) for x, r in root.items() if x != r)
+    more = got.selectExpr("node AS u", "root AS v").unionByName(spark.createDataFrame([(-1, 7)], "u bigint, v bigint"))
+    again = {r["node"]: r["root"] for r in graph.components(more).collect()}
+    joined = [x for x in root if 7 in root and root[x] == root[7]] or [7]
+    assert again == {x: r for x, r in root.items() if x != r} | {x: -1 for x in joined}
+
+
 def test_links_that_no_hub_sees(spark):
     """a - b - c - d: a chain of near copies, where only neighbours are similar."""
     base = [f"w{i}" for i in range(300)]
