@@ -8,12 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
 
 from seqpool.functions.text import upper_ascii
 from seqpool.plans.prefix import global_row_number, hash_bucket
@@ -98,6 +94,17 @@ def pos_neg_union(pos: DataFrame, neg: DataFrame, strict: bool = False, id_col:
     return p.unionByName(n)
 
 
+def union_splits(parts: dict[str, DataFrame], out: str = "split") -> DataFrame:
+    """The tables of several splits under one schema, each row with its split's name.
+
+    A column that only some tables have is null in the rows of the others; repeated rows stay."""
+    tagged = [df.withColumn(out, F.lit(name)) for name, df in parts.items()]
+    u = tagged[0]
+    for t in tagged[1:]:
+        u = u.unionByName(t, allowMissingColumns=True)
+    return u
+
+
 def distinct_keys(dfs_cols: Sequence[tuple[DataFrame, str]], out: str = "key") -> DataFrame:
     """Distinct values over several (DataFrame, column) sources."""
     parts = [df.select(F.col(c).alias(out)) for df, c in dfs_cols]
@@ -147,18 +154,12 @@ def group_holdout_split(df: DataFrame, id_col: str, group: str, frac: float = 0.
     return F.when(u < F.lit(frac), F.lit("valid")).otherwise(F.lit("train"))
 
 
-@pandas_udf(ArrayType(ArrayType(DoubleType())))
-def _center(pos: pd.Series) -> pd.Series:
-    out = []
-    for p in pos.to_numpy():
-        if p is None or len(p) == 0:
-            out.append(p)
-            continue
-        m = np.stack(p).astype(np.float64)
-        out.append(list(m - m.mean(axis=0)))
-    return pd.Series(out)
-
-
 def center_positions(pos: Column) -> Column:
-    """Coordinates minus the per-protein mean (n x 3 per row, numpy per Arrow batch)."""
-    return _center(pos)
+    """Coordinates minus the per-protein mean; a null list stays null, an empty one empty.
+
+    The mean is bound as the variable of an outer lambda, so it is computed once a list and not once a position."""
+    zeros = F.transform(F.get(pos, F.lit(0)), lambda _: F.lit(0.0))
+    total = F.aggregate(pos, zeros, lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
+    mean = F.transform(total, lambda x: x / F.size(pos))
+    centered = F.transform(F.array(mean), lambda m: F.transform(pos, lambda p: F.zip_with(p, m, lambda x, y: x - y)))
+    return F.get(centered, F.lit(0))

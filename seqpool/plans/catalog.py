@@ -401,9 +401,22 @@ def distinct_keys(spark, sf):
 
 @query
 def split_union(spark, sf):
-    """The three splits side by side, in one scan."""
-    u = V.edges(spark, sf).where(F.col("split").isin("train", "val", "test"))
-    return PP.split_sizes(u.select("split", F.col("p0").alias("key")), "split", "key")
+    """Sizes of the three splits' tables once united."""
+    return PP.split_sizes(_united(spark, sf).select("split", F.col("p0").alias("key")), "split", "key")
+
+
+@query
+def split_union_rows(spark, sf):
+    """The rows of the three splits' tables."""
+    return _united(spark, sf).select("row_id", "p0", "p1", "label", "split")
+
+
+def _united(spark, sf):
+    """The edges, written to a folder per split, and the splits' tables united again."""
+    edges, path = V.edges(spark, sf), shared_scratch(spark, "split-edges")
+    edges.write.partitionBy("split").parquet(path)
+    rows = spark.read.schema(edges.schema).parquet(path)
+    return PP.union_splits({s: rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")})
 
 
 @query
@@ -621,6 +634,7 @@ def pool_swe_numpy(spark, sf):
 
 # --------------------------------------------------------------------------------------- vector functions, heads
 
+from seqpool.operators import infer as IN  # noqa: E402
 from seqpool.operators import score as SC  # noqa: E402
 from seqpool.functions.vec import cosine as _cos, dot as _dot, euclidean as _euc, norm as _norm, sq_euclidean as _sqe  # noqa: E402
 
@@ -848,6 +862,15 @@ def score_multilabel(spark, sf):
         "key", F.col("label").cast("bigint").alias("label"), r6("logit").alias("logit"))
 
 
+@query
+def score_multilabel_batches(spark, sf):
+    """T5 as batch inference: the head is a model that each worker makes once."""
+    f = V.features(spark, sf)
+    score = IN.batch_scorer(IN.multilabel_model(PR.projector(16, DIM), PR.projector(10, 16, 3)), DIM)
+    return f.select("key", F.posexplode(score(F.col("vec"))).alias("label", "logit")).select(
+        "key", F.col("label").cast("bigint").alias("label"), r6("logit").alias("logit"))
+
+
 POOL_METHODS = ("avg", "max", "topk", "swe", "light_attn")
 
 

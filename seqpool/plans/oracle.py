@@ -405,6 +405,9 @@ SQL["distinct_keys"] = f"""WITH {EDGES} SELECT DISTINCT key FROM (SELECT p0 AS k
 SQL["split_union"] = f"""WITH {EDGES}
 SELECT split, count(*) AS n_rows, count(DISTINCT p0) AS n_keys FROM edges GROUP BY split"""
 
+SQL["split_union_rows"] = f"""WITH {EDGES}
+SELECT row_id, p0, p1, label, split FROM edges"""
+
 SQL["split_sizes"] = f"""WITH {SPLITS}
 SELECT split, count(*) AS n_rows, count(DISTINCT target) AS n_keys FROM srows WHERE split IS NOT NULL GROUP BY split"""
 
@@ -683,6 +686,8 @@ h1 AS (SELECT h0.key, w1.o AS i, sum(w1.w * h0.h) / sqrt(1.0::DOUBLE + 1e-5::DOU
 h1l AS (SELECT key, i, CASE WHEN a >= 0 THEN a ELSE 0.2::DOUBLE * a END AS h FROM h1)
 SELECT h1l.key, CAST(w2.o AS BIGINT) AS label, round(sum(w2.w * h1l.h), 6) AS logit FROM h1l JOIN w2 ON h1l.i = w2.i GROUP BY h1l.key, w2.o"""
 
+SQL["score_multilabel_batches"] = SQL["score_multilabel"]
+
 SQL["pool_dispatch"] = f"""SELECT 'avg' AS method, seq_id, dim AS idx, value FROM ({SQL['pool_avg']})
 UNION ALL SELECT 'max', seq_id, dim, value FROM ({SQL['pool_max']})
 UNION ALL SELECT 'topk', seq_id, dim, value FROM ({SQL['pool_topk']})

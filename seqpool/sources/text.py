@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqpool.plans.prefix import global_row_number
+from seqpool.session import materialise
 
 
 def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +71,12 @@ def read_annotation_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     """Returns (vocabulary (code, idx), annotations (protein, codes, line)).
 
     Row ids rise with the lines inside a file block, so the head of each file is found from the least id of its
-    first block (one row per file), and ``line`` orders the lines of a file for the last-wins rule."""
+    first block (one row per file), and ``line`` orders the lines of a file for the last-wins rule.  The numbered lines are
+    written once, since two scans could be split differently and number them differently."""
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"))
+    raw = materialise(raw, "annotation-lines")
     first = raw.where("block = 0").groupBy("file").agg(F.min("row").alias("row0"))
     x = raw.join(first, "file").withColumn("line", F.when(F.col("block") == 0, F.col("row") - F.col("row0")))
     is_head = F.coalesce(F.col("line") < HEAD_LINES, F.lit(False))

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seqpool.functions import text as TX
+from seqpool.operators import infer as IN
 from seqpool.operators import labels as LB
 from seqpool.operators import prep as PP
 from seqpool.operators import score as SC
@@ -76,3 +77,35 @@ def test_annotation_tsv(spark, tmp_path):
     vocab, ann = ST.read_annotation_tsv(spark, str(p))
     assert {r.code: r.idx for r in vocab.collect()} == {"x": 0, "y": 1, "z": 2}
     assert {r.protein: list(r.codes) for r in ann.collect()} == {"p1": ["x", "x", "y"], "p2": ["x"], "p3": []}
+
+
+def test_center_positions(spark):
+    rows = [(0, [[1.0, 2.0, 3.0], [3.0, 2.0, -1.0]]), (1, []), (2, None), (3, [[5.0, 5.0, 5.0]])]
+    x = spark.createDataFrame(rows, "id int, pos array<array<double>>")
+    got = {r["id"]: r["c"] for r in x.select("id", PP.center_positions(F.col("pos")).alias("c")).collect()}
+    assert got == {0: [[-1.0, 0.0, 2.0], [1.0, 0.0, -2.0]], 1: [], 2: None, 3: [[0.0, 0.0, 0.0]]}
+    plan = x.select(PP.center_positions(F.col("pos")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_union_of_splits(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x")], "id int, s string")
+    b = spark.createDataFrame([(2, "y", 0.5)], "id int, s string, extra double")
+    got = sorted(map(tuple, PP.union_splits({"train": a, "val": b, "test": a.limit(0)}).select("id", "s", "extra", "split").collect()))
+    assert got == [(1, "x", None, "train"), (1, "x", None, "train"), (2, "y", 0.5, "val")]
+
+
+def test_batch_scores(spark):
+    """The model on batches of a few rows gives what the column expression gives; null vectors give null."""
+    rng = np.random.default_rng(4)
+    w1, w2 = rng.normal(size=(5, 6)), rng.normal(size=(3, 5))
+    stats = {"mean1": rng.normal(size=6), "var1": rng.uniform(1, 2, 6), "mean2": rng.normal(size=5), "var2": rng.uniform(1, 2, 5)}
+    rows = [(i, [float(v) for v in rng.normal(size=6)] if i % 7 else None) for i in range(50)]
+    x = spark.createDataFrame(rows, "id int, vec array<double>").repartition(3)
+    score = IN.batch_scorer(IN.multilabel_model(w1, w2, **stats), 6, batch_bytes=200)
+    got = x.select("id", score(F.col("vec")).alias("a"), SC.multilabel_mlp(F.col("vec"), w1, w2, **stats).alias("b")).collect()
+    assert len(got) == 50
+    for r in got:
+        assert (r["a"] is None) == (r["id"] % 7 == 0)
+        assert r["a"] is None or np.allclose(r["a"], r["b"])
+    assert x.where("false").select(score(F.col("vec")).alias("a")).collect() == []
