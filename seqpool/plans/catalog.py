@@ -1197,14 +1197,29 @@ def fit_pair_head(spark, sf):
 @query
 def fit_multilabel_head(spark, sf):
     """The two-layer head fitted on all labelled vectors (one label of ten is set), labels weighted by their frequency."""
+    x, weights = _multilabel_rows(spark, sf)
+    _, losses = FT.fit_multilabel_head(x, PR.projector(16, DIM), PR.projector(N_CLASSES, 16, 3), weights, steps=FIT_STEPS)
+    return _losses(spark, losses)
+
+
+def _multilabel_rows(spark, sf):
+    """All labelled vectors with their targets (one label of ten is set), and the labels' weights."""
     e = V.table(spark, sf, "embeddings").where("label IS NOT NULL")
     labels = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda i: (i == F.col("label")).cast("double"))
     x = materialise(e.select(F.col("embedding").cast("array<double>").alias("vec"), labels.alias("targets")), "label-rows")
     counts = {r["label"]: r["n"] for r in e.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
-    weights = np.array([n / counts[i] if i in counts else 0.0 for i in range(N_CLASSES)])
-    _, losses = FT.fit_multilabel_head(x, PR.projector(16, DIM), PR.projector(N_CLASSES, 16, 3), weights, steps=FIT_STEPS)
-    return _losses(spark, losses)
+    return x, np.array([n / counts[i] if i in counts else 0.0 for i in range(N_CLASSES)])
+
+
+@query
+def fit_multilabel_start(spark, sf):
+    """The weighted loss at the start, and its gradient by both layers, over all labelled vectors."""
+    x, weights = _multilabel_rows(spark, sf)
+    params = {"w1": PR.projector(16, DIM), "w2": PR.projector(N_CLASSES, 16, 3)}
+    loss, n, grads = FT.gradient_sums(x, params, FT.multilabel_bce(weights))
+    out = [("loss", 0, loss / max(n, 1))] + [(k, i, float(g) / max(n, 1)) for k in params for i, g in enumerate(grads[k].ravel())]
+    return spark.createDataFrame(out, "name string, idx bigint, value double").withColumn("value", r6("value"))
 
 
 def _pooled_training(spark, sf, n_batches):

@@ -876,3 +876,25 @@ n AS (SELECT count(*) AS n FROM pp)
 SELECT 'loss' AS name, CAST(0 AS BIGINT) AS idx, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS value FROM pc
 UNION ALL
 SELECT 'weight', CAST(gap.m AS BIGINT), round(sum(gap.gap * dz.v) / any_value(n.n), 6) FROM gap JOIN dz ON dz.seq_id = gap.seq_id AND dz.slice = gap.slice, n GROUP BY gap.m"""
+
+# Loss of the label-weighted two-layer head and its gradient by both layers, over all labelled vectors.
+SQL["fit_multilabel_start"] = f"""WITH {FDIMS},
+{wmat('w1', 16, 64, 0)},
+{wmat('w2', 10, 16, 3)},
+lab AS (SELECT vec_id AS key, CAST(label AS INTEGER) AS y FROM embeddings WHERE label IS NOT NULL),
+freq AS (SELECT y, (SELECT count(*) FROM lab)::DOUBLE / count(*) AS weight FROM lab GROUP BY y),
+h0 AS (SELECT key, i, CASE WHEN x >= 0 THEN x ELSE 0.2::DOUBLE * x END AS h FROM fdims JOIN lab USING (key)),
+h1 AS (SELECT key, w1.o AS i, sum(w1.w * h) AS u FROM h0 JOIN w1 ON w1.i = h0.i GROUP BY key, w1.o),
+h1l AS (SELECT key, i, CASE WHEN u >= 0 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS slope, CASE WHEN u >= 0 THEN u ELSE 0.2::DOUBLE * u END AS h FROM h1),
+z AS (SELECT key, w2.o AS o, sum(w2.w * h) AS z FROM h1l JOIN w2 ON w2.i = h1l.i GROUP BY key, w2.o),
+e AS (SELECT key, o, z, CASE WHEN lab.y = o THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t, coalesce(freq.weight, 0) / 10 AS weight
+      FROM z JOIN lab USING (key) LEFT JOIN freq ON freq.y = z.o),
+dz AS (SELECT key, o, weight * (1 / (1 + exp(-z)) - t) AS d, weight * (ln(1 + exp(z)) - t * z) AS loss FROM e),
+du AS (SELECT dz.key, h1l.i, sum(dz.d * w2.w) * any_value(h1l.slope) AS d FROM dz JOIN w2 ON w2.o = dz.o
+       JOIN h1l ON h1l.key = dz.key AND h1l.i = w2.i GROUP BY dz.key, h1l.i),
+n AS (SELECT count(*)::DOUBLE AS n FROM lab)
+SELECT 'loss' AS name, CAST(0 AS BIGINT) AS idx, round(sum(loss) / any_value(n), 6) AS value FROM dz, n
+UNION ALL
+SELECT 'w2', CAST(dz.o * 16 + h1l.i AS BIGINT), round(sum(dz.d * h1l.h) / any_value(n), 6) FROM dz JOIN h1l ON h1l.key = dz.key, n GROUP BY dz.o, h1l.i
+UNION ALL
+SELECT 'w1', CAST(du.i * 64 + h0.i AS BIGINT), round(sum(du.d * h0.h) / any_value(n), 6) FROM du JOIN h0 ON h0.key = du.key, n GROUP BY du.i, h0.i"""
