@@ -133,7 +133,8 @@ def masked_softmax(long_df: DataFrame, group: list[str], value: str, valid: Colu
                    fill: float = -1e10, out: str = "softmax") -> DataFrame:
     """``out``, the softmax over the rows of each group; masked rows take ``fill`` before the softmax.
 
-    The maximum and the sum of a group are partial aggregates joined back, so a large group is dealt over tasks."""
+    The maximum and the sum of a group are partial aggregates joined back; a group's rows meet in one task of the join,
+    unless the aggregate is small enough to broadcast."""
     x = F.col(value) if valid is None else F.when(valid, F.col(value)).otherwise(F.lit(fill))
     rows = long_df.withColumn("_x", x)
     top = rows.groupBy(*group).agg(F.max("_x").alias("_top"))
