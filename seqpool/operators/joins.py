@@ -3,12 +3,36 @@
 No join is forced to broadcast: Spark broadcasts a side by its size, otherwise the join shuffles on
 the key and AQE's skew-join splitting handles a hot key.  Lookups keep every row; rows whose key has no
 feature have a NULL vector, and ``unresolved`` lists such keys with their number of rows.
+
+Two joins in a row would send every pair to its second key together with the vector of the first.  ``lookup_both`` deals many
+pairs over a grid of cells (block of the first key, block of the second): a pair travels once and without a vector, a
+feature once for each cell that its block meets, and both lookups happen inside the cell.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+GRID_ROWS = 1 << 20  # fewer pairs are joined twice
+LOOKUP_ROWS, BATCH_ROWS = 1 << 14, 1 << 11  # rows looked up at once, rows of an Arrow batch handed back
+GRID_KEYS = ("bigint", "int", "string")  # equal keys of these types have equal hashes
+
+
+class Side(NamedTuple):
+    """A column of the pairs, the features looked up by it, and the new names of their columns."""
+
+    on: str
+    features: DataFrame
+    cols: dict[str, str]
+    key: str = "key"
 
 
 def lookup(df: DataFrame, features: DataFrame, on: str, key: str = "key", cols: dict[str, str] | None = None,
@@ -19,18 +43,117 @@ def lookup(df: DataFrame, features: DataFrame, on: str, key: str = "key", cols:
     return df.join(f, on, how)
 
 
+def _grid(cells: int, first: int, second: int) -> tuple[int, int]:
+    """Blocks of the first and of the second key that copy the fewest features, for ``cells`` cells in all."""
+    b = min(max(1, round(math.sqrt(cells * second / max(first, 1)))), cells)
+    return max(1, cells // b), b
+
+
+def _repeated(features: DataFrame, key: str) -> bool:
+    return not features.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _block(key: Column, spread: Column, hot: Sequence, n: int, salt: int) -> Column:
+    """Block of a pair by its key; pairs without a key, or with a hot one, are spread over all blocks."""
+    loose = key.isNull() | key.isin(list(hot)) if hot else key.isNull()
+    return F.pmod(F.when(loose, F.xxhash64(spread, F.lit(salt))).otherwise(F.xxhash64(key)), F.lit(n))
+
+
+def _blocks(key: Column, hot: Sequence, n: int) -> Column:
+    """All blocks that the pairs of a key can be in."""
+    every, own = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), F.array(F.pmod(F.xxhash64(key), F.lit(n)))
+    return F.when(key.isin(list(hot)), every).otherwise(own) if hot else own
+
+
+def lookup_both(df: DataFrame, first: Side, second: Side, how: str = "left", grid_from: int = GRID_ROWS) -> DataFrame:
+    """``lookup`` by ``first``, then by ``second``; large tables of pairs meet both features in the cells of a grid.
+
+    The grid has as many cells as Spark has shuffle partitions, and blocks such that the fewest features are copied; where that
+    would still move more vectors than there are pairs, or keys repeat in the features, the pairs are joined twice.  Keys
+    that may hold more than a cell's share of the pairs have their pairs spread and their feature in every cell."""
+    def joined_twice() -> DataFrame:
+        x = lookup(df, first.features, first.on, first.key, first.cols, how=how)
+        return lookup(x, second.features, second.on, second.key, second.cols, how=how)
+
+    kinds = dict(df.dtypes)
+    sides = (first, second)
+    new = [*first.cols.values(), *second.cols.values()]
+    if (how != "left" or first.on == second.on or len({*new, *df.columns}) < len(new) + len(df.columns)
+            or any(kinds[s.on] not in GRID_KEYS or dict(s.features.dtypes)[s.key] != kinds[s.on] for s in sides)):
+        return joined_twice()
+    n, n_first, n_second = df.agg(F.count(F.lit(1)), F.approx_count_distinct(first.on), F.approx_count_distinct(second.on)).first()
+    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _grid(cells, n_first, n_second)
+    if n < grid_from or n_first * blocks[1] + n_second * blocks[0] > n or any(_repeated(s.features, s.key) for s in sides):
+        return joined_twice()
+
+    often = df.select(first.on, second.on).freqItems([first.on, second.on], max(1.0 / cells, 1e-4)).first()  # at most as many as cells
+    hot = [[k for k in keys if k is not None] for keys in often]
+    row = F.struct(*df.columns)
+    at = [_block(F.col(s.on), row, hot[i], blocks[i], i) for i, s in enumerate(sides)]
+    parts = [df.select("*", (at[0] * blocks[1] + at[1]).alias("_cell"))]
+    for i, s in enumerate(sides):
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks[1 - i] - 1).cast("bigint"))).alias("_other")
+        f = s.features.select(F.col(s.key).alias(s.on), F.struct(*[F.col(a).alias(b) for a, b in s.cols.items()]).alias(f"_f{i}"))
+        f = f.join(df.select(s.on).distinct(), s.on, "left_semi")
+        f = f.select("*", F.explode(_blocks(F.col(s.on), hot[i], blocks[i])).alias("_own")).select("*", other)
+        cell = F.col("_own") * blocks[1] + F.col("_other") if i == 0 else F.col("_other") * blocks[1] + F.col("_own")
+        parts.append(f.select(s.on, f"_f{i}", cell.alias("_cell"), F.lit(i).alias("_side")))
+    x = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    x = x.repartition("_cell").drop("_cell").sortWithinPartitions(F.col("_side").asc_nulls_last())  # features before pairs
+    fields = [f for i in range(2) for f in parts[1 + i].schema[f"_f{i}"].dataType.fields]
+    schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType) for f in fields]])
+    x = x.mapInArrow(_attach([s.on for s in sides], [list(s.cols.values()) for s in sides], df.columns), schema)
+    rest = [c for c in df.columns if c not in (first.on, second.on)]
+    return x.select(second.on, first.on, *rest, *new)
+
+
+def _attach(on: list[str], out: list[list[str]], columns: list[str]):
+    """Arrow batches of features (``_side`` 0 or 1, first) and pairs (null): the pairs with the columns of both features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[list] = [[], []]
+        keys = values = None
+        for t in _tables(batches):
+            for i in range(2):
+                seen[i].append(t.filter(pc.equal(t["_side"], i)).select([on[i], f"_f{i}"]))
+            pairs = t.filter(pc.is_null(t["_side"]))
+            if not pairs.num_rows:
+                continue
+            if keys is None:
+                both = [pa.concat_tables(f).combine_chunks() for f in seen]
+                keys, values = [f.column(0).combine_chunks() for f in both], [f.column(1).combine_chunks() for f in both]
+            found = pairs.select(columns)
+            for i in range(2):
+                got = values[i].take(pc.index_in(pairs[on[i]].combine_chunks(), value_set=keys[i]))
+                for name, column in zip(out[i], got.flatten(), strict=True):
+                    found = found.append_column(name, column)
+            yield from found.to_batches(max_chunksize=BATCH_ROWS)
+
+    return run
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches, as many in a table as make up ``LOOKUP_ROWS`` rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= LOOKUP_ROWS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def pair_features(pairs: DataFrame, features: DataFrame, drug: str = "drug_key", target: str = "target_key",
                   key: str = "key", vec: str = "vec", how: str = "left") -> DataFrame:
     """Pair -> drug vector and target vector (two lookups; every pair stays)."""
-    x = lookup(pairs, features, drug, key, {vec: "drug_vec"}, how=how)
-    return lookup(x, features, target, key, {vec: "target_vec"}, how=how)
+    return lookup_both(pairs, Side(drug, features, {vec: "drug_vec"}, key), Side(target, features, {vec: "target_vec"}, key), how=how)
 
 
 def edge_features(edges: DataFrame, features: DataFrame, a: str = "p0", b: str = "p1",
                   key: str = "key", vec: str = "vec", how: str = "left") -> DataFrame:
     """Both ends of an edge looked up in the same feature table (every edge stays)."""
-    x = lookup(edges, features, a, key, {vec: f"{a}_vec"}, how=how)
-    return lookup(x, features, b, key, {vec: f"{b}_vec"}, how=how)
+    return lookup_both(edges, Side(a, features, {vec: f"{a}_vec"}, key), Side(b, features, {vec: f"{b}_vec"}, key), how=how)
 
 
 def unresolved(df: DataFrame, features: DataFrame, on: str, key: str = "key") -> DataFrame:

@@ -663,8 +663,8 @@ def _scored_pairs(spark, sf, act, cosine):
     for offset in (0, 5):
         h = f.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM, offset), act=act).alias("h"))
         sides.append(materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected"))
-    x = J.lookup(V.pairs(spark, sf), sides[0], "drug_key", cols={"h": "hd", "norm": "nd"})
-    x = J.lookup(x, sides[1], "target_key", cols={"h": "ht", "norm": "nt"})
+    x = J.lookup_both(V.pairs(spark, sf), J.Side("drug_key", sides[0], {"h": "hd", "norm": "nd"}),
+                      J.Side("target_key", sides[1], {"h": "ht", "norm": "nt"}))
     inner = _dot("hd", "ht")
     score = F.least(F.greatest(inner / (F.col("nd") * F.col("nt")), F.lit(-1.0)), F.lit(1.0)) if cosine else inner
     return x.select("row_id", r6(score).alias("score"))
@@ -709,8 +709,8 @@ def logistic(spark, sf):
 
 @query
 def cosine_scores(spark, sf):
-    c = _cos("drug_vec", "target_vec")
-    return _pair_vecs(spark, sf).select("row_id", r6(c).alias("cosine"), r6(c * c).alias("sq_cosine"))
+    x = _pair_vecs(spark, sf).select("row_id", _cos("drug_vec", "target_vec").alias("c"))
+    return x.select("row_id", r6("c").alias("cosine"), r6(F.col("c") * F.col("c")).alias("sq_cosine"))
 
 
 @query
@@ -831,8 +831,8 @@ def score_pairs_pooled(spark, sf):
     for x, width, offset in ((drugs, DIM, 0), (z, LINE_SLICES, 5)):
         h = x.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, width, offset), act="relu").alias("h"))
         sides.append(materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected"))
-    x = J.lookup(V.pairs(spark, sf), sides[0], "drug_key", cols={"h": "hd", "norm": "nd"})
-    x = J.lookup(x, sides[1], "target_key", cols={"h": "ht", "norm": "nt"})
+    x = J.lookup_both(V.pairs(spark, sf), J.Side("drug_key", sides[0], {"h": "hd", "norm": "nd"}),
+                      J.Side("target_key", sides[1], {"h": "ht", "norm": "nt"}))
     score = _dot("hd", "ht") / (F.col("nd") * F.col("nt"))
     return x.select("row_id", r6(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))).alias("score"))
 
@@ -842,8 +842,7 @@ def score_edges(spark, sf):
     f = V.key_features(spark, sf, V.edge_keys(spark, sf))
     h = f.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM), act="relu").alias("h"))
     h = materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected")
-    x = J.lookup(V.edges(spark, sf), h, "p0", cols={"h": "ha", "norm": "na"})
-    x = J.lookup(x, h, "p1", cols={"h": "hb", "norm": "nb"})
+    x = J.lookup_both(V.edges(spark, sf), J.Side("p0", h, {"h": "ha", "norm": "na"}), J.Side("p1", h, {"h": "hb", "norm": "nb"}))
     score = _dot("ha", "hb") / (F.col("na") * F.col("nb"))
     return x.select("row_id", r6(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))).alias("score"))
 

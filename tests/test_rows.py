@@ -5,7 +5,9 @@ import random
 import subprocess
 import sys
 import textwrap
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,24 @@ def test_lookups_keep_every_row(spark):
     assert J.unresolved(pairs, features, "drug_key").count() == 2
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_pairs_meet_both_features_in_a_grid(spark, kind):
+    rng = np.random.default_rng(3)
+    rows = [(None if a == 0 else int(a) if a < 60 else 1, None if b == 0 else int(b) if b < 20 else 2, i // 2)
+            for i, (a, b) in enumerate(zip(rng.integers(0, 120, 3000), rng.integers(0, 30, 3000), strict=True))]
+    pairs = spark.createDataFrame(rows, "a bigint, b bigint, n int").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b", "n")
+    given = [(i, [float(i), 1.0]) for i in range(40)] + [(None, [7.0]), (41, None)]
+    features = spark.createDataFrame(given, "key bigint, vec array<float>").selectExpr(f"cast(key as {kind}) key", "vec", "size(vec) n_dims")
+    sides = J.Side("a", features, {"vec": "a_vec", "n_dims": "a_dims"}), J.Side("b", features, {"vec": "b_vec"})
+    one, two = J.lookup_both(pairs, *sides, grid_from=0), J.lookup_both(pairs, *sides)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Project") and "MapInArrow" in plan and "LeftOuter" not in plan
+    assert one.dtypes == two.dtypes
+    assert Counter(map(str, one.collect())) == Counter(map(str, two.collect()))
+    twice = J.Side("b", features.unionAll(features.where("key < 3")), {"vec": "b_vec"})
+    assert J.lookup_both(pairs, sides[0], twice, grid_from=0).count() == 3000 + sum(b in (1, 2) for _, b, _ in rows)
+
+
 def test_resolve_takes_the_last_entry(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "acc string")
     first = spark.createDataFrame([("a", "OLD", 1), ("a", "NEW", 2)], "acc string, seq string, n int")
