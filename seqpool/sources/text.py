@@ -49,9 +49,12 @@ def fasta_records(records: DataFrame, value: str = "value", order: list[str] | N
 
 
 def fasta_lines(records: DataFrame, value: str = "value") -> DataFrame:
-    """One row per sequence line under its header; the whole header text is the name (Q4)."""
+    """One row per sequence line under its header; the whole header text is the name (Q4).
+
+    A record is taken apart once, below the generator; its outer form keeps Spark from taking it apart again in a filter."""
     header, rest = _record_parts(F.col(value))
-    return records.select(F.rtrim(header).alias("name"), F.posexplode(rest).alias("line_no", "seq")).select(
+    parts = records.select(F.rtrim(header).alias("name"), rest.alias("lines"))
+    return parts.select("name", F.posexplode_outer("lines").alias("line_no", "seq")).where("line_no IS NOT NULL").select(
         "name", F.col("line_no").cast("bigint").alias("line_no"), "seq")
 
 

@@ -71,6 +71,15 @@ def test_fasta_file_scan(spark, tmp_path):
     assert [(r.name, r.line_no, r.seq) for r in lines.collect()][:2] == [("id1 first", 0, "MKT"), ("id1 first", 1, "AYI")]
 
 
+def test_fasta_records_are_taken_apart_once(spark):
+    x = spark.createDataFrame([(">a b \nMK\n\n T \n",), (">c",), (None,), ("d\nGG",)], "value string")
+    lines = ST.fasta_lines(x)
+    assert sorted(map(tuple, lines.collect())) == [("a b", 0, "MK"), ("a b", 1, "T"), ("d", 0, "GG")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "regexp_replace" not in above and "Filter" not in below
+
+
 def test_annotation_tsv(spark, tmp_path):
     p = tmp_path / "annot.tsv"
     p.write_text("### header\nx\ty\tz\n### proteins\np1\tx,x,y\np2\tx\np3\n")
@@ -88,6 +97,13 @@ def test_center_positions(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_centring_evaluates_its_positions_once(spark):
+    x = spark.createDataFrame([([1.0, 4.0],)], "v array<double>")
+    c = x.select(PP.center_positions(F.transform("v", lambda v: F.array(F.sqrt(v), v))).alias("c"))
+    assert c.first()["c"] == [[-0.5, -1.5], [0.5, 1.5]]
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
+
+
 def test_union_of_splits(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x")], "id int, s string")
     b = spark.createDataFrame([(2, "y", 0.5)], "id int, s string, extra double")
