@@ -157,9 +157,11 @@ def group_holdout_split(df: DataFrame, id_col: str, group: str, frac: float = 0.
 def center_positions(pos: Column) -> Column:
     """Coordinates minus the per-protein mean; a null list stays null, an empty one empty.
 
-    The mean is bound as the variable of an outer lambda, so it is computed once a list and not once a position."""
-    zeros = F.transform(F.get(pos, F.lit(0)), lambda _: F.lit(0.0))
-    total = F.aggregate(pos, zeros, lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
-    mean = F.transform(total, lambda x: x / F.size(pos))
-    centered = F.transform(F.array(mean), lambda m: F.transform(pos, lambda p: F.zip_with(p, m, lambda x, y: x - y)))
-    return F.get(centered, F.lit(0))
+    The list and its mean are bound as variables of outer lambdas, so each is computed once, and not once a use or a position."""
+    def centered(p: Column) -> Column:
+        first = F.get(p, F.lit(0))
+        total = F.transform(first, lambda _, d: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.get(x, d)))
+        mean = F.transform(total, lambda x: x / F.size(p))
+        return F.get(F.transform(F.array(mean), lambda m: F.transform(p, lambda x: F.zip_with(x, m, lambda u, v: u - v))), F.lit(0))
+
+    return F.get(F.transform(F.array(pos), centered), F.lit(0))
