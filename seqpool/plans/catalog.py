@@ -327,7 +327,7 @@ def center_positions(spark, sf):
     """Positions of all residues minus the per-protein mean (truncation comes later)."""
     d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii(F.col("text"))).alias("res"))
     r = d.where(F.size("res") > 0).select("doc_id", PP.center_positions(_positions(F.col("res"))).alias("c"))
-    ss = F.aggregate("c", F.lit(0.0), lambda a, p: a + F.aggregate(p, F.lit(0.0), lambda s, x: s + x * x))
+    ss = F.aggregate(F.flatten("c"), F.lit(0.0), lambda a, x: a + x * x)
     return r.select("doc_id", r6(F.sqrt(ss / F.size("c"))).alias("centered_rms"))
 
 
@@ -1230,7 +1230,7 @@ def _pooled_training(spark, sf, n_batches):
     pairs = J.lookup(V.pairs(spark, sf), drugs, "drug_key", cols={"vec": "drug_vec"})
     rows = TR.pooled_rows(pairs.select("row_id", "drug_vec", "target_key", "label"), sets, n_batches)
     folder = shared_scratch(spark, "train-batches")
-    rows.repartition("batch").write.partitionBy("batch").parquet(folder)
+    rows.write.partitionBy("batch").parquet(folder)  # every task writes its own files of a batch
     return folder
 
 
