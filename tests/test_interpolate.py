@@ -78,3 +78,12 @@ def test_ranges_of_groups(spark):
     bounds = F.array(*[F.lit(float(i)) for i in range(0, 400, 2)])
     got = spark.range(-3, 410).select(F.col("id"), prefix.range_of(F.col("id").cast("double"), bounds).alias("r")).collect()
     assert all(r["r"] == sum(b < r["id"] for b in range(0, 400, 2)) for r in got)
+
+
+def test_a_row_looks_at_few_bounds(spark):
+    bounds = sorted({round(x, 3) for x in np.random.default_rng(8).normal(size=4095).tolist()})
+    given = [(v,) for v in [*bounds[::7], bounds[0] - 1, bounds[-1] + 1, 0.0005, float("inf"), None]]
+    x = spark.createDataFrame(given, "v double").select("v", prefix.range_of(F.col("v"), F.array(*map(F.lit, bounds))).alias("r"))
+    assert {r["v"]: r["r"] for r in x.collect()} == {v: 0 if v is None else int(np.searchsorted(bounds, v)) for v, in given}
+    at = spark.createDataFrame([(0.5, bounds)], "v double, b array<double>").select(prefix.range_of(F.col("v"), F.col("b")))
+    assert "filter(" not in at._jdf.queryExecution().optimizedPlan().toString()
