@@ -97,35 +97,75 @@ def gradient_sums(rows: DataFrame, params: dict[str, np.ndarray], partial: Calla
     return float(flat[0]), int(flat[1]), grads
 
 
+PAIRS_AT_ONCE = 1 << 15  # pairs whose narrow vectors are held at a time
+
+
+def _pair_sets(batch: pd.DataFrame):
+    """(drug vectors, target vectors, row of each pair in both, labels): of a batch of pairs, or of each block in a batch."""
+    if "drug_at" not in batch:
+        own = np.arange(len(batch))
+        yield np.stack(batch["drug_vec"].to_numpy()), np.stack(batch["target_vec"].to_numpy()), own, own, batch["label"].to_numpy(dtype=np.float64)
+        return
+    for r in batch.itertuples():
+        a, b = (np.frombuffer(v, r.kind).reshape(n, -1) for v, n in ((r.drug_vecs, r.n_drugs), (r.target_vecs, r.n_targets)))
+        at, bt = (np.frombuffer(v, np.int32) for v in (r.drug_at, r.target_at))
+        yield a.astype(np.float64), b.astype(np.float64), at, bt, np.frombuffer(r.label, np.float64)
+
+
+def _added(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each of ``values`` to its row of ``total``."""
+    for k in range(values.shape[1]):
+        total[:, k] += np.bincount(rows, values[:, k], len(total))
+
+
+def _pair_sums(batch: pd.DataFrame, params: dict, of_pairs: Callable, unit: bool) -> tuple[float, int, dict]:
+    """Sums over pairs whose loss is a function of s = u . v, where u = relu(Wd a) and v = relu(Wt b), of length one if ``unit``.
+
+    Vectors are projected once each; a pair costs a dot product, and adds ds v and ds u to the sums of its two vectors.
+    ``of_pairs(s, y)`` gives (loss sum, ds)."""
+    loss, n, grads = 0.0, 0, {k: np.zeros_like(params[k], dtype=np.float64) for k in ("drug", "target")}
+    for a, b, at, bt, y in _pair_sets(batch):
+        h, g = a @ params["drug"].T, b @ params["target"].T
+        u, v = np.maximum(h, 0), np.maximum(g, 0)
+        if unit:
+            nh, ng = (np.maximum(np.linalg.norm(x, axis=1), 1e-8)[:, None] for x in (u, v))
+            u, v = u / nh, v / ng
+        du, dv = np.zeros((len(u), u.shape[1] + unit)), np.zeros((len(v), v.shape[1] + unit))
+        for i in range(0, len(y), PAIRS_AT_ONCE):
+            p, q = at[i:i + PAIRS_AT_ONCE], bt[i:i + PAIRS_AT_ONCE]
+            up, vq = u[p], v[q]
+            s = np.einsum("ij,ij->i", up, vq)
+            one, ds = of_pairs(s, y[i:i + PAIRS_AT_ONCE])
+            loss += float(one)
+            along = [(ds * s)[:, None]] if unit else []
+            _added(du, p, np.hstack([ds[:, None] * vq, *along]))
+            _added(dv, q, np.hstack([ds[:, None] * up, *along]))
+        if unit:  # what points along a vector does not change its direction
+            du, dv = (du[:, :-1] - du[:, -1:] * u) / nh, (dv[:, :-1] - dv[:, -1:] * v) / ng
+        n += len(y)
+        grads["drug"] += (du * (h > 0)).T @ a
+        grads["target"] += (dv * (g > 0)).T @ b
+    return loss, n, grads
+
+
 def pair_cosine_bce(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
     """T1 with BCE: cosine of relu(Wd a) and relu(Wt b), clipped inside (0, 1)."""
-    a, b = np.stack(batch["drug_vec"].to_numpy()), np.stack(batch["target_vec"].to_numpy())
-    y = batch["label"].to_numpy(dtype=np.float64)
-    h, g = a @ params["drug"].T, b @ params["target"].T
-    hr, gr = np.maximum(h, 0), np.maximum(g, 0)
-    nh, ng = np.maximum(np.linalg.norm(hr, axis=1), 1e-8), np.maximum(np.linalg.norm(gr, axis=1), 1e-8)
-    c = (hr * gr).sum(axis=1) / (nh * ng)
-    p = np.clip(c, 1e-6, 1 - 1e-6)
-    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
-    dc = np.where((c > 1e-6) & (c < 1 - 1e-6), (p - y) / (p * (1 - p)), 0.0)[:, None]
-    dh = dc * (gr / (nh * ng)[:, None] - (c / nh**2)[:, None] * hr) * (h > 0)
-    dg = dc * (hr / (nh * ng)[:, None] - (c / ng**2)[:, None] * gr) * (g > 0)
-    return float(loss), len(y), {"drug": dh.T @ a, "target": dg.T @ b}
+    def of_pairs(c: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        p = np.clip(c, 1e-6, 1 - 1e-6)
+        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+        return loss, np.where((c > 1e-6) & (c < 1 - 1e-6), (p - y) / (p * (1 - p)), 0.0)
+
+    return _pair_sums(batch, params, of_pairs, unit=True)
 
 
 def pair_inner_mse(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
     """T2 with MSE: inner product of relu(Wd a) and relu(Wt b)."""
-    a, b = np.stack(batch["drug_vec"].to_numpy()), np.stack(batch["target_vec"].to_numpy())
-    y = batch["label"].to_numpy(dtype=np.float64)
-    h, g = a @ params["drug"].T, b @ params["target"].T
-    hr, gr = np.maximum(h, 0), np.maximum(g, 0)
-    e = (hr * gr).sum(axis=1) - y
-    dh, dg = 2 * e[:, None] * gr * (h > 0), 2 * e[:, None] * hr * (g > 0)
-    return float((e**2).sum()), len(y), {"drug": dh.T @ a, "target": dg.T @ b}
+    return _pair_sums(batch, params, lambda s, y: (((s - y)**2).sum(), 2 * (s - y)), unit=False)
 
 
 def fit_pair_head(pairs: DataFrame, drug: np.ndarray, target: np.ndarray, loss: str = "bce", steps: int = 8, lr: float = 1e-2):
-    """(parameters, loss before each step).  ``pairs``: drug_vec, target_vec, label; pooling is frozen."""
+    """(parameters, loss before each step); pooling is frozen.  ``pairs``: drug_vec, target_vec, label, or the blocks
+    of ``joins.pair_blocks``."""
     partial = {"bce": pair_cosine_bce, "mse": pair_inner_mse}[loss]
     return fit_by_gradient(pairs, {"drug": drug, "target": target}, partial, steps, lr)
 

@@ -6,7 +6,8 @@ feature have a NULL vector, and ``unresolved`` lists such keys with their number
 
 Two joins in a row would send every pair to its second key together with the vector of the first.  ``lookup_both`` deals many
 pairs over a grid of cells (block of the first key, block of the second): a pair travels once and without a vector, a
-feature once for each cell that its block meets, and both lookups happen inside the cell.
+feature once for each cell that its block meets, and both lookups happen inside the cell.  ``pair_blocks`` leaves the
+pairs of a cell in one row, with each vector once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 GRID_ROWS = 1 << 20  # fewer pairs are joined twice
+CELL_PAIRS = 1 << 20  # about as many pairs in a block
 LOOKUP_ROWS, BATCH_ROWS = 1 << 14, 1 << 11  # rows looked up at once, rows of an Arrow batch handed back
 GRID_KEYS = ("bigint", "int", "string")  # equal keys of these types have equal hashes
 
@@ -65,27 +68,30 @@ def _blocks(key: Column, hot: Sequence, n: int) -> Column:
     return F.when(key.isin(list(hot)), every).otherwise(own) if hot else own
 
 
-def lookup_both(df: DataFrame, first: Side, second: Side, how: str = "left", grid_from: int = GRID_ROWS) -> DataFrame:
-    """``lookup`` by ``first``, then by ``second``; large tables of pairs meet both features in the cells of a grid.
+def _plan(df: DataFrame, first: Side, second: Side, cells: int, grid_from: int) -> tuple[int, int] | None:
+    """The blocks of the grid's two sides; None where the pairs are to be joined twice."""
+    n, n_first, n_second = df.agg(F.count(F.lit(1)), F.approx_count_distinct(first.on), F.approx_count_distinct(second.on)).first()
+    cells = max(cells, n // CELL_PAIRS)
+    blocks = _grid(cells, n_first, n_second)
+    if n < grid_from or n_first * blocks[1] + n_second * blocks[0] > n or any(_repeated(s.features, s.key) for s in (first, second)):
+        return None
+    return blocks
 
-    The grid has as many cells as Spark has shuffle partitions, and blocks such that the fewest features are copied; where that
-    would still move more vectors than there are pairs, or keys repeat in the features, the pairs are joined twice.  Keys
-    that may hold more than a cell's share of the pairs have their pairs spread and their feature in every cell."""
-    def joined_twice() -> DataFrame:
-        x = lookup(df, first.features, first.on, first.key, first.cols, how=how)
-        return lookup(x, second.features, second.on, second.key, second.cols, how=how)
 
+def _dealt(df: DataFrame, first: Side, second: Side, grid_from: int) -> DataFrame | None:
+    """Pairs and features (``_f0``, ``_f1``) with their cell; ``_side`` is 0 or 1 for features and null for pairs.
+
+    None where the pairs are to be joined twice."""
     kinds = dict(df.dtypes)
     sides = (first, second)
     new = [*first.cols.values(), *second.cols.values()]
-    if (how != "left" or first.on == second.on or len({*new, *df.columns}) < len(new) + len(df.columns)
+    if (first.on == second.on or len({*new, *df.columns}) < len(new) + len(df.columns)
             or any(kinds[s.on] not in GRID_KEYS or dict(s.features.dtypes)[s.key] != kinds[s.on] for s in sides)):
-        return joined_twice()
-    n, n_first, n_second = df.agg(F.count(F.lit(1)), F.approx_count_distinct(first.on), F.approx_count_distinct(second.on)).first()
+        return None
     cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _grid(cells, n_first, n_second)
-    if n < grid_from or n_first * blocks[1] + n_second * blocks[0] > n or any(_repeated(s.features, s.key) for s in sides):
-        return joined_twice()
+    blocks = _plan(df, first, second, cells, grid_from)
+    if blocks is None:
+        return None
 
     often = df.select(first.on, second.on).freqItems([first.on, second.on], max(1.0 / cells, 1e-4)).first()  # at most as many as cells
     hot = [[k for k in keys if k is not None] for keys in often]
@@ -99,13 +105,27 @@ def lookup_both(df: DataFrame, first: Side, second: Side, how: str = "left", gri
         f = f.select("*", F.explode(_blocks(F.col(s.on), hot[i], blocks[i])).alias("_own")).select("*", other)
         cell = F.col("_own") * blocks[1] + F.col("_other") if i == 0 else F.col("_other") * blocks[1] + F.col("_own")
         parts.append(f.select(s.on, f"_f{i}", cell.alias("_cell"), F.lit(i).alias("_side")))
-    x = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    x = x.repartition("_cell").drop("_cell").sortWithinPartitions(F.col("_side").asc_nulls_last())  # features before pairs
-    fields = [f for i in range(2) for f in parts[1 + i].schema[f"_f{i}"].dataType.fields]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def lookup_both(df: DataFrame, first: Side, second: Side, how: str = "left", grid_from: int = GRID_ROWS) -> DataFrame:
+    """``lookup`` by ``first``, then by ``second``; large tables of pairs meet both features in the cells of a grid.
+
+    The grid has as many cells as Spark has shuffle partitions (or one for ``CELL_PAIRS`` pairs, if that is more), and blocks
+    such that the fewest features are copied; where that would still move more vectors than there are pairs, or keys repeat
+    in the features, the pairs are joined twice.  Keys that may hold more than a cell's share of the pairs have their pairs
+    spread and their feature in every cell."""
+    sides = (first, second)
+    x = _dealt(df, first, second, grid_from) if how == "left" else None
+    if x is None:
+        x = lookup(df, first.features, first.on, first.key, first.cols, how=how)
+        return lookup(x, second.features, second.on, second.key, second.cols, how=how)
+    fields = [f for i in range(2) for f in x.schema[f"_f{i}"].dataType.fields]
     schema = StructType([*df.schema.fields, *[StructField(f.name, f.dataType) for f in fields]])
+    x = x.repartition("_cell").drop("_cell").sortWithinPartitions(F.col("_side").asc_nulls_last())  # features before pairs
     x = x.mapInArrow(_attach([s.on for s in sides], [list(s.cols.values()) for s in sides], df.columns), schema)
     rest = [c for c in df.columns if c not in (first.on, second.on)]
-    return x.select(second.on, first.on, *rest, *new)
+    return x.select(second.on, first.on, *rest, *first.cols.values(), *second.cols.values())
 
 
 def _attach(on: list[str], out: list[list[str]], columns: list[str]):
@@ -150,6 +170,78 @@ def pair_features(pairs: DataFrame, features: DataFrame, drug: str = "drug_key",
     return lookup_both(pairs, Side(drug, features, {vec: "drug_vec"}, key), Side(target, features, {vec: "target_vec"}, key), how=how)
 
 
+BLOCK = ("drug_vecs binary, target_vecs binary, drug_at binary, target_at binary, label binary, n_drugs bigint, n_targets bigint, "
+         "kind string")
+
+
+def pair_blocks(pairs: DataFrame, features: DataFrame, drug: str = "drug_key", target: str = "target_key", label: str = "label",
+                key: str = "key", vec: str = "vec", grid_from: int = GRID_ROWS) -> DataFrame:
+    """J1 for fits: the labelled pairs with both features, in blocks (``BLOCK``).
+
+    A block has the matrices of its distinct vectors, and per pair its row in each (int32) and its label (float64).  With a
+    grid a block is a cell; few pairs are joined as in ``pair_features``, each with vectors of its own."""
+    sides = Side(drug, features, {vec: "drug_vec"}, key), Side(target, features, {vec: "target_vec"}, key)
+    x = pairs.select(drug, target, F.col(label).cast("double").alias("_y"))
+    dealt = _dealt(x, *sides, grid_from)
+    if dealt is None:
+        both = pair_features(x, features, drug, target, key, vec)
+        return both.where("drug_vec IS NOT NULL AND target_vec IS NOT NULL").select("drug_vec", "target_vec", "_y").mapInArrow(_row_blocks, BLOCK)
+    dealt = dealt.repartition("_cell").sortWithinPartitions("_cell", F.col("_side").asc_nulls_last())
+    return dealt.mapInArrow(_cell_blocks([drug, target]), BLOCK)
+
+
+def _block_row(vecs: list[pa.Array], at: list[np.ndarray], y: np.ndarray) -> pa.RecordBatch:
+    flat = [v.flatten().to_numpy(zero_copy_only=False) for v in vecs]
+    row = {"drug_vecs": flat[0].tobytes(), "target_vecs": flat[1].tobytes(), "drug_at": at[0].astype(np.int32).tobytes(),
+           "target_at": at[1].astype(np.int32).tobytes(), "label": y.astype(np.float64).tobytes(), "n_drugs": len(vecs[0]),
+           "n_targets": len(vecs[1]), "kind": flat[0].dtype.str}
+    return pa.RecordBatch.from_pylist([row])
+
+
+def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            own = np.arange(b.num_rows)
+            yield _block_row([b["drug_vec"], b["target_vec"]], [own, own], b["_y"].to_numpy(zero_copy_only=False))
+
+
+def _cell_blocks(on: list[str]):
+    """Features and pairs ordered by cell, the features first: a block for each cell."""
+    def block(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_tables(tables).combine_chunks()
+        pairs = t.filter(pc.is_null(t["_side"]))
+        vecs, at = [], []
+        for i in range(2):
+            f = t.filter(pc.equal(t["_side"], i))
+            if not (f.num_rows and pairs.num_rows):
+                return
+            v = f[f"_f{i}"].combine_chunks().flatten()[0]
+            keys, v = f[on[i]].combine_chunks().filter(v.is_valid()), v.filter(v.is_valid())
+            vecs.append(v)
+            at.append(pc.fill_null(pc.index_in(pairs[on[i]].combine_chunks(), value_set=keys, skip_nulls=True), -1).to_numpy())
+        both = (at[0] >= 0) & (at[1] >= 0)
+        if both.any():
+            used = [np.unique(a[both], return_inverse=True) for a in at]
+            y = pairs["_y"].to_numpy()
+            yield _block_row([v.take(pa.array(u[0])) for v, u in zip(vecs, used, strict=True)], [u[1] for u in used], y[both])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for t in _tables(batches):
+            cells = t["_cell"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and cells[a] != cell:
+                    yield from block(held)
+                    held = []
+                cell = cells[a]
+                held.append(t.slice(a, b - a))
+        if held:
+            yield from block(held)
+
+    return run
+
+
 def edge_features(edges: DataFrame, features: DataFrame, a: str = "p0", b: str = "p1",
                   key: str = "key", vec: str = "vec", how: str = "left") -> DataFrame:
     """Both ends of an edge looked up in the same feature table (every edge stays)."""

@@ -1187,8 +1187,7 @@ def _losses(spark, losses):
 @query
 def fit_pair_head(spark, sf):
     """Projectors fitted on all pairs by full-batch steps; the loss before each step."""
-    x = _pair_vecs(spark, sf).where(F.col("drug_vec").isNotNull() & F.col("target_vec").isNotNull())
-    x = materialise(x.select("drug_vec", "target_vec", "label"), "pair-rows")
+    x = materialise(J.pair_blocks(V.pairs(spark, sf), V.key_features(spark, sf, V.pair_keys(spark, sf))), "pair-blocks")
     _, losses = FT.fit_pair_head(x, PR.projector(PROJ_OUT, DIM), PR.projector(PROJ_OUT, DIM, 5), steps=FIT_STEPS)
     return _losses(spark, losses)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqpool.operators import fit as FT
+from seqpool.operators import joins as J
 from seqpool.session import shared_scratch
 
 
@@ -45,6 +46,25 @@ def test_fit_does_not_depend_on_partitions(spark):
     assert none == []
 
 
+@pytest.mark.parametrize("grid_from", [0, 1 << 20])
+def test_blocks_have_the_sums_of_their_pairs(spark, grid_from):
+    rng = np.random.default_rng(9)
+    rows = [(None if a == 0 else int(a) if a < 40 else 1, None if b == 0 else int(b), int(i % 2))
+            for i, (a, b) in enumerate(zip(rng.integers(0, 60, 2000), rng.integers(0, 30, 2000), strict=True))]
+    pairs = spark.createDataFrame(rows, "drug_key bigint, target_key bigint, label int")
+    features = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(36)] + [(36, None)], "key bigint, vec array<double>")
+    params = {"drug": np.abs(rng.normal(size=(4, 5))), "target": np.abs(rng.normal(size=(4, 5)))}
+    whole = J.pair_features(pairs, features).where("drug_vec IS NOT NULL AND target_vec IS NOT NULL")
+    blocks = J.pair_blocks(pairs, features, grid_from=grid_from)
+    if grid_from == 0:
+        assert blocks.agg(F.sum("n_drugs")).first()[0] < whole.count() / 2
+    for partial in (FT.pair_cosine_bce, FT.pair_inner_mse):
+        loss, n, grads = FT.gradient_sums(blocks, params, partial)
+        loss_, n_, grads_ = FT.gradient_sums(whole.select("drug_vec", "target_vec", "label"), params, partial)
+        assert n == n_ == whole.count() and np.isclose(loss, loss_)
+        assert all(np.allclose(grads[k], grads_[k]) for k in params)
+
+
 def test_class_head_is_the_same_after_loading(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(size=4) + 3 * np.eye(4)[i % 3]).tolist(), i % 3) for i in range(150)] + [(999, [0.0] * 4, None)]
