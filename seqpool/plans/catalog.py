@@ -517,7 +517,7 @@ def unresolved_pair_keys(spark, sf):
 
 @query
 def edge_feature_selfjoin(spark, sf):
-    x = J.edge_features(V.edges(spark, sf), V.key_features(spark, sf, V.edge_keys(spark, sf)))
+    x = J.edge_features(V.edges(spark, sf).drop("split"), V.key_features(spark, sf, V.edge_keys(spark, sf)))
     return x.select("row_id", "label", r6(vsum("p0_vec")).alias("p0_sum"), r6(vsum("p1_vec")).alias("p1_sum"))
 
 
@@ -653,7 +653,7 @@ def _proj_long(spark, sf):
 
 
 def _pair_vecs(spark, sf):
-    return J.pair_features(V.pairs(spark, sf), V.key_features(spark, sf, V.pair_keys(spark, sf)))
+    return J.pair_features(V.pairs(spark, sf).select("row_id", "drug_key", "target_key"), V.key_features(spark, sf, V.pair_keys(spark, sf)))
 
 
 def _scored_pairs(spark, sf, act, cosine):
@@ -663,7 +663,7 @@ def _scored_pairs(spark, sf, act, cosine):
     for offset in (0, 5):
         h = f.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM, offset), act=act).alias("h"))
         sides.append(materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected"))
-    x = J.lookup_both(V.pairs(spark, sf), J.Side("drug_key", sides[0], {"h": "hd", "norm": "nd"}),
+    x = J.lookup_both(V.pairs(spark, sf).drop("label"), J.Side("drug_key", sides[0], {"h": "hd", "norm": "nd"}),
                       J.Side("target_key", sides[1], {"h": "ht", "norm": "nt"}))
     inner = _dot("hd", "ht")
     score = F.least(F.greatest(inner / (F.col("nd") * F.col("nt")), F.lit(-1.0)), F.lit(1.0)) if cosine else inner
@@ -831,7 +831,7 @@ def score_pairs_pooled(spark, sf):
     for x, width, offset in ((drugs, DIM, 0), (z, LINE_SLICES, 5)):
         h = x.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, width, offset), act="relu").alias("h"))
         sides.append(materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected"))
-    x = J.lookup_both(V.pairs(spark, sf), J.Side("drug_key", sides[0], {"h": "hd", "norm": "nd"}),
+    x = J.lookup_both(V.pairs(spark, sf).drop("label"), J.Side("drug_key", sides[0], {"h": "hd", "norm": "nd"}),
                       J.Side("target_key", sides[1], {"h": "ht", "norm": "nt"}))
     score = _dot("hd", "ht") / (F.col("nd") * F.col("nt"))
     return x.select("row_id", r6(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))).alias("score"))
@@ -842,7 +842,8 @@ def score_edges(spark, sf):
     f = V.key_features(spark, sf, V.edge_keys(spark, sf))
     h = f.select("key", SC.project(F.col("vec"), PR.projector(PROJ_OUT, DIM), act="relu").alias("h"))
     h = materialise(h.select("key", "h", F.greatest(_norm("h"), F.lit(1e-8)).alias("norm")), "projected")
-    x = J.lookup_both(V.edges(spark, sf), J.Side("p0", h, {"h": "ha", "norm": "na"}), J.Side("p1", h, {"h": "hb", "norm": "nb"}))
+    x = J.lookup_both(V.edges(spark, sf).select("row_id", "p0", "p1"), J.Side("p0", h, {"h": "ha", "norm": "na"}),
+                      J.Side("p1", h, {"h": "hb", "norm": "nb"}))
     score = _dot("ha", "hb") / (F.col("na") * F.col("nb"))
     return x.select("row_id", r6(F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0))).alias("score"))
 

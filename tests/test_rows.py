@@ -16,6 +16,7 @@ from seqpool.operators import labels as LB
 from seqpool.operators import metrics as M
 from seqpool.operators import prep as PP
 from seqpool.operators import score as SC
+from seqpool.plans import catalog as C
 from seqpool.plans.prefix import global_row_number, running_sums
 from seqpool.session import shared_scratch
 from seqpool.sources import store as SS
@@ -107,6 +108,17 @@ def test_pairs_meet_both_features_in_a_grid(spark, kind):
     assert J.lookup_both(pairs, sides[0], twice, grid_from=0).count() == 3000 + sum(b in (1, 2) for _, b, _ in rows)
 
 
+@pytest.mark.parametrize("name", ["score_edges", "score_pairs_cosine", "edge_feature_selfjoin", "cosine_scores", "euclidean_scores"])
+def test_pairs_travel_with_no_column_that_is_not_read(spark, monkeypatch, tmp_path, name):
+    x = spark.range(8).selectExpr("id l_orderkey", "1 l_linenumber", "id % 3 l_partkey", "id % 2 l_suppkey", "2.0D l_quantity",
+                                  "3.0D l_extendedprice", "'R' l_returnflag", "timestamp'2024-01-01' l_shipdate")
+    x.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, whole = [], J.lookup_both
+    monkeypatch.setattr(J, "lookup_both", lambda df, *a, **k: seen.append(len(df.columns)) or whole(df, *a, **k))
+    assert C.REGISTRY[name](spark, str(tmp_path)).count() == 8
+    assert seen == [4 if name == "edge_feature_selfjoin" else 3]
+
+
 def test_resolve_takes_the_last_entry(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "acc string")
     first = spark.createDataFrame([("a", "OLD", 1), ("a", "NEW", 2)], "acc string, seq string, n int")
