@@ -190,10 +190,12 @@ def pair_blocks(pairs: DataFrame, features: DataFrame, drug: str = "drug_key", t
     return dealt.mapInArrow(_cell_blocks([drug, target]), BLOCK)
 
 
-def _block_row(vecs: list[pa.Array], at: list[np.ndarray], y: np.ndarray) -> pa.RecordBatch:
+def _block_row(vecs: list[pa.Array], at: list[np.ndarray], y: pa.Array | pa.ChunkedArray) -> pa.RecordBatch:
+    if y.null_count:
+        raise ValueError("pairs without a label cannot be fitted")
     flat = [v.flatten().to_numpy(zero_copy_only=False) for v in vecs]
     row = {"drug_vecs": flat[0].tobytes(), "target_vecs": flat[1].tobytes(), "drug_at": at[0].astype(np.int32).tobytes(),
-           "target_at": at[1].astype(np.int32).tobytes(), "label": y.astype(np.float64).tobytes(), "n_drugs": len(vecs[0]),
+           "target_at": at[1].astype(np.int32).tobytes(), "label": y.to_numpy().tobytes(), "n_drugs": len(vecs[0]),
            "n_targets": len(vecs[1]), "kind": flat[0].dtype.str}
     return pa.RecordBatch.from_pylist([row])
 
@@ -202,7 +204,7 @@ def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             own = np.arange(b.num_rows)
-            yield _block_row([b["drug_vec"], b["target_vec"]], [own, own], b["_y"].to_numpy(zero_copy_only=False))
+            yield _block_row([b["drug_vec"], b["target_vec"]], [own, own], b["_y"])
 
 
 def _cell_blocks(on: list[str]):
@@ -222,8 +224,8 @@ def _cell_blocks(on: list[str]):
         both = (at[0] >= 0) & (at[1] >= 0)
         if both.any():
             used = [np.unique(a[both], return_inverse=True) for a in at]
-            y = pairs["_y"].to_numpy()
-            yield _block_row([v.take(pa.array(u[0])) for v, u in zip(vecs, used, strict=True)], [u[1] for u in used], y[both])
+            y = pairs["_y"].filter(pa.array(both))
+            yield _block_row([v.take(pa.array(u[0])) for v, u in zip(vecs, used, strict=True)], [u[1] for u in used], y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []

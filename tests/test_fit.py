@@ -63,6 +63,9 @@ def test_blocks_have_the_sums_of_their_pairs(spark, grid_from):
         loss_, n_, grads_ = FT.gradient_sums(whole.select("drug_vec", "target_vec", "label"), params, partial)
         assert n == n_ == whole.count() and np.isclose(loss, loss_)
         assert all(np.allclose(grads[k], grads_[k]) for k in params)
+    unlabelled = J.pair_blocks(pairs.withColumn("label", F.expr("nullif(label, 1)")), features, grid_from=grid_from)
+    with pytest.raises(Exception, match="without a label"):
+        unlabelled.collect()
 
 
 def test_class_head_is_the_same_after_loading(spark):
