@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType
 
 # ---- fixed values (must equal the reference / its libraries) -----------------------------
 # Character tokenizer of the second protein encoder: the characters below get ids 3, 4, 5, ...
@@ -59,9 +61,20 @@ def _char_tokenize(s: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf(ArrayType(IntegerType()))
-def _residue_ids(s: pd.Series) -> pd.Series:
-    return pd.Series([_lookup(_codepoints(x), _RES_LUT, 0).astype(np.int32) for x in s.to_numpy()])
+# by the first UTF-8 byte of a character: those of several bytes are unknown letters
+_RES_BYTES = np.concatenate([_RES_LUT, np.zeros(128, dtype=np.int64)]).astype(np.int32)
+
+
+@arrow_udf(ArrayType(IntegerType()))
+def _residue_ids(s: pa.Array) -> pa.Array:
+    s = s.cast(pa.string()).fill_null("")
+    if not len(s):
+        return pa.array([], pa.list_(pa.int32()))
+    ends = np.frombuffer(s.buffers()[1], dtype=np.int32)[s.offset:s.offset + len(s) + 1]
+    raw = np.frombuffer(s.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+    first = raw[(raw & 0xC0) != 0x80]  # a byte for each character
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.utf8_length(s).to_numpy(), dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_RES_BYTES[first]))
 
 
 def char_tokenize(seq: Column) -> Column:
@@ -71,7 +84,7 @@ def char_tokenize(seq: Column) -> Column:
 
 
 def residue_ids(seq: Column) -> Column:
-    """H2: residue letter -> id, unknown -> 0."""
+    """H2: residue letter -> id, unknown -> 0; no ids for null.  A lookup by byte over a whole Arrow batch."""
     return _residue_ids(seq)
 
 
@@ -137,3 +150,13 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def upper_ascii(text: Column) -> Column:
     """a-z upper-cased; every other character stays as it is (unknown characters reach the tokenizers)."""
     return F.translate(text, _LOWER, _UPPER)
+
+
+@arrow_udf(StringType())
+def _upper_ascii(s: pa.Array) -> pa.Array:
+    return pc.ascii_upper(s)
+
+
+def upper_ascii_batch(text: Column) -> Column:
+    """``upper_ascii`` of a whole Arrow batch, for texts that go on to an Arrow function; F.translate looks up each character."""
+    return _upper_ascii(text)

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
+from seqpool.functions import arrays as AR
 from seqpool.functions.text import upper_ascii
 from seqpool.plans.prefix import global_row_number, hash_bucket
 
@@ -75,14 +79,34 @@ def eval_cadence(epochs: DataFrame, every_n: int, epoch: str = "epoch") -> DataF
     return epochs.where(F.col(epoch) % every_n == 0)
 
 
-def residue_record(residues: Column, positions: Column) -> Column:
-    """Struct of parallel arrays (residue ids, 0..n-1 numbers, positions, constant atom code 6)."""
+def residue_record(residues: Column | pa.ListArray, positions: Column | pa.ListArray) -> Column | pa.StructArray:
+    """Struct of parallel arrays (residue ids, 0..n-1 numbers, positions, constant atom code 6), of columns or of Arrow lists."""
+    if isinstance(residues, pa.Array):
+        return AR.zipped({"residue": residues, "number": AR.indices(residues), "pos": positions, "atom": AR.constant(residues, 6)})
     n = F.size(residues)
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.struct(residues.alias("residue"), numbers.alias("number"), positions.alias("pos"),
                     F.array_repeat(F.lit(6), n).alias("atom"))
 
 
+@arrow_udf(StructType([StructField(x, LongType()) for x in ("n", "residue_wsum", "number_sum", "atom_sum")]))
+def _record_sums(residues: pa.Array) -> pa.Array:
+    sums = []
+    for x in AR.pieces(residues):
+        rec = residue_record(x, AR.placed(x))
+        sums.append(AR.zipped({"n": AR.lengths(rec.field("residue")), "residue_wsum": AR.indexed_sums(rec.field("residue")),
+                               "number_sum": AR.sums(rec.field("number")), "atom_sum": AR.sums(rec.field("atom"))}))
+    return pa.concat_arrays(sums)
+
+
+def record_sums(residues: Column) -> Column:
+    """Sums over the records of residue ids at their derived positions (``arrays.placed``).
+
+    A batch's records are built whole in its task, some 2**18 residues at a time, and only the sums return: as rows,
+    positions cost some fifty bytes a residue."""
+    return _record_sums(residues)
+
+
 def pos_neg_union(pos: DataFrame, neg: DataFrame, strict: bool = False, id_col: str = "row_id", seed: int = 12345) -> DataFrame:
     """Positives labelled 1 then negatives labelled 0.  ``strict`` reproduces the reference's
     sizing of labels by the positives (Q2): as many negatives as positives, the first in the seeded order of ``id_col``."""

@@ -259,6 +259,7 @@ def epoch_timing(spark, sf):
 from seqpool.operators import joins as J  # noqa: E402
 from seqpool.operators import labels as LB  # noqa: E402
 from seqpool.operators import prep as PP  # noqa: E402
+from seqpool.functions import arrays as AR  # noqa: E402
 from seqpool.functions import text as TX  # noqa: E402
 from seqpool.functions.vec import vsum  # noqa: E402
 from seqpool.sources import text as ST  # noqa: E402
@@ -298,34 +299,28 @@ def _positions(res):
 
 
 def _residues(spark, sf):
-    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii(F.col("text"))).alias("res"))
+    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii_batch(F.col("text"))).alias("res"))
     return d.select("doc_id", PP.residue_record(F.col("res"), _positions(F.col("res"))).alias("rec"))
 
 
-def _wsum(arr):
-    return F.aggregate(F.transform(arr, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-
 @query
 def residue_record(spark, sf):
-    r = _residues(spark, sf)
-    return r.select("doc_id", F.size("rec.residue").cast("bigint").alias("n"),
-                    _wsum(F.col("rec.residue")).alias("residue_wsum"),
-                    F.aggregate("rec.number", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("number_sum"),
-                    F.aggregate("rec.atom", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("atom_sum"))
+    """The record of every text's residues, built and summed in the task that reads the text."""
+    res = TX.residue_ids(TX.upper_ascii_batch(F.col("text")))
+    return _docs(spark, sf).select("doc_id", PP.record_sums(res).alias("sums")).select("doc_id", "sums.*")
 
 
 @query
 def truncate_residues(spark, sf):
     r = _residues(spark, sf).select("doc_id", *PP.truncate_arrays(["rec.residue", "rec.number"]))
-    return r.select("doc_id", F.size("residue").cast("bigint").alias("n"), _wsum(F.col("residue")).alias("residue_wsum"),
-                    F.aggregate("number", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("number_sum"))
+    return r.select("doc_id", F.size("residue").cast("bigint").alias("n"), AR.indexed_sum(F.col("residue")).alias("residue_wsum"),
+                    AR.int_sum(F.col("number")).alias("number_sum"))
 
 
 @query
 def center_positions(spark, sf):
     """Positions of all residues minus the per-protein mean (truncation comes later)."""
-    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii(F.col("text"))).alias("res"))
+    d = _docs(spark, sf).select("doc_id", TX.residue_ids(TX.upper_ascii_batch(F.col("text"))).alias("res"))
     r = d.where(F.size("res") > 0).select("doc_id", PP.center_positions(_positions(F.col("res"))).alias("c"))
     ss = F.aggregate(F.flatten("c"), F.lit(0.0), lambda a, x: a + x * x)
     return r.select("doc_id", r6(F.sqrt(ss / F.size("c"))).alias("centered_rms"))
@@ -370,16 +365,16 @@ def hashed_fingerprint(spark, sf):
 def char_tokenize(spark, sf):
     ids = TX.char_tokenize(TX.upper_ascii(F.col("text")))
     return _docs(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
-                                   F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
-                                   _wsum(ids).alias("id_wsum"))
+                                   AR.int_sum(ids).alias("id_sum"),
+                                   AR.indexed_sum(ids).alias("id_wsum"))
 
 
 @query
 def residue_ids(spark, sf):
-    ids = TX.residue_ids(TX.upper_ascii(F.col("text")))
+    ids = TX.residue_ids(TX.upper_ascii_batch(F.col("text")))
     return _docs(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n"),
-                                   F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
-                                   _wsum(ids).alias("id_wsum"))
+                                   AR.int_sum(ids).alias("id_sum"),
+                                   AR.indexed_sum(ids).alias("id_wsum"))
 
 
 @query
