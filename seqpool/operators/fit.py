@@ -118,44 +118,53 @@ def _added(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         total[:, k] += np.bincount(rows, values[:, k], len(total))
 
 
-def _pair_sums(batch: pd.DataFrame, params: dict, of_pairs: Callable, unit: bool) -> tuple[float, int, dict]:
-    """Sums over pairs whose loss is a function of s = u . v, where u = relu(Wd a) and v = relu(Wt b), of length one if ``unit``.
+def set_sums(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray, y: np.ndarray, params: dict, of_pairs: Callable, unit: bool) -> tuple:
+    """(loss sum, its gradients by Wd a and by Wt b) over the pairs (at, bt) of vectors ``a`` and ``b``.
 
-    Vectors are projected once each; a pair costs a dot product, and adds ds v and ds u to the sums of its two vectors.
+    The loss of a pair is a function of s = u . v, where u = relu(Wd a) and v = relu(Wt b), of length one if ``unit``.  Vectors are
+    projected once each; a pair costs a dot product, and adds ds v and ds u to the sums of its two vectors.
     ``of_pairs(s, y)`` gives (loss sum, ds)."""
+    h, g = a @ params["drug"].T, b @ params["target"].T
+    u, v = np.maximum(h, 0), np.maximum(g, 0)
+    if unit:
+        nh, ng = (np.maximum(np.linalg.norm(x, axis=1), 1e-8)[:, None] for x in (u, v))
+        u, v = u / nh, v / ng
+    loss, du, dv = 0.0, np.zeros((len(u), u.shape[1] + unit)), np.zeros((len(v), v.shape[1] + unit))
+    for i in range(0, len(y), PAIRS_AT_ONCE):
+        p, q = at[i:i + PAIRS_AT_ONCE], bt[i:i + PAIRS_AT_ONCE]
+        up, vq = u[p], v[q]
+        s = np.einsum("ij,ij->i", up, vq)
+        one, ds = of_pairs(s, y[i:i + PAIRS_AT_ONCE])
+        loss += float(one)
+        along = [(ds * s)[:, None]] if unit else []
+        _added(du, p, np.hstack([ds[:, None] * vq, *along]))
+        _added(dv, q, np.hstack([ds[:, None] * up, *along]))
+    if unit:  # what points along a vector does not change its direction
+        du, dv = (du[:, :-1] - du[:, -1:] * u) / nh, (dv[:, :-1] - dv[:, -1:] * v) / ng
+    return loss, du * (h > 0), dv * (g > 0)
+
+
+def _pair_sums(batch: pd.DataFrame, params: dict, of_pairs: Callable, unit: bool) -> tuple[float, int, dict]:
+    """``set_sums`` of the pairs of a batch, as gradients of the projectors."""
     loss, n, grads = 0.0, 0, {k: np.zeros_like(params[k], dtype=np.float64) for k in ("drug", "target")}
     for a, b, at, bt, y in _pair_sets(batch):
-        h, g = a @ params["drug"].T, b @ params["target"].T
-        u, v = np.maximum(h, 0), np.maximum(g, 0)
-        if unit:
-            nh, ng = (np.maximum(np.linalg.norm(x, axis=1), 1e-8)[:, None] for x in (u, v))
-            u, v = u / nh, v / ng
-        du, dv = np.zeros((len(u), u.shape[1] + unit)), np.zeros((len(v), v.shape[1] + unit))
-        for i in range(0, len(y), PAIRS_AT_ONCE):
-            p, q = at[i:i + PAIRS_AT_ONCE], bt[i:i + PAIRS_AT_ONCE]
-            up, vq = u[p], v[q]
-            s = np.einsum("ij,ij->i", up, vq)
-            one, ds = of_pairs(s, y[i:i + PAIRS_AT_ONCE])
-            loss += float(one)
-            along = [(ds * s)[:, None]] if unit else []
-            _added(du, p, np.hstack([ds[:, None] * vq, *along]))
-            _added(dv, q, np.hstack([ds[:, None] * up, *along]))
-        if unit:  # what points along a vector does not change its direction
-            du, dv = (du[:, :-1] - du[:, -1:] * u) / nh, (dv[:, :-1] - dv[:, -1:] * v) / ng
-        n += len(y)
-        grads["drug"] += (du * (h > 0)).T @ a
-        grads["target"] += (dv * (g > 0)).T @ b
+        one, dh, dg = set_sums(a, b, at, bt, y, params, of_pairs, unit)
+        loss, n = loss + one, n + len(y)
+        grads["drug"] += dh.T @ a
+        grads["target"] += dg.T @ b
     return loss, n, grads
 
 
+def cosine_bce(c: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """BCE of cosines clipped inside (0, 1), and its derivative by each."""
+    p = np.clip(c, 1e-6, 1 - 1e-6)
+    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+    return loss, np.where((c > 1e-6) & (c < 1 - 1e-6), (p - y) / (p * (1 - p)), 0.0)
+
+
 def pair_cosine_bce(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:
     """T1 with BCE: cosine of relu(Wd a) and relu(Wt b), clipped inside (0, 1)."""
-    def of_pairs(c: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        p = np.clip(c, 1e-6, 1 - 1e-6)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
-        return loss, np.where((c > 1e-6) & (c < 1 - 1e-6), (p - y) / (p * (1 - p)), 0.0)
-
-    return _pair_sums(batch, params, of_pairs, unit=True)
+    return _pair_sums(batch, params, cosine_bce, unit=True)
 
 
 def pair_inner_mse(batch: pd.DataFrame, params: dict) -> tuple[float, int, dict]:

@@ -1217,6 +1217,13 @@ def fit_multilabel_start(spark, sf):
 
 
 def _pooled_training(spark, sf, n_batches):
+    """Pairs by batch: the part's feature, the supplier's lines as tokens, the label."""
+    drugs = V.key_features(spark, sf, V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key")).distinct())
+    tokens = V.line_tokens(spark, sf).withColumn("pos", F.conv(F.substring("pos", 1, 15), 16, 10).cast("bigint"))  # the order of row ids, in eight bytes
+    return TR.write_tables(V.pairs(spark, sf), drugs, tokens, n_batches, LINE_SLICES)
+
+
+def _pooled_row_training(spark, sf, n_batches):
     """Pairs by batch and target: the part's feature, the supplier's lines as tokens, the label."""
     lines = V.line_tokens(spark, sf)
     tokens = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"])  # an encoder input's length
@@ -1237,8 +1244,7 @@ def _pooled_params():
 @query
 def fit_pair_start(spark, sf):
     """The loss at the start, and its gradient by the weights of the reference points, over all pairs."""
-    rows = spark.read.parquet(_pooled_training(spark, sf, 1)).drop("batch")
-    loss, n, grads = FT.gradient_sums(rows, _pooled_params(), TR.pooled_cosine_bce())
+    loss, n, grads = TR.table_sums(spark, _pooled_training(spark, sf, 1), 0, _pooled_params())
     out = [("loss", 0, loss / n)] + [("weight", i, float(g) / n) for i, g in enumerate(grads["weight"])]
     return spark.createDataFrame(out, "name string, idx bigint, value double").withColumn("value", r6("value"))
 
@@ -1247,7 +1253,7 @@ def fit_pair_start(spark, sf):
 def fit_pair_pooled(spark, sf):
     """Pooling and projectors trained by mini-batches; the last is held out for validation.  Loss and value per epoch."""
     n = 5
-    folder = _pooled_training(spark, sf, n)
+    folder = _pooled_row_training(spark, sf, n)
     held_out = spark.read.parquet(folder).where(F.col("batch") == n - 1)
 
     def measure(params):
