@@ -1223,19 +1223,6 @@ def _pooled_training(spark, sf, n_batches):
     return TR.write_tables(V.pairs(spark, sf), drugs, tokens, n_batches, LINE_SLICES)
 
 
-def _pooled_row_training(spark, sf, n_batches):
-    """Pairs by batch and target: the part's feature, the supplier's lines as tokens, the label."""
-    lines = V.line_tokens(spark, sf)
-    tokens = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda t: t["vec"])  # an encoder input's length
-    sets = lines.groupBy(F.col("key").alias("target_key")).agg(tokens.alias("tokens"))
-    drugs = V.key_features(spark, sf, V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key")).distinct())
-    pairs = J.lookup(V.pairs(spark, sf), drugs, "drug_key", cols={"vec": "drug_vec"})
-    rows = TR.pooled_rows(pairs.select("row_id", "drug_vec", "target_key", "label"), sets, n_batches)
-    folder = shared_scratch(spark, "train-batches")
-    rows.write.partitionBy("batch").parquet(folder)  # every task writes its own files of a batch
-    return folder
-
-
 def _pooled_params():
     th, ref, w = _line_swe()
     return {"drug": PR.projector(PROJ_OUT, DIM), "target": PR.projector(PROJ_OUT, LINE_SLICES, 5), "theta": th, "reference": ref, "weight": w}
@@ -1253,13 +1240,12 @@ def fit_pair_start(spark, sf):
 def fit_pair_pooled(spark, sf):
     """Pooling and projectors trained by mini-batches; the last is held out for validation.  Loss and value per epoch."""
     n = 5
-    folder = _pooled_row_training(spark, sf, n)
-    held_out = spark.read.parquet(folder).where(F.col("batch") == n - 1)
+    tables = _pooled_training(spark, sf, n)
 
     def measure(params):
-        return M.average_precision(TR.pooled_scores(held_out, params)).first()[0]
+        return M.average_precision(TR.table_scores(spark, tables, n - 1, params)).first()[0]
 
-    state = TR.fit_epochs(spark, folder, n - 1, _pooled_params(), TR.pooled_cosine_bce(), measure, shared_scratch(spark, "fit"), epochs=2)
+    state = TR.fit_epochs(spark, tables, n - 1, _pooled_params(), TR.table_sums, measure, shared_scratch(spark, "fit"), epochs=2)
     return spark.createDataFrame([(h["epoch"], h["loss"], h["value"]) for h in state.history], "epoch bigint, loss double, value double")
 
 
